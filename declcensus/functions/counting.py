@@ -68,16 +68,27 @@ _NO_METHOD_AFTER = (
 )
 
 
-def _script_patterns(typed: bool) -> tuple[str, str]:
-    angles = rf"(?:{R.ANGLES}\s*+)?+"
+_ANGLES = rf"(?:{R.ANGLES}\s*+)?+"
+
+
+def _script_body(typed: bool) -> str:
+    """What follows the parameters of a function that has a body."""
     result = rf"(?::(?:[^{{}};=()]++|{R.PARENS})*+)?+" if typed else ""
-    header = rf"\s*+{angles}{R.PARENS}\s*+{result}\{{"
+    return rf"\s*+{result}\{{"
+
+
+def _script_method_start(typed: bool) -> str:
     start = _NO_METHOD_AFTER + (r"(?<!\?\s{0,8})" if typed else "")
+    return rf"{start}#?+{_NOT_A_METHOD}{R.DOLLAR_NAME}"
+
+
+def _script_patterns(typed: bool) -> tuple[str, str]:
+    header = rf"\s*+{_ANGLES}{R.PARENS}{_script_body(typed)}"
     function = (
         rf"{R.keyword('function')}(?=\s*+(?:{R.DOLLAR_NAME}|){header})"
         rf"(?:{_OPERAND}\s*+(?:{R.DOLLAR_NAME}\s*+)?+[(<]|\s*+{R.DOLLAR_NAME}|\s*+[(<])"
     )
-    method = rf"{start}#?+{_NOT_A_METHOD}{R.DOLLAR_NAME}(?={header})"
+    method = rf"{_script_method_start(typed)}(?={header})"
     computed = rf"(?<![\p{{L}}\p{{N}}_$)\]])\[[^\[\]]*+\](?={header})"
     functions = R.any_of(function, "=>", method, computed)
     types = (
@@ -123,25 +134,44 @@ _JAVA_ANNOTATION_TYPE = rf"@interface\s++{R.DOLLAR_NAME}\s*+{R.BRACES}"
 _JAVA_MODIFIERS = "public|protected|private"
 _JAVA_NOT_A_TYPE = "new|return|else|throw|case|yield|do|assert|record|instanceof"
 _JAVA_CONTROL = "if|for|while|switch|catch|synchronized|try|super|this|return"
-_JAVA_BODY = rf"\s*+{R.PARENS}\s*+(?:\[\s*\]\s*+)*+(?:throws\s[^{{}};]*+)?+"
+_JAVA_AFTER = r"\s*+(?:\[\s*\]\s*+)*+(?:throws\s[^{};]*+)?+"
+_JAVA_BODY = rf"\s*+{R.PARENS}{_JAVA_AFTER}"
 _JAVA_START = (
     rf"(?<![\p{{L}}\p{{N}}\p{{M}}_$.@])"
     rf"(?<!\b(?:{_JAVA_NOT_A_TYPE})\s{{1,40}})(?!(?:{_JAVA_CONTROL})(?![\p{{L}}\p{{N}}_$]))"
 )
 # A constructor is told from a method by having no type before its name; its
 # match ends in the opening parenthesis.
-_JAVA_CONSTRUCTOR = (
+_JAVA_CONSTRUCTOR_NAME = (
     rf"(?<=(?:\b(?:{_JAVA_MODIFIERS})\s|[{{}};)]|[^\s]>\s)\s{{0,40}})"
     rf"(?<!\benum\s{{1,8}}[\p{{L}}\p{{N}}_$]{{1,80}}\s{{0,8}}\{{\s{{0,40}})"
-    rf"{_JAVA_START}{R.DOLLAR_NAME}(?={_JAVA_BODY}\{{)\s*+\("
+    rf"{_JAVA_START}{R.DOLLAR_NAME}"
 )
-_JAVA_METHOD = (
+_JAVA_METHOD_NAME = (
     rf"(?<=(?:[\p{{L}}\p{{N}}_$\]]|[\p{{L}}\p{{N}}_$\]?>]>)\s{{1,40}})"
-    rf"{_JAVA_START}{R.DOLLAR_NAME}(?={_JAVA_BODY}[{{;])"
+    rf"{_JAVA_START}{R.DOLLAR_NAME}"
 )
+_JAVA_CONSTRUCTOR = rf"{_JAVA_CONSTRUCTOR_NAME}(?={_JAVA_BODY}\{{)\s*+\("
+_JAVA_METHOD = rf"{_JAVA_METHOD_NAME}(?={_JAVA_BODY}[{{;])"
 _JAVA_FN = R.any_of(_JAVA_CONSTRUCTOR, _JAVA_METHOD)
 _JAVA_TYPE = rf"{R.keyword('class', 'interface')}\s++{R.DOLLAR_NAME}"
 
+# The same method rules without the balanced parameter list, for matching brackets
+# as rows: (opening that needs a body, opening that needs a body or a semicolon,
+# rest of a header with a body, rest of one without).
+METHOD_BRACKETS = {
+    S.JAVASCRIPT: (rf"{_script_method_start(False)}\s*+\(", None, rf"\)(?={_script_body(False)})", None),
+    S.TYPESCRIPT: (
+        rf"{_script_method_start(True)}\s*+{_ANGLES}\(", None, rf"\)(?={_script_body(True)})", None
+    ),
+    S.JAVA: (
+        rf"{_JAVA_CONSTRUCTOR_NAME}\s*+\(",
+        rf"{_JAVA_METHOD_NAME}\s*+\(",
+        rf"\)(?={_JAVA_AFTER}\{{)",
+        rf"\)(?={_JAVA_AFTER};)",
+    ),
+}
+
 FUNCTION_PATTERNS = {
     S.RUST: _RUST_FN,
     S.GO: _GO_FN,

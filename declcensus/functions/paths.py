@@ -43,7 +43,7 @@ def path_order(path: Column) -> Column:
     No file name holds NUL, and NUL sorts below every other byte, so a directory
     comes before a sibling whose name merely starts the same (``a/b``, ``a-b/c``).
     """
-    return F.translate(path, "/", "\x00")
+    return F.replace(path, F.lit("/"), F.lit("\x00"))
 
 
 def _lookup(table: dict[str, str], key: Column) -> Column:

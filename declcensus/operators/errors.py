@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from declcensus.functions import paths
+from declcensus.operators.language import barrier
 
 IO_ERROR = "IoError"
-UNSUPPORTED = "UnsupportedFileType"
 
 # Message formats.
 IO_MESSAGE = "IO error: "
@@ -21,26 +21,33 @@ def unsupported_message(path: Column) -> Column:
     return F.concat(F.lit(UNSUPPORTED_MESSAGE), path)
 
 
-def analysis_errors(files_with_language: DataFrame) -> DataFrame:
-    """Rows ``(path, error_kind, message)``.
+def io_message() -> Column:
+    """Message of a file that cannot be used, NULL for a good one.
 
-    A file that could not be read counts only if it has a language; an error of
-    the walk itself (no ``length``) always does.
+    An error of the walk itself has no ``length`` and speaks for itself.
     """
-    path, io_error = F.col("path"), F.col("io_error")
+    io_error = F.col("io_error")
+    valid = F.is_valid_utf8(F.col("content").cast("string"))
+    cause = F.when(io_error.isNotNull(), io_error).when(~valid, F.lit(INVALID_UTF8))
+    unread = F.concat(F.lit(READ_MESSAGE), F.col("path"), F.lit(": "), cause)
     walk = io_error.isNotNull() & F.col("length").isNull()
-    unread = io_error.isNotNull()
-    invalid = ~F.is_valid_utf8(F.col("content").cast("string"))
-    message = (
-        F.when(walk, io_error)
-        .when(unread, F.concat(F.lit(READ_MESSAGE), path, F.lit(": "), io_error))
-        .otherwise(F.concat(F.lit(READ_MESSAGE), path, F.lit(": "), F.lit(INVALID_UTF8)))
-    )
-    wrong = walk | (F.col("language").isNotNull() & (unread | invalid))
-    return files_with_language.filter(wrong).select(
-        "path",
-        F.lit(IO_ERROR).alias("error_kind"),
-        F.concat(F.lit(IO_MESSAGE), message).alias("message"),
+    return F.concat(F.lit(IO_MESSAGE), F.when(walk, io_error).otherwise(unread))
+
+
+def with_message(files_with_language: DataFrame) -> DataFrame:
+    """Add ``message`` and keep what counts: files with a language, good or bad, and
+    errors of the walk.  A bad file without a language is skipped silently."""
+    flagged = barrier(files_with_language, message=io_message())
+    walk = F.col("message").isNotNull() & F.col("length").isNull()
+    return flagged.filter(F.col("language").isNotNull() | walk)
+
+
+def analysis_errors(files_with_language: DataFrame) -> DataFrame:
+    """Rows ``(path, error_kind, message)``."""
+    return (
+        with_message(files_with_language)
+        .filter(F.col("message").isNotNull())
+        .select("path", F.lit(IO_ERROR).alias("error_kind"), "message")
     )
 
 
@@ -54,32 +61,23 @@ def run_status(files_with_language: DataFrame) -> DataFrame:
 
     A run has failed only if there were errors and no file went through.
     """
-    path, io_error = F.col("path"), F.col("io_error")
-    walk = io_error.isNotNull() & F.col("length").isNull()
-    bad = io_error.isNotNull() | ~F.is_valid_utf8(F.col("content").cast("string"))
-    has_language = F.col("language").isNotNull()
-    wrong = walk | (has_language & bad)
-    detail = F.when(walk, io_error).otherwise(
-        F.concat(
-            F.lit(READ_MESSAGE), path, F.lit(": "), F.coalesce(io_error, F.lit(INVALID_UTF8))
-        )
-    )
-    flagged = files_with_language.select(
-        (has_language & ~bad).alias("good"),
-        wrong.alias("wrong"),
-        paths.path_order(path).alias("order"),
-        F.when(wrong, F.concat(F.lit(IO_MESSAGE), detail)).alias("message"),
+    return status_of(with_message(files_with_language))
+
+
+def status_of(flagged: DataFrame) -> DataFrame:
+    """``run_status`` over rows with ``path`` and ``message``."""
+    wrong = F.col("message").isNotNull()
+    order = F.struct(paths.path_order(F.col("path")).alias("path"), F.col("message"))
+    totals = flagged.agg(
+        F.count_if(~wrong).alias("file_count"),
+        F.count_if(wrong).alias("error_count"),
+        F.min(F.when(wrong, order)).alias("first"),
     )
-    first = F.min(F.when(F.col("wrong"), F.struct("order", "message")))
-    return flagged.agg(
-        F.count_if("good").alias("file_count"),
-        F.count_if("wrong").alias("error_count"),
-        first["message"].alias("first_error"),
-    ).select(
+    return totals.select(
         "file_count",
         "error_count",
         ((F.col("error_count") > 0) & (F.col("file_count") == 0)).alias("failed"),
-        "first_error",
+        F.col("first.message").alias("first_error"),
     )
 
 

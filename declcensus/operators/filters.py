@@ -13,12 +13,16 @@ from declcensus import schemas as S
 
 
 def ignore(files: DataFrame, patterns: Iterable[str] = ()) -> DataFrame:
-    """Drop files whose full path contains any of the literal ``patterns``."""
+    """Drop files whose full path contains any of the literal ``patterns``.
+
+    An error of the walk (no ``length``) is not a file and stays.
+    """
     patterns = list(patterns)
     if not patterns:
         return files
     hit = reduce(or_, (F.col("path").contains(p) for p in patterns))
-    return files.filter(~hit)
+    walk_error = F.col("io_error").isNotNull() & F.col("length").isNull()
+    return files.filter(~hit | walk_error)
 
 
 def within_depth(files: DataFrame, max_depth: int = S.DEFAULT_MAX_DEPTH) -> DataFrame:
@@ -29,10 +33,3 @@ def within_depth(files: DataFrame, max_depth: int = S.DEFAULT_MAX_DEPTH) -> Data
 def links(files: DataFrame, follow_links: bool = False) -> DataFrame:
     """Drop files reached through a linked directory, unless links are followed."""
     return files if follow_links else files.filter(~F.col("via_link"))
-
-
-def readable(files: DataFrame) -> DataFrame:
-    """Files whose content was read and is valid UTF-8."""
-    return files.filter(
-        F.col("io_error").isNull() & F.is_valid_utf8(F.col("content").cast("string"))
-    )
