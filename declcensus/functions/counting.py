@@ -38,8 +38,8 @@ _GO_GROUPED = (
     rf"(?:[^(){{}}\[\]\n;]++|{R.PARENS}|{R.BRACES}|{R.BRACKETS})*+)"
 )
 _GO_FN = (
-    rf"{R.keyword('func')}(?:\s++{R.NAME}(?=[ \t]*+[(\[])"
-    rf"|\s*+\([^()]*+\)\s*+(?!(?:func|interface|struct|map|chan)\b){R.NAME}(?=[ \t]*+\())"
+    rf"{R.keyword('func')}(?:\s++{R.NAME}(?=[ \t]*+(?:{R.BRACKETS}[ \t]*+)?+{R.PARENS})"
+    rf"|\s*+\([^()]*+\)\s*+(?!(?:func|interface|struct|map|chan)\b){R.NAME}(?=[ \t]*+{R.PARENS}))"
 )
 _GO_STRUCT = (
     rf"{R.keyword('type')}\s++{R.NAME}"
@@ -61,13 +61,10 @@ _OPERAND = r"(?<=(?:[=(,:?\[!&|+]|=>|\b(?:return|typeof|yield|await|void|new|del
 _NOT_A_METHOD = (
     r"(?!(?:if|for|while|switch|catch|with|function|return|await|yield|super|typeof|new)(?![\p{L}\p{N}_$]))"
 )
+_METHOD_EDGE = r"(?<![\p{L}\p{N}\p{M}_$.#@])"
 _NO_METHOD_AFTER = (
-    r"(?<![\p{L}\p{N}\p{M}_$.#@])"
-    r"(?<!\b(?:new|function|extends|case|return|await)\s{1,40})"
-    r"(?<!function\s{0,4}\*\s{0,4})"
+    r"(?<!\b(?:new|function|extends|case|return|await)\s{1,40})(?<!function\s{0,4}\*\s{0,4})"
 )
-
-
 _ANGLES = rf"(?:{R.ANGLES}\s*+)?+"
 
 
@@ -77,9 +74,16 @@ def _script_body(typed: bool) -> str:
     return rf"\s*+{result}\{{"
 
 
-def _script_method_start(typed: bool) -> str:
-    start = _NO_METHOD_AFTER + (r"(?<!\?\s{0,8})" if typed else "")
-    return rf"{start}#?+{_NOT_A_METHOD}{R.DOLLAR_NAME}"
+def _script_method(typed: bool, rest: str) -> str:
+    """Method name before ``rest``.
+
+    The look-ahead comes before the long look-behinds: few names have a body after
+    them, so the look-behinds are seldom tried.
+    """
+    context = _NO_METHOD_AFTER + (r"(?<!\?\s{0,8})" if typed else "")
+    return (
+        rf"{_METHOD_EDGE}(?=#?+{R.DOLLAR_NAME}{rest}){_NOT_A_METHOD}{context}#?+{R.DOLLAR_NAME}"
+    )
 
 
 def _script_patterns(typed: bool) -> tuple[str, str]:
@@ -88,11 +92,11 @@ def _script_patterns(typed: bool) -> tuple[str, str]:
         rf"{R.keyword('function')}(?=\s*+(?:{R.DOLLAR_NAME}|){header})"
         rf"(?:{_OPERAND}\s*+(?:{R.DOLLAR_NAME}\s*+)?+[(<]|\s*+{R.DOLLAR_NAME}|\s*+[(<])"
     )
-    method = rf"{_script_method_start(typed)}(?={header})"
-    computed = rf"(?<![\p{{L}}\p{{N}}_$)\]])\[[^\[\]]*+\](?={header})"
+    method = _script_method(typed, header)
+    computed = rf"\[(?<![\p{{L}}\p{{N}}_$)\]]\[)[^\[\]]*+\](?={header})"
     functions = R.any_of(function, "=>", method, computed)
     types = (
-        rf"(?<![.$=(,:?\[!&|]\s{{0,40}})(?<!=>\s{{0,40}})"
+        rf"(?=class\s)(?<![.$=(,:?\[!&|]\s{{0,40}})(?<!=>\s{{0,40}})"
         rf"(?<!\b(?:return|extends|abstract|new|typeof|yield|await|of|in)\s{{1,40}})"
         rf"{R.keyword('class')}\s++(?!extends\b|implements\b){R.DOLLAR_NAME}"
     )
@@ -131,42 +135,56 @@ _TS_RESULT = (
 # --- Java ------------------------------------------------------------------
 
 _JAVA_ANNOTATION_TYPE = rf"@interface\s++{R.DOLLAR_NAME}\s*+{R.BRACES}"
-_JAVA_MODIFIERS = "public|protected|private"
-_JAVA_NOT_A_TYPE = "new|return|else|throw|case|yield|do|assert|record|instanceof"
-_JAVA_CONTROL = "if|for|while|switch|catch|synchronized|try|super|this|return"
-_JAVA_AFTER = r"\s*+(?:\[\s*\]\s*+)*+(?:throws\s[^{};]*+)?+"
-_JAVA_BODY = rf"\s*+{R.PARENS}{_JAVA_AFTER}"
-_JAVA_START = (
-    rf"(?<![\p{{L}}\p{{N}}\p{{M}}_$.@])"
-    rf"(?<!\b(?:{_JAVA_NOT_A_TYPE})\s{{1,40}})(?!(?:{_JAVA_CONTROL})(?![\p{{L}}\p{{N}}_$]))"
+_JAVA_MODIFIERS = "(?:public|protected|private)"
+_JAVA_NOT_A_TYPE = (
+    r"(?:new|return|else|throw|case|yield|do|assert|record|instanceof|public|protected|private)"
 )
-# A constructor is told from a method by having no type before its name; its
-# match ends in the opening parenthesis.
-_JAVA_CONSTRUCTOR_NAME = (
-    rf"(?<=(?:\b(?:{_JAVA_MODIFIERS})\s|[{{}};)]|[^\s]>\s)\s{{0,40}})"
-    rf"(?<!\benum\s{{1,8}}[\p{{L}}\p{{N}}_$]{{1,80}}\s{{0,8}}\{{\s{{0,40}})"
-    rf"{_JAVA_START}{R.DOLLAR_NAME}"
+_JAVA_CONTROL = (
+    r"(?!(?:if|for|while|switch|catch|synchronized|try|super|this|return)(?![\p{L}\p{N}_$]))"
 )
-_JAVA_METHOD_NAME = (
-    rf"(?<=(?:[\p{{L}}\p{{N}}_$\]]|[\p{{L}}\p{{N}}_$\]?>]>)\s{{1,40}})"
-    rf"{_JAVA_START}{R.DOLLAR_NAME}"
+_JAVA_AFTER = r"\s*+(?:\[\s*\]\s*+)*+(?:throws\s[^{};]*+)?+"
+_JAVA_BODY = rf"\s*+{R.PARENS}{_JAVA_AFTER}"
+_JAVA_NAME = rf"{_JAVA_CONTROL}{R.DOLLAR_NAME}"
+# What comes before the name is matched forwards, from its last character on: a
+# modifier, a bracket or a semicolon before a constructor, the end of the return
+# type before a method.
+_JAVA_MODIFIED = rf"{_JAVA_MODIFIERS}(?<![\p{{L}}\p{{N}}_$]{_JAVA_MODIFIERS})\s++"
+_JAVA_NOT_ENUM = r"(?<!\benum\s{1,8}[\p{L}\p{N}_$]{1,80}\s{0,8}\{)"
+
+
+def _java_constructor(rest: str) -> str:
+    name = rf"{_JAVA_NAME}(?={rest})"
+    return R.any_of(
+        rf"{_JAVA_MODIFIED}{name}", rf"[}};]\s*+{name}", rf"\{{(?=\s*+{name}){_JAVA_NOT_ENUM}\s*+{name}"
+    )
+
+
+def _java_method(rest: str) -> str:
+    word = rf"[\p{{L}}\p{{N}}_$](?<!(?<![\p{{L}}\p{{N}}_$]){_JAVA_NOT_A_TYPE})"
+    return rf"(?:{word}|\]|(?<=[\p{{L}}\p{{N}}_$\]?>])>)\s++{_JAVA_NAME}(?={rest})"
+
+
+# After the closing parenthesis of an annotation.
+_JAVA_ANNOTATED = rf"\)\s*+{_JAVA_NAME}(?={_JAVA_BODY}\{{)"
+_JAVA_FN = R.any_of(
+    _java_constructor(rf"{_JAVA_BODY}\{{"), _JAVA_ANNOTATED, _java_method(rf"{_JAVA_BODY}[{{;]")
 )
-_JAVA_CONSTRUCTOR = rf"{_JAVA_CONSTRUCTOR_NAME}(?={_JAVA_BODY}\{{)\s*+\("
-_JAVA_METHOD = rf"{_JAVA_METHOD_NAME}(?={_JAVA_BODY}[{{;])"
-_JAVA_FN = R.any_of(_JAVA_CONSTRUCTOR, _JAVA_METHOD)
 _JAVA_TYPE = rf"{R.keyword('class', 'interface')}\s++{R.DOLLAR_NAME}"
 
 # The same method rules without the balanced parameter list, for matching brackets
 # as rows: (opening that needs a body, opening that needs a body or a semicolon,
 # rest of a header with a body, rest of one without).
 METHOD_BRACKETS = {
-    S.JAVASCRIPT: (rf"{_script_method_start(False)}\s*+\(", None, rf"\)(?={_script_body(False)})", None),
+    S.JAVASCRIPT: (_script_method(False, r"\s*+\(") + r"\s*+\(", None, rf"\)(?={_script_body(False)})", None),
     S.TYPESCRIPT: (
-        rf"{_script_method_start(True)}\s*+{_ANGLES}\(", None, rf"\)(?={_script_body(True)})", None
+        _script_method(True, rf"\s*+{_ANGLES}\(") + rf"\s*+{_ANGLES}\(",
+        None,
+        rf"\)(?={_script_body(True)})",
+        None,
     ),
     S.JAVA: (
-        rf"{_JAVA_CONSTRUCTOR_NAME}\s*+\(",
-        rf"{_JAVA_METHOD_NAME}\s*+\(",
+        R.any_of(_java_constructor(r"\s*+\("), rf"(?<=\))\s*+{_JAVA_NAME}") + r"\s*+\(",
+        _java_method(r"\s*+\(") + r"\s*+\(",
         rf"\)(?={_JAVA_AFTER}\{{)",
         rf"\)(?={_JAVA_AFTER};)",
     ),

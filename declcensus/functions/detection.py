@@ -1,14 +1,18 @@
 """Language from content: a few weighted signs per language over the whole text.
 
-Each sign is a cheap literal test followed, only where that holds, by a pattern
-test that stops at its first hit.  A label needs weight and variety, so that
-prose, a stray snippet or a very short file gives none and the extension decides.
+A label needs weight and variety, so that prose, a stray snippet or a very short
+file gives none and the extension decides.
+
+Most signs are absent from most files, and looking for them all would cost a scan
+each.  One scan for the words of a file comes first; a sign's pattern is tried only
+where its words occur.  That saves time and changes no result.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
-from operator import add
+from operator import add, or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,134 +20,311 @@ from pyspark.sql import functions as F
 MIN_WEIGHT = 3
 MIN_SIGNS = 2
 
-# (literal gate, pattern, weight, signs it stands for)
-_Sign = tuple[str, str, int, int]
-
-PYTHON_SIGNS: list[_Sign] = [
-    ("#!", r"\A#![^\n]*\bpython", 3, 2),
-    ("def ", r"(?m)^[ \t]*+(?:async[ \t]++)?+def[ \t]++\w++[ \t]*+\([^{};]*?\)[^\n:{};]*+:[ \t]*+(?:#.*+)?+$", 2, 1),
-    ("class ", r"(?m)^[ \t]*+class[ \t]++\w++[ \t]*+(?:\([^(){};]*+\))?+:[ \t]*+(?:#.*+)?+$", 2, 1),
-    ("import ", r"(?m)^(?:from[ \t]++[\w.]++[ \t]++import[ \t]|import[ \t]++[\w.]++[ \t]*+(?:as[ \t]++\w++[ \t]*+)?+$)", 2, 1),
-    ("self", r"(?m)^[ \t]*+(?:async[ \t]++)?+def[ \t]++\w++\(self\b", 1, 1),
-    ("__name__", r"(?m)^if[ \t]++__name__[ \t]*+==", 2, 1),
-    (":", r"(?m)^[ \t]++(?:elif\b[^\n{};]*+|except\b[^\n{};]*+|else[ \t]*+|try[ \t]*+):[ \t]*+$", 1, 1),
-    ("return", r"(?m)^[ \t]++return\b[^;{}\n]*+$", 1, 1),
-    ("print(", r"(?m)^[ \t]*+print\([^;\n]*+$", 1, 1),
+# Above this size the words are not collected and every pattern is tried.
+WORDS_UP_TO = 4 << 20
+
+
+@dataclass(frozen=True)
+class Sign:
+    """A pattern, its weight and the number of signs it stands for.
+
+    It can only match where one of ``words`` occurs, and ``mark`` if given.
+    """
+
+    words: tuple[str, ...]
+    pattern: str
+    weight: int
+    signs: int
+    mark: str | None
+
+
+def _sign(*words: str, pattern: str, weight: int, signs: int = 1, mark: str | None = None) -> Sign:
+    return Sign(words, pattern, weight, signs, mark)
+
+
+def _line_start(word: str) -> str:
+    """``word`` at the start of a line; the literal leads, so the matcher can skip."""
+    return rf"(?m:{word}(?<=^{word}))"
+
+
+PYTHON_SIGNS = [
+    _sign("python", "python2", "python3", pattern=r"\A#![^\n]*\bpython", weight=3, signs=2),
+    _sign(
+        "def",
+        pattern=r"(?m)^[ \t]*+(?:async[ \t]++)?+def[ \t]++\w++[ \t]*+\([^{};]*?\)[^\n:{};]*+:[ \t]*+(?:#.*+)?+$",
+        weight=2,
+    ),
+    _sign(
+        "class",
+        pattern=r"(?m)class(?<=^[ \t]{0,40}class)[ \t]++\w++[ \t]*+(?:\([^(){};]*+\))?+:[ \t]*+(?:#.*+)?+$",
+        weight=2,
+    ),
+    _sign(
+        "import",
+        pattern=rf"{_line_start('from')}[ \t]++[\w.]++[ \t]++import[ \t]"
+        rf"|(?m){_line_start('import')}[ \t]++[\w.]++[ \t]*+(?:as[ \t]++\w++[ \t]*+)?+$",
+        weight=2,
+    ),
+    _sign("self", pattern=r"def[ \t]++\w++\(self\b", weight=1),
+    _sign("__name__", pattern=r"(?m)^if[ \t]++__name__[ \t]*+==", weight=2),
+    _sign(
+        "else", "elif", "except", "try",
+        pattern=r"(?m)^[ \t]++(?:elif\b[^\n{};]*+|except\b[^\n{};]*+|else[ \t]*+|try[ \t]*+):[ \t]*+$",
+        weight=1,
+    ),
+    _sign("def", pattern=r"(?m)^[ \t]++return\b[^;{}\n]*+$", weight=1),
+    _sign("print", pattern=r"(?m)^[ \t]*+print\([^;\n]*+$", weight=1),
 ]
 
-RUST_SIGNS: list[_Sign] = [
-    ("fn ", r"\bfn\s++\w++\s*+(?:<[^>{;]*+>)?+\s*+\([^{};]*+\{", 2, 1),
-    ("let mut ", r"\blet mut\s++\w", 2, 1),
-    ("!", r"\b(?:println|eprintln|print|format|vec|assert|assert_eq|panic|write|writeln|matches)!\s?[(\[{]", 2, 1),
-    ("use ", r"(?m)^[ \t]*+(?:pub\s++)?+use\s++\w++(?:::|;)", 2, 1),
-    ("mod ", r"(?m)^[ \t]*+(?:pub\s++)?+mod\s++\w++\s*+[;{]", 2, 1),
-    ("impl", r"(?m)^[ \t]*+(?:unsafe\s++)?+impl\b[^;{}()=]*+\{", 2, 1),
-    ("#[", r"(?m)^\s*+#!?\[\w", 2, 1),
-    ("->", r"->\s*+(?:Self\b|Result<|Option<|[iu](?:8|16|32|64|128|size)\b|&|String\b|bool\b|Vec<|Box<)", 1, 1),
-    (" ", r"(?m)^[ \t]*+(?:pub(?:\([^)]*+\))?+\s++)?+(?:struct|enum|trait)\s++\w++[^;{}()=]*+[{;(]", 1, 1),
-    ("&", r"&mut\s|&self\b|&'\w|&str\b", 1, 1),
-    ("let ", r"\blet\s++\w++(?:\s*+:\s*+[\w<>&]++)?+\s*+=[^=]", 1, 1),
+RUST_SIGNS = [
+    _sign("fn", pattern=r"fn(?<=\bfn)\s++\w++\s*+(?:<[^>{;]*+>)?+\s*+\([^{};]*+\{", weight=2),
+    _sign("mut", pattern=r"\blet mut\s++\w", weight=2),
+    _sign(
+        "println", "eprintln", "format", "vec", "assert", "assert_eq", "panic", "write", "writeln", "matches",
+        pattern=r"\b(?:e?println|format|vec|assert|assert_eq|panic|writeln|write|matches)!\s?[(\[{]",
+        weight=2,
+    ),
+    _sign("use", pattern=r"(?m)^[ \t]*+(?:pub\s++)?+use\s++\w++(?:::|;)", weight=2),
+    _sign("mod", pattern=r"(?m)^[ \t]*+(?:pub\s++)?+mod\s++\w++\s*+[;{]", weight=2),
+    _sign("impl", pattern=r"(?m)^[ \t]*+(?:unsafe\s++)?+impl\b[^;{}()=]*+\{", weight=2),
+    _sign(pattern=r"(?m)^\s*+#!?\[\w", weight=2, mark="["),
+    _sign(
+        "fn",
+        pattern=r"->\s*+(?:Self\b|Result<|Option<|[iu](?:8|16|32|64|128|size)\b|&|String\b|bool\b|Vec<|Box<)",
+        weight=1,
+    ),
+    _sign(
+        "struct", "enum", "trait",
+        pattern=r"(?m)^[ \t]*+(?:pub(?:\([^)]*+\))?+\s++)?+(?:struct|enum|trait)\s++\w++[^;{}()=]*+[{;(]",
+        weight=1,
+    ),
+    _sign("mut", "self", "fn", "str", pattern=r"&mut\s|&self\b|&'\w|&str\b", weight=1),
+    _sign("let", pattern=r"\blet\s++\w++(?:\s*+:\s*+[\w<>&]++)?+\s*+=[^=]", weight=1),
 ]
 
-GO_SIGNS: list[_Sign] = [
-    ("package ", r"(?m)^package\s++\w++[ \t]*+(?://.*+)?+$", 2, 1),
-    ("func ", r"(?m)^func\s++(?:\([^()]*+\)\s*+)?+\w++\s*+[(\[]", 2, 1),
-    ("type ", r"(?m)^[ \t]*+type\s++\w++(?:\[[^\]\n]*+\])?+\s++(?:struct|interface|func)\b", 2, 1),
-    ("import ", r"(?m)^import\s++(?:\(|\"[^\"\n]++\"[ \t]*+$)", 2, 1),
-    (":=", r"\b\w++\s*+:=\s", 1, 1),
-    (".", r"\b(?:fmt|os|strings|errors|http|context|time|sync)\.[A-Z]\w", 1, 1),
+GO_SIGNS = [
+    _sign("package", pattern=rf"(?m){_line_start('package')}\s++\w++[ \t]*+(?://.*+)?+$", weight=2),
+    _sign("func", pattern=rf"{_line_start('func')}\s++(?:\([^()]*+\)\s*+)?+\w++\s*+[(\[]", weight=2),
+    _sign(
+        "type",
+        pattern=r"(?m)type(?<=^[ \t]{0,40}type)\s++\w++(?:\[[^\]\n]*+\])?+\s++(?:struct|interface|func)\b",
+        weight=2,
+    ),
+    _sign(
+        "import",
+        pattern=rf"(?m){_line_start('import')}\s++(?:\(|\"[^\"\n]++\"[ \t]*+$)",
+        weight=2,
+    ),
+    _sign("func", "package", pattern=r":=(?<=\w\s{0,4}:=)\s", weight=1),
+    _sign(
+        "fmt", "strings", "errors", "http", "context", "sync",
+        pattern=r"\b(?:fmt|strings|errors|http|context|sync)\.[A-Z]\w",
+        weight=1,
+    ),
 ]
 
-JAVA_SIGNS: list[_Sign] = [
-    ("package ", r"(?m)^\s*+package\s++[\w.]++;", 2, 1),
-    ("import ", r"(?m)^\s*+import\s++(?:static\s++)?+\w++(?:\.\w++)++(?:\.\*)?+;", 2, 1),
-    (
-        "(",
-        r"\b(?:public|protected|private)\s++(?:(?:static|final|abstract|synchronized)\s++)*+"
+JAVA_SIGNS = [
+    _sign("package", pattern=rf"{_line_start('package')}\s++[\w.]++;", weight=2),
+    _sign(
+        "import",
+        pattern=rf"{_line_start('import')}\s++(?:static\s++)?+\w++(?:\.\w++)++(?:\.\*)?+;",
+        weight=2,
+    ),
+    _sign(
+        "public", "protected", "private",
+        pattern=r"\b(?:public|protected|private)\s++(?:(?:static|final|abstract|synchronized)\s++)*+"
         r"(?!async\b|get\b|set\b|readonly\b|class\b|function\b|override\b)"
         r"[\w.]++(?:<[^(){};]*?>)?+(?:\[\])*+\s++\w++\s*+\(",
-        2,
-        1,
-    ),
-    ("class ", r"\b(?:public|private|protected)\s++(?:(?:static|final|abstract)\s++)*+class\s++\w", 2, 1),
-    ("System.", r"\bSystem\.(?:out|err)\.print", 2, 1),
-    ("@Override", r"(?m)^\s*+@Override\b", 2, 1),
-    ("(", r"\b(?:void|int|boolean|long|double|String)\s++\w++\s*+\([^(){};]*+\)\s*+[{;]", 2, 1),
-    (" ", r"(?m)^\s*+(?:(?:public|abstract|final)\s++)*+(?:class|interface)\s++\w++[^;{}()=:]*+\{", 1, 1),
-    ("String[]", r"\bString\[\]\s++\w", 1, 1),
+        weight=2,
+    ),
+    _sign(
+        "public", "protected", "private",
+        pattern=r"\b(?:public|private|protected)\s++(?:(?:static|final|abstract)\s++)*+class\s++\w",
+        weight=2,
+    ),
+    _sign("System", pattern=r"System(?<=\bSystem)\.(?:out|err)\.print", weight=2),
+    _sign("Override", pattern=r"(?m)^\s*+@Override\b", weight=2),
+    _sign(
+        "void", "int", "boolean", "long", "double", "String",
+        pattern=r"\b(?:void|int|boolean|long|double|String)\s++\w++\s*+\([^(){};]*+\)\s*+[{;]",
+        weight=2,
+    ),
+    _sign(
+        "class", "interface",
+        pattern=r"(?m)^\s*+(?:(?:public|abstract|final)\s++)*+(?:class|interface)\s++\w++[^;{}()=:]*+\{",
+        weight=1,
+    ),
+    _sign("String", pattern=r"String(?<=\bString)\[\]\s++\w", weight=1),
 ]
 
-SCRIPT_SIGNS: list[_Sign] = [
-    ("function", r"(?m)^[ \t]*+(?:export\s++(?:default\s++)?+)?+(?:async\s++)?+function\b\s*+\*?+\s*+\w*+\s*+(?:<[^>(]*+>)?+\(", 2, 1),
-    ("=", r"\b(?:const|let|var)\s++(?:\w++|\{[^}]*+\}|\[[^\]]*+\])\s*+(?::[^=;{}]*+)?+=(?!=)", 2, 1),
-    ("=>", r"\)\s*+=>|=\s*+(?:async\s++)?+\w++\s*+=>|\(\w++\s*+=>", 1, 1),
-    ("console.", r"\bconsole\.(?:log|error|warn|info)\(", 2, 1),
-    ("export ", r"(?m)^export\s++(?:default|const|function|class|async|interface|type|\{|\*)", 2, 1),
-    ("import ", r"(?m)^import\s++(?:[\w{*][^;\"']*?\sfrom\s++)?+[\"'][^\"'\n]++[\"']", 2, 1),
-    ("require(", r"\brequire\([\"']", 2, 1),
-    ("module.exports", r"\bmodule\.exports\b", 2, 1),
-    ("==", r"[^=!]===[^=]|!==", 1, 1),
-    ("class ", r"(?m)^\s*+(?:export\s++(?:default\s++)?+)?+class\s++\w++(?:\s++extends\s++[\w.]++)?+\s*+\{", 1, 1),
-    ("return", r"\breturn\s*+\(?\s*+<[A-Za-z]", 1, 1),
-    ("constructor(", r"(?m)^\s*+constructor\([^)]*+\)\s*+\{", 1, 1),
+SCRIPT_SIGNS = [
+    _sign(
+        "function",
+        pattern=r"(?m)^[ \t]*+(?:export\s++(?:default\s++)?+)?+(?:async\s++)?+function\b\s*+\*?+\s*+\w*+\s*+(?:<[^>(]*+>)?+\(",
+        weight=2,
+    ),
+    _sign(
+        "const", "let", "var",
+        pattern=r"\b(?:const|let|var)\s++(?:\w++|\{[^}]*+\}|\[[^\]]*+\])\s*+(?::[^=;{}]*+)?+=(?!=)",
+        weight=2,
+    ),
+    _sign(pattern=r"=>(?<=\)\s{0,4}=>)|=\s*+(?:async\s++)?+\w++\s*+=>|\(\w++\s*+=>", weight=1, mark="=>"),
+    _sign("console", pattern=r"console(?<=\bconsole)\.(?:log|error|warn|info)\(", weight=2),
+    _sign(
+        "export",
+        pattern=rf"{_line_start('export')}\s++(?:default|const|function|class|async|interface|type|\{{|\*)",
+        weight=2,
+    ),
+    _sign(
+        "import",
+        pattern=rf"{_line_start('import')}\s++(?:[\w{{*][^;\"']*?\sfrom\s++)?+[\"'][^\"'\n]++[\"']",
+        weight=2,
+    ),
+    _sign("require", pattern=r"\brequire\([\"']", weight=2),
+    _sign("exports", pattern=r"\bmodule\.exports\b", weight=2),
+    _sign(pattern=r"===(?<=[^=!]===)[^=]", weight=1, mark="==="),
+    _sign(
+        "class",
+        pattern=r"(?m)^\s*+(?:export\s++(?:default\s++)?+)?+class\s++\w++(?:\s++extends\s++[\w.]++)?+\s*+\{",
+        weight=1,
+    ),
+    _sign("return", pattern=r"return(?<=\breturn)\s*+\(?\s*+<[A-Za-z]", weight=1),
+    _sign("constructor", pattern=r"(?m)^\s*+constructor\([^)]*+\)\s*+\{", weight=1),
 ]
 
-TYPED_SIGNS: list[_Sign] = [
-    ("interface ", r"(?m)^\s*+(?:export\s++)?+(?:declare\s++)?+interface\s++\w++[^{};]*+\{\s*+(?:readonly\s++)?+\w++\??[:(]", 2, 1),
-    (":", r"[\w)\]?]\s*+:\s*+(?:string|number|boolean|any|void|unknown|never|Promise<|Array<|Record<)(?!\w)", 2, 1),
-    ("type ", r"(?m)^\s*+(?:export\s++)?+type\s++\w++(?:<[^>=]*+>)?+\s*+=\s*+[{(|\"'\[]", 2, 1),
-    (" ", r"\b(?:private|public|protected|readonly)\s++(?:(?:static|readonly|async)\s++)*+\w++\??\s*+:\s*+\w", 1, 1),
-    (" as ", r"\bas\s++(?:const|any|unknown|string|number)\b", 1, 1),
-    ("import ", r"(?m)^import\s++type\b", 2, 1),
+TYPED_SIGNS = [
+    _sign(
+        "interface",
+        pattern=r"(?m)^\s*+(?:export\s++)?+(?:declare\s++)?+interface\s++\w++[^{};]*+\{\s*+(?:readonly\s++)?+\w++\??[:(]",
+        weight=2,
+    ),
+    _sign(
+        "string", "number", "boolean", "any", "void", "unknown", "never", "Promise", "Array", "Record",
+        pattern=r":(?<=[\w)\]?]\s{0,4}:)\s*+(?:(?:string|number|boolean|any|void|unknown|never)(?!\w)|(?:Promise|Array|Record)<)",
+        weight=2,
+    ),
+    _sign(
+        "type",
+        pattern=r"(?m)^\s*+(?:export\s++)?+type\s++\w++(?:<[^>=]*+>)?+\s*+=\s*+[{(|\"'\[]",
+        weight=2,
+    ),
+    _sign(
+        "private", "public", "protected", "readonly",
+        pattern=r"\b(?:private|public|protected|readonly)\s++(?:(?:static|readonly|async)\s++)*+\w++\??\s*+:\s*+\w",
+        weight=1,
+    ),
+    _sign(
+        "as",
+        pattern=r"as(?<=\bas)\s++(?:const|any|unknown|string|number)\b",
+        weight=1,
+    ),
+    _sign("type", pattern=rf"{_line_start('import')}\s++type\b", weight=2),
 ]
 
 # Signs of languages outside the supported six; one of them vetoes any label.
-FOREIGN = (
-    r"(?m)^[ \t]*+#[ \t]*+include[ \t]*+[<\"]|<\?php|^using\s++[\w.]++;|^\s*+namespace\s++[\w.:\\]++\s*+[;{]"
-    r"|^\s*+(?:(?:private|public|internal|override|suspend|open)\s++)*+fun\s++\w++\s*+[(<]"
-    r"|^\s*+object\s++\w++\s++extends\s|^\s*+<!DOCTYPE\s|^\s*+<html\b"
+FOREIGN_SIGNS = [
+    _sign("include", pattern=r"(?m)^[ \t]*+#include[ \t]*+[<\"]", weight=1),
+    _sign("php", pattern=r"<\?php", weight=1),
+    _sign("using", pattern=rf"{_line_start('using')}\s++[\w.]++;", weight=1),
+    _sign("namespace", pattern=r"(?m)^\s*+namespace\s++[\w.:\\]++\s*+[;{]", weight=1),
+    _sign(
+        "fun",
+        pattern=r"(?m)^\s*+(?:(?:private|public|internal|override|suspend|open)\s++)*+fun\s++\w++\s*+[(<]",
+        weight=1,
+    ),
+    _sign("object", pattern=r"(?m)^\s*+object\s++\w++\s++extends\s", weight=1),
+    _sign("DOCTYPE", "doctype", "html", pattern=r"\A\s*+(?i:<!DOCTYPE|<html)", weight=1),
+]
+
+
+_ALL_SIGNS = (
+    *GO_SIGNS, *JAVA_SIGNS, *SCRIPT_SIGNS, *PYTHON_SIGNS, *RUST_SIGNS, *TYPED_SIGNS, *FOREIGN_SIGNS,
 )
+_WORDS = sorted({word for sign in _ALL_SIGNS for word in sign.words})
+
+
+def sign_words(text: Column) -> Column:
+    """The words of ``text`` that belong to some sign."""
+    known = F.array(*(F.lit(w) for w in _WORDS))
+    occurring = F.array_intersect(F.split(text, r"\W++"), known)
+    return F.when(F.octet_length(text) <= WORDS_UP_TO, occurring).otherwise(known)
 
 
-def _encoded(text: Column, signs: list[_Sign]) -> Column:
+def _found(text: Column, words: Column, sign: Sign) -> Column:
+    found = F.rlike(text, F.lit(sign.pattern))
+    if sign.mark is not None:
+        found = F.contains(text, F.lit(sign.mark)) & found
+    if sign.words:
+        found = F.arrays_overlap(words, F.array(*(F.lit(w) for w in sign.words))) & found
+    return found
+
+
+def _encoded(text: Column, words: Column, signs: list[Sign]) -> Column:
     """Weight and number of the signs found, as one number: weight * 100 + signs."""
     return reduce(
         add,
         (
-            F.when(
-                F.contains(text, F.lit(gate)) & F.rlike(text, F.lit(pattern)),
-                F.lit(weight * 100 + count),
-            ).otherwise(F.lit(0))
-            for gate, pattern, weight, count in signs
+            F.when(_found(text, words, s), F.lit(s.weight * 100 + s.signs)).otherwise(F.lit(0))
+            for s in signs
         ),
     )
 
 
-def content_scores(text: Column) -> dict[str, Column]:
-    """Encoded score of each sign set, by set name."""
-    return {
-        "go": _encoded(text, GO_SIGNS),
-        "java": _encoded(text, JAVA_SIGNS),
-        "script": _encoded(text, SCRIPT_SIGNS),
-        "python": _encoded(text, PYTHON_SIGNS),
-        "rust": _encoded(text, RUST_SIGNS),
-        "typed": _encoded(text, TYPED_SIGNS),
-    }
+_SETS = {
+    "go": GO_SIGNS,
+    "java": JAVA_SIGNS,
+    "javascript": SCRIPT_SIGNS,
+    "python": PYTHON_SIGNS,
+    "rust": RUST_SIGNS,
+    "typescript": TYPED_SIGNS,
+}
+LABELS = tuple(_SETS)
+
+
+def score(text: Column, words: Column, label: str) -> Column:
+    """Encoded score of the signs of one label."""
+    return _encoded(text, words, _SETS[label])
+
+
+def own_score(text: Column, words: Column, label: Column) -> Column:
+    """Encoded score of the signs of the label of each row; scripts by the shared signs."""
+    scored = F.when(F.lit(False), F.lit(0))
+    for name in ("go", "java", "python", "rust"):
+        scored = scored.when(label == name, score(text, words, name))
+    return scored.when(
+        label.isin("javascript", "typescript"), score(text, words, "javascript")
+    ).otherwise(F.lit(0))
+
 
+def _enough(value: Column) -> Column:
+    return (value >= MIN_WEIGHT * 100) & (value % 100 >= MIN_SIGNS)
 
-def content_label(text: Column, scores: dict[str, Column]) -> Column:
-    """Content label of ``text``, NULL where the evidence is thin or foreign.
 
-    TypeScript takes the script signs too, once it has a sign of its own.
+def _foreign(text: Column, words: Column) -> Column:
+    return reduce(or_, (_found(text, words, sign) for sign in FOREIGN_SIGNS))
+
+
+def _typed(script: Column, typed: Column) -> Column:
+    """TypeScript takes the script signs too, once it has a sign of its own."""
+    return F.when(typed > 0, typed + script).otherwise(F.lit(0))
+
+
+def own_label(text: Column, words: Column, label: Column, own: Column, typed: Column) -> Column:
+    """Label of a text whose content bears out the ``label`` of its extension, else NULL.
+
+    The two script languages are told apart by content alone.
     """
-    typed = F.when(scores["typed"] > 0, scores["typed"] + scores["script"]).otherwise(F.lit(0))
+    script = label.isin("javascript", "typescript")
+    borne_out = F.when(script & (typed > 0), F.lit("typescript")).when(
+        script, F.lit("javascript")
+    ).otherwise(label)
+    return F.when(_enough(F.greatest(own, _typed(own, typed))) & ~_foreign(text, words), borne_out)
+
+
+def best_label(text: Column, words: Column, scores: dict[str, Column]) -> Column:
+    """Label with the best score, NULL where the evidence is thin or foreign."""
+    totals = scores | {"typescript": _typed(scores["javascript"], scores["typescript"])}
     best = F.greatest(
-        F.struct(scores["go"].alias("score"), F.lit("go").alias("label")),
-        F.struct(scores["java"].alias("score"), F.lit("java").alias("label")),
-        F.struct(scores["script"].alias("score"), F.lit("javascript").alias("label")),
-        F.struct(scores["python"].alias("score"), F.lit("python").alias("label")),
-        F.struct(scores["rust"].alias("score"), F.lit("rust").alias("label")),
-        F.struct(typed.alias("score"), F.lit("typescript").alias("label")),
+        *(F.struct(totals[x].alias("score"), F.lit(x).alias("label")) for x in LABELS)
     )
-    enough = (best["score"] >= MIN_WEIGHT * 100) & (best["score"] % 100 >= MIN_SIGNS)
-    return F.when(enough & ~F.rlike(text, F.lit(FOREIGN)), best["label"])
+    return F.when(_enough(best["score"]) & ~_foreign(text, words), best["label"])

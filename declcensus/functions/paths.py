@@ -29,6 +29,10 @@ def language_of_label(label: Column) -> Column:
     return _lookup(S.LABEL_TO_LANGUAGE, label)
 
 
+def label_of_language(language: Column) -> Column:
+    return _lookup({name: label for label, name in S.LABEL_TO_LANGUAGE.items()}, language)
+
+
 def path_depth(path: Column, root: str = "") -> Column:
     """Number of components below ``root``: 1 for the root's own children."""
     relative = path

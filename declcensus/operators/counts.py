@@ -67,9 +67,10 @@ def _kind(language: Column, text: Column) -> Column:
               .when(function & opened, F.lit("function_expression"))
               .when(function, F.lit("function_declaration"))
               .otherwise(F.lit("method_definition")))
-        .when(language == S.JAVA, F.when(text.startswith("interface "), F.lit("interface_declaration"))
+        .when(language == S.JAVA, F.when(F.rlike(text, F.lit(r"^interface\s")), F.lit("interface_declaration"))
               .when(_is_type(text), F.lit("class_declaration"))
-              .when(opened, F.lit("constructor_declaration"))
+              .when(F.rlike(text, F.lit(r"^(?:(?:public|protected|private)\s|[{};)])")),
+                    F.lit("constructor_declaration"))
               .otherwise(F.lit("method_declaration")))
     )
 

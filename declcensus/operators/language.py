@@ -26,23 +26,64 @@ def with_extension_language(files: DataFrame) -> DataFrame:
     return files.withColumn("extension_language", paths.language_of_extension(extension))
 
 
+def _with_scores(worded: DataFrame, unless: Column | None = None) -> DataFrame:
+    """Add the score of every label; zeros where ``unless`` holds."""
+    text, words = F.col("content").cast("string"), F.col("_words")
+    scores = {x: detection.score(text, words, x) for x in detection.LABELS}
+    if unless is not None:
+        scores = {x: F.when(unless, F.lit(0)).otherwise(c) for x, c in scores.items()}
+    return worded.select("*", *(c.alias(f"_score_{x}") for x, c in scores.items()))
+
+
+def _best_label() -> Column:
+    scores = {x: F.col(f"_score_{x}") for x in detection.LABELS}
+    return detection.best_label(F.col("content").cast("string"), F.col("_words"), scores)
+
+
+_SCORES = tuple(f"_score_{x}" for x in detection.LABELS)
+
+
 def with_content_language(files: DataFrame) -> DataFrame:
     """Add ``content_language``; NULL where the content gives no supported label."""
-    text = F.col("content").cast("string")
-    scores = detection.content_scores(text)
-    scored = files.select("*", *(c.alias(f"_score_{name}") for name, c in scores.items()))
-    label = detection.content_label(text, {name: F.col(f"_score_{name}") for name in scores})
-    return scored.withColumn("content_language", paths.language_of_label(label)).drop(
-        *(f"_score_{name}" for name in scores)
+    worded = files.withColumn("_words", detection.sign_words(F.col("content").cast("string")))
+    return (
+        _with_scores(worded)
+        .withColumn("content_language", paths.language_of_label(_best_label()))
+        .drop("_words", *_SCORES)
     )
 
 
 def with_language(files: DataFrame) -> DataFrame:
     """Add ``language``: the content decides, even against the extension, and the
-    extension where the content gives none."""
-    both = with_extension_language(with_content_language(files))
-    resolved = F.coalesce(F.col("content_language"), F.col("extension_language"))
-    return barrier(both, language=resolved).drop("content_language", "extension_language")
+    extension where the content gives none.
+
+    A file whose content bears out its extension is not searched for the signs of
+    the other languages; in a source tree that is nearly every file.
+    """
+    text, words = F.col("content").cast("string"), F.col("_words")
+    extended = with_extension_language(files)
+    worded = extended.select(
+        "*",
+        detection.sign_words(text).alias("_words"),
+        paths.label_of_language(F.col("extension_language")).alias("_label"),
+    )
+    script = F.col("_label").isin("javascript", "typescript")
+    own = worded.select(
+        "*",
+        detection.own_score(text, words, F.col("_label")).alias("_own"),
+        F.when(script, detection.score(text, words, "typescript")).otherwise(F.lit(0)).alias("_typed"),
+    )
+    borne_out = own.withColumn(
+        "_own_label",
+        detection.own_label(text, words, F.col("_label"), F.col("_own"), F.col("_typed")),
+    )
+    scored = _with_scores(borne_out, unless=F.col("_own_label").isNotNull())
+    label = F.coalesce(F.col("_own_label"), _best_label())
+    both = scored.withColumn("_found", paths.language_of_label(label))
+    resolved = F.coalesce(F.col("_found"), F.col("extension_language"))
+    return barrier(both, language=resolved).drop(
+        "extension_language", "_words", "_label", "_own", "_typed", "_own_label", "_found", *_SCORES
+    )
 
 
 def supported(files: DataFrame) -> DataFrame:

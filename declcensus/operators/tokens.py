@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from declcensus.functions import counting
 from declcensus.operators import counts
+from declcensus.operators.language import barrier
 
 CHUNK = 1 << 16
 
@@ -26,22 +27,23 @@ _CLOSE_END = "\ue004"
 _ROLES = _OPEN_BODY + _OPEN_ANY + _CLOSE_BODY + _CLOSE_END
 
 
-def bracket_roles(code: Column, language: Column) -> Column:
-    """String of one character per parenthesis of ``code``, in order."""
-    clean = F.translate(code, _ROLES, "")
-    roles = F.when(F.lit(False), F.lit(""))
-    for name, (open_body, open_any, close_body, close_end) in counting.METHOD_BRACKETS.items():
-        text = clean
-        for pattern, role in (
-            (open_any, _OPEN_ANY),
-            (open_body, _OPEN_BODY),
-            (close_body, _CLOSE_BODY),
-            (close_end, _CLOSE_END),
-        ):
-            if pattern:
-                text = F.regexp_replace(text, F.lit(pattern), F.lit(role))
-        roles = roles.when(language == name, text)
-    return F.regexp_replace(roles, F.lit(rf"[^(){_ROLES}]++"), F.lit(""))
+def with_bracket_roles(files: DataFrame) -> DataFrame:
+    """Reduce ``code`` to ``roles``: one character per parenthesis, in order.
+
+    The rules are applied one kind at a time, each in a projection of its own.
+    """
+    kinds = zip(*counting.METHOD_BRACKETS.values())
+    reduced = files.withColumn("marked", F.translate("code", _ROLES, "")).drop("code")
+    for (patterns, role) in zip(kinds, (_OPEN_BODY, _OPEN_ANY, _CLOSE_BODY, _CLOSE_END)):
+        text = F.col("marked")
+        marked = F.when(F.lit(False), text)
+        for name, pattern in zip(counting.METHOD_BRACKETS, patterns):
+            if pattern is not None:
+                replaced = F.regexp_replace(text, F.lit(pattern), F.lit(role))
+                marked = marked.when(F.col("language") == name, replaced)
+        reduced = reduced.withColumn("marked", marked.otherwise(text))
+    only_roles = F.regexp_replace("marked", F.lit(rf"[^(){_ROLES}]++"), F.lit(""))
+    return barrier(reduced, roles=only_roles).drop("marked")
 
 
 def _opens(role: Column) -> Column:
@@ -51,9 +53,8 @@ def _opens(role: Column) -> Column:
 def bracket_chunks(files: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Rows ``(path, language, chunk, before, roles)``: ``before`` is the nesting
     depth at the start of the chunk, summed up inside the row."""
-    reduced = counts.with_code(
-        files.filter(F.col("language").isin(*counting.METHOD_BRACKETS))
-    ).select("path", "language", bracket_roles(F.col("code"), F.col("language")).alias("roles"))
+    code = counts.with_code(files.filter(F.col("language").isin(*counting.METHOD_BRACKETS)))
+    reduced = with_bracket_roles(code.select("path", "language", "code"))
     kept = reduced.filter(F.rlike("roles", F.lit(f"[{_OPEN_BODY}{_OPEN_ANY}]")))
     last = F.floor((F.length("roles") - 1) / chunk).cast("int")
     cut = kept.select(
