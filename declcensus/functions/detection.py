@@ -11,8 +11,6 @@ where its words occur.  That saves time and changes no result.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
-from operator import add, or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -243,33 +241,35 @@ _ALL_SIGNS = (
 _WORDS = sorted({word for sign in _ALL_SIGNS for word in sign.words})
 
 
-def sign_words(text: Column) -> Column:
-    """The words of ``text`` that belong to some sign."""
-    known = F.array(*(F.lit(w) for w in _WORDS))
-    occurring = F.array_intersect(F.split(text, r"\W++"), known)
-    return F.when(F.octet_length(text) <= WORDS_UP_TO, occurring).otherwise(known)
+# The expressions below are long sums of small terms; written as SQL text they are
+# parsed in one go, where building them call by call takes seconds.  ``text`` and
+# ``words`` are SQL expressions.
 
 
-def _found(text: Column, words: Column, sign: Sign) -> Column:
-    found = F.rlike(text, F.lit(sign.pattern))
-    if sign.mark is not None:
-        found = F.contains(text, F.lit(sign.mark)) & found
-    if sign.words:
-        found = F.arrays_overlap(words, F.array(*(F.lit(w) for w in sign.words))) & found
-    return found
+def _array(items) -> str:
+    return "array(" + ", ".join(f"'{x}'" for x in items) + ")"
 
 
-def _encoded(text: Column, words: Column, signs: list[Sign]) -> Column:
-    """Weight and number of the signs found, as one number: weight * 100 + signs."""
-    return reduce(
-        add,
-        (
-            F.when(_found(text, words, s), F.lit(s.weight * 100 + s.signs)).otherwise(F.lit(0))
-            for s in signs
-        ),
+def sign_words(text: str) -> Column:
+    """The words of ``text`` that belong to some sign."""
+    known = _array(_WORDS)
+    return F.expr(
+        f"CASE WHEN octet_length({text}) <= {WORDS_UP_TO} "
+        f"THEN array_intersect(split({text}, r'\\W++'), {known}) ELSE {known} END"
     )
 
 
+def _found(text: str, words: str, sign: Sign) -> str:
+    # A raw literal keeps the backslashes; a quote in it is written as its code.
+    pattern = sign.pattern.replace("'", r"\x27")
+    tests = [f"rlike({text}, r'{pattern}')"]
+    if sign.mark is not None:
+        tests.insert(0, f"contains({text}, '{sign.mark}')")
+    if sign.words:
+        tests.insert(0, f"arrays_overlap({words}, {_array(sign.words)})")
+    return "(" + " AND ".join(tests) + ")"
+
+
 _SETS = {
     "go": GO_SIGNS,
     "java": JAVA_SIGNS,
@@ -281,27 +281,37 @@ _SETS = {
 LABELS = tuple(_SETS)
 
 
-def score(text: Column, words: Column, label: str) -> Column:
+def _encoded(text: str, words: str, signs: list[Sign]) -> str:
+    """Weight and number of the signs found, as one number: weight * 100 + signs."""
+    return " + ".join(
+        f"CASE WHEN {_found(text, words, s)} THEN {s.weight * 100 + s.signs} ELSE 0 END"
+        for s in signs
+    )
+
+
+def score(text: str, words: str, label: str) -> Column:
     """Encoded score of the signs of one label."""
-    return _encoded(text, words, _SETS[label])
+    return F.expr(_encoded(text, words, _SETS[label]))
 
 
-def own_score(text: Column, words: Column, label: Column) -> Column:
+def own_score(text: str, words: str, label: str) -> Column:
     """Encoded score of the signs of the label of each row; scripts by the shared signs."""
-    scored = F.when(F.lit(False), F.lit(0))
-    for name in ("go", "java", "python", "rust"):
-        scored = scored.when(label == name, score(text, words, name))
-    return scored.when(
-        label.isin("javascript", "typescript"), score(text, words, "javascript")
-    ).otherwise(F.lit(0))
+    branches = " ".join(
+        f"WHEN {label} = '{name}' THEN {_encoded(text, words, _SETS[name])}"
+        for name in ("go", "java", "python", "rust")
+    )
+    scripts = _encoded(text, words, SCRIPT_SIGNS)
+    return F.expr(
+        f"CASE {branches} WHEN {label} IN ('javascript', 'typescript') THEN {scripts} ELSE 0 END"
+    )
 
 
 def _enough(value: Column) -> Column:
     return (value >= MIN_WEIGHT * 100) & (value % 100 >= MIN_SIGNS)
 
 
-def _foreign(text: Column, words: Column) -> Column:
-    return reduce(or_, (_found(text, words, sign) for sign in FOREIGN_SIGNS))
+def _foreign(text: str, words: str) -> Column:
+    return F.expr(" OR ".join(_found(text, words, sign) for sign in FOREIGN_SIGNS))
 
 
 def _typed(script: Column, typed: Column) -> Column:
@@ -309,7 +319,7 @@ def _typed(script: Column, typed: Column) -> Column:
     return F.when(typed > 0, typed + script).otherwise(F.lit(0))
 
 
-def own_label(text: Column, words: Column, label: Column, own: Column, typed: Column) -> Column:
+def own_label(text: str, words: str, label: Column, own: Column, typed: Column) -> Column:
     """Label of a text whose content bears out the ``label`` of its extension, else NULL.
 
     The two script languages are told apart by content alone.
@@ -321,7 +331,7 @@ def own_label(text: Column, words: Column, label: Column, own: Column, typed: Co
     return F.when(_enough(F.greatest(own, _typed(own, typed))) & ~_foreign(text, words), borne_out)
 
 
-def best_label(text: Column, words: Column, scores: dict[str, Column]) -> Column:
+def best_label(text: str, words: str, scores: dict[str, Column]) -> Column:
     """Label with the best score, NULL where the evidence is thin or foreign."""
     totals = scores | {"typescript": _typed(scores["javascript"], scores["typescript"])}
     best = F.greatest(

@@ -26,10 +26,12 @@ def with_extension_language(files: DataFrame) -> DataFrame:
     return files.withColumn("extension_language", paths.language_of_extension(extension))
 
 
+_TEXT = "CAST(content AS STRING)"
+
+
 def _with_scores(worded: DataFrame, unless: Column | None = None) -> DataFrame:
     """Add the score of every label; zeros where ``unless`` holds."""
-    text, words = F.col("content").cast("string"), F.col("_words")
-    scores = {x: detection.score(text, words, x) for x in detection.LABELS}
+    scores = {x: detection.score(_TEXT, "_words", x) for x in detection.LABELS}
     if unless is not None:
         scores = {x: F.when(unless, F.lit(0)).otherwise(c) for x, c in scores.items()}
     return worded.select("*", *(c.alias(f"_score_{x}") for x, c in scores.items()))
@@ -37,7 +39,7 @@ def _with_scores(worded: DataFrame, unless: Column | None = None) -> DataFrame:
 
 def _best_label() -> Column:
     scores = {x: F.col(f"_score_{x}") for x in detection.LABELS}
-    return detection.best_label(F.col("content").cast("string"), F.col("_words"), scores)
+    return detection.best_label(_TEXT, "_words", scores)
 
 
 _SCORES = tuple(f"_score_{x}" for x in detection.LABELS)
@@ -45,7 +47,7 @@ _SCORES = tuple(f"_score_{x}" for x in detection.LABELS)
 
 def with_content_language(files: DataFrame) -> DataFrame:
     """Add ``content_language``; NULL where the content gives no supported label."""
-    worded = files.withColumn("_words", detection.sign_words(F.col("content").cast("string")))
+    worded = files.withColumn("_words", detection.sign_words(_TEXT))
     return (
         _with_scores(worded)
         .withColumn("content_language", paths.language_of_label(_best_label()))
@@ -60,22 +62,21 @@ def with_language(files: DataFrame) -> DataFrame:
     A file whose content bears out its extension is not searched for the signs of
     the other languages; in a source tree that is nearly every file.
     """
-    text, words = F.col("content").cast("string"), F.col("_words")
     extended = with_extension_language(files)
     worded = extended.select(
         "*",
-        detection.sign_words(text).alias("_words"),
+        detection.sign_words(_TEXT).alias("_words"),
         paths.label_of_language(F.col("extension_language")).alias("_label"),
     )
     script = F.col("_label").isin("javascript", "typescript")
     own = worded.select(
         "*",
-        detection.own_score(text, words, F.col("_label")).alias("_own"),
-        F.when(script, detection.score(text, words, "typescript")).otherwise(F.lit(0)).alias("_typed"),
+        detection.own_score(_TEXT, "_words", "_label").alias("_own"),
+        F.when(script, detection.score(_TEXT, "_words", "typescript")).otherwise(F.lit(0)).alias("_typed"),
     )
     borne_out = own.withColumn(
         "_own_label",
-        detection.own_label(text, words, F.col("_label"), F.col("_own"), F.col("_typed")),
+        detection.own_label(_TEXT, "_words", F.col("_label"), F.col("_own"), F.col("_typed")),
     )
     scored = _with_scores(borne_out, unless=F.col("_own_label").isNotNull())
     label = F.coalesce(F.col("_own_label"), _best_label())

@@ -256,7 +256,7 @@ def strip_marks(text: str) -> str:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return table.spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def render(text: Column, head: str, blocks: tuple[Block, ...]) -> Column:

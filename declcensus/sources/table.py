@@ -28,6 +28,19 @@ def source_files(
     )
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """Use all cores on a table of few splits.
+
+    Counting costs far more than scanning, so a small table that comes in fewer
+    splits than there are cores is spread first.  A table of many splits, as every
+    large one is, is passed on as it is, without a shuffle.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    if table.rdd.getNumPartitions() >= cores:
+        return table
+    return table.repartition(cores)
+
+
 def single_file(files: DataFrame, path: str) -> DataFrame:
     """The one file at ``path``; the other options do not apply to it."""
     return files.filter(F.col("path") == path)
