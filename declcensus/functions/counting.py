@@ -34,7 +34,7 @@ _GO_PARAMETERS = r"\[[^\[\]]*?\s[^\[\]]*+(?:\[[^\[\]]*+\][^\[\]]*+)*+\]"
 # Inside ``type ( ... )`` each spec is given a ``type`` of its own.  ``\G`` chains
 # from one spec to the next and ends at the closing parenthesis.
 _GO_GROUPED = (
-    rf"(?:{R.keyword('type')}\s*+\(|(?!\A)\G)((?:\s|;)*+{R.NAME}"
+    rf"(?:{R.keyword('type')}\s*+\(|(?!\A)\G)(?:\s|;)*+({R.NAME}"
     rf"(?:[^(){{}}\[\]\n;]++|{R.PARENS}|{R.BRACES}|{R.BRACKETS})*+)"
 )
 _GO_FN = (
@@ -128,8 +128,9 @@ _TS_VARIABLE = (
     rf"{R.PARENS}\s*+=>{_TYPE}++(?=\s*+(?:;|=(?![=>])))"
 )
 _TS_RESULT = (
-    rf"(\))\s*+:\s*+{R.PARENS}\s*+=>\s*+"
+    rf"(\))\s*+:\s*+{R.PARENS}(?:\s*+=>\s*+"
     rf"(?:[^(){{}}\[\]<>,;=\n]++|{R.BRACKETS}|{R.ANGLES})++(?=\{{|=>)"
+    rf"|(?:\[\])*+(?=\s*+(?:=>|\{{)))"
 )
 
 # --- Java ------------------------------------------------------------------
