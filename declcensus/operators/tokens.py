@@ -30,11 +30,17 @@ _ROLES = _OPEN_BODY + _OPEN_ANY + _CLOSE_BODY + _CLOSE_END
 def with_bracket_roles(files: DataFrame) -> DataFrame:
     """Reduce ``code`` to ``roles``: one character per parenthesis, in order.
 
-    The rules are applied one kind at a time, each in a projection of its own.
+    The rules are applied one kind at a time, each in a projection of its own; the
+    closings first, as they look at the brace that an opening may take in.
     """
-    kinds = zip(*counting.METHOD_BRACKETS.values())
+    open_body, open_any, close_body, close_end = zip(*counting.METHOD_BRACKETS.values())
     reduced = files.withColumn("marked", F.translate("code", _ROLES, "")).drop("code")
-    for (patterns, role) in zip(kinds, (_OPEN_BODY, _OPEN_ANY, _CLOSE_BODY, _CLOSE_END)):
+    for patterns, role in (
+        (close_body, _CLOSE_BODY),
+        (close_end, _CLOSE_END),
+        (open_body, _OPEN_BODY),
+        (open_any, _OPEN_ANY),
+    ):
         text = F.col("marked")
         marked = F.when(F.lit(False), text)
         for name, pattern in zip(counting.METHOD_BRACKETS, patterns):
