@@ -13,6 +13,7 @@ those of a block comment, ``{word}`` its first word.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -259,33 +260,46 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table.spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-def render(text: Column, head: str, blocks: tuple[Block, ...]) -> Column:
-    """Code of one document: the head, then a block per line in turn."""
-    templates = F.array(*(F.lit(b.text) for b in blocks))
-    worded = any("{word}" in b.template for b in blocks)
+def _sql_text(value: str) -> str:
+    """SQL literal; a dollar sign as its code, or ``${...}`` would be substituted."""
+    escapes = {"\\": "\\\\", "'": "\\'", "\n": "\\n", "\t": "\\t", "$": "\\u0024"}
+    return "'" + "".join(escapes.get(c, c) for c in value) + "'"
 
-    def block(line: Column, i: Column) -> Column:
-        template = F.element_at(templates, i % len(blocks) + 1)
-        numbered = F.replace(template, F.lit("{i}"), i.cast("string"))
-        quoted = F.replace(numbered, F.lit("{quoted}"), F.translate(line, QUOTE_CHARACTERS, ""))
-        closed = F.replace(quoted, F.lit("{line_c}"), F.translate(line, "*/", ""))
-        if worded:
-            closed = F.replace(closed, F.lit("{word}"), F.regexp_extract(line, r"\p{L}+", 0))
-        return F.replace(closed, F.lit("{line}"), line)
 
-    return F.concat(
-        F.lit(strip_marks(head)), F.array_join(F.transform(F.split(text, "\n"), block), "")
+# What stands for each placeholder, as SQL over the lambda variables ``line`` and ``i``.
+_PLACEHOLDERS = {
+    "i": "i",
+    "line": "line",
+    "quoted": "translate(line, " + _sql_text(QUOTE_CHARACTERS) + ", '')",
+    "line_c": "translate(line, '*/', '')",
+    "word": r"regexp_extract(line, r'\p{L}+', 0)",
+}
+
+
+def _sql_block(text: str) -> str:
+    """A template as one SQL concatenation."""
+    parts = re.split(r"\{(i|line|quoted|line_c|word)\}", text)
+    values = [_sql_text(p) if n % 2 == 0 else _PLACEHOLDERS[p] for n, p in enumerate(parts)]
+    return "concat(" + ", ".join(values) + ")"
+
+
+def render(text: str, head: str, blocks: tuple[Block, ...]) -> Column:
+    """Code of one document: the head, then a block per line of ``text`` in turn."""
+    choices = " ".join(f"WHEN {v} THEN {_sql_block(b.text)}" for v, b in enumerate(blocks))
+    return F.expr(
+        f"concat({_sql_text(strip_marks(head))}, array_join(transform(split({text}, '\\n'), "
+        f"(line, i) -> CASE i % {len(blocks)} {choices} END), ''))"
     )
 
 
-def mixed_content(doc_id: Column, text: Column) -> Column:
+def mixed_content(doc_id: Column) -> Column:
     content = F.when(F.lit(False), F.lit(""))
     for slot, (language, extension) in enumerate(SLOTS):
         if language is None:
-            code = text
+            code = F.col("text")
         else:
             head = HEADS[language] if extension else SHEBANG + HEADS[language]
-            code = render(text, head, BLOCKS[language])
+            code = render("text", head, BLOCKS[language])
         content = content.when(doc_id % len(SLOTS) == slot, code)
     return content
 
@@ -304,7 +318,7 @@ def mixed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, spread over the languages; some linked, some not valid UTF-8."""
     doc_id = F.col("doc_id")
     invalid = doc_id % INVALID_EVERY == INVALID_EVERY - 1
-    code = mixed_content(doc_id, F.col("text")).cast("binary")
+    code = mixed_content(doc_id).cast("binary")
     rendered = documents(spark, sf_dir).select(
         mixed_path(doc_id, F.col("source")).alias("path"),
         F.when(invalid, F.concat(code, F.lit(b"\xff\xfe"))).otherwise(code).alias("content"),
@@ -316,7 +330,7 @@ def mixed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def files_in(spark: SparkSession, sf_dir: str, language: str) -> DataFrame:
     """All documents as files of one language."""
     extension = next(e for lang, e in SLOTS if lang == language)
-    code = render(F.col("text"), HEADS[language], BLOCKS[language])
+    code = render("text", HEADS[language], BLOCKS[language])
     return _numbered(documents(spark, sf_dir), F.lit(extension), code)
 
 
@@ -361,9 +375,8 @@ def _numbered(docs: DataFrame, extension: Column, code: Column) -> DataFrame:
 
 def nested_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One function inside the other, as deep as the document has lines."""
-    text = F.col("text")
-    opened = render(text, HEADS[S.JAVASCRIPT], (NESTED_BLOCK,))
-    code = F.concat(opened, F.repeat(F.lit("}"), 2 * F.size(F.split(text, "\n"))))
+    opened = render("text", HEADS[S.JAVASCRIPT], (NESTED_BLOCK,))
+    code = F.concat(opened, F.repeat(F.lit("}"), 2 * F.size(F.split("text", "\n"))))
     return _numbered(documents(spark, sf_dir), F.lit(".js"), code)
 
 
@@ -371,13 +384,13 @@ def plain_files(
     spark: SparkSession, sf_dir: str, blocks: dict[str, Block], empty_even: bool = False
 ) -> DataFrame:
     """One block per line, without a head; the language follows from the extension."""
-    doc_id, text = F.col("doc_id"), F.col("text")
+    doc_id = F.col("doc_id")
     code = F.when(F.lit(False), F.lit(""))
     if empty_even:
         code = F.when(doc_id % 2 == 0, F.lit(""))
     extension = F.when(F.lit(False), F.lit(""))
     for slot, (language, suffix) in enumerate(PLAIN_EXTENSIONS):
         chosen = doc_id % len(PLAIN_EXTENSIONS) == slot
-        code = code.when(chosen, render(text, "", (blocks[language],)))
+        code = code.when(chosen, render("text", "", (blocks[language],)))
         extension = extension.when(chosen, F.lit(suffix))
     return _numbered(documents(spark, sf_dir), extension, code)
