@@ -76,15 +76,15 @@ PYTHON_SIGNS = [
 
 RUST_SIGNS = [
     _sign("fn", pattern=r"fn(?<=\bfn)\s++\w++\s*+(?:<[^>{;]*+>)?+\s*+\([^{};]*+\{", weight=2),
+    _sign("use", pattern=r"(?m)^[ \t]*+(?:pub\s++)?+use\s++\w++(?:::|;)", weight=2),
+    _sign("impl", pattern=r"(?m)^[ \t]*+(?:unsafe\s++)?+impl\b[^;{}()=]*+\{", weight=2),
     _sign("mut", pattern=r"\blet mut\s++\w", weight=2),
     _sign(
         "println", "eprintln", "format", "vec", "assert", "assert_eq", "panic", "write", "writeln", "matches",
         pattern=r"\b(?:e?println|format|vec|assert|assert_eq|panic|writeln|write|matches)!\s?[(\[{]",
         weight=2,
     ),
-    _sign("use", pattern=r"(?m)^[ \t]*+(?:pub\s++)?+use\s++\w++(?:::|;)", weight=2),
     _sign("mod", pattern=r"(?m)^[ \t]*+(?:pub\s++)?+mod\s++\w++\s*+[;{]", weight=2),
-    _sign("impl", pattern=r"(?m)^[ \t]*+(?:unsafe\s++)?+impl\b[^;{}()=]*+\{", weight=2),
     _sign(pattern=r"(?m)^\s*+#!?\[\w", weight=2, mark="["),
     _sign(
         "fn",
@@ -259,13 +259,13 @@ def sign_words(text: str) -> Column:
     )
 
 
-def _found(text: str, words: str, sign: Sign) -> str:
+def _found(text: str, words: str | None, sign: Sign) -> str:
     # A raw literal keeps the backslashes; a quote in it is written as its code.
     pattern = sign.pattern.replace("'", r"\x27")
     tests = [f"rlike({text}, r'{pattern}')"]
     if sign.mark is not None:
         tests.insert(0, f"contains({text}, '{sign.mark}')")
-    if sign.words:
+    if sign.words and words is not None:
         tests.insert(0, f"arrays_overlap({words}, {_array(sign.words)})")
     return "(" + " AND ".join(tests) + ")"
 
@@ -281,7 +281,7 @@ _SETS = {
 LABELS = tuple(_SETS)
 
 
-def _encoded(text: str, words: str, signs: list[Sign]) -> str:
+def _encoded(text: str, words: str | None, signs: list[Sign]) -> str:
     """Weight and number of the signs found, as one number: weight * 100 + signs."""
     return " + ".join(
         f"CASE WHEN {_found(text, words, s)} THEN {s.weight * 100 + s.signs} ELSE 0 END"
@@ -289,24 +289,37 @@ def _encoded(text: str, words: str, signs: list[Sign]) -> str:
     )
 
 
-def score(text: str, words: str, label: str) -> Column:
+def score(text: str, words: str | None, label: str) -> Column:
     """Encoded score of the signs of one label."""
     return F.expr(_encoded(text, words, _SETS[label]))
 
 
-def own_score(text: str, words: str, label: str) -> Column:
-    """Encoded score of the signs of the label of each row; scripts by the shared signs."""
+# The signs most files of a language show come first in its list; they are enough
+# to bear out an extension, and the rest are tried only if they are not.
+COMMON = 4
+
+
+def own_score(text: str, label: str, common: bool) -> Column:
+    """Encoded score of the signs of the label of each row, the common ones or the rest.
+
+    The two script languages go by the signs they share.  These signs are expected
+    to be there and are found early, so no words are collected for them.
+    """
+    part = slice(None, COMMON) if common else slice(COMMON, None)
     branches = " ".join(
-        f"WHEN {label} = '{name}' THEN {_encoded(text, words, _SETS[name])}"
-        for name in ("go", "java", "python", "rust")
-    )
-    scripts = _encoded(text, words, SCRIPT_SIGNS)
-    return F.expr(
-        f"CASE {branches} WHEN {label} IN ('javascript', 'typescript') THEN {scripts} ELSE 0 END"
+        f"WHEN {label} IN ({names}) THEN {_encoded(text, None, _SETS[name][part])}"
+        for name, names in (
+            ("go", "'go'"),
+            ("java", "'java'"),
+            ("python", "'python'"),
+            ("rust", "'rust'"),
+            ("javascript", "'javascript', 'typescript'"),
+        )
     )
+    return F.expr(f"CASE {branches} ELSE 0 END")
 
 
-def _enough(value: Column) -> Column:
+def enough(value: Column) -> Column:
     return (value >= MIN_WEIGHT * 100) & (value % 100 >= MIN_SIGNS)
 
 
@@ -319,8 +332,8 @@ def _typed(script: Column, typed: Column) -> Column:
     return F.when(typed > 0, typed + script).otherwise(F.lit(0))
 
 
-def own_label(text: str, words: str, label: Column, own: Column, typed: Column) -> Column:
-    """Label of a text whose content bears out the ``label`` of its extension, else NULL.
+def own_label(label: Column, own: Column, typed: Column) -> Column:
+    """``label`` of the extension if its own signs bear it out, else NULL.
 
     The two script languages are told apart by content alone.
     """
@@ -328,7 +341,7 @@ def own_label(text: str, words: str, label: Column, own: Column, typed: Column)
     borne_out = F.when(script & (typed > 0), F.lit("typescript")).when(
         script, F.lit("javascript")
     ).otherwise(label)
-    return F.when(_enough(F.greatest(own, _typed(own, typed))) & ~_foreign(text, words), borne_out)
+    return F.when(enough(F.greatest(own, _typed(own, typed))), borne_out)
 
 
 def best_label(text: str, words: str, scores: dict[str, Column]) -> Column:
@@ -337,4 +350,4 @@ def best_label(text: str, words: str, scores: dict[str, Column]) -> Column:
     best = F.greatest(
         *(F.struct(totals[x].alias("score"), F.lit(x).alias("label")) for x in LABELS)
     )
-    return F.when(_enough(best["score"]) & ~_foreign(text, words), best["label"])
+    return F.when(enough(best["score"]) & ~_foreign(text, words), best["label"])

@@ -62,28 +62,28 @@ def with_language(files: DataFrame) -> DataFrame:
     A file whose content bears out its extension is not searched for the signs of
     the other languages; in a source tree that is nearly every file.
     """
-    extended = with_extension_language(files)
-    worded = extended.select(
-        "*",
-        detection.sign_words(_TEXT).alias("_words"),
-        paths.label_of_language(F.col("extension_language")).alias("_label"),
+    label, first = F.col("_label"), F.col("_first")
+    labelled = with_extension_language(files).withColumn(
+        "_label", paths.label_of_language(F.col("extension_language"))
     )
-    script = F.col("_label").isin("javascript", "typescript")
-    own = worded.select(
+    script = label.isin("javascript", "typescript")
+    begun = labelled.select(
         "*",
-        detection.own_score(_TEXT, "_words", "_label").alias("_own"),
-        F.when(script, detection.score(_TEXT, "_words", "typescript")).otherwise(F.lit(0)).alias("_typed"),
-    )
-    borne_out = own.withColumn(
-        "_own_label",
-        detection.own_label(_TEXT, "_words", F.col("_label"), F.col("_own"), F.col("_typed")),
+        detection.own_score(_TEXT, "_label", common=True).alias("_first"),
+        F.when(script, detection.score(_TEXT, None, "typescript")).otherwise(F.lit(0)).alias("_typed"),
     )
+    rest = detection.own_score(_TEXT, "_label", common=False)
+    own = begun.withColumn("_own", F.when(detection.enough(first), first).otherwise(first + rest))
+    own_label = detection.own_label(label, F.col("_own"), F.col("_typed"))
+    borne_out = own.withColumn("_own_label", own_label)
+    searched = F.when(F.col("_own_label").isNull(), detection.sign_words(_TEXT))
+    borne_out = borne_out.withColumn("_words", searched)
     scored = _with_scores(borne_out, unless=F.col("_own_label").isNotNull())
-    label = F.coalesce(F.col("_own_label"), _best_label())
-    both = scored.withColumn("_found", paths.language_of_label(label))
+    found = F.coalesce(F.col("_own_label"), _best_label())
+    both = scored.withColumn("_found", paths.language_of_label(found))
     resolved = F.coalesce(F.col("_found"), F.col("extension_language"))
     return barrier(both, language=resolved).drop(
-        "extension_language", "_words", "_label", "_own", "_typed", "_own_label", "_found", *_SCORES
+        "extension_language", "_words", "_label", "_first", "_own", "_typed", "_own_label", "_found", *_SCORES
     )
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from declcensus.functions import counting
-from declcensus.operators import counts
+from declcensus.operators import counts, ordering
 from declcensus.operators.language import barrier
 
 CHUNK = 1 << 16
@@ -93,8 +93,13 @@ def bracket_chunks(files: DataFrame, chunk: int = CHUNK) -> DataFrame:
 
 
 def method_counts(files: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """Rows ``(path, language, method_count)`` of the files that have a method."""
-    tokens = bracket_chunks(files, chunk).select(
+    """Rows ``(path, language, method_count)`` of the files that have a method.
+
+    The chunks are a small part of the text and are read twice, so they are
+    materialized.
+    """
+    chunks = ordering.materialize(bracket_chunks(files, chunk))
+    tokens = chunks.select(
         "path",
         "language",
         "chunk",
