@@ -9,7 +9,6 @@ enough to be put into a string.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from declcensus import schemas as S
@@ -36,9 +35,13 @@ _COUNTS = ("function_count", "class_struct_count", "file_count")
 
 
 def ranked_languages(by_language: DataFrame) -> DataFrame:
-    """Add ``rank``, alphabetical.  The window has no partition: it sees one row per
-    language, six at most."""
-    return by_language.withColumn("rank", F.row_number().over(W.orderBy("language")))
+    """Add ``rank``, alphabetical.  One row per language is gathered, six at most."""
+    sorted_rows = by_language.agg(
+        F.array_sort(F.collect_list(F.struct("language", *_COUNTS))).alias("rows")
+    )
+    return sorted_rows.select(F.posexplode("rows").alias("place", "row")).select(
+        "row.language", *(f"row.{c}" for c in _COUNTS), (F.col("place") + 1).alias("rank")
+    )
 
 
 def summary_lines(by_language: DataFrame) -> DataFrame:
