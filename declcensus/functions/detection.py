@@ -219,8 +219,13 @@ TYPED_SIGNS = [
     _sign("type", pattern=rf"{_line_start('import')}\s++type\b", weight=2),
 ]
 
-# Signs of languages outside the supported six; one of them vetoes any label.
+# Signs of binary data, of marked-up prose that quotes code and of languages outside
+# the supported six; one of them vetoes any label.
 FOREIGN_SIGNS = [
+    _sign(pattern=r"\x00", weight=1, mark=r"\u0000"),
+    _sign(pattern=r"(?m)^[ \t]*+```", weight=1, mark="```"),
+    _sign(pattern=r"(?m)^={4,}+[ \t]*+$", weight=1, mark="===="),
+    _sign("Metadata", pattern=r"\AMetadata-Version: ", weight=1),
     _sign("include", pattern=r"(?m)^[ \t]*+#include[ \t]*+[<\"]", weight=1),
     _sign("php", pattern=r"<\?php", weight=1),
     _sign("using", pattern=rf"{_line_start('using')}\s++[\w.]++;", weight=1),

@@ -66,6 +66,9 @@ def test_content_decides_and_extension_fills_in(spark):
             "README.md": "# Title\n\nSome text with `code`.\n",
             "lib.cpp": "#include <string>\nclass A {\npublic:\n  void f(int x) { return; }\n};\n",
             "a.rs": "",
+            "guide.md": "# Guide\n\n```python\n" + PYTHON + "```\n",
+            "guide.rst": "Guide\n=====\n\n" + PYTHON,
+            "cached.pyc": b"\x00\x01\xff" + PYTHON.encode(),
         },
     )
     assert got == {
@@ -83,6 +86,9 @@ def test_content_decides_and_extension_fills_in(spark):
         "README.md": None,
         "lib.cpp": None,
         "a.rs": "Rust",
+        "guide.md": None,
+        "guide.rst": None,
+        "cached.pyc": None,
     }
 
 
