@@ -58,8 +58,11 @@ _PY_CLASS = rf"{_PY_LINE}class[ \t]++{R.NAME}(?=\s*+[:(\[])"
 # --- JavaScript and TypeScript ----------------------------------------------
 
 _OPERAND = r"(?<=(?:[=(,:?\[!&|+]|=>|\b(?:return|typeof|yield|await|void|new|delete))\s{0,40}(?:async\s{1,4})?function)"
+# ``catch`` is a method name only where it starts a line and its parenthesis follows
+# at once; elsewhere it is the clause.
 _NOT_A_METHOD = (
-    r"(?!(?:if|for|while|switch|catch|with|function|return|await|yield|super|typeof|new)(?![\p{L}\p{N}_$]))"
+    r"(?!(?:if|for|while|switch|with|function|await|super)(?![\p{L}\p{N}_$]))"
+    r"(?:(?!catch(?![\p{L}\p{N}_$]))|(?<=\n\s{0,40})(?=catch\())"
 )
 _METHOD_EDGE = r"(?<![\p{L}\p{N}\p{M}_$.#@])"
 _NO_METHOD_AFTER = (
@@ -93,7 +96,7 @@ def _script_patterns(typed: bool) -> tuple[str, str]:
         rf"(?:{_OPERAND}\s*+(?:{R.DOLLAR_NAME}\s*+)?+[(<]|\s*+{R.DOLLAR_NAME}|\s*+[(<])"
     )
     method = _script_method(typed, header)
-    computed = rf"\[(?<![\p{{L}}\p{{N}}_$)\]]\[)[^\[\]]*+\](?={header})"
+    computed = rf"(?=\[)(?<![\p{{L}}\p{{N}}_$)\]])(?={R.BRACKETS}{header})\["
     functions = R.any_of(function, "=>", method, computed)
     types = (
         rf"(?=class\s)(?<![.$=(,:?\[!&|]\s{{0,40}})(?<!=>\s{{0,40}})"

@@ -190,15 +190,33 @@ SCRIPT_SIGNS = [
     _sign("constructor", pattern=r"(?m)^\s*+constructor\([^)]*+\)\s*+\{", weight=1),
 ]
 
+_TYPES = ("string", "number", "boolean", "any", "unknown", "never")
+
 TYPED_SIGNS = [
     _sign(
         "interface",
         pattern=r"(?m)^\s*+(?:export\s++)?+(?:declare\s++)?+interface\s++\w++[^{};]*+\{\s*+(?:readonly\s++)?+\w++\??[:(]",
         weight=2,
     ),
+    # A parameter, a result, a member or a variable with a built-in type.
+    _sign(
+        *_TYPES,
+        pattern=rf"\(\s*+\w++\??\s*+:\s*+(?:{'|'.join(_TYPES)})(?:\[\])*+\s*+[,)=|]",
+        weight=2,
+    ),
     _sign(
-        "string", "number", "boolean", "any", "void", "unknown", "never", "Promise", "Array", "Record",
-        pattern=r":(?<=[\w)\]?]\s{0,4}:)\s*+(?:(?:string|number|boolean|any|void|unknown|never)(?!\w)|(?:Promise|Array|Record)<)",
+        *_TYPES, "void", "Promise",
+        pattern=rf"\)\s*+:\s*+(?:(?:{'|'.join(_TYPES)}|void)(?:\[\])*+\s*+(?:[{{;|]|=>)|Promise<)",
+        weight=2,
+    ),
+    _sign(
+        *_TYPES,
+        pattern=rf"(?m)^\s++(?:(?:private|public|protected|readonly|static)\s++)*+\w++[?!]?+:\s*+(?:{'|'.join(_TYPES)})(?:\[\])*+;",
+        weight=2,
+    ),
+    _sign(
+        "const", "let", "var",
+        pattern=r"\b(?:const|let|var)\s++\w++\s*+:\s*+\w[\w.<>\[\], |]*+=[^=]",
         weight=2,
     ),
     _sign(
@@ -213,7 +231,7 @@ TYPED_SIGNS = [
     ),
     _sign(
         "as",
-        pattern=r"as(?<=\bas)\s++(?:const|any|unknown|string|number)\b",
+        pattern=r"as(?<=\bas)\s++(?:const|any|unknown|string|number)\s*+[;,)\]}]",
         weight=1,
     ),
     _sign("type", pattern=rf"{_line_start('import')}\s++type\b", weight=2),
@@ -333,20 +351,22 @@ def _foreign(text: str, words: str) -> Column:
 
 
 def _typed(script: Column, typed: Column) -> Column:
-    """TypeScript takes the script signs too, once it has a sign of its own."""
-    return F.when(typed > 0, typed + script).otherwise(F.lit(0))
+    """TypeScript takes the script signs too, once its own have weight enough."""
+    return F.when(typed >= MIN_WEIGHT * 100, typed + script).otherwise(F.lit(0))
 
 
 def own_label(label: Column, own: Column, typed: Column) -> Column:
     """``label`` of the extension if its own signs bear it out, else NULL.
 
-    The two script languages are told apart by content alone.
+    The two script languages are told apart by content, and a single typed sign is
+    enough for a file with the extension.
     """
+    typed_file = (typed >= MIN_WEIGHT * 100) | ((label == "typescript") & (typed > 0))
     script = label.isin("javascript", "typescript")
-    borne_out = F.when(script & (typed > 0), F.lit("typescript")).when(
+    borne_out = F.when(script & typed_file, F.lit("typescript")).when(
         script, F.lit("javascript")
     ).otherwise(label)
-    return F.when(enough(F.greatest(own, _typed(own, typed))), borne_out)
+    return F.when(enough(own + F.when(typed_file, typed).otherwise(F.lit(0))), borne_out)
 
 
 def best_label(text: str, words: str, scores: dict[str, Column]) -> Column:

@@ -61,22 +61,23 @@ _REGEX_LITERAL = (
     r"(?:[^/\\\[\n]++|\\[^\n]|\[(?:[^\]\\\n]++|\\[^\n])*+\])++/[a-z]*+"
 )
 
-# Groups, all put back: 1 a quoted method name, 2 and 3 the code of the first and
-# of each later substitution of a template literal.  ``\G`` after a closing brace
-# can only follow a substitution: no other alternative ends in a brace.
+# Put back: the code of each substitution of a template literal (groups 1, 6), a
+# quoted method name (2), and the quote of a plain literal (3 to 5), twice, so that
+# an operand is left where one was.  ``\G`` after a closing brace can only follow a
+# substitution: no other alternative ends in a brace.
 SCRIPT_MASK = R.any_of(
     rf"\G(?<=\}}){_TEXT}\$\{{({_CODE})\}}",
     rf"\G(?<=\}}){_TEXT}`",
     r"//[^\n]*+(?:\n|\z)",
     _BLOCK_COMMENT,
-    rf"[\"']({R.DOLLAR_NAME})[\"'](?=\s*+\([^()]*+\)\s*+\{{)",
-    R.unrolled('"'),
-    R.unrolled("'"),
-    rf"`{_TEXT}`",
+    rf"[\"']({R.DOLLAR_NAME})[^\"'\n]*+[\"'](?=\s*+\([^()]*+\)\s*+\{{)",
+    R.unrolled('"', close='(")'),
+    R.unrolled("'", close="(')"),
+    rf"`{_TEXT}(`)",
     rf"`{_TEXT}\$\{{({_CODE})\}}",
     _REGEX_LITERAL,
 )
-_SCRIPT_KEEP = " $1 $2 $3 \n"
+_SCRIPT_KEEP = " $2 $6 $1 $3$3$4$4$5$5 \n"
 
 
 def _mask_script(text: Column) -> Column:

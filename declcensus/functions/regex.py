@@ -59,7 +59,7 @@ def any_of(*patterns: str) -> str:
     return "(?:" + "|".join(patterns) + ")"
 
 
-def unrolled(quote: str, multiline: bool = False) -> str:
+def unrolled(quote: str, multiline: bool = False, close: str | None = None) -> str:
     """Quoted literal with backslash escapes."""
     plain = rf"[^{quote}\\]*+" if multiline else rf"[^{quote}\\\n]*+"
-    return rf"{quote}{plain}(?:\\(?s:.){plain})*+{quote}"
+    return rf"{quote}{plain}(?:\\(?s:.){plain})*+{close or quote}"

@@ -76,10 +76,10 @@ def _kind(language: Column, text: Column) -> Column:
 
 
 def _name(language: Column, text: Column) -> Column:
-    """Declared name; NULL for arrows and nameless functions."""
+    """Declared name; NULL for arrows, nameless functions and computed names."""
     bare = F.regexp_replace(text, F.lit(r"\s*+[(<]$"), F.lit(""))
-    last = F.regexp_extract(bare, r"((?:r#)?[#\p{L}_$][\p{L}\p{N}\p{M}_$]*+|\[.*\])\s*$", 1)
-    nameless = (text == "=>") | (
+    last = F.regexp_extract(bare, r"((?:r#)?[#\p{L}_$][\p{L}\p{N}\p{M}_$]*+)\s*$", 1)
+    nameless = text.isin("=>", "[") | (
         language.isin(S.JAVASCRIPT, S.TYPESCRIPT) & (bare == "function")
     )
     return F.when(~nameless, last)

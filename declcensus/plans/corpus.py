@@ -37,11 +37,17 @@ class Block:
     def text(self) -> str:
         return self.template.replace("«", "").replace("»", "")
 
-    @property
-    def masked(self) -> str:
-        """The template without its masked spans and without white space."""
+    def masked(self, keep_quotes: bool = False) -> str:
+        """The template without its masked spans and without white space.
+
+        With ``keep_quotes`` a literal leaves its two quotes.
+        """
         parts = self.template.split("«")
-        code = parts[0] + "".join(p.split("»", 1)[1] for p in parts[1:])
+        code = parts[0]
+        for part in parts[1:]:
+            span, rest = part.split("»", 1)
+            literal = keep_quotes and span[0] in "\"'`" and span[0] == span[-1]
+            code += (span[0] * 2 if literal else "") + rest
         return "".join(code.split())
 
 

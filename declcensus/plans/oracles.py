@@ -24,6 +24,7 @@ def _values(name: str, columns: str, rows: list[str]) -> str:
     return f"{name}({columns}) AS (VALUES " + ", ".join(f"({r})" for r in rows) + ")"
 
 
+_SCRIPTS = (S.JAVASCRIPT, S.TYPESCRIPT)
 _SLOTS = len(corpus.SLOTS)
 _FOLDERS = len(corpus.FOLDERS)
 
@@ -55,7 +56,7 @@ _BLOCKS = _values(
                     for _, kind, _ in b.declares
                 )),
                 _text(b.text),
-                _text(b.masked),
+                _text(b.masked(language in _SCRIPTS)),
             ]
         )
         for language, blocks in corpus.BLOCKS.items()
@@ -81,7 +82,7 @@ _HEADS = _values(
     "heads",
     "language, head, masked",
     [
-        f"{_text(l)}, {_text(corpus.strip_marks(h))}, {_text(corpus.Block(h, ()).masked)}"
+        f"{_text(l)}, {_text(corpus.strip_marks(h))}, {_text(corpus.Block(h, ()).masked(l in _SCRIPTS))}"
         for l, h in corpus.HEADS.items()
     ],
 )
