@@ -26,8 +26,8 @@ CASES = [
     ("rust raw identifier", "Rust", "fn r#type() {}\nstruct r#struct {}", 1, 1),
     ("rust async const unsafe", "Rust", "async fn a() {}\nconst fn b() {}\nunsafe fn c() {}\npub(super) async unsafe fn d() {}", 4, 0),
     ("rust multi line header", "Rust", "fn long(\n    a: i32, // one\n    b: Vec<(i32, String)>,\n) -> Result<(), Box<dyn Error>>\nwhere\n    T: Clone,\n{\n}\n", 1, 0),
-    ("rust broken header", "Rust", "fn test( { // oops", 0, 0),
-    ("rust unicode", "Rust", "fn こんにちは() {}\nstruct 構造体 { フィールド: String }", 1, 1),
+    ("rust broken header", "Rust", "fn open( { // oops", 0, 0),
+    ("rust unicode", "Rust", "fn größe_数() {}\nstruct Größe型 { 値: String }", 1, 1),
     # --- Go
     ("go functions and methods", "Go", "package p\nfunc A() {}\nfunc (r *T) B(x int) (int, error) { return 0, nil }\nfunc (T) C() {}\n", 3, 0),
     ("go literals and types", "Go", "func a() { f := func(x int) int { return x }; go func() {}(); defer func() {}() }\nvar F func(int) error\ntype H func(a int) (b int)\n", 1, 0),

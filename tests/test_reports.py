@@ -10,9 +10,9 @@ from declcensus.functions import paths
 from declcensus.operators import aggregates, ordering, report
 
 COUNTS = [
-    ("src/main.rs", "Rust", 3, 2),
-    ("src/lib.rs", "Rust", 5, 1),
-    ("test.py", "Python", 2, 1),
+    ("core/run.rs", "Rust", 4, 2),
+    ("core/api.rs", "Rust", 6, 1),
+    ("tool.py", "Python", 1, 1),
 ]
 SCHEMA = "path string, language string, function_count bigint, class_struct_count bigint"
 
@@ -27,9 +27,9 @@ def _text(lines):
 
 def test_totals(spark):
     by_language = aggregates.language_totals(_counts(spark))
-    assert {tuple(r) for r in by_language.collect()} == {("Rust", 2, 8, 3), ("Python", 1, 2, 1)}
-    assert tuple(aggregates.grand_totals(by_language).first()) == (3, 10, 4)
-    assert ("Total", 3, 10, 4) in {tuple(r) for r in aggregates.with_total(by_language).collect()}
+    assert {tuple(r) for r in by_language.collect()} == {("Rust", 2, 10, 3), ("Python", 1, 1, 1)}
+    assert tuple(aggregates.grand_totals(by_language).first()) == (3, 11, 4)
+    assert ("Total", 3, 11, 4) in {tuple(r) for r in aggregates.with_total(by_language).collect()}
 
 
 def test_totals_of_nothing_are_zero(spark):
@@ -40,10 +40,10 @@ def test_totals_of_nothing_are_zero(spark):
 def test_summary(spark):
     expected = (
         "Language Summary:\n"
-        "  Python:         2 functions,    1 structs/classes in 1 files\n"
-        "  Rust:           8 functions,    3 structs/classes in 2 files\n"
+        "  Python:         1 functions,    1 structs/classes in 1 files\n"
+        "  Rust:          10 functions,    3 structs/classes in 2 files\n"
         "\n"
-        "Total: 10 functions, 4 structs/classes in 3 files"
+        "Total: 11 functions, 4 structs/classes in 3 files"
     )
     assert _text(report.report(_counts(spark))) == expected
     assert report.summary_text(aggregates.language_totals(_counts(spark))) == expected
@@ -65,9 +65,9 @@ def test_empty_reports(spark):
 def test_detail(spark):
     text = _text(report.report(_counts(spark), detail=True))
     assert text.startswith(
-        "src/lib.rs (Rust):\n  Functions: 5\n  Structs/Classes: 1\n\n"
-        "src/main.rs (Rust):\n  Functions: 3\n  Structs/Classes: 2\n\n"
-        "test.py (Python):\n  Functions: 2\n  Structs/Classes: 1\n\n"
+        "core/api.rs (Rust):\n  Functions: 6\n  Structs/Classes: 1\n\n"
+        "core/run.rs (Rust):\n  Functions: 4\n  Structs/Classes: 2\n\n"
+        "tool.py (Python):\n  Functions: 1\n  Structs/Classes: 1\n\n"
         "Language Summary:\n"
     )
 
@@ -80,10 +80,10 @@ def test_json_is_pretty_printed(spark):
             for p, l, f, c in sorted(COUNTS)
         ],
         "total_by_language": {
-            "Python": {"file_count": 1, "function_count": 2, "class_struct_count": 1},
-            "Rust": {"file_count": 2, "function_count": 8, "class_struct_count": 3},
+            "Python": {"file_count": 1, "function_count": 1, "class_struct_count": 1},
+            "Rust": {"file_count": 2, "function_count": 10, "class_struct_count": 3},
         },
-        "total_stats": {"function_count": 10, "class_struct_count": 4},
+        "total_stats": {"function_count": 11, "class_struct_count": 4},
     }
     assert text == json.dumps(value, indent=2)
 
@@ -97,7 +97,7 @@ def test_json_report_is_read_back(spark, tmp_path):
     row = report.read_report(spark, str(whole)).first()
     got = {(f["path"], f["language"], *f["stats"]) for f in row["files"]}
     assert got == set(odd)
-    assert row["total_stats"]["function_count"] == 11
+    assert row["total_stats"]["function_count"] == 12
     assert row["total_by_language"]["Rust"]["file_count"] == 3
 
 
