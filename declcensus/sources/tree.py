@@ -94,8 +94,9 @@ class _TreeReader(DataSourceReader):
             level = below
         return done + level
 
-    def read(self, partition: _Directory) -> Iterator[tuple]:
-        pending = [partition]
+    def read(self, partition: _Directory | None) -> Iterator[tuple]:
+        # Without work units Spark asks once, for no unit at all.
+        pending = [partition] if partition is not None else []
         while pending:
             directory = pending.pop()
             for entry in self._entries(directory):
