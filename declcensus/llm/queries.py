@@ -4,20 +4,35 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from declcensus.llm import exact_dedup
+from declcensus.llm import exact_dedup, language_id
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _fold(folds: int) -> Column:
+    """Remainder of the CRC-32 of the id as text; null for a null id."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds
+
+
+def op1_language_bitmasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    model = language_id.train(documents.filter(_fold(3) != 1))
+    found = language_id.identify(documents, model, carried=("doc_id",))
+    held_out = F.coalesce(_fold(3) == 1, F.lit(False)).alias("held_out")
+    return found.select("doc_id", held_out, "lang_pred", "score")
+
+
 def op8_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.classes(_table(spark, sf_dir, "documents"), keep="largest")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_bitmasks": op1_language_bitmasks,
     "op8_content_sort": op8_content_sort,
 }
 
