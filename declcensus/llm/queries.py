@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from declcensus.llm import exact_dedup, language_id, near_dedup
+from declcensus.llm import decontamination, exact_dedup, language_id, mixing, near_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,21 +27,91 @@ def op1_language_bitmasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out, "lang_pred", "score")
 
 
+# What the mix of the registered query and of the pipeline aims at.
+TOPICS = {"legal": "icense", "contact": "@", "table": " | "}
+TARGETS: dict[str, dict[str, float] | None] = {
+    "source": None,
+    "lang": {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2},
+    "topic": {"prose": 0.7, "table": 0.1, "legal": 0.1, "contact": 0.1},
+}
+
+
+def mixed(documents: DataFrame) -> DataFrame:
+    dimensions = {
+        "source": F.col("source"),
+        "lang": F.col("lang"),
+        "topic": mixing.topic(F.col("text"), TOPICS, "prose"),
+    }
+    return mixing.sample(documents, dimensions, TARGETS)
+
+
+def op3_raked_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed(_table(spark, sf_dir, "documents")).select(
+        "row.doc_id", "source", "lang", "topic", "tokens", F.round("probability", 6).alias("probability"), "sampled"
+    )
+
+
+def _mix_oracle() -> str:
+    topic = " ".join(f"WHEN contains(text, '{mark}') THEN '{name}'" for name, mark in TOPICS.items())
+    steps, last = [], "start"
+    for name, weights in TARGETS.items():
+        listed = " ".join(f"WHEN '{k}' THEN {v}" for k, v in (weights or {}).items())
+        weight = f"CASE {name} {listed} ELSE {mixing.OTHER} END" if weights else "1.0"
+        steps.append(
+            f"want_{name} AS (SELECT {name}, w / sum(w) OVER () AS want FROM "
+            f"(SELECT {name}, CAST({weight} AS DOUBLE) AS w FROM cells GROUP BY {name}))"
+        )
+    for k in range(mixing.SWEEPS):
+        for name in TARGETS:
+            step = f"s{k}_{name}"
+            steps.append(
+                f"{step} AS (SELECT {', '.join(TARGETS)}, tokens, "
+                f"share * want / sum(share) OVER (PARTITION BY {name}) AS share "
+                f"FROM {last} JOIN want_{name} USING ({name}))"
+            )
+            last = step
+    keys = ", ".join(TARGETS)
+    return f"""
+        WITH docs AS (
+            SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang,
+                   CASE {topic} ELSE 'prose' END AS topic,
+                   len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\r]+')) AS tokens
+            FROM documents),
+        cells AS (SELECT {keys}, sum(tokens) AS tokens FROM docs GROUP BY ALL),
+        start AS (SELECT *, CAST(tokens AS DOUBLE) AS share FROM cells),
+        {", ".join(steps)},
+        rates AS (
+            SELECT {keys}, CASE WHEN tokens > 0
+                THEN least(share * ({mixing.FRACTION} * (SELECT sum(tokens) FROM cells)) / tokens, 1.0) ELSE 0.0 END AS p
+            FROM {last})
+        SELECT doc_id, source, lang, topic, CAST(tokens AS BIGINT) AS tokens, round(p, 6) AS probability,
+               CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13)) AS BIGINT) / 4503599627370496.0 < p AS sampled
+        FROM docs JOIN rates USING ({keys})
+    """
+
+
 def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.classes(_table(spark, sf_dir, "documents"))
 
 
+def op7_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op8_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.classes(_table(spark, sf_dir, "documents"), keep="largest")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_bitmasks": op1_language_bitmasks,
+    "op3_raked_mix": op3_raked_mix,
     "op4_order_minhash": op4_order_minhash,
+    "op7_pigeonhole": op7_pigeonhole,
     "op8_content_sort": op8_content_sort,
 }
 
 ORACLES: dict[str, str] = {
+    "op3_raked_mix": _mix_oracle(),
     "op8_content_sort": """
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
