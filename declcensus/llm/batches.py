@@ -9,7 +9,7 @@ import pyarrow as pa
 import xxhash
 
 SLICE_BYTES = 2 << 20
-_VOCABULARY = 200_000
+VOCABULARY = 200_000
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
@@ -39,7 +39,7 @@ class WordHashes(dict):
     """64-bit hash of a word, looked up once per distinct word while there is room."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= _VOCABULARY:
+        if len(self) >= VOCABULARY:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
         return value

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from declcensus.llm import decontamination, exact_dedup, language_id, mixing, near_dedup
+from declcensus.llm import decontamination, exact_dedup, language_id, mixing, near_dedup, suffix_tree
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -102,12 +102,23 @@ def op8_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.classes(_table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op10_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    tree, words = suffix_tree.fit(documents.filter(_fold(5) != 1))
+    found = suffix_tree.score(documents, tree, words, carried=("doc_id",))
+    return found.select(
+        "doc_id", F.coalesce(_fold(5) == 1, F.lit(False)).alias("held_out"), "n_tokens", "n_known",
+        F.lit(tree.total).cast("long").alias("train_tokens"), "base_score", "score",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_bitmasks": op1_language_bitmasks,
     "op3_raked_mix": op3_raked_mix,
     "op4_order_minhash": op4_order_minhash,
     "op7_pigeonhole": op7_pigeonhole,
     "op8_content_sort": op8_content_sort,
+    "op10_suffix_tree": op10_suffix_tree,
 }
 
 ORACLES: dict[str, str] = {
