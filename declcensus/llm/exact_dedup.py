@@ -3,7 +3,9 @@
 Sampled splitters range-partition the texts, an external sort places equal texts next
 to each other, and each row is compared in full with its neighbour.  All of it is
 DataFrame operations: ``repartitionByRange`` samples the splitters, and a window over
-``(text, part)`` needs no further exchange and finds runs of equal neighbours.
+the same order needs no further exchange and finds runs of equal neighbours.  The order
+is by the first ``LEAD`` characters, then by a hash of the text, then by the text: the
+splitters pass the driver, so they must not hold whole texts.
 
 A text that holds more than ``1 / SPLITS`` of all rows would fill one range.  There are
 fewer than ``SPLITS`` such texts, whatever the data.  Their rows get a part number, so
@@ -21,6 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 SPLITS = 4096
+LEAD = 64
 
 _CLASS = "_id", "_head", "_size", "_rank", "_sha"
 
@@ -55,10 +58,12 @@ def _runs(rows: DataFrame, frequent: DataFrame | None, order: Column) -> DataFra
     else:
         part = F.pmod(F.xxhash64("_id"), F.col("_parts")).cast("int")
         parted = rows.join(F.broadcast(frequent), "_hash", "left").withColumn("_part", F.coalesce(part, F.lit(0)))
-    ranged = parted.drop("_hash", "_parts").repartitionByRange("_text", "_part")
-    run = W.partitionBy("_text", "_part")
+    lead = parted.withColumn("_lead", F.substring("_text", 1, LEAD)).drop("_parts")
+    ranged = lead.repartitionByRange("_lead", "_hash", "_part")
+    run = W.partitionBy("_lead", "_hash", "_part", "_text")
     return ranged.select(
-        "*",
+        *[c for c in rows.columns if c != "_hash"],
+        "_part",
         F.first("_id").over(run.orderBy(order)).alias("_head"),
         F.count(F.lit(1)).over(run).alias("_size"),
         F.row_number().over(run.orderBy(order)).alias("_rank"),
