@@ -7,7 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from declcensus.llm import decontamination, exact_dedup, language_id, mixing, near_dedup, suffix_tree
+from declcensus.llm import (
+    decontamination,
+    exact_dedup,
+    fixity,
+    language_id,
+    mixing,
+    near_dedup,
+    suffix_tree,
+    url_filter,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -94,6 +103,59 @@ def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.classes(_table(spark, sf_dir, "documents"))
 
 
+# Stands for what a second archive holds: of some pages a byte is changed, the body is blank,
+# or nothing can be read.
+CHANGED, BLANK, LOST = 0, 1, 2
+_DAMAGE = 53
+
+
+def op5_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    kind = F.pmod("page_id", F.lit(_DAMAGE))
+
+    def replica(record: Column) -> Column:
+        changed = F.overlay(record, F.lit(b"w"), F.lit(1))
+        return (
+            F.when(kind == CHANGED, changed).when(kind == BLANK, F.repeat(F.lit(" "), F.octet_length(record)).cast("binary"))
+            .when(kind == LOST, F.lit(None)).otherwise(record)
+        )
+
+    record = fixity.warc_record(F.col("page_id"), F.col("url"), F.col("html"))
+    return fixity.audit(pages, record, replica, "page_id", F.col("key"))
+
+
+_AUDIT_ORACLE = f"""
+    WITH records AS (
+        SELECT page_id, row_number() OVER (ORDER BY page_id) - 1 AS place,
+               octet_length(encode(concat('WARC/1.1', chr(13), chr(10), 'WARC-Type: resource', chr(13), chr(10),
+                   'WARC-Record-ID: <urn:record:', page_id, '>', chr(13), chr(10), 'WARC-Target-URI: ', url, chr(13), chr(10),
+                   'Content-Type: text/html', chr(13), chr(10), 'Content-Length: ', octet_length(encode(coalesce(html, ''))),
+                   chr(13), chr(10), chr(13), chr(10), html, chr(13), chr(10), chr(13), chr(10)))) AS length
+        FROM pages),
+    placed AS (
+        SELECT *, place // {fixity.FILE_RECORDS} AS file,
+               coalesce(sum(length) OVER (PARTITION BY place // {fixity.FILE_RECORDS} ORDER BY place
+                        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+        FROM records)
+    SELECT page_id, CAST(file AS BIGINT) AS file, CAST(start AS BIGINT) AS "offset", CAST(length AS BIGINT) AS length,
+           CASE WHEN page_id % {_DAMAGE} = {LOST} THEN 'missing' ELSE 'changed' END AS finding
+    FROM placed WHERE page_id % {_DAMAGE} IN ({CHANGED}, {BLANK}, {LOST})
+"""
+
+# The rules that the registered query is to apply, as (verdict, host, path).
+URL_RULES = (
+    ("allow", "org", "/"),
+    ("block", "example.org", "/es/"),
+    ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"),
+    ("block", "com", "/de/"),
+)
+
+
+def op6_boosted_url_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op7_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -116,6 +178,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_bitmasks": op1_language_bitmasks,
     "op3_raked_mix": op3_raked_mix,
     "op4_order_minhash": op4_order_minhash,
+    "op5_merkle_audit": op5_merkle_audit,
+    "op6_boosted_url_trees": op6_boosted_url_trees,
     "op7_pigeonhole": op7_pigeonhole,
     "op8_content_sort": op8_content_sort,
     "op10_suffix_tree": op10_suffix_tree,
@@ -123,6 +187,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op3_raked_mix": _mix_oracle(),
+    "op5_merkle_audit": _AUDIT_ORACLE,
     "op8_content_sort": """
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
