@@ -12,9 +12,10 @@ which is the Jaccard similarity of the shingles that an alignment can match.  Wi
 sketches of 3 shingles a pair at 0.8 is missed with a probability of about 1e-5.
 
 Equal word sequences are first folded into one representative.  In a bucket of equal
-sketches every representative is verified against the smallest; then all pairs of the
-bucket that are still in different classes are verified.  So no link between classes is
-lost, and a bucket of one class costs as many alignments as it has members.
+sketches every representative is verified against the smallest; then the members of what
+was compared with the same representative are compared with each other wherever they are
+still in different classes, block against block with an inverted index.  So no link
+between classes is lost, and a bucket of one class costs one alignment per member.
 
 Defined results: words are runs of letters, digits and underscores, lower-cased; a text
 with fewer words than a shingle is one shingle; texts without words are equal only if
@@ -44,6 +45,7 @@ SKETCHES = 16
 CHOSEN = 3
 _WORD = re.compile(r"\w+")
 _MEMBERS = 512
+_BLOCK = 1 << 20
 _CELLS = 1 << 20
 
 
@@ -167,17 +169,16 @@ def classes(
     buckets = materialize(
         banded.join(first.filter("n > 1"), "bucket").select("bucket", "rep", "size", "first")
     )
-    close = F.least("size", "other_size") >= threshold * F.greatest("size", "other_size")
-    star = (
-        buckets.select(F.col("first.rep").alias("a"), F.col("first.size").alias("other_size"), F.col("rep").alias("b"), "size")
-        .filter((F.col("a") != F.col("b")) & close).select("a", "b").distinct()
+    members = materialize(
+        buckets.filter(F.col("rep") != F.col("first.rep"))
+        .select(F.col("first.rep").alias("a"), F.col("first.size").alias("a_size"), F.col("rep").alias("b"), "size").distinct()
     )
+    close = F.least("size", "a_size") >= threshold * F.greatest("size", "a_size")
     same = equal.filter("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    links = materialize(_verify(materialize(star), known, words, threshold))
-    found = materialize(components(links))
-    rest = materialize(_unjoined(buckets, found, close, star))
-    if not rest.isEmpty():
-        links = materialize(links.unionByName(_verify(rest, known, words, threshold)))
+    links = materialize(_verify(members.filter(close).select("a", "b"), known, words, threshold))
+    blocks = materialize(_mixed(members, materialize(components(links))))
+    if not blocks.isEmpty():
+        links = materialize(links.unionByName(_compare(blocks, known, words, threshold)))
     found = components(links.unionByName(same))
     return (
         texts.select("id").join(found, "id", "left")
@@ -189,27 +190,83 @@ def classes(
     )
 
 
-def _unjoined(buckets: DataFrame, found: DataFrame, close, tested: DataFrame) -> DataFrame:
-    """Pairs of the same bucket in different classes that were not compared yet.
+def _mixed(members: DataFrame, found: DataFrame) -> DataFrame:
+    """Members of the groups that are still in several classes, dealt to pairs of blocks.
 
-    In each bucket the class with the most members is not paired with itself, so a bucket
-    of one class gives nothing.
+    A group is what was compared with the same representative.  It is cut into blocks of
+    about ``_BLOCK`` shingles; each member goes to every pair of blocks that has its own.
     """
-    members = (
-        buckets.join(found.select(F.col("id").alias("rep"), "root"), "rep", "left")
-        .select("bucket", "rep", "size", F.coalesce("root", "rep").alias("class"))
+    classed = members.join(found.select(F.col("id").alias("b"), "root"), "b", "left").select(
+        "a", "b", "size", F.coalesce("root", "b").alias("class")
     )
-    sizes = members.groupBy("bucket", "class").count()
-    largest = sizes.groupBy("bucket").agg(F.max(F.struct("count", "class")).alias("most"), F.count(F.lit(1)).alias("classes"))
-    mixed = members.join(largest.filter("classes > 1").select("bucket", F.col("most.class").alias("main")), "bucket")
-    outside = mixed.filter(F.col("class") != F.col("main")).select(
-        "bucket", F.col("rep").alias("other"), F.col("size").alias("other_size"), F.col("class").alias("other_class")
+    groups = (
+        classed.groupBy("a")
+        .agg(F.min("class").alias("least"), F.max("class").alias("most"), F.sum("size").alias("all"))
+        .filter("least < most").select("a", F.ceil(F.col("all") / _BLOCK).cast("int").alias("blocks"))
     )
-    pairs = mixed.join(outside, "bucket").filter((F.col("class") != F.col("other_class")) & close)
-    return (
-        pairs.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b"))
-        .distinct().join(tested, ["a", "b"], "left_anti")
+    own = F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int")
+    dealt = classed.join(groups, "a").withColumn("own", own).select(
+        "a", "b", "class", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     )
+    return dealt.select("a", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "b", "class")
+
+
+def _compare(blocks: DataFrame, texts: DataFrame, words: int, threshold: float) -> DataFrame:
+    rows = blocks.join(texts.withColumnRenamed("id", "b"), "b").select("a", "i", "j", "own", "b", "class", "text")
+    dealt = rows.repartition("a", "i", "j").sortWithinPartitions("a", "i", "j")
+    return dealt.mapInArrow(lambda it: _compared(it, words, threshold), "a long, b long")
+
+
+def _compared(it: Iterator[pa.RecordBatch], words: int, threshold: float) -> Iterator[pa.RecordBatch]:
+    hashes, key, held = B.WordHashes(), None, []
+
+    def out() -> pa.RecordBatch:
+        found = _links_between(key, held, threshold) if held else []
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    for batch in B.slices(it):
+        for a, i, j, own, b, group, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (a, i, j) != key:
+                yield out()
+                key, held = (a, i, j), []
+            held.append((b, group, own, labelled_shingles(text, hashes, words)))
+    yield out()
+
+
+def _links_between(key: tuple[int, int, int], held: list, threshold: float) -> list[tuple[int, int]]:
+    """Links between members of different classes; one of a pair is outside the largest class.
+
+    Overlaps are counted with an inverted index, and only pairs that can reach the
+    threshold are aligned.
+    """
+    values = [x[3] for x in held]
+    sizes = np.array([len(v) for v in values])
+    _, token = np.unique(np.concatenate(values), return_inverse=True)
+    holder = np.repeat(np.arange(len(held)), sizes)
+    order = np.argsort(token, kind="stable")
+    holders, ends = holder[order], np.cumsum(np.bincount(token))
+    starts = np.concatenate(([0], ends[:-1]))
+    shared = ends - starts > 1
+    first = np.cumsum(sizes) - sizes
+    names, group = np.unique([x[1] for x in held], return_inverse=True)
+    blocks = np.array([x[2] for x in held])
+    outside = np.flatnonzero(group != np.bincount(group).argmax())
+    found = []
+    for x in outside:
+        own = token[first[x] : first[x] + sizes[x]]
+        own = own[shared[own]]
+        if len(own) < threshold * sizes[x]:
+            continue
+        overlap = np.bincount(np.concatenate([holders[starts[t] : ends[t]] for t in own]), minlength=len(held))
+        able = overlap * (1 + threshold) >= threshold * (sizes + sizes[x])
+        able &= group != group[x]
+        if key[1] != key[2]:
+            able &= blocks != blocks[x]
+        for y in np.flatnonzero(able):
+            if group[x] != group[y] and aligned(values[x], values[y], threshold):
+                found.append((held[x][0], held[y][0]))
+                group[group == group[x]] = group[y]
+    return found
 
 
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", **parameters) -> DataFrame:
