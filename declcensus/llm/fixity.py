@@ -92,7 +92,7 @@ def differing(one: list[DataFrame], other: list[DataFrame]) -> DataFrame:
 
 
 def audit(records: DataFrame, content: Column, replica: Callable[[Column], Column], key: str, *order: Column) -> DataFrame:
-    """``(key, file, offset, length, finding)`` of the records whose replica is not the same.
+    """``(key, file, start_offset, length, finding)`` of the records whose replica is not the same.
 
     ``replica`` gives what a second reading of the content's bytes returns, null if nothing.
     """
@@ -106,5 +106,5 @@ def audit(records: DataFrame, content: Column, replica: Callable[[Column], Colum
     trees = [tree(placed.filter(F.col(c).isNotNull()).select(*base, F.col(c).alias("digest")), levels) for c in ("one", "other")]
     found = differing(*trees)
     return placed.join(found.withColumnRenamed("node", "place"), "place").select(
-        F.col("key").alias(key), "file", "offset", "length", "finding"
+        F.col("key").alias(key), "file", F.col("offset").alias("start_offset"), "length", "finding"
     )

@@ -12,6 +12,7 @@ from declcensus.llm import (
     exact_dedup,
     fixity,
     language_id,
+    line_dedup,
     mixing,
     near_dedup,
     suffix_tree,
@@ -137,7 +138,7 @@ _AUDIT_ORACLE = f"""
                coalesce(sum(length) OVER (PARTITION BY place // {fixity.FILE_RECORDS} ORDER BY place
                         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
         FROM records)
-    SELECT page_id, CAST(file AS BIGINT) AS file, CAST(start AS BIGINT) AS "offset", CAST(length AS BIGINT) AS length,
+    SELECT page_id, CAST(file AS BIGINT) AS file, CAST(start AS BIGINT) AS "start_offset", CAST(length AS BIGINT) AS length,
            CASE WHEN page_id % {_DAMAGE} = {LOST} THEN 'missing' ELSE 'changed' END AS finding
     FROM placed WHERE page_id % {_DAMAGE} IN ({CHANGED}, {BLANK}, {LOST})
 """
@@ -164,6 +165,30 @@ def op8_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.classes(_table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op9_line_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.repeats(_table(spark, sf_dir, "documents"))
+
+
+_LINES_ORACLE = f"""
+    WITH lines AS (
+        SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+               generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos
+        FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+    runs AS (
+        SELECT doc_id, pos, list(line) OVER w AS held, count(*) OVER w AS n FROM lines
+        WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND {line_dedup.RUN - 1} FOLLOWING)),
+    later AS (
+        SELECT doc_id, pos FROM runs WHERE n = {line_dedup.RUN}
+        QUALIFY row_number() OVER (PARTITION BY held ORDER BY doc_id, pos) > 1),
+    marked AS (
+        SELECT doc_id, pos, CASE WHEN pos - lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) <= {line_dedup.RUN} THEN 0 ELSE 1 END AS fresh
+        FROM later),
+    islands AS (SELECT doc_id, pos, sum(fresh) OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM marked)
+    SELECT doc_id, min(pos) AS first_line, max(pos) + {line_dedup.RUN - 1} AS last_line
+    FROM islands GROUP BY doc_id, island
+"""
+
+
 def op10_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents")
     tree, words = suffix_tree.fit(documents.filter(_fold(5) != 1))
@@ -182,10 +207,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_boosted_url_trees": op6_boosted_url_trees,
     "op7_pigeonhole": op7_pigeonhole,
     "op8_content_sort": op8_content_sort,
+    "op9_line_winnowing": op9_line_winnowing,
     "op10_suffix_tree": op10_suffix_tree,
 }
 
 ORACLES: dict[str, str] = {
+    "op9_line_winnowing": _LINES_ORACLE,
     "op3_raked_mix": _mix_oracle(),
     "op5_merkle_audit": _AUDIT_ORACLE,
     "op8_content_sort": """
