@@ -221,7 +221,7 @@ def _compared(it: Iterator[pa.RecordBatch], words: int, threshold: float) -> Ite
     hashes, key, held = B.WordHashes(), None, []
 
     def out() -> pa.RecordBatch:
-        found = _links_between(key, held, threshold) if held else []
+        found = links_between(key, held, threshold) if held else []
         return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     for batch in B.slices(it):
@@ -233,7 +233,7 @@ def _compared(it: Iterator[pa.RecordBatch], words: int, threshold: float) -> Ite
     yield out()
 
 
-def _links_between(key: tuple[int, int, int], held: list, threshold: float) -> list[tuple[int, int]]:
+def links_between(key: tuple[int, int, int], held: list, threshold: float) -> list[tuple[int, int]]:
     """Links between members of different classes; one of a pair is outside the largest class.
 
     Overlaps are counted with an inverted index, and only pairs that can reach the

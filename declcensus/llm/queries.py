@@ -15,6 +15,7 @@ from declcensus.llm import (
     line_dedup,
     mixing,
     near_dedup,
+    paragraph_dedup,
     suffix_tree,
     url_filter,
 )
@@ -37,6 +38,10 @@ def op1_language_bitmasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out, "lang_pred", "score")
 
 
+def op2_paragraph_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraph_dedup.repeats(_table(spark, sf_dir, "documents"))
+
+
 # What the mix of the registered query and of the pipeline aims at.
 TOPICS = {"legal": "icense", "contact": "@", "table": " | "}
 TARGETS: dict[str, dict[str, float] | None] = {
@@ -201,6 +206,7 @@ def op10_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_bitmasks": op1_language_bitmasks,
+    "op2_paragraph_bands": op2_paragraph_bands,
     "op3_raked_mix": op3_raked_mix,
     "op4_order_minhash": op4_order_minhash,
     "op5_merkle_audit": op5_merkle_audit,
