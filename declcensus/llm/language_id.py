@@ -43,31 +43,34 @@ def _letters() -> np.ndarray:
 
 
 def _grams(texts: list[str | None], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """n-grams of all texts, the number of the text each is from, and which texts have letters."""
-    lowered = [(t or "").lower() for t in texts]
-    codes = np.frombuffer("\0".join(lowered).encode("utf-32-le", "surrogatepass"), np.uint32)
-    owner = np.repeat(np.arange(len(texts)), [len(t) + 1 for t in lowered])[: len(codes)]
-    letter = _letters()[np.minimum(codes, 0x10FFFF)]
+    """n-grams of all texts, the number of the text each is from, and which texts have letters.
+
+    Each text is its letters with one boundary for each run of others, and boundaries in
+    front and behind, so that one letter is enough for an n-gram.
+    """
+    lowered = [(t or "").lower() + "\0" for t in texts]
+    codes = np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), np.uint32)
+    owner = np.repeat(np.arange(len(texts)), [len(t) for t in lowered])
+    letter = _letters()[codes]
     with_letter = np.zeros(len(texts), bool)
     with_letter[owner[letter]] = True
-    # A boundary is kept where a letter comes before it; texts start with one too.
-    keep = letter.copy()
-    keep[1:] |= letter[:-1]
-    first = np.flatnonzero(np.diff(owner, prepend=-1))
+    after = np.concatenate(([False], letter[:-1])) & ~letter
+    keep = letter | after
     stream = np.where(letter, codes, 0)[keep].astype(np.uint64)
     owners = owner[keep]
-    # The boundary between two texts belongs to the first; give each text one in front.
-    starts = np.searchsorted(owners, np.arange(len(texts))[with_letter])
-    stream = np.insert(stream, starts, 0)
-    owners = np.insert(owners, starts, np.arange(len(texts))[with_letter])
-    if len(first) == 0 or len(stream) < size:
-        stream = np.concatenate((stream, np.zeros(size, np.uint64)))
-        owners = np.concatenate((owners, np.full(size, owners[-1] if len(owners) else -1)))
-    count = len(stream) - size + 1
+    # A boundary in front of the first letter of a text, and what short texts lack behind it.
+    lettered = np.flatnonzero(with_letter)
+    begin = np.searchsorted(owners, lettered, "left")
+    end = np.searchsorted(owners, lettered, "right")
+    lacking = np.maximum(0, size - 1 - (end - begin))
+    places = np.concatenate((begin, np.repeat(end, lacking)))
+    stream = np.insert(stream, places, 0)
+    owners = np.insert(owners, places, np.concatenate((lettered, np.repeat(lettered, lacking))))
+    count = max(0, len(stream) - size + 1)
     packed = np.zeros(count, np.uint64)
     for k in range(size):
         packed = packed * np.uint64(0x100000001B3) + stream[k : k + count]
-    whole = (owners[:count] == owners[size - 1 :]) & (owners[:count] >= 0)
+    whole = owners[:count] == owners[len(owners) - count :]
     return B.mix(packed[whole]), owners[:count][whole], with_letter
 
 
