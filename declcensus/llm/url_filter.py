@@ -33,7 +33,8 @@ _LEXICAL = (
     "length", "host_length", "path_length", "depth", "labels", "digits", "letters", "hyphens",
     "entropy", "parameters", "fragment", "longest_segment",
 )
-_SUFFIX = ("top_rows", "top_rate", "site_rows", "site_rate")
+_PARTS = ("top", "site", "section")
+_STATISTICS = tuple(f"{p}_{s}" for p in _PARTS for s in ("rows", "rate"))
 
 
 def with_parts(df: DataFrame, url: str = "url") -> DataFrame:
@@ -92,12 +93,17 @@ def _lexical(url: Column) -> dict[str, Column]:
     }
 
 
-def _with_suffix_statistics(rows: DataFrame) -> DataFrame:
-    """Rows per suffix, and the smoothed share of blocked ones among its labelled rows."""
+def _with_statistics(rows: DataFrame) -> DataFrame:
+    """Rows per suffix of one and two labels and per first folder, and the smoothed share of
+    blocked ones among its labelled rows."""
     labelled = rows.agg(F.avg("label")).first()[0]
     prior = 0.5 if labelled is None else labelled
-    out = rows.withColumn("_top", F.substring_index("host", ".", -1)).withColumn("_site", F.substring_index("host", ".", -2))
-    for name in ("top", "site"):
+    out = (
+        rows.withColumn("_top", F.substring_index("host", ".", -1))
+        .withColumn("_site", F.substring_index("host", ".", -2))
+        .withColumn("_section", F.regexp_extract("path", r"^/[^/]*/?", 0))
+    )
+    for name in _PARTS:
         found = out.groupBy(f"_{name}").agg(
             F.log1p(F.count(F.lit(1)).cast("double")).alias(f"{name}_rows"),
             ((F.coalesce(F.sum("label"), F.lit(0.0)) + prior * _PRIOR) / (F.count("label") + _PRIOR)).alias(f"{name}_rate"),
@@ -125,8 +131,8 @@ def judge(
         only = next(iter(counts), ALLOW)
         probability, judged = F.lit(1.0 if only == BLOCK else 0.0), rows
     else:
-        features = VectorAssembler(inputCols=[*_LEXICAL, *_SUFFIX], outputCol="features")
-        ready = features.transform(_with_suffix_statistics(rows))
+        features = VectorAssembler(inputCols=[*_LEXICAL, *_STATISTICS], outputCol="features")
+        ready = features.transform(_with_statistics(rows))
         most = min(1.0, train_rows / sum(counts.values()))
         chosen = F.pmod(F.xxhash64("url"), F.lit(1 << 20)) < int(most * (1 << 20))
         trees = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=0.3, seed=7)
