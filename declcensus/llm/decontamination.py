@@ -10,7 +10,8 @@ bounded however many items there are; each block is compared with every whole te
 
 Defined results: texts and items are compared lower-cased, with one space for each run
 of characters other than letters, digits and underscores; items without any such
-character match nothing, null and empty texts match nothing; equal items each match;
+character match nothing, null and empty texts match nothing; equal items each match, and items
+with a null id too;
 repeated rows of documents are each reported.
 """
 
@@ -118,7 +119,7 @@ class Matcher:
 
 
 def _blocks(items: DataFrame, key: str, text: str, size: int) -> Iterator[list[tuple[int, str]]]:
-    rows = items.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text")).dropna()
+    rows = items.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text")).dropna(subset=["text"])
     total = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-total // size))
     for k in range(blocks):
