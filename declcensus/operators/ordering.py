@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,21 +18,25 @@ def materialize(df: DataFrame) -> DataFrame:
     """Reliable checkpoint of a narrow result, so that it is computed once.
 
     The folder is the one the cluster names in ``spark.checkpoint.dir``; only a
-    local session without one gets a temporary folder.
+    local session without one gets a temporary folder, removed when Python ends.
     """
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(_checkpoint_folder(spark))
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 
-def _checkpoint_folder(spark: SparkSession) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    return tempfile.mkdtemp(prefix="declcensus-checkpoint-")
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The session's folder for checkpoints, set if it is not yet."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            # local-cluster has executors of its own, like any cluster.
+            if not re.fullmatch(r"local(\[.*\])?", context.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+            folder = tempfile.mkdtemp(prefix="declcensus-checkpoint-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
 
 
 def by_path(df: DataFrame) -> DataFrame:
