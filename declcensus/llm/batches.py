@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +49,57 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+@cache
+def _word_characters() -> np.ndarray:
+    return np.fromiter((chr(c).isalnum() or c == 95 for c in range(0x110000)), bool, 0x110000)
+
+
+_STEP, _STRIDE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+_powers: dict[int, np.ndarray] = {}
+
+
+def powers(base: int, count: int) -> np.ndarray:
+    """The first powers of an odd number modulo 2**64."""
+    held = _powers.get(base)
+    if held is None or len(held) < count:
+        held = np.full(max(count, 2 * SLICE_BYTES), base, np.uint64)
+        held[0] = 1
+        held = _powers[base] = np.multiply.accumulate(held)
+    return held[:count]
+
+
+def spans_hashed(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
+    """A hash of ``values[start:end]`` for each span: a polynomial taken from running sums."""
+    sums = np.cumsum(values * powers(base, len(values)), dtype=np.uint64)
+    sums = np.concatenate((np.zeros(1, np.uint64), sums))
+    back = powers(pow(base, -1, 1 << 64), len(values) + 1)
+    return mix((sums[ends] - sums[starts]) * back[starts] ^ (ends - starts).astype(np.uint64))
+
+
+class Tokens:
+    """Words of some texts, lower-cased: runs of letters, digits and underscores.
+
+    ``keys`` are their hashes, ``owner`` the text of each, ``fresh`` marks the first of a line.
+    """
+
+    def __init__(self, texts: list[str | None]) -> None:
+        lowered = [(t or "").lower() + "\n" for t in texts]
+        codes = np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), np.uint32)
+        inside = _word_characters()[codes]
+        before = np.concatenate(([False], inside[:-1]))
+        starts, ends = np.flatnonzero(inside & ~before), np.flatnonzero(before & ~inside)
+        values = mix(codes.astype(np.uint64) + np.uint64(1))
+        self.keys = spans_hashed(values, starts, ends, _STEP)
+        self.owner = np.searchsorted(np.cumsum([len(t) for t in lowered]), starts, "right")
+        line = np.cumsum(codes == 10)[starts]
+        self.fresh = np.diff(line, prepend=-1) > 0
+
+
+def digests(keys: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of runs of words."""
+    return spans_hashed(keys, starts, ends, _STRIDE)
+
+
 def mix(values: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit values (the public splitmix64 finaliser)."""
     x = values.astype(np.uint64, copy=True)

@@ -30,7 +30,6 @@ from math import ceil, log
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -38,6 +37,7 @@ from pyspark.sql import functions as F
 from declcensus.llm import batches as B
 from declcensus.llm.components import components
 from declcensus.llm.near_dedup import links_between
+from declcensus.llm.tables import stored
 from declcensus.operators.ordering import materialize
 
 WORDS = 5
@@ -55,82 +55,128 @@ def bands(threshold: float = THRESHOLD, recall: float = RECALL) -> int:
     return max(1, ceil(log(1 - recall) / log(1 - threshold)))
 
 
-def paragraphs(text: str, hashes: B.WordHashes) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words, and the places where paragraphs start and the last one ends."""
-    lines = [_WORD.findall(line) for line in text.lower().split("\n")]
-    words = hashes.of([w for line in lines for w in line])
-    starts = np.cumsum([0, *map(len, lines)])
-    if len(words) > WINDOW:
-        pairs = B.mix(words[:-1] * np.uint64(0x9E3779B97F4A7C15) + words[1:])
-        windows = np.lib.stride_tricks.sliding_window_view(pairs, min(WINDOW, len(pairs)))
-        starts = np.concatenate((starts, np.arange(len(windows)) + windows.argmin(axis=1) + 1))
-    return words, np.unique(starts)
+class Paragraphs:
+    """The paragraphs of some texts: the text of each, its first word and its number of words.
 
+    ``keys`` are the words of all texts, ``at`` the place of a paragraph among them.
+    """
 
-def _units(text: str, hashes: B.WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words, first place and number of words of each paragraph that counts, and its digest."""
-    words, cuts = paragraphs(text, hashes)
-    sizes = np.diff(cuts)
-    first, sizes = cuts[:-1][sizes >= LEAST_WORDS], sizes[sizes >= LEAST_WORDS]
-    data = words.tobytes()
-    digests = [xxhash.xxh3_64_intdigest(data[8 * a : 8 * (a + n)]) for a, n in zip(first.tolist(), sizes.tolist(), strict=True)]
-    return words, first, sizes, np.array(digests, np.uint64)
+    def __init__(self, texts: list[str | None]) -> None:
+        tokens = B.Tokens(texts)
+        self.keys, owner = tokens.keys, tokens.owner
+        cut = tokens.fresh
+        count = len(self.keys)
+        if count > WINDOW:
+            pairs = B.mix(self.keys[:-1] * np.uint64(0x9E3779B97F4A7C15) + self.keys[1:])
+            windows = np.lib.stride_tricks.sliding_window_view(pairs, WINDOW)
+            within = owner[: len(windows)] == owner[WINDOW:]
+            cut[(np.arange(len(windows)) + windows.argmin(axis=1) + 1)[within]] = True
+        starts = np.flatnonzero(cut)
+        sizes = np.diff(starts, append=count)
+        ample = sizes >= LEAST_WORDS
+        self.at, self.words = starts[ample], sizes[ample]
+        self.owner = owner[self.at]
+        own = np.searchsorted(owner, np.arange(len(texts)))
+        self.first = self.at - own[self.owner]
+        self.digests = B.digests(self.keys, self.at, self.at + self.words)
+
+    def shingles(self, k: int) -> np.ndarray:
+        return B.labelled(B.shingles(self.keys[self.at[k] : self.at[k] + self.words[k]], WORDS))
+
+    def minima(self, seeds: np.ndarray) -> np.ndarray:
+        """For each seed the smallest hash among the shingles of each paragraph."""
+        shingles = B.shingles(self.keys, WORDS)
+        spans = np.stack((self.at, self.at + self.words - WORDS + 1), axis=1).ravel()
+        shingles = np.concatenate((shingles, shingles[-1:]))  # so that every end is a place
+        return np.stack([B.mix(np.minimum.reduceat(B.mix(shingles ^ s), spans)[::2] ^ s) for s in seeds])
 
 
 def _sketched(it: Iterator[pa.RecordBatch], count: int) -> Iterator[pa.RecordBatch]:
-    hashes = B.WordHashes()
     seeds = B.mix(np.arange(1, count + 1, dtype=np.uint64))
     for batch in B.slices(it):
-        ids, digests, keys = [], [], []
-        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            words, first, sizes, digest = _units(text, hashes)
-            if len(first) == 0:
-                continue
-            shingles = B.shingles(words, WORDS)
-            ends = np.minimum(first + sizes - WORDS + 1, len(shingles))
-            spans = np.stack((first, ends), axis=1).ravel()
-            spans = spans[:-1] if spans[-1] == len(shingles) else spans
-            ids.append(np.full(len(first), key, np.int64))
-            digests.append(digest)
-            keys.append(np.stack([B.mix(np.minimum.reduceat(B.mix(shingles ^ s), spans)[::2] ^ s) for s in seeds]))
-        if ids:
-            values = np.concatenate(keys, axis=1).view(np.int64)
+        found = Paragraphs(batch.column(1).to_pylist())
+        if len(found.at):
+            columns = [found.digests, *found.minima(seeds)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(ids)), pa.array(np.concatenate(digests).view(np.int64)), *map(pa.array, values)],
+                [batch.column(0).take(pa.array(found.owner)), *(pa.array(c.view(np.int64)) for c in columns)],
                 names=["id", "digest", *(f"k{k}" for k in range(count))],
             )
 
 
 def _placed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = B.WordHashes()
     for batch in B.slices(it):
-        rows = []
-        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            _, first, sizes, digest = _units(text, hashes)
-            rows.append((np.full(len(first), key, np.int64), digest.view(np.int64), first.astype(np.int64), sizes.astype(np.int64)))
-        columns = [np.concatenate(c) for c in zip(*rows, strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["id", "digest", "first", "words"])
+        found = Paragraphs(batch.column(1).to_pylist())
+        columns = [found.digests.view(np.int64), found.first.astype(np.int64), found.words.astype(np.int64)]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0).take(pa.array(found.owner)), *map(pa.array, columns)], names=["id", "digest", "first", "words"]
+        )
 
 
 def _taken(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The shingles of the wanted paragraphs of each text, once for each group they are wanted in."""
-    hashes = B.WordHashes()
     for batch in B.slices(it, "text"):
+        found = Paragraphs(batch.column(0).to_pylist())
+        at = dict(zip(zip(found.owner.tolist(), found.digests.view(np.int64).tolist(), strict=True), range(len(found.at)), strict=True))
         groups, digests, values = [], [], []
-        for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            words, first, sizes, digest = _units(text, hashes)
-            at = dict(zip(digest.view(np.int64).tolist(), zip(first, sizes, strict=True), strict=True))
+        for n, wanted in enumerate(batch.column(1).to_pylist()):
             for w in wanted:
-                if w["digest"] in at:
-                    a, n = at[w["digest"]]
+                k = at.get((n, w["digest"]))
+                if k is not None:
                     groups.append(w["a"])
                     digests.append(w["digest"])
-                    values.append(B.labelled(B.shingles(words[a : a + n], WORDS)).tobytes())
+                    values.append(found.shingles(k).tobytes())
         yield pa.RecordBatch.from_arrays(
             [pa.array(groups, pa.int64()), pa.array(digests, pa.int64()), pa.array(values, pa.binary())], names=["a", "digest", "shingles"]
         )
 
 
+def _neighbours(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(a, digest, band, edge)`` of rows sorted by band that share it with a neighbour.
+
+    ``a`` is the first digest of the band in this partition.  The first and the last band
+    of a partition may go on in another; their rows are marked.
+    """
+    names = ["a", "digest", "band", "edge"]
+    band = digest = np.zeros(0, np.int64)
+    edge_band: int | None = None
+
+    def out(band: np.ndarray, digest: np.ndarray, last: bool) -> pa.RecordBatch:
+        fresh = np.concatenate(([True], band[1:] != band[:-1])) if len(band) else np.zeros(0, bool)
+        starts = np.flatnonzero(fresh)
+        sizes = np.diff(starts, append=len(band))
+        edge = band == edge_band
+        if last and len(band):
+            edge |= band == band[-1]
+        keep = (np.repeat(sizes, sizes) > 1) | edge
+        leader = np.repeat(digest[starts], sizes)
+        return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (leader, digest, band, edge)], names=names)
+
+    for batch in it:
+        band = np.concatenate((band, batch.column(0).to_numpy()))
+        digest = np.concatenate((digest, batch.column(1).to_numpy()))
+        if len(band) == 0:
+            continue
+        edge_band = int(band[0]) if edge_band is None else edge_band
+        whole = int(np.flatnonzero(band != band[-1])[-1]) + 1 if band[0] != band[-1] else 0
+        if whole:
+            yield out(band[:whole], digest[:whole], False)
+            band, digest = band[whole:], digest[whole:]
+    yield out(band, digest, True)
+
+
+def _colliding(banded: DataFrame) -> DataFrame:
+    """``(a, digest)`` of the paragraphs that share a band; ``a`` names the group.
+
+    Bands are sorted over ranges, so a band that very many share is spread over several;
+    its pieces get one name from a table with two bands a range at most.
+    """
+    ordered = banded.repartitionByRange("band", "digest").sortWithinPartitions("band", "digest")
+    found = materialize(ordered.mapInArrow(_neighbours, "a long, digest long, band long, edge boolean"))
+    edges = found.filter("edge").groupBy("band").agg(F.min("digest").alias("one"), F.max("digest").alias("other")).filter("one < other")
+    named = found.filter("edge").join(edges, "band").select(F.col("one").alias("a"), "digest")
+    return found.filter("NOT edge").select("a", "digest").unionByName(named).distinct()
+
+
 def _compared(it: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
     key, held = None, {}
 
@@ -173,16 +219,12 @@ def repeats(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: f
         texts.mapInArrow(lambda it: _sketched(it, count), shape).groupBy("digest")
         .agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"), *[F.max(k).alias(k) for k in keys])
     )
-    banded = distinct.select("digest", "id", F.explode(F.array(*keys)).alias("band"))
-    shared = banded.groupBy("band").agg(F.min("digest").alias("a"), F.max("digest").alias("most")).filter("a < most").select("band", "a")
-    colliding = banded.join(shared, "band").select("a", "digest", "id").distinct()
-    # One job, so that the texts are sketched once.
-    found = materialize(
-        colliding.unionByName(distinct.filter("n > 1").select(F.lit(None).cast("long").alias("a"), "digest", "id"))
-    )
-    links = _links(found.filter("a IS NOT NULL"), texts, threshold)
+    distinct = stored(distinct)
+    colliding = _colliding(distinct.select(F.explode(F.array(*keys)).alias("band"), "digest"))
+    found = materialize(colliding.join(distinct.select("digest", "id"), "digest"))
+    links = _links(found, texts, threshold)
     roots = materialize(components(materialize(links)))
-    equal = found.filter("a IS NULL").select("digest")
+    equal = distinct.filter("n > 1").select("digest")
     classes = (
         roots.select(F.col("id").alias("digest"), "root").join(equal, "digest", "full")
         .select("digest", F.coalesce("root", "digest").alias("class_id"))

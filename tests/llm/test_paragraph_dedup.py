@@ -4,18 +4,17 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from declcensus.llm import batches as B
 from declcensus.llm import paragraph_dedup as P
 from tests.llm.conftest import prose
 
 
 def brute(rows):
     """Classes by comparing all paragraphs with each other."""
-    hashes, units = B.WordHashes(), []
+    units = []
     for i, text in rows:
-        words, first, sizes, _ = P._units(text or "", hashes)
-        for a, n in zip(first.tolist(), sizes.tolist(), strict=True):
-            units.append((i, a, n, set(B.labelled(B.shingles(words[a : a + n], P.WORDS)).tolist())))
+        found = P.Paragraphs([text])
+        for k, (a, n) in enumerate(zip(found.first.tolist(), found.words.tolist(), strict=True)):
+            units.append((i, a, n, set(found.shingles(k).tolist())))
     root = list(range(len(units)))
     for x, y in itertools.combinations(range(len(units)), 2):
         both = len(units[x][3] & units[y][3])
@@ -69,10 +68,10 @@ def test_near_paragraphs_link_as_by_brute_force(spark, monkeypatch):
 
 
 def test_cuts_do_not_depend_on_what_is_around():
-    hashes, passage = B.WordHashes(), prose(5, 70)
-    alone = P._units(passage, hashes)[3]
+    passage = prose(5, 70)
+    alone = P.Paragraphs([passage]).digests
     for k in range(20):
-        inside = P._units(prose(30 + k, 10 + k) + " " + passage + " " + prose(60 + k, 33), hashes)[3]
+        inside = P.Paragraphs([prose(30 + k, 10 + k) + " " + passage + " " + prose(60 + k, 33)]).digests
         assert len(np.intersect1d(alone, inside)) >= 1
 
 
@@ -87,3 +86,23 @@ def test_awkward_rows(awkward, nothing):
     clean = P.cleaned(awkward)
     assert clean.columns == awkward.columns and clean.count() == awkward.count()
     assert P.repeats(nothing).count() == P.cleaned(nothing).count() == 0
+
+
+def test_texts_do_not_depend_on_their_neighbours():
+    texts = [prose(1, 90), "", None, "a b", prose(2, 25) + "\n" + prose(3, 40), prose(4, 7), "Ü_1 x\n" * 12]
+    together = P.Paragraphs(texts)
+    for k, text in enumerate(texts):
+        alone, own = P.Paragraphs([text]), together.owner == k
+        assert (alone.digests == together.digests[own]).all() and (alone.first == together.first[own]).all()
+    seeds = np.arange(3, dtype=np.uint64)
+    assert (np.concatenate([P.Paragraphs([t]).minima(seeds) for t in texts if len(P.Paragraphs([t]).at)], axis=1) == together.minima(seeds)).all()
+
+
+def test_a_band_over_several_ranges_is_one_group(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(3000).select((F.when(F.col("id") % 3 < 2, 7).otherwise(F.col("id"))).alias("band"), F.col("id").alias("digest"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    got = P._colliding(rows).collect()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert {r["a"] for r in got} == {0} and sorted(r["digest"] for r in got) == [k for k in range(3000) if k % 3 < 2]
