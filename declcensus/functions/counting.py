@@ -24,13 +24,17 @@ _RUST_MACRO = (
 _RUST_NAME = rf"(?:r#)?+{R.NAME}"
 _RUST_FN = (
     rf"{R.keyword('fn')}\s++{_RUST_NAME}"
-    rf"(?=\s*+(?:{R.ANGLES}\s*+)?+{R.PARENS}(?:[^{{}};\[\]]++|\[[^\[\]]*+\])*+\{{)"
+    rf"(?=\s*+(?:{R.ANGLES}\s*+)?+{R.PARENS}(?:[^{{}};\[\]]++|{R.BRACKETS})*+\{{)"
 )
 _RUST_TYPE = rf"{R.keyword('struct', 'enum')}\s++{_RUST_NAME}(?=\s*+(?:[{{(;<]|where\b))"
 
 # --- Go --------------------------------------------------------------------
 
-_GO_PARAMETERS = r"\[[^\[\]]*?\s[^\[\]]*+(?:\[[^\[\]]*+\][^\[\]]*+)*+\]"
+# Names and a constraint; an array length is one expression.
+_GO_PARAMETERS = (
+    rf"\[\s*+{R.NAME}(?:\s*+,\s*+{R.NAME})*+\s++(?=[\p{{L}}_~\[(*])(?!\*\s)"
+    rf"(?:[^\[\]]++|{R.BRACKETS})*+\]"
+)
 # Inside ``type ( ... )`` each spec is given a ``type`` of its own.  ``\G`` chains
 # from one spec to the next and ends at the closing parenthesis.
 _GO_GROUPED = (
@@ -117,6 +121,11 @@ _TS_INTERFACE = (
     rf"(?:{_TYPE}|\n(?=\s*+[|&?:])|(?<=[|&?:]\s{{0,8}})\n)*+"
 )
 _TS_ARGUMENTS = rf"(?<=[\p{{L}}\p{{N}}_$]){R.ANGLES}(?=\s*+[(\[;,)=>{{|&])"
+# An arrow before the name of a built-in type makes a type wherever it stands.
+_TS_BUILT_IN = (
+    r"=>(?=\s*+(?:void|string|number|boolean|any|unknown|never|bigint|symbol|object)(?![\p{L}\p{N}_$])"
+    r"(?![ \t]*+[\p{L}\p{N}_$(.+\-*/]))"
+)
 _TS_CAST = rf"\b(?:as|satisfies)\s++{R.PARENS}\s*+=>"
 _TS_MODIFIER = r"(?:(?:public|private|protected|readonly|override)\s++)*+"
 # Parameters are followed one by one from the opening parenthesis, so that the
@@ -138,7 +147,14 @@ _TS_RESULT = (
 
 # --- Java ------------------------------------------------------------------
 
-_JAVA_ANNOTATION_TYPE = rf"@interface\s++{R.DOLLAR_NAME}\s*+{R.BRACES}"
+# Members of an annotation type are followed one by one: its elements go, types in it stay.
+_JAVA_ANNOTATION_TYPE = (
+    rf"(?:(@interface\s++{R.DOLLAR_NAME}\s*+\{{)|(?!\A)\G)\s*+"
+    rf"(?:(?:[^{{}};()]++|{R.PARENS}|{R.BRACES})*+;|((?:[^{{}};()]++|{R.PARENS})*+{R.BRACES}))"
+)
+# Constants come first in an enum; a mark after its brace keeps the first from looking like
+# a constructor.
+_JAVA_ENUM = rf"({R.keyword('enum')}\s++{R.DOLLAR_NAME}[^{{}};()]*+\{{)"
 _JAVA_MODIFIERS = "(?:public|protected|private)"
 _JAVA_NOT_A_TYPE = (
     r"(?:new|return|else|throw|case|yield|do|assert|record|instanceof|public|protected|private)"
@@ -153,13 +169,12 @@ _JAVA_NAME = rf"{_JAVA_CONTROL}{R.DOLLAR_NAME}"
 # modifier, a bracket or a semicolon before a constructor, the end of the return
 # type before a method.
 _JAVA_MODIFIED = rf"{_JAVA_MODIFIERS}(?<![\p{{L}}\p{{N}}_$]{_JAVA_MODIFIERS})\s++"
-_JAVA_NOT_ENUM = r"(?<!\benum\s{1,8}[\p{L}\p{N}_$]{1,80}\s{0,8}\{)"
 
 
 def _java_constructor(rest: str) -> str:
     name = rf"{_JAVA_NAME}(?={rest})"
     return R.any_of(
-        rf"{_JAVA_MODIFIED}{name}", rf"[}};]\s*+{name}", rf"\{{(?=\s*+{name}){_JAVA_NOT_ENUM}\s*+{name}"
+        rf"{_JAVA_MODIFIED}{name}", rf"[}};]\s*+{name}", rf"\{{\s*+{name}"
     )
 
 
@@ -219,10 +234,16 @@ def _strip(text: Column, pattern: str, keep: str = " ", only_if: str | None = No
     return F.when(F.contains(text, F.lit(only_if)), stripped).otherwise(text)
 
 
+def _even(masked: Column) -> Column:
+    """Runs of blanks as one blank or one line feed, so that look-behinds reach over them."""
+    return F.regexp_replace(masked, F.lit(r"[ \t\r\f]*+(\n)\s*+|[ \t\r\f]{2,}+"), F.lit("$1 "))
+
+
 def _strip_types(masked: Column) -> Column:
     """TypeScript text without the type positions that can hold an arrow."""
     text = _strip(masked, _TS_INTERFACE)
     for pattern, keep in (
+        (_TS_BUILT_IN, " : "),
         (_TS_CAST, " "),
         (_TS_ARGUMENTS, " "),
         (_TS_PARAMETER, "$1"),
@@ -244,8 +265,12 @@ def code_only(masked: Column, language: Column) -> Column:
                 F.regexp_replace(masked, F.lit(_GO_GROUPED), F.lit(" type $1 ")),
             ).otherwise(masked),
         )
-        .when(language == S.TYPESCRIPT, _strip_types(masked))
-        .when(language == S.JAVA, _strip(masked, _JAVA_ANNOTATION_TYPE, only_if="@interface"))
+        .when(language == S.TYPESCRIPT, _strip_types(_even(masked)))
+        .when(
+            language == S.JAVA,
+            _strip(_strip(_even(masked), _JAVA_ANNOTATION_TYPE, "$1 $2 ", "@interface"), _JAVA_ENUM, "$1@ ", "enum"),
+        )
+        .when(language == S.JAVASCRIPT, _even(masked))
         .otherwise(masked)
     )
 

@@ -3,9 +3,8 @@
 A label needs weight and variety, so that prose, a stray snippet or a very short
 file gives none and the extension decides.
 
-Most signs are absent from most files, and looking for them all would cost a scan
-each.  One scan for the words of a file comes first; a sign's pattern is tried only
-where its words occur.  That saves time and changes no result.
+A sign is tried only where the text contains one of its marks.  Every match of its
+pattern contains one, so that saves time and changes no result, at any size.
 """
 
 from __future__ import annotations
@@ -15,29 +14,24 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from declcensus.functions import regex as R
+
 MIN_WEIGHT = 3
 MIN_SIGNS = 2
 
-# Above this size the words are not collected and every pattern is tried.
-WORDS_UP_TO = 4 << 20
-
 
 @dataclass(frozen=True)
 class Sign:
-    """A pattern, its weight and the number of signs it stands for.
-
-    It can only match where one of ``words`` occurs, and ``mark`` if given.
-    """
+    """A pattern, its weight and the number of signs it stands for; each match has one of ``marks``."""
 
-    words: tuple[str, ...]
+    marks: tuple[str, ...]
     pattern: str
     weight: int
     signs: int
-    mark: str | None
 
 
-def _sign(*words: str, pattern: str, weight: int, signs: int = 1, mark: str | None = None) -> Sign:
-    return Sign(words, pattern, weight, signs, mark)
+def _sign(*marks: str, pattern: str, weight: int, signs: int = 1) -> Sign:
+    return Sign(marks, pattern, weight, signs)
 
 
 def _line_start(word: str) -> str:
@@ -45,11 +39,20 @@ def _line_start(word: str) -> str:
     return rf"(?m:{word}(?<=^{word}))"
 
 
+def _up_to(excluded: str, again: str) -> str:
+    """Text without ``excluded``, up to the next line on which ``again`` would start anew.
+
+    Each stretch of a file is read for one start only, so a file of headers that never
+    end takes no longer than another.
+    """
+    return rf"(?:[^{excluded}\n]++|\n(?!{again}))*+"
+
+
 PYTHON_SIGNS = [
-    _sign("python", "python2", "python3", pattern=r"\A#![^\n]*\bpython", weight=3, signs=2),
+    _sign("python", pattern=r"\A#![^\n]*\bpython", weight=3, signs=2),
     _sign(
         "def",
-        pattern=r"(?m)^[ \t]*+(?:async[ \t]++)?+def[ \t]++\w++[ \t]*+\([^{};]*?\)[^\n:{};]*+:[ \t]*+(?:#.*+)?+$",
+        pattern=r"(?m)^[ \t]*+(?:async[ \t]++)?+def[ \t]++\w++[ \t]*+" + R.PARENS + r"[^\n:{};]*+:[ \t]*+(?:#.*+)?+$",
         weight=2,
     ),
     _sign(
@@ -70,33 +73,34 @@ PYTHON_SIGNS = [
         pattern=r"(?m)^[ \t]++(?:elif\b[^\n{};]*+|except\b[^\n{};]*+|else[ \t]*+|try[ \t]*+):[ \t]*+$",
         weight=1,
     ),
-    _sign("def", pattern=r"(?m)^[ \t]++return\b[^;{}\n]*+$", weight=1),
+    _sign("return", pattern=r"(?m)^[ \t]++return\b[^;{}\n]*+$", weight=1),
     _sign("print", pattern=r"(?m)^[ \t]*+print\([^;\n]*+$", weight=1),
 ]
 
 RUST_SIGNS = [
-    _sign("fn", pattern=r"fn(?<=\bfn)\s++\w++\s*+(?:<[^>{;]*+>)?+\s*+\([^{};]*+\{", weight=2),
+    _sign("fn", pattern=rf"fn(?<=\bfn)\s++\w++\s*+(?:{R.ANGLES})?+\s*+{R.PARENS}[^{{}}();]*+\{{", weight=2),
     _sign("use", pattern=r"(?m)^[ \t]*+(?:pub\s++)?+use\s++\w++(?:::|;)", weight=2),
-    _sign("impl", pattern=r"(?m)^[ \t]*+(?:unsafe\s++)?+impl\b[^;{}()=]*+\{", weight=2),
-    _sign("mut", pattern=r"\blet mut\s++\w", weight=2),
+    _sign("impl", pattern=r"(?m)^[ \t]*+(?:unsafe\s++)?+impl\b" + _up_to(r";{}()=", r"[ \t]*+(?:unsafe\s++)?+impl\b") + r"\{", weight=2),
+    _sign("let mut", pattern=r"\blet mut\s++\w", weight=2),
     _sign(
         "println", "eprintln", "format", "vec", "assert", "assert_eq", "panic", "write", "writeln", "matches",
         pattern=r"\b(?:e?println|format|vec|assert|assert_eq|panic|writeln|write|matches)!\s?[(\[{]",
         weight=2,
     ),
     _sign("mod", pattern=r"(?m)^[ \t]*+(?:pub\s++)?+mod\s++\w++\s*+[;{]", weight=2),
-    _sign(pattern=r"(?m)^\s*+#!?\[\w", weight=2, mark="["),
+    _sign("#[", "#![", pattern=r"(?m)^\s*+#!?\[\w", weight=2),
     _sign(
-        "fn",
+        "->",
         pattern=r"->\s*+(?:Self\b|Result<|Option<|[iu](?:8|16|32|64|128|size)\b|&|String\b|bool\b|Vec<|Box<)",
         weight=1,
     ),
     _sign(
         "struct", "enum", "trait",
-        pattern=r"(?m)^[ \t]*+(?:pub(?:\([^)]*+\))?+\s++)?+(?:struct|enum|trait)\s++\w++[^;{}()=]*+[{;(]",
+        pattern=r"(?m)^[ \t]*+(?:pub(?:\([^)]*+\))?+\s++)?+(?:struct|enum|trait)\s++\w++"
+        + _up_to(r";{}()=", r"[ \t]*+(?:pub\b|struct\b|enum\b|trait\b)") + r"[{;(]",
         weight=1,
     ),
-    _sign("mut", "self", "fn", "str", pattern=r"&mut\s|&self\b|&'\w|&str\b", weight=1),
+    _sign("&", pattern=r"&mut\s|&self\b|&'\w|&str\b", weight=1),
     _sign("let", pattern=r"\blet\s++\w++(?:\s*+:\s*+[\w<>&]++)?+\s*+=[^=]", weight=1),
 ]
 
@@ -113,7 +117,7 @@ GO_SIGNS = [
         pattern=rf"(?m){_line_start('import')}\s++(?:\(|\"[^\"\n]++\"[ \t]*+$)",
         weight=2,
     ),
-    _sign("func", "package", pattern=r":=(?<=\w\s{0,4}:=)\s", weight=1),
+    _sign(":=", pattern=r":=(?<=\w\s{0,4}:=)\s", weight=1),
     _sign(
         "fmt", "strings", "errors", "http", "context", "sync",
         pattern=r"\b(?:fmt|strings|errors|http|context|sync)\.[A-Z]\w",
@@ -132,7 +136,7 @@ JAVA_SIGNS = [
         "public", "protected", "private",
         pattern=r"\b(?:public|protected|private)\s++(?:(?:static|final|abstract|synchronized)\s++)*+"
         r"(?!async\b|get\b|set\b|readonly\b|class\b|function\b|override\b)"
-        r"[\w.]++(?:<[^(){};]*?>)?+(?:\[\])*+\s++\w++\s*+\(",
+        r"[\w.]++(?:" + R.ANGLES + r")?+(?:\[\])*+\s++\w++\s*+\(",
         weight=2,
     ),
     _sign(
@@ -149,7 +153,8 @@ JAVA_SIGNS = [
     ),
     _sign(
         "class", "interface",
-        pattern=r"(?m)^\s*+(?:(?:public|abstract|final)\s++)*+(?:class|interface)\s++\w++[^;{}()=:]*+\{",
+        pattern=r"(?m)^\s*+(?:(?:public|abstract|final)\s++)*+(?:class|interface)\s++\w++"
+        + _up_to(r";{}()=:", r"\s*+(?:public\b|abstract\b|final\b|class\b|interface\b)") + r"\{",
         weight=1,
     ),
     _sign("String", pattern=r"String(?<=\bString)\[\]\s++\w", weight=1),
@@ -163,10 +168,10 @@ SCRIPT_SIGNS = [
     ),
     _sign(
         "const", "let", "var",
-        pattern=r"\b(?:const|let|var)\s++(?:\w++|\{[^}]*+\}|\[[^\]]*+\])\s*+(?::[^=;{}]*+)?+=(?!=)",
+        pattern=r"\b(?:const|let|var)\s++(?:\w++|\{[^{}]*+\}|\[[^\[\]]*+\])\s*+(?::[^=;{}\n]*+)?+=(?!=)",
         weight=2,
     ),
-    _sign(pattern=r"=>(?<=\)\s{0,4}=>)|=\s*+(?:async\s++)?+\w++\s*+=>|\(\w++\s*+=>", weight=1, mark="=>"),
+    _sign("=>", pattern=r"=>(?<=\)\s{0,4}=>)|=\s*+(?:async\s++)?+\w++\s*+=>|\(\w++\s*+=>", weight=1),
     _sign("console", pattern=r"console(?<=\bconsole)\.(?:log|error|warn|info)\(", weight=2),
     _sign(
         "export",
@@ -175,19 +180,19 @@ SCRIPT_SIGNS = [
     ),
     _sign(
         "import",
-        pattern=rf"{_line_start('import')}\s++(?:[\w{{*][^;\"']*?\sfrom\s++)?+[\"'][^\"'\n]++[\"']",
+        pattern=rf"{_line_start('import')}\s++(?:[\w{{*](?:(?!\sfrom\s)[^;\"'\n]|\n(?!from\s|import\b))*+\sfrom\s++)?+[\"'][^\"'\n]++[\"']",
         weight=2,
     ),
     _sign("require", pattern=r"\brequire\([\"']", weight=2),
     _sign("exports", pattern=r"\bmodule\.exports\b", weight=2),
-    _sign(pattern=r"===(?<=[^=!]===)[^=]", weight=1, mark="==="),
+    _sign("===", pattern=r"===(?<=[^=!]===)[^=]", weight=1),
     _sign(
         "class",
         pattern=r"(?m)^\s*+(?:export\s++(?:default\s++)?+)?+class\s++\w++(?:\s++extends\s++[\w.]++)?+\s*+\{",
         weight=1,
     ),
     _sign("return", pattern=r"return(?<=\breturn)\s*+\(?\s*+<[A-Za-z]", weight=1),
-    _sign("constructor", pattern=r"(?m)^\s*+constructor\([^)]*+\)\s*+\{", weight=1),
+    _sign("constructor", pattern=r"(?m)^\s*+constructor\([^()]*+\)\s*+\{", weight=1),
 ]
 
 _TYPES = ("string", "number", "boolean", "any", "unknown", "never")
@@ -195,7 +200,8 @@ _TYPES = ("string", "number", "boolean", "any", "unknown", "never")
 TYPED_SIGNS = [
     _sign(
         "interface",
-        pattern=r"(?m)^\s*+(?:export\s++)?+(?:declare\s++)?+interface\s++\w++[^{};]*+\{\s*+(?:readonly\s++)?+\w++\??[:(]",
+        pattern=r"(?m)^\s*+(?:export\s++)?+(?:declare\s++)?+interface\s++\w++"
+        + _up_to("{};", r"\s*+(?:export\b|declare\b|interface\b)") + r"\{\s*+(?:readonly\s++)?+\w++\??[:(]",
         weight=2,
     ),
     # A parameter, a result, a member or a variable with a built-in type.
@@ -240,9 +246,9 @@ TYPED_SIGNS = [
 # Signs of binary data, of marked-up prose that quotes code and of languages outside
 # the supported six; one of them vetoes any label.
 FOREIGN_SIGNS = [
-    _sign(pattern=r"\x00", weight=1, mark=r"\u0000"),
-    _sign(pattern=r"(?m)^[ \t]*+```", weight=1, mark="```"),
-    _sign(pattern=r"(?m)^={4,}+[ \t]*+$", weight=1, mark="===="),
+    _sign(r"\u0000", pattern=r"\x00", weight=1),
+    _sign("```", pattern=r"(?m)^[ \t]*+```", weight=1),
+    _sign("====", pattern=r"(?m)^={4,}+[ \t]*+$", weight=1),
     _sign("Metadata", pattern=r"\AMetadata-Version: ", weight=1),
     _sign("include", pattern=r"(?m)^[ \t]*+#include[ \t]*+[<\"]", weight=1),
     _sign("php", pattern=r"<\?php", weight=1),
@@ -254,43 +260,20 @@ FOREIGN_SIGNS = [
         weight=1,
     ),
     _sign("object", pattern=r"(?m)^\s*+object\s++\w++\s++extends\s", weight=1),
-    _sign("DOCTYPE", "doctype", "html", pattern=r"\A\s*+(?i:<!DOCTYPE|<html)", weight=1),
+    _sign("<", pattern=r"\A\s*+(?i:<!DOCTYPE|<html)", weight=1),
 ]
 
 
-_ALL_SIGNS = (
-    *GO_SIGNS, *JAVA_SIGNS, *SCRIPT_SIGNS, *PYTHON_SIGNS, *RUST_SIGNS, *TYPED_SIGNS, *FOREIGN_SIGNS,
-)
-_WORDS = sorted({word for sign in _ALL_SIGNS for word in sign.words})
-
-
 # The expressions below are long sums of small terms; written as SQL text they are
-# parsed in one go, where building them call by call takes seconds.  ``text`` and
-# ``words`` are SQL expressions.
-
-
-def _array(items) -> str:
-    return "array(" + ", ".join(f"'{x}'" for x in items) + ")"
-
-
-def sign_words(text: str) -> Column:
-    """The words of ``text`` that belong to some sign."""
-    known = _array(_WORDS)
-    return F.expr(
-        f"CASE WHEN octet_length({text}) <= {WORDS_UP_TO} "
-        f"THEN array_intersect(split({text}, r'\\W++'), {known}) ELSE {known} END"
-    )
+# parsed in one go, where building them call by call takes seconds.  ``text`` is a SQL
+# expression.
 
 
-def _found(text: str, words: str | None, sign: Sign) -> str:
+def _found(text: str, sign: Sign) -> str:
     # A raw literal keeps the backslashes; a quote in it is written as its code.
     pattern = sign.pattern.replace("'", r"\x27")
-    tests = [f"rlike({text}, r'{pattern}')"]
-    if sign.mark is not None:
-        tests.insert(0, f"contains({text}, '{sign.mark}')")
-    if sign.words and words is not None:
-        tests.insert(0, f"arrays_overlap({words}, {_array(sign.words)})")
-    return "(" + " AND ".join(tests) + ")"
+    marks = " OR ".join(f"contains({text}, '{m}')" for m in sign.marks)
+    return f"(({marks}) AND rlike({text}, r'{pattern}'))"
 
 
 _SETS = {
@@ -304,50 +287,19 @@ _SETS = {
 LABELS = tuple(_SETS)
 
 
-def _encoded(text: str, words: str | None, signs: list[Sign]) -> str:
-    """Weight and number of the signs found, as one number: weight * 100 + signs."""
-    return " + ".join(
-        f"CASE WHEN {_found(text, words, s)} THEN {s.weight * 100 + s.signs} ELSE 0 END"
-        for s in signs
-    )
-
-
-def score(text: str, words: str | None, label: str) -> Column:
-    """Encoded score of the signs of one label."""
-    return F.expr(_encoded(text, words, _SETS[label]))
-
-
-# The signs most files of a language show come first in its list; they are enough
-# to bear out an extension, and the rest are tried only if they are not.
-COMMON = 4
-
-
-def own_score(text: str, label: str, common: bool) -> Column:
-    """Encoded score of the signs of the label of each row, the common ones or the rest.
-
-    The two script languages go by the signs they share.  These signs are expected
-    to be there and are found early, so no words are collected for them.
-    """
-    part = slice(None, COMMON) if common else slice(COMMON, None)
-    branches = " ".join(
-        f"WHEN {label} IN ({names}) THEN {_encoded(text, None, _SETS[name][part])}"
-        for name, names in (
-            ("go", "'go'"),
-            ("java", "'java'"),
-            ("python", "'python'"),
-            ("rust", "'rust'"),
-            ("javascript", "'javascript', 'typescript'"),
-        )
+def score(text: str, label: str) -> Column:
+    """Weight and number of the signs of one label found, as one number: weight * 100 + signs."""
+    return F.expr(
+        " + ".join(f"CASE WHEN {_found(text, s)} THEN {s.weight * 100 + s.signs} ELSE 0 END" for s in _SETS[label])
     )
-    return F.expr(f"CASE {branches} ELSE 0 END")
 
 
 def enough(value: Column) -> Column:
     return (value >= MIN_WEIGHT * 100) & (value % 100 >= MIN_SIGNS)
 
 
-def _foreign(text: str, words: str) -> Column:
-    return F.expr(" OR ".join(_found(text, words, sign) for sign in FOREIGN_SIGNS))
+def _foreign(text: str) -> Column:
+    return F.expr(" OR ".join(_found(text, sign) for sign in FOREIGN_SIGNS))
 
 
 def _typed(script: Column, typed: Column) -> Column:
@@ -355,24 +307,10 @@ def _typed(script: Column, typed: Column) -> Column:
     return F.when(typed >= MIN_WEIGHT * 100, typed + script).otherwise(F.lit(0))
 
 
-def own_label(label: Column, own: Column, typed: Column) -> Column:
-    """``label`` of the extension if its own signs bear it out, else NULL.
-
-    The two script languages are told apart by content, and a single typed sign is
-    enough for a file with the extension.
-    """
-    typed_file = (typed >= MIN_WEIGHT * 100) | ((label == "typescript") & (typed > 0))
-    script = label.isin("javascript", "typescript")
-    borne_out = F.when(script & typed_file, F.lit("typescript")).when(
-        script, F.lit("javascript")
-    ).otherwise(label)
-    return F.when(enough(own + F.when(typed_file, typed).otherwise(F.lit(0))), borne_out)
-
-
-def best_label(text: str, words: str, scores: dict[str, Column]) -> Column:
+def best_label(text: str, scores: dict[str, Column]) -> Column:
     """Label with the best score, NULL where the evidence is thin or foreign."""
     totals = scores | {"typescript": _typed(scores["javascript"], scores["typescript"])}
     best = F.greatest(
         *(F.struct(totals[x].alias("score"), F.lit(x).alias("label")) for x in LABELS)
     )
-    return F.when(enough(best["score"]) & ~_foreign(text, words), best["label"])
+    return F.when(enough(best["score"]) & ~_foreign(text), best["label"])

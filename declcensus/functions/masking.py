@@ -13,15 +13,16 @@ from declcensus import schemas as S
 from declcensus.functions import regex as R
 
 _LINE_COMMENT = r"//[^\n]*+"
-_BLOCK_COMMENT = r"/\*(?s:.*?)\*/"
+# A comment that is not closed runs to the end of the file, so each character is read once.
+_BLOCK_COMMENT = r"/\*(?s:.*?)(?:\*/|\z)"
 _CHARACTER = r"'(?:[^'\\\n]|\\[^\n][0-9A-Fa-f]*+)'"
 
 
-def _nested_comment(depth: int = 4) -> str:
+def _nested_comment(depth: int = R.NESTING) -> str:
     inner = r"[^*/]++|\*(?!/)|/(?!\*)"
-    pattern = rf"/\*(?:{inner})*+\*/"
+    pattern = rf"/\*(?:{inner})*+(?:\*/|\z)"
     for _ in range(depth - 1):
-        pattern = rf"/\*(?:{inner}|{pattern})*+\*/"
+        pattern = rf"/\*(?:{inner}|{pattern})*+(?:\*/|\z)"
     return pattern
 
 
@@ -43,7 +44,7 @@ def _template_parts(depth: int = 3) -> tuple[str, str]:
 RUST_MASK = R.any_of(
     _LINE_COMMENT,
     _nested_comment(),
-    r'(?<![\p{L}\p{N}_])[bc]?r(#{0,16}+)"(?s:.*?)"\1',
+    r'(?<![\p{L}\p{N}_])[bc]?r(#*+)"(?s:.*?)(?:"\1|\z)',
     R.unrolled('"', multiline=True),
     r"'(?:[^'\\\n]|\\(?:u\{[^}\n]*+\}|x[0-9A-Fa-f]{2}|[^\n]))'",
 )

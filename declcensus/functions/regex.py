@@ -9,8 +9,10 @@ by look-ahead, so that declarations inside a parameter list are still seen.
 
 from __future__ import annotations
 
-# Deeper nesting than this inside one header or one macro call is not followed.
-NESTING = 12
+# Patterns cannot count: brackets are followed to this depth inside one header, macro call or
+# type.  It bounds the size of the patterns, not the size of a file; ``operators/tokens.py``
+# follows brackets to any depth.
+NESTING = 512
 
 
 def balanced(opening: str, closing: str, depth: int = NESTING) -> str:
@@ -24,12 +26,12 @@ def balanced(opening: str, closing: str, depth: int = NESTING) -> str:
 
 PARENS = balanced("(", ")")
 BRACES = balanced("{", "}")
-BRACKETS = balanced("[", "]", 4)
+BRACKETS = balanced("[", "]", 64)
 
 
-def angles(depth: int = 4) -> str:
+def angles(depth: int = 12) -> str:
     """Pattern for ``<...>`` type arguments; arrows inside do not close them."""
-    inner = rf"[^<>(){{}};=\-\[\]]++|->|=>|[=\-]|{balanced('(', ')', 3)}|{balanced('[', ']', 2)}"
+    inner = rf"[^<>(){{}};=\-\[\]]++|->|=>|[=\-]|{balanced('(', ')', 12)}|{balanced('[', ']', 12)}"
     group = rf"<(?:{inner})*+>"
     for _ in range(depth - 1):
         group = rf"<(?:{inner}|{group})*+>"

@@ -29,62 +29,22 @@ def with_extension_language(files: DataFrame) -> DataFrame:
 _TEXT = "CAST(content AS STRING)"
 
 
-def _with_scores(worded: DataFrame, unless: Column | None = None) -> DataFrame:
-    """Add the score of every label; zeros where ``unless`` holds."""
-    scores = {x: detection.score(_TEXT, "_words", x) for x in detection.LABELS}
-    if unless is not None:
-        scores = {x: F.when(unless, F.lit(0)).otherwise(c) for x, c in scores.items()}
-    return worded.select("*", *(c.alias(f"_score_{x}") for x, c in scores.items()))
-
-
-def _best_label() -> Column:
-    scores = {x: F.col(f"_score_{x}") for x in detection.LABELS}
-    return detection.best_label(_TEXT, "_words", scores)
-
-
 _SCORES = tuple(f"_score_{x}" for x in detection.LABELS)
 
 
 def with_content_language(files: DataFrame) -> DataFrame:
     """Add ``content_language``; NULL where the content gives no supported label."""
-    worded = files.withColumn("_words", detection.sign_words(_TEXT))
-    return (
-        _with_scores(worded)
-        .withColumn("content_language", paths.language_of_label(_best_label()))
-        .drop("_words", *_SCORES)
-    )
+    scored = files.select("*", *(detection.score(_TEXT, x).alias(f"_score_{x}") for x in detection.LABELS))
+    best = detection.best_label(_TEXT, {x: F.col(f"_score_{x}") for x in detection.LABELS})
+    return scored.withColumn("content_language", paths.language_of_label(best)).drop(*_SCORES)
 
 
 def with_language(files: DataFrame) -> DataFrame:
     """Add ``language``: the content decides, even against the extension, and the
-    extension where the content gives none.
-
-    A file whose content bears out its extension is not searched for the signs of
-    the other languages; in a source tree that is nearly every file.
-    """
-    label, first = F.col("_label"), F.col("_first")
-    labelled = with_extension_language(files).withColumn(
-        "_label", paths.label_of_language(F.col("extension_language"))
-    )
-    script = label.isin("javascript", "typescript")
-    begun = labelled.select(
-        "*",
-        detection.own_score(_TEXT, "_label", common=True).alias("_first"),
-        F.when(script, detection.score(_TEXT, None, "typescript")).otherwise(F.lit(0)).alias("_typed"),
-    )
-    rest = detection.own_score(_TEXT, "_label", common=False)
-    own = begun.withColumn("_own", F.when(detection.enough(first), first).otherwise(first + rest))
-    own_label = detection.own_label(label, F.col("_own"), F.col("_typed"))
-    borne_out = own.withColumn("_own_label", own_label)
-    searched = F.when(F.col("_own_label").isNull(), detection.sign_words(_TEXT))
-    borne_out = borne_out.withColumn("_words", searched)
-    scored = _with_scores(borne_out, unless=F.col("_own_label").isNotNull())
-    found = F.coalesce(F.col("_own_label"), _best_label())
-    both = scored.withColumn("_found", paths.language_of_label(found))
-    resolved = F.coalesce(F.col("_found"), F.col("extension_language"))
-    return barrier(both, language=resolved).drop(
-        "extension_language", "_words", "_label", "_first", "_own", "_typed", "_own_label", "_found", *_SCORES
-    )
+    extension where the content gives none."""
+    both = with_content_language(with_extension_language(files))
+    resolved = F.coalesce(F.col("content_language"), F.col("extension_language"))
+    return barrier(both, language=resolved).drop("content_language", "extension_language")
 
 
 def supported(files: DataFrame) -> DataFrame:
