@@ -15,7 +15,7 @@ from declcensus.operators import errors, filters, language
 def analyze_files(
     files: DataFrame,
     ignore: Iterable[str] = (),
-    max_depth: int = S.DEFAULT_MAX_DEPTH,
+    max_depth: int = S.ANY_DEPTH,
     follow_links: bool = False,
 ) -> DataFrame:
     """Rows ``(path, language, function_count, class_struct_count, message)``.

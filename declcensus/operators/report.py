@@ -183,15 +183,16 @@ def single_file_text(counts: DataFrame) -> DataFrame:
     )
 
 
-def report(counts: DataFrame, format: str = SUMMARY, detail: bool = False) -> DataFrame:
+def report(
+    counts: DataFrame, format: str = SUMMARY, detail: bool = False, materialized: bool = False
+) -> DataFrame:
     """The report in the chosen format; ``detail`` turns a summary into a detail
-    report and changes nothing else."""
+    report and changes nothing else.  ``materialized`` counts are not written again."""
     if format not in FORMATS:
         raise ValueError(f"format must be one of {', '.join(FORMATS)}")
-    if format == JSON:
-        return json_fragments(ordering.materialize(counts))
-    if format == DETAIL or detail:
-        return detail_lines(ordering.materialize(counts))
+    if format == JSON or format == DETAIL or detail:
+        once = counts if materialized else ordering.materialize(counts)
+        return json_fragments(once) if format == JSON else detail_lines(once)
     return summary_lines(aggregates.language_totals(counts))
 
 

@@ -45,7 +45,7 @@ class Census:
         return errors.status_of(self.analyzed)
 
     def report(self, format: str = report.SUMMARY, detail: bool = False) -> DataFrame:
-        return report.report(self.counts, format, detail)
+        return report.report(self.counts, format, detail, materialized=True)
 
     def summary(self) -> str:
         return report.summary_text(self.by_language)
@@ -54,7 +54,7 @@ class Census:
 def analyze(
     files: DataFrame,
     ignore: Iterable[str] = (),
-    max_depth: int = S.DEFAULT_MAX_DEPTH,
+    max_depth: int = S.ANY_DEPTH,
     follow_links: bool = False,
 ) -> Census:
     """Run over a ``source_files`` table; raise the first error if nothing went through."""
@@ -86,11 +86,13 @@ def analyze_file(files: DataFrame, path: str) -> DataFrame:
     type, unreadable text.
     """
     one = table.single_file(files, path)
-    found = analysis.analyze_files(one, max_depth=_ANY_DEPTH, follow_links=True).collect()
+    found = analysis.analyze_files(one, max_depth=S.ANY_DEPTH, follow_links=True).take(2)
     if not found:
         if one.isEmpty():
             raise FileNotFoundError(f"{errors.IO_MESSAGE}{path} is not a file")
         raise ValueError(f"{errors.UNSUPPORTED_MESSAGE}{path}")
+    if len(found) > 1:
+        raise ValueError(f"{path} is in the table more than once")
     if found[0]["message"] is not None:
         raise OSError(found[0]["message"])
     return files.sparkSession.createDataFrame(
@@ -99,9 +101,6 @@ def analyze_file(files: DataFrame, path: str) -> DataFrame:
     )
 
 
-_ANY_DEPTH = (1 << 31) - 1
-
-
 def analyze_path(
     spark: SparkSession,
     path: str,

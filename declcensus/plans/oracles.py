@@ -301,6 +301,13 @@ WHERE method_count > 0 AND language IN ('JavaScript', 'TypeScript', 'Java')""",
         select="""SELECT path, 'Analyzing file: ' || path || ' (Language: ' || language || ')' || chr(10)
   || 'Code Statistics:' || chr(10) || 'Functions: ' || function_count || chr(10)
   || 'Classes/Structs: ' || class_struct_count AS text FROM counted""",
+    ),
+    "one_file_stats": _sql(
+        _FILES, _BLOCKS, _COUNTED,
+        select="""SELECT path, 'Analyzing file: ' || path || ' (Language: ' || language || ')' || chr(10)
+  || 'Code Statistics:' || chr(10) || 'Functions: ' || function_count || chr(10)
+  || 'Classes/Structs: ' || class_struct_count AS text
+FROM counted WHERE path = (SELECT min(path) FROM counted)""",
     ),
     "language_summary": _sql(
         _FILES, _BLOCKS, _COUNTED, _BY_LANGUAGE,

@@ -20,11 +20,11 @@ from declcensus.operators import (
     report,
     tokens,
 )
-from declcensus.plans import corpus
+from declcensus.plans import census, corpus
 
 IGNORED = (".git", "a-b/")
 MAX_DEPTH = 2
-ANY_DEPTH = S.DEFAULT_MAX_DEPTH
+ANY_DEPTH = S.ANY_DEPTH
 
 
 def _analyzed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,6 +159,14 @@ def file_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- aggregates, order, reports ---------------------------------------------
 
 
+def one_file_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The file with the smallest path, found and counted on its own."""
+    files = corpus.mixed_files(spark, sf_dir)
+    path = _good_files(spark, sf_dir).agg(F.min("path")).first()[0]
+    counts = _counts(spark, sf_dir).limit(0) if path is None else census.analyze_file(files, path)
+    return report.single_file_text(counts)
+
+
 def language_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.ranked_languages(_by_language(spark, sf_dir))
 
@@ -225,6 +233,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "methods_exact": methods_exact,
     "file_stats": file_stats,
     "single_file_stats": single_file_stats,
+    "one_file_stats": one_file_stats,
     "language_summary": language_summary,
     "totals": totals,
     "summary_with_total": summary_with_total,

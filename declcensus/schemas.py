@@ -34,7 +34,9 @@ EXTENSION_TO_LANGUAGE = {
 FUNCTION = "function"
 CLASS_STRUCT = "class_struct"
 
+# The default of a tree; a table has no limit.
 DEFAULT_MAX_DEPTH = 100
+ANY_DEPTH = (1 << 31) - 1
 
 SOURCE_FILES = T.StructType(
     [

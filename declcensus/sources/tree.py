@@ -5,27 +5,37 @@ always follows linked directories, so it cannot stand in for a plain walk.
 
 Walking and reading are two steps.  The walk yields metadata only: the driver goes
 just deep enough to hand out work units, and the tasks walk the rest.  The listing
-is then filtered by path and spread evenly over tasks before any file is opened,
-so a subtree that holds most of the files does not end up in one task.
+is then filtered by path and spread over tasks before any file is opened, more tasks
+the more bytes there are, so a subtree that holds most of the files does not end up
+in one task.
+
+Paths are shown as text; where a name is not valid UTF-8, the bad bytes are replaced
+in the text and ``raw_path`` has the bytes to open.
 """
 
 from __future__ import annotations
 
 import os
+from collections import deque
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from declcensus import schemas as S
 from declcensus.operators import filters
+from declcensus.operators.ordering import materialize
 
-LISTING = "path string, length bigint, depth int, via_link boolean, io_error string"
+LISTING = "path string, length bigint, depth int, via_link boolean, io_error string, raw_path binary"
 FORMAT = "source_tree"
 
-# Bytes handed to Arrow at a time.
+# Bytes handed to Arrow at a time, and bytes a task should read.
 _BATCH_BYTES = 32 << 20
+_TASK_BYTES = 256 << 20
+# A folder with more subfolders than this for each work unit is left to a task whole.
+_WIDE = 16
 # Arrow binary values and Spark rows end below 2 GiB.
 _MAX_FILE = (1 << 31) - (1 << 20)
 
@@ -35,7 +45,7 @@ def os_message(error: OSError) -> str:
 
 
 @dataclass
-class _Directory(InputPartition):
+class _Directory:
     """A directory still to be walked, or (``files_only``) just its own files."""
 
     path: str
@@ -45,6 +55,11 @@ class _Directory(InputPartition):
     files_only: bool = False
 
 
+@dataclass
+class _Unit(InputPartition):
+    directories: list[_Directory]
+
+
 class SourceTree(DataSource):
     """``spark.read.format("source_tree").option(...).load(root)``."""
 
@@ -72,46 +87,57 @@ class _TreeReader(DataSourceReader):
         self.units = units
 
     def partitions(self) -> list[InputPartition]:
-        """Split the widest level reached until there are enough work units.
+        """Split folders until there are enough for ``units`` work units, then deal them out.
 
-        The driver looks at directories only, level by level, and stops once it
-        has ``units`` of them.
+        The driver looks at folders only and opens none that it has enough without.
         """
         if not os.path.isdir(self.root):
             raise FileNotFoundError(f"{self.root} is neither a file nor a directory")
         if self.max_depth < 1:
             return []
-        level = [_Directory(self.root, 0, False, (_identity(self.root),))]
+        pending = deque([_Directory(self.root, 0, False, (_identity(self.root),))])
         done: list[_Directory] = []
-        while level and len(level) + len(done) < self.units:
-            below: list[_Directory] = []
-            for d in level:
-                done.append(
-                    _Directory(d.path, d.depth, d.via_link, d.ancestors, files_only=True)
-                )
-                if d.depth + 1 < self.max_depth:
-                    below.extend(x for x in self._entries(d) if isinstance(x, _Directory))
-            level = below
-        return done + level
-
-    def read(self, partition: _Directory | None) -> Iterator[tuple]:
+        while pending and len(pending) + len(done) < self.units:
+            d = pending.popleft()
+            below = self._below(d)
+            if below is None:
+                done.append(d)
+                continue
+            done.append(_Directory(d.path, d.depth, d.via_link, d.ancestors, files_only=True))
+            pending.extend(below)
+        every = [*done, *pending]
+        return [_Unit(every[k :: self.units]) for k in range(min(self.units, len(every)))]
+
+    def _below(self, directory: _Directory) -> list[_Directory] | None:
+        """The folders in a folder; None if they are too many for the driver to list."""
+        found: list[_Directory] = []
+        if directory.depth + 1 < self.max_depth:
+            for entry in self._entries(directory, folders_only=True):
+                if isinstance(entry, _Directory):
+                    found.append(entry)
+                if len(found) > _WIDE * self.units:
+                    return None
+        return found
+
+    def read(self, partition: _Unit | None) -> Iterator[tuple]:
         # Without work units Spark asks once, for no unit at all.
-        pending = [partition] if partition is not None else []
+        pending = list(partition.directories) if partition is not None else []
         while pending:
             directory = pending.pop()
             for entry in self._entries(directory):
                 if not isinstance(entry, _Directory):
-                    yield entry
+                    yield _row(*entry)
                 elif not directory.files_only and entry.depth < self.max_depth:
                     pending.append(entry)
 
-    def _entries(self, directory: _Directory) -> Iterator[_Directory | tuple]:
+    def _entries(self, directory: _Directory, folders_only: bool = False) -> Iterator[_Directory | tuple]:
         """Files and errors of one directory as rows, its subdirectories to walk."""
         depth = directory.depth + 1
         try:
             with os.scandir(directory.path) as entries:
                 for entry in entries:
-                    yield from self._entry(directory, entry, depth)
+                    if not folders_only or entry.is_dir():
+                        yield from self._entry(directory, entry, depth)
         except OSError as e:
             yield _error(directory.path, directory.depth, directory.via_link, e)
 
@@ -137,6 +163,13 @@ class _TreeReader(DataSourceReader):
             yield _error(entry.path, depth, directory.via_link, e)
 
 
+def _row(path: str, *rest) -> tuple:
+    raw = os.fsencode(path)
+    shown = raw.decode("utf-8", "replace")
+    message = rest[-1] and os.fsencode(rest[-1]).decode("utf-8", "replace")
+    return (shown, *rest[:-1], message, None if shown == path else raw)
+
+
 def _identity(path: str) -> tuple[int, int]:
     info = os.stat(path)
     return info.st_dev, info.st_ino
@@ -184,14 +217,19 @@ def _read_batches(batches: Iterable) -> Iterator:
     for batch in batches:
         for row in batch.to_pylist():
             row["content"] = None
+            raw = row.pop("raw_path")
             if row["io_error"] is None:
                 if row["length"] > _MAX_FILE:
                     row["io_error"] = "file is larger than a row can hold"
                 else:
                     try:
-                        with open(row["path"], "rb") as f:
-                            row["content"] = f.read()
-                        size += len(row["content"])
+                        with open(row["path"] if raw is None else raw, "rb") as f:
+                            content = f.read()
+                        if rows and size + len(content) > _BATCH_BYTES:
+                            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                            rows, size = [], 0
+                        row["content"] = content
+                        size += len(content)
                     except OSError as e:
                         row["io_error"] = os_message(e)
             rows.append(row)
@@ -203,8 +241,11 @@ def _read_batches(batches: Iterable) -> Iterator:
 
 
 def read_contents(listing: DataFrame, tasks: int | None = None) -> DataFrame:
-    """Open the listed files, spread evenly over tasks."""
-    tasks = tasks or 4 * listing.sparkSession.sparkContext.defaultParallelism
+    """Open the listed files, spread over tasks: more the more bytes there are."""
+    if tasks is None:
+        listing = materialize(listing)
+        size = listing.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+        tasks = max(4 * listing.sparkSession.sparkContext.defaultParallelism, -(-size // _TASK_BYTES))
     return listing.repartition(tasks).mapInArrow(_read_batches, S.SOURCE_FILES)
 
 
@@ -226,5 +267,5 @@ def source_files(
 
 def one_file(spark: SparkSession, path: str) -> DataFrame:
     """A single file in the ``source_files`` layout."""
-    row = (path, os.stat(path).st_size, 1, False, None)
+    row = _row(path, os.stat(path).st_size, 1, False, None)
     return read_contents(spark.createDataFrame([row], LISTING), tasks=1)

@@ -127,3 +127,31 @@ def test_report_of_one_file(spark, project):
     )
     with pytest.raises(ValueError, match="Unsupported file type"):
         census.analyze_path(spark, f"{project}/README.md")
+
+
+def test_a_name_that_is_not_utf8_is_a_row(spark, tmp_path):
+    (tmp_path / "a.rs").write_text("fn f() {}")
+    with open(os.path.join(os.fsencode(str(tmp_path)), b"b\xff.rs"), "wb") as f:
+        f.write(b"fn g() {}\nfn h() {}")
+    got = {r["path"]: r["function_count"] for r in census.analyze_directory(spark, str(tmp_path)).counts.collect()}
+    assert got == {f"{tmp_path}/a.rs": 1, f"{tmp_path}/b\ufffd.rs": 2}
+
+
+def test_a_wide_level_gives_no_more_partitions_than_units(tmp_path):
+    for k in range(40):
+        (tmp_path / f"d{k}" / "e").mkdir(parents=True)
+    reader = tree._TreeReader(str(tmp_path), 100, False, 8)
+    parts = reader.partitions()
+    assert len(parts) == 8 and sum(len(p.directories) for p in parts) >= 40
+    narrow = tree._TreeReader(str(tmp_path), 100, False, 2)
+    assert len(narrow.partitions()) <= 2
+
+
+def test_a_folder_too_wide_for_the_driver_is_one_unit(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tree, "_WIDE", 1)
+    for k in range(30):
+        (tmp_path / f"d{k}").mkdir()
+        (tmp_path / f"d{k}" / "x.rs").write_text("")
+    reader = tree._TreeReader(str(tmp_path), 100, False, 4)
+    parts = reader.partitions()
+    assert len(parts) == 1 and sum(1 for p in parts for _ in reader.read(p)) == 30
