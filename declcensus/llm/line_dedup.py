@@ -65,7 +65,8 @@ def repeats(df: DataFrame, key: str = "doc_id", text: str = "text", run: int = R
     found = materialize(
         rows.mapInArrow(lambda it: _winnowed(it, run), "id long, first long, fingerprint long, around array<long>")
     )
-    often = found.groupBy("fingerprint").count().filter("count > 1").select("fingerprint")
+    # Tables of their own, so that the joins have an exchange on either side and a hot key can be split.
+    often = materialize(found.groupBy("fingerprint").count().filter("count > 1").select("fingerprint"))
     starts = F.sequence(F.lit(0), F.size("around") - run)
     runs = (
         found.join(often, "fingerprint")
@@ -74,7 +75,9 @@ def repeats(df: DataFrame, key: str = "doc_id", text: str = "text", run: int = R
         .distinct()
     )
     runs = materialize(runs)
-    earliest = runs.groupBy("run").agg(F.min(F.struct("id", "line")).alias("e"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    earliest = materialize(
+        runs.groupBy("run").agg(F.min(F.struct("id", "line")).alias("e"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    )
     later = runs.join(earliest.select("run", "e"), "run").filter(F.struct("id", "line") > F.col("e")).select("id", "line").distinct()
     order = W.partitionBy("id").orderBy("line")
     fresh = F.coalesce((F.col("line") - F.lag("line").over(order) > run).cast("int"), F.lit(1))
