@@ -123,8 +123,8 @@ _TS_INTERFACE = (
 _TS_ARGUMENTS = rf"(?<=[\p{{L}}\p{{N}}_$]){R.ANGLES}(?=\s*+[(\[;,)=>{{|&])"
 # An arrow before the name of a built-in type makes a type wherever it stands.
 _TS_BUILT_IN = (
-    r"=>(?=\s*+(?:void|string|number|boolean|any|unknown|never|bigint|symbol|object)(?![\p{L}\p{N}_$])"
-    r"(?![ \t]*+[\p{L}\p{N}_$(.+\-*/]))"
+    r"=>\s*+(?:void|string|number|boolean|any|unknown|never|bigint|symbol|object)(?![\p{L}\p{N}_$])"
+    r"(?![ \t]*+[\p{L}\p{N}_$(.+\-*/])"
 )
 _TS_CAST = rf"\b(?:as|satisfies)\s++{R.PARENS}\s*+=>"
 _TS_MODIFIER = r"(?:(?:public|private|protected|readonly|override)\s++)*+"
@@ -243,7 +243,7 @@ def _strip_types(masked: Column) -> Column:
     """TypeScript text without the type positions that can hold an arrow."""
     text = _strip(masked, _TS_INTERFACE)
     for pattern, keep in (
-        (_TS_BUILT_IN, " : "),
+        (_TS_BUILT_IN, " : T "),
         (_TS_CAST, " "),
         (_TS_ARGUMENTS, " "),
         (_TS_PARAMETER, "$1"),

@@ -71,6 +71,10 @@ _RUST_BLOCKS = (
         "enum Kind_{i} { A, B(fn(i32) -> i32) } «// enum Fake {line}»\n",
         ((TYPE, "enum_item", "Kind_{i}"),),
     ),
+    Block(
+        "fn grid_{i}(a: [[f64; 3]; 3]) -> [[f64; 3]; 3] { a }\n«// {line}»\n",
+        ((FN, "function_item", "grid_{i}"),),
+    ),
     Block(
         "const TEXT_{i}: &str = «r#\"struct Raw { \"{quoted}\" } fn raw() {}\"#»;\n"
         "async fn run_{i}() { let f = |x: i32| x + 1; make!(fn inner() {} struct In;); }\n«// {line}»\n",
@@ -94,6 +98,10 @@ _GO_BLOCKS = (
         "\t\tWrite(p []byte) (int, error)\n\t}\n\tSecond_{i}[T any] struct{ v T }\n)\n«// {line}»\n",
         ((TYPE, "type_spec", "First_{i}"), (TYPE, "type_spec", "Second_{i}")),
     ),
+    Block(
+        "type Arr_{i} [N + 1]struct{}\n«// {line}»\ntype Of_{i}[K comparable, V any] struct{ m map[K]V }\n",
+        ((TYPE, "type_spec", "Of_{i}"),),
+    ),
     Block(
         "type Named_{i} []struct{ n int }\nconst text_{i} = «`type Fake struct {} {quoted}`»\n«// {line}»\n",
         (),
@@ -177,6 +185,20 @@ _TYPESCRIPT_BLOCKS = (
         "    protected stop(code: number): Promise<void> { return null; }\n}\n«// {line}»\n",
         ((FN, "method_definition", "stop"),),
     ),
+    Block(
+        "class Hub_{i} {\n    private cb: ((x: number) => void) | null = null;\n"
+        "    private subs: ((x: number) => void)[] = [];\n"
+        "    private map: { [k: string]: (x: number) => void } = {};\n"
+        "    handler: (e: Event) => void\n    go() {}\n}\n"
+        "let v_{i}: ((a: number) => string) | undefined;\nlet w_{i}: { a: () => void; b: () => void };\n"
+        "declare const x_{i}: (a: number) => void\n"
+        "function f_{i}(): { a: () => void } { return v; }\n«// {line}»\n",
+        (
+            (TYPE, "class_declaration", "Hub_{i}"),
+            (FN, "method_definition", "go"),
+            (FN, "function_declaration", "f_{i}"),
+        ),
+    ),
     *_SCRIPT_COMMON,
 )
 
@@ -209,6 +231,16 @@ _JAVA_BLOCKS = (
             (FN, "method_declaration", "id"),
         ),
     ),
+    Block(
+        "enum Op_{i} implements Run {\n    ONE(«\"x\"») { public void run() {} };\n    Op_{i}(String s) {}\n}\n"
+        "@interface Tag_{i} {\n    String value() default «\"{quoted}\"»;\n    class In_{i} { void go() {} }\n}\n«// {line}»\n",
+        (
+            (FN, "method_declaration", "run"),
+            (FN, "constructor_declaration", "Op_{i}"),
+            (TYPE, "class_declaration", "In_{i}"),
+            (FN, "method_declaration", "go"),
+        ),
+    ),
     Block(
         "record Point_{i}(int x, int y) {}\n@interface Mark_{i} { String value(); }\n"
         "abstract class Part_{i} {\n    «/* interface No {line_c} */»\n    abstract void run(Runnable r);\n"
@@ -240,7 +272,8 @@ BLOCKS = {
 }
 
 # Slot of a document in the mixed corpus: (language of the code, extension).
-# The seventh is a script without extension, the eighth plain prose.
+# The seventh is a script without extension, the eighth plain prose; in the ninth content
+# and extension disagree.
 SLOTS = (
     (S.RUST, ".rs"),
     (S.GO, ".Go"),
@@ -250,6 +283,7 @@ SLOTS = (
     (S.JAVA, ".java"),
     (S.PYTHON, ""),
     (None, ".spec.txt"),
+    (S.PYTHON, ".js"),
 )
 SHEBANG = "#!/usr/bin/env python3\n"
 FOLDERS = ("a/", "a-b/", "src/main/x/", ".git/", "_gen/", "", "a/b.d/")
