@@ -57,13 +57,17 @@ def _opens(role: Column) -> Column:
 
 
 def bracket_chunks(files: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """Rows ``(path, language, chunk, before, roles)``: ``before`` is the nesting
-    depth at the start of the chunk, summed up inside the row."""
+    """Rows ``(file, path, language, chunk, before, roles)``: ``before`` is the nesting
+    depth at the start of the chunk, summed up inside the row; ``file`` is a number, and
+    the path is there in the first chunk only."""
     code = counts.with_code(files.filter(F.col("language").isin(*counting.METHOD_BRACKETS)))
     reduced = with_bracket_roles(code.select("path", "language", "code"))
-    kept = reduced.filter(F.rlike("roles", F.lit(f"[{_OPEN_BODY}{_OPEN_ANY}]")))
+    kept = reduced.filter(F.rlike("roles", F.lit(f"[{_OPEN_BODY}{_OPEN_ANY}]"))).withColumn(
+        "file", F.monotonically_increasing_id()
+    )
     last = F.floor((F.length("roles") - 1) / chunk).cast("int")
     cut = kept.select(
+        "file",
         "path",
         "language",
         F.transform(
@@ -82,9 +86,10 @@ def bracket_chunks(files: DataFrame, chunk: int = CHUNK) -> DataFrame:
         lambda acc, n: F.array_append(acc, F.element_at(acc, -1) + n),
     )
     return cut.select(
-        "path", "language", F.posexplode(F.arrays_zip("parts", before.alias("before"))).alias("chunk", "part")
+        "file", "path", "language", F.posexplode(F.arrays_zip("parts", before.alias("before"))).alias("chunk", "part")
     ).select(
-        "path",
+        "file",
+        F.when(F.col("chunk") == 0, F.col("path")).alias("path"),
         "language",
         "chunk",
         F.col("part.before").alias("before"),
@@ -96,61 +101,44 @@ def method_counts(files: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Rows ``(path, language, method_count)`` of the files that have a method.
 
     The chunks are a small part of the text and are read twice, so they are
-    materialized.
+    materialized.  Tokens carry a file number; the path is joined to the counts.
     """
     chunks = ordering.materialize(bracket_chunks(files, chunk))
     tokens = chunks.select(
-        "path",
-        "language",
-        "chunk",
-        "before",
-        F.posexplode(F.split("roles", "")).alias("pos", "role"),
+        "file", "chunk", "before", F.posexplode(F.split("roles", "")).alias("pos", "role")
     ).filter(F.col("role") != "")
 
     # Depth of a pair: the running sum at its opening, one more than at its closing.
     step = F.when(_opens(F.col("role")), 1).otherwise(-1)
     running = F.sum(step).over(
-        W.partitionBy("path", "chunk").orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)
+        W.partitionBy("file", "chunk").orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)
     )
     opened = _opens(F.col("role"))
-    nested = tokens.select(
-        "path",
-        "language",
-        "chunk",
-        "pos",
-        "role",
-        (F.col("before") + running + F.when(opened, 0).otherwise(1)).alias("depth"),
-    )
+    depth = F.col("before") + running + F.when(opened, 0).otherwise(1)
+    nested = tokens.select("file", "chunk", "pos", "role", depth.alias("depth"))
 
     # Inside a chunk the next parenthesis of the same depth is the partner.
-    same_depth = W.partitionBy("path", "chunk", "depth").orderBy("pos")
+    same_depth = W.partitionBy("file", "chunk", "depth").orderBy("pos")
     local = nested.select(
         "*",
         F.lead("role").over(same_depth).alias("partner"),
         F.lag("role").over(same_depth).alias("previous"),
     )
-    paired = local.filter(opened & F.col("partner").isNotNull()).select(
-        "path", "language", "role", "partner"
-    )
-    # Pairs cut by a chunk end: at most two rows per chunk and depth are left over.
-    left_over = local.filter(
-        (opened & F.col("partner").isNull()) | (~opened & F.col("previous").isNull())
-    )
-    across = left_over.select(
-        "path",
-        "language",
-        "role",
-        F.lead("role")
-        .over(W.partitionBy("path", "depth").orderBy("chunk", "pos"))
-        .alias("partner"),
-    ).filter(opened)
     role, partner = F.col("role"), F.col("partner")
     is_method = ((role == _OPEN_BODY) & (partner == _CLOSE_BODY)) | (
         (role == _OPEN_ANY) & partner.isin(_CLOSE_BODY, _CLOSE_END)
     )
-    return (
-        paired.unionByName(across)
-        .filter(is_method)
-        .groupBy("path", "language")
+    # Pairs cut by a chunk end: at most two rows per chunk and depth are left over.
+    left_over = (opened & partner.isNull()) | (~opened & F.col("previous").isNull())
+    found = ordering.materialize(local.filter(left_over | is_method).drop("previous"))
+    across = found.filter(partner.isNull() | ~opened).withColumn(
+        "partner", F.lead("role").over(W.partitionBy("file", "depth").orderBy("chunk", "pos"))
+    )
+    counted = (
+        found.filter(is_method).select("file")
+        .unionByName(across.filter(opened & is_method).select("file"))
+        .groupBy("file")
         .agg(F.count("*").alias("method_count"))
     )
+    named = chunks.filter(F.col("chunk") == 0).select("file", "path", "language")
+    return counted.join(named, "file").select("path", "language", "method_count")
