@@ -161,14 +161,15 @@ def classes(
             "id long, digest binary, size int, keys array<long>",
         )
     )
-    folded = rows.groupBy("digest").agg(F.min("id").alias("rep"))
+    # Tables of their own, so that the joins have an exchange on either side and a hot key can be split.
+    folded = materialize(rows.groupBy("digest").agg(F.min("id").alias("rep")))
     equal = rows.select("id", "digest").join(folded, "digest").select("id", "rep")
     reps = rows.join(folded, "digest").filter("id = rep").select("rep", "size", "keys").distinct()
     banded = reps.select("rep", "size", F.explode("keys").alias("bucket"))
-    first = banded.groupBy("bucket").agg(F.min(F.struct("rep", "size")).alias("first"), F.count(F.lit(1)).alias("n"))
-    buckets = materialize(
-        banded.join(first.filter("n > 1"), "bucket").select("bucket", "rep", "size", "first")
+    first = materialize(
+        banded.groupBy("bucket").agg(F.min(F.struct("rep", "size")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     )
+    buckets = materialize(banded.join(first, "bucket").select("bucket", "rep", "size", "first"))
     members = materialize(
         buckets.filter(F.col("rep") != F.col("first.rep"))
         .select(F.col("first.rep").alias("a"), F.col("first.size").alias("a_size"), F.col("rep").alias("b"), "size").distinct()

@@ -225,7 +225,8 @@ def repeats(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: f
     links = _links(found, texts, threshold)
     roots = materialize(components(materialize(links)))
     equal = distinct.filter("n > 1").select("digest")
-    classes = (
+    # Tables of their own, so that the joins have an exchange on either side and a hot key can be split.
+    classes = materialize(
         roots.select(F.col("id").alias("digest"), "root").join(equal, "digest", "full")
         .select("digest", F.coalesce("root", "digest").alias("class_id"))
     )
@@ -233,9 +234,12 @@ def repeats(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: f
         texts.mapInArrow(_placed, "id long, digest long, first long, words long").join(classes, "digest")
         .select("id", "first", "words", "class_id")
     )
-    across = placed.groupBy("class_id").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most")
-    members = materialize(placed.join(across.select("class_id"), "class_id").transform(_long_enough))
-    keeper = members.groupBy("class_id").agg(F.min(F.struct("id", "first")).alias("keeper"))
+    across = materialize(
+        placed.groupBy("class_id").agg(F.min("id").alias("least"), F.max("id").alias("most"))
+        .filter("least < most").select("class_id")
+    )
+    members = materialize(placed.join(across, "class_id").transform(_long_enough))
+    keeper = materialize(members.groupBy("class_id").agg(F.min(F.struct("id", "first")).alias("keeper")))
     return members.join(keeper, "class_id").select(
         F.col("id").alias(key), F.col("first").alias("first_word"), "words", "class_id",
         F.col("keeper.id").alias(f"keep_{key}"), (F.struct("id", "first") != F.col("keeper")).alias("removed"),
