@@ -391,11 +391,11 @@ COMMENT_BLOCKS = {
 
 BROKEN_BLOCKS = {
     S.RUST: Block("fn broken_{i}( { «// {line}»\n", ()),
-    S.GO: Block("func broken_{i}( { «// {line}»\n", ()),
+    S.GO: Block("func broken_{i}( { «/* {line}»\n", ()),
     S.PYTHON: Block("def broken_{i}(: «# {line}»\n", ()),
     S.JAVASCRIPT: Block("function broken_{i}( { «// {line}»\n", ()),
     S.TYPESCRIPT: Block("function broken_{i}( { «// {line}»\n", ()),
-    S.JAVA: Block("void broken_{i}( { «// {line}»\n", ()),
+    S.JAVA: Block("void broken_{i}( { «/* {line}»\n", ()),
 }
 
 UNICODE_BLOCKS = {
