@@ -25,7 +25,6 @@ are classes of their own (``class_id`` null).
 
 from __future__ import annotations
 
-import re
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -43,14 +42,13 @@ WORDS = 5
 THRESHOLD = 0.8
 SKETCHES = 16
 CHOSEN = 3
-_WORD = re.compile(r"\w+")
 _MEMBERS = 512
 _BLOCK = 1 << 20
 _CELLS = 1 << 20
 
 
-def labelled_shingles(text: str | None, hashes: B.WordHashes, words: int = WORDS) -> np.ndarray:
-    return B.labelled(B.shingles(hashes.of(_WORD.findall((text or "").lower())), words))
+def labelled_shingles(text: str | None, words: int = WORDS) -> np.ndarray:
+    return B.labelled(B.shingles(B.Tokens([text]).keys, words))
 
 
 def order_minhash(values: np.ndarray, sketches: int = SKETCHES, chosen: int = CHOSEN) -> np.ndarray:
@@ -98,11 +96,13 @@ def _increasing(values: list[int]) -> int:
 
 
 def _sketched(it: Iterator[pa.RecordBatch], words: int, sketches: int, chosen: int) -> Iterator[pa.RecordBatch]:
-    hashes = B.WordHashes()
     for batch in B.slices(it):
         digests, sizes, keys = [], [], []
-        for text in batch.column(1).to_pylist():
-            values = labelled_shingles(text, hashes, words)
+        texts = batch.column(1).to_pylist()
+        tokens = B.Tokens(texts)
+        ends = np.searchsorted(tokens.owner, np.arange(len(texts)), "right")
+        for text, own in zip(texts, np.split(tokens.keys, ends[:-1]), strict=True):
+            values = B.labelled(B.shingles(own, words))
             digests.append(xxhash.xxh3_128_digest(values.tobytes() if len(values) else b"-" + (text or "").encode("utf-8", "surrogatepass")))
             sizes.append(len(values))
             keys.append(order_minhash(values, sketches, chosen).view(np.int64))
@@ -114,13 +114,13 @@ def _sketched(it: Iterator[pa.RecordBatch], words: int, sketches: int, chosen: i
 
 def _verified(it: Iterator[pa.RecordBatch], words: int, threshold: float) -> Iterator[pa.RecordBatch]:
     """Rows come in groups (a, part): the text of a first, then those to compare it with."""
-    hashes, group, leaders = B.WordHashes(), None, []
+    group, leaders = None, []
     for batch in B.slices(it):
         found = []
         for a, part, b, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if (a, part) != group:
                 group, leaders = (a, part), []
-            values = labelled_shingles(text, hashes, words)
+            values = labelled_shingles(text, words)
             if b is None:
                 leaders.append(values)
             elif any(aligned(x, values, threshold) for x in leaders):
@@ -219,7 +219,7 @@ def _compare(blocks: DataFrame, texts: DataFrame, words: int, threshold: float)
 
 
 def _compared(it: Iterator[pa.RecordBatch], words: int, threshold: float) -> Iterator[pa.RecordBatch]:
-    hashes, key, held = B.WordHashes(), None, []
+    key, held = None, []
 
     def out() -> pa.RecordBatch:
         found = links_between(key, held, threshold) if held else []
@@ -230,7 +230,7 @@ def _compared(it: Iterator[pa.RecordBatch], words: int, threshold: float) -> Ite
             if (a, i, j) != key:
                 yield out()
                 key, held = (a, i, j), []
-            held.append((b, group, own, labelled_shingles(text, hashes, words)))
+            held.append((b, group, own, labelled_shingles(text, words)))
     yield out()
 
 
@@ -272,5 +272,7 @@ def links_between(key: tuple[int, int, int], held: list, threshold: float) -> li
 
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", **parameters) -> DataFrame:
     """The rows of ``df`` without those of a class other than its smallest id."""
-    gone = classes(df, key, text, **parameters).filter("NOT kept").select(F.col(key).alias("_gone")).distinct()
-    return df.join(gone, F.col(f"`{key}`") == F.col("_gone"), "left_anti")
+    rows = df.toDF(*[f"c{k}" for k in range(len(df.columns))])
+    own = F.col(rows.columns[df.columns.index(key)])
+    gone = classes(df, key, text, **parameters).filter("NOT kept").select(F.col(key).alias("id")).distinct()
+    return rows.join(gone, own == F.col("id"), "left_anti").toDF(*df.columns)

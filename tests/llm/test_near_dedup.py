@@ -18,8 +18,7 @@ def edited(text, seed, edits):
 
 
 def brute_classes(rows):
-    hashes = B.WordHashes()
-    values = [(i, t, N.labelled_shingles(t, hashes)) for i, t in rows if i is not None]
+    values = [(i, t, N.labelled_shingles(t)) for i, t in rows if i is not None]
     root = {i: i for i, _, _ in values}
 
     def find(x):

@@ -3,7 +3,6 @@ import os
 import pytest
 
 import corpus_pipeline
-from declcensus.llm import batches as B
 from declcensus.llm import decontamination as D
 from declcensus.llm import near_dedup, queries
 from tests.llm.test_near_dedup import brute_classes
@@ -46,6 +45,5 @@ def test_stages_take_awkward_rows(spark, awkward, nothing):
 
 
 def test_shingles_of_short_texts():
-    hashes = B.WordHashes()
-    assert len(near_dedup.labelled_shingles("one two", hashes)) == 1
-    assert len(near_dedup.labelled_shingles(None, hashes)) == 0
+    assert len(near_dedup.labelled_shingles("one two")) == 1
+    assert len(near_dedup.labelled_shingles(None)) == 0
