@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 VOCABULARY = 200_000
 
 

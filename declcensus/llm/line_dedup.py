@@ -101,8 +101,10 @@ def without_lines(text: Column, runs: Column) -> Column:
 def cleaned(df: DataFrame, key: str = "doc_id", text: str = "text", run: int = RUN) -> DataFrame:
     """The rows of ``df`` with the repeated lines taken out of their text."""
     names = df.columns
-    gone = repeats(df, key, text, run).groupBy(F.col(key).alias("_id")).agg(
-        F.collect_list(F.struct("first_line", "last_line")).alias("_runs")  # of one document
+    rows = df.toDF(*[f"c{k}" for k in range(len(names))])
+    own, at = rows.columns[names.index(key)], rows.columns[names.index(text)]
+    gone = repeats(df, key, text, run).groupBy(F.col(key).alias("id")).agg(
+        F.collect_list(F.struct("first_line", "last_line")).alias("runs")  # of one document
     )
-    joined = df.join(gone, F.col(f"`{key}`") == F.col("_id"), "left")
-    return joined.select(*[without_lines(F.col(f"`{c}`"), F.col("_runs")).alias(c) if c == text else F.col(f"`{c}`") for c in names])
+    joined = rows.join(gone, F.col(own) == F.col("id"), "left")
+    return joined.select(*[without_lines(F.col(c), F.col("runs")) if c == at else F.col(c) for c in rows.columns]).toDF(*names)

@@ -2,7 +2,10 @@ import random
 
 import pytest
 
-COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, id string, `_text` int, keep_id int, `class` string, share double"
+COLUMNS = (
+    "doc_id long, text string, lang string, source string, n_chars long, id string, `_text` int, keep_id int, "
+    "`class` string, share double, `_id` int, `_gone` int, `_row` int, c0 int, `a.b` int, row int"
+)
 
 
 def prose(seed: int, words: int, syllables: str = "ka lo mi ren tas vor pel dun shi gra") -> str:
@@ -22,7 +25,7 @@ def awkward(spark):
         (10, "one", "yy", "b"), (11, "one", "yy", "b"), (12, "Ünïcode ß 中文 \U0001f600", "yy", "b"),
         (13, prose(5, 50), "yy", "b"), (13, prose(5, 50), "yy", "b"), (14, "a\n\n\nb\na\n\n\nb", "yy", "b"),
     ]
-    return spark.createDataFrame([(*r, None, "x", 1, 2, "c", 0.5) for r in rows], COLUMNS)
+    return spark.createDataFrame([(*r, None, "x", 1, 2, "c", 0.5, 1, 1, 1, 1, 1, 1) for r in rows], COLUMNS)
 
 
 @pytest.fixture(scope="session")
