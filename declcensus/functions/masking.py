@@ -62,6 +62,13 @@ _REGEX_LITERAL = (
     r"(?:[^/\\\[\n]++|\\[^\n]|\[(?:[^\]\\\n]++|\\[^\n])*+\])++/[a-z]*+"
 )
 
+# In text between tags an apostrophe follows a letter, and a URL has its two slashes;
+# neither starts a literal or a comment.
+_NOT_IN_A_WORD = (
+    r"(?:(?<![\p{L}\p{N}_$])|(?<=\b(?:return|case|typeof|in|of|default|from|import|else|await|yield|void)))"
+)
+_NOT_A_URL = r"(?<!\bhttps?:)"
+
 # Put back: the code of each substitution of a template literal (groups 1, 6), a
 # quoted method name (2), and the quote of a plain literal (3 to 5), twice, so that
 # an operand is left where one was.  ``\G`` after a closing brace can only follow a
@@ -69,11 +76,11 @@ _REGEX_LITERAL = (
 SCRIPT_MASK = R.any_of(
     rf"\G(?<=\}}){_TEXT}\$\{{({_CODE})\}}",
     rf"\G(?<=\}}){_TEXT}`",
-    r"//[^\n]*+(?:\n|\z)",
+    rf"{_NOT_A_URL}//[^\n]*+(?:\n|\z)",
     _BLOCK_COMMENT,
     rf"[\"']({R.DOLLAR_NAME})[^\"'\n]*+[\"'](?=\s*+\([^()]*+\)\s*+\{{)",
     R.unrolled('"', close='(")'),
-    R.unrolled("'", close="(')"),
+    _NOT_IN_A_WORD + R.unrolled("'", close="(')"),
     rf"`{_TEXT}(`)",
     rf"`{_TEXT}\$\{{({_CODE})\}}",
     _REGEX_LITERAL,

@@ -25,6 +25,9 @@ OTHERS = [
     ("Go", "package p\n\ntype Arr [N + 1]struct{}\n\ntype Set[T comparable] struct {\n\tm map[T]bool\n}\n\ntype Pair[K, V any] struct{}\n", 0, 2),
     ("Java", 'enum E implements I { ONE("x") { public void f() {} }; E(String s) {} }', 2, 0),
     ("Java", "@interface M { String value() default \"x\"; int[] n() default {1, 2}; class I { void f() {} } }\nclass A { A() {} }", 2, 2),
+    ("JavaScript", "function C() { return <p>Don't {xs.map(x => x)} and won't</p>; }", 2, 0),
+    ("JavaScript", "function C() { return <p>see http://x {xs.map(x => x)}</p>; }\nfunction d() {}", 3, 0),
+    ("JavaScript", "switch (a) { case'x => y': return'() => 1'; } // () => 2\nvar s = 'http://x => y', t = \"https://a\";", 0, 0),
     ("JavaScript", "a(1)\n" + " " * 300 + "\nclass A {\n" + " " * 200 + "m() {}\n}", 1, 1),
 ]
 
