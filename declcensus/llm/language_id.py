@@ -80,7 +80,7 @@ def _counted(rows: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBat
     def out(lang: str) -> pa.RecordBatch:
         keys, counts = held.pop(lang)
         return pa.RecordBatch.from_arrays(
-            [pa.array([lang] * len(keys)), pa.array(keys.view(np.int64)), pa.array(counts)],
+            [pa.array([lang] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(counts, pa.int64())],
             names=["lang", "gram", "n"],
         )
 
