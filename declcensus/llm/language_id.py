@@ -63,9 +63,10 @@ def _grams(texts: list[str | None], size: int) -> tuple[np.ndarray, np.ndarray,
     begin = np.searchsorted(owners, lettered, "left")
     end = np.searchsorted(owners, lettered, "right")
     lacking = np.maximum(0, size - 1 - (end - begin))
-    places = np.concatenate((begin, np.repeat(end, lacking)))
+    # Where one text ends and the next begins, the end comes first.
+    places = np.concatenate((np.repeat(end, lacking), begin))
     stream = np.insert(stream, places, 0)
-    owners = np.insert(owners, places, np.concatenate((lettered, np.repeat(lettered, lacking))))
+    owners = np.insert(owners, places, np.concatenate((np.repeat(lettered, lacking), lettered)))
     count = max(0, len(stream) - size + 1)
     packed = np.zeros(count, np.uint64)
     for k in range(size):
