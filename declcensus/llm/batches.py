@@ -79,15 +79,18 @@ def spans_hashed(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base:
 class Tokens:
     """Words of some texts, lower-cased: runs of letters, digits and underscores.
 
-    ``keys`` are their hashes, ``owner`` the text of each, ``fresh`` marks the first of a line.
+    ``keys`` are their hashes, ``owner`` the text of each, ``fresh`` marks the first of a line;
+    ``starts`` and ``ends`` are their places in ``lowered``, all texts in one.
     """
 
     def __init__(self, texts: list[str | None]) -> None:
         lowered = [(t or "").lower() + "\n" for t in texts]
-        codes = np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), np.uint32)
+        self.lowered = "".join(lowered)
+        codes = np.frombuffer(self.lowered.encode("utf-32-le", "surrogatepass"), np.uint32)
         inside = _word_characters()[codes]
         before = np.concatenate(([False], inside[:-1]))
         starts, ends = np.flatnonzero(inside & ~before), np.flatnonzero(before & ~inside)
+        self.starts, self.ends = starts, ends
         values = mix(codes.astype(np.uint64) + np.uint64(1))
         self.keys = spans_hashed(values, starts, ends, _STEP)
         self.owner = np.searchsorted(np.cumsum([len(t) for t in lowered]), starts, "right")
@@ -138,6 +141,20 @@ def labelled(values: np.ndarray) -> np.ndarray:
     return mix(values ^ (number * np.uint64(0x9E3779B97F4A7C15)))
 
 
+def labelled_each(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """What :func:`labelled` gives for each of the runs of ``sizes`` values."""
+    if len(values) == 0:
+        return values
+    run = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.lexsort((values, run))
+    ranked, own = values[order], run[order]
+    fresh = np.concatenate(([True], (ranked[1:] != ranked[:-1]) | (own[1:] != own[:-1])))
+    position = np.arange(len(values))
+    number = np.empty(len(values), np.uint64)
+    number[order] = (position - np.maximum.accumulate(np.where(fresh, position, 0))).astype(np.uint64)
+    return mix(values ^ (number * np.uint64(0x9E3779B97F4A7C15)))
+
+
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order, and the sum of the counts of each."""
     if len(keys) == 0:

@@ -1,10 +1,12 @@
 """Substring deduplication by paragraph MinHash banding.
 
-Paragraphs are lines, cut further where a smallest hash of two neighbouring words in a
-window of ``WINDOW`` words falls.  The cuts depend on the words around them only, so a
-passage of more than twice the window that was pasted anywhere is cut the same way
-inside, and holds whole paragraphs of its own.  Paragraphs under ``LEAST_WORDS`` words say
-too little and are passed over.
+Paragraphs are whole lines, and pieces of lines, cut where a smallest hash of two
+neighbouring words in a window of ``WINDOW`` words falls.  The cuts depend on the words
+around them only, so a passage of more than twice the window that was pasted anywhere is
+cut the same way inside.  Paragraphs under ``LEAST_WORDS`` words say too little and are
+passed over.  Pieces of a pasted passage can be short, so runs of ``PASSAGE`` words at
+winnowed places are paragraphs too, which are the same only if all words are: any passage
+of ``SPAN`` words or more holds one of them, whatever stands around it.
 
 Equal paragraphs are folded by a digest.  Distinct ones get a MinHash per band over their
 five-word shingles; :func:`bands` finds the number of bands for a wanted recall at the
@@ -12,6 +14,8 @@ threshold.  Paragraphs that collide in a band are compared in full (Jaccard simi
 labelled shingles, in order), block against block with an inverted index, so no link is
 lost and no task gets an unbounded group.  Connected components of the links are the
 classes; the first occurrence of a class, by id and position, stays and the others go.
+A line and its pieces are classed on their own, so places can overlap; what overlaps the
+occurrence that stays is part of it and stays too.
 
 Classes within a single document are left alone: line deduplication is for those.  A
 repeat is reported where repeated paragraphs follow each other, with at most
@@ -46,6 +50,8 @@ RECALL = 0.99
 WINDOW = 24
 LEAST_WORDS = 6
 REPORT_WORDS = 20
+PASSAGE = 20
+SPAN = 51
 _WORD = re.compile(r"\w+")
 _BLOCK = 1 << 20
 
@@ -58,12 +64,14 @@ def bands(threshold: float = THRESHOLD, recall: float = RECALL) -> int:
 class Paragraphs:
     """The paragraphs of some texts: the text of each, its first word and its number of words.
 
-    ``keys`` are the words of all texts, ``at`` the place of a paragraph among them.
+    ``keys`` are the words of all texts, ``at`` the place of a paragraph among them;
+    ``exact`` marks the runs that are compared as a whole.
     """
 
     def __init__(self, texts: list[str | None]) -> None:
         tokens = B.Tokens(texts)
-        self.keys, owner = tokens.keys, tokens.owner
+        self.keys, owner, self.tokens = tokens.keys, tokens.owner, tokens
+        lines = np.flatnonzero(tokens.fresh)
         cut = tokens.fresh
         count = len(self.keys)
         if count > WINDOW:
@@ -71,18 +79,39 @@ class Paragraphs:
             windows = np.lib.stride_tricks.sliding_window_view(pairs, WINDOW)
             within = owner[: len(windows)] == owner[WINDOW:]
             cut[(np.arange(len(windows)) + windows.argmin(axis=1) + 1)[within]] = True
-        starts = np.flatnonzero(cut)
-        sizes = np.diff(starts, append=count)
-        ample = sizes >= LEAST_WORDS
-        self.at, self.words = starts[ample], sizes[ample]
+        pieces = np.flatnonzero(cut)
+        whole = np.diff(np.searchsorted(pieces, lines), append=len(pieces)) > 1  # an uncut line is a piece
+        runs = self._runs(owner)
+        sizes = np.diff(pieces, append=count), np.diff(lines, append=count)[whole], np.full(len(runs), PASSAGE)
+        starts, sizes = np.concatenate((pieces, lines[whole], runs)), np.concatenate(sizes)
+        exact = np.arange(len(starts)) >= len(starts) - len(runs)
+        order = np.lexsort((exact, -sizes, starts))
+        order = order[sizes[order] >= LEAST_WORDS]
+        self.at, self.words, self.exact = starts[order], sizes[order], exact[order]
         self.owner = owner[self.at]
         own = np.searchsorted(owner, np.arange(len(texts)))
         self.first = self.at - own[self.owner]
         self.digests = B.digests(self.keys, self.at, self.at + self.words)
+        self.digests[self.exact] = B.mix(~self.digests[self.exact])
+
+    def _runs(self, owner: np.ndarray) -> np.ndarray:
+        """Where a run of ``PASSAGE`` words has the smallest hash of those in ``SPAN`` words of a text."""
+        if len(self.keys) < SPAN:
+            return np.zeros(0, np.int64)
+        at = np.arange(len(self.keys) - PASSAGE + 1)
+        windows = np.lib.stride_tricks.sliding_window_view(B.digests(self.keys, at, at + PASSAGE), SPAN - PASSAGE + 1)
+        within = owner[: len(windows)] == owner[SPAN - 1 :]
+        return np.unique((at[: len(windows)] + windows.argmin(axis=1))[within])
 
     def shingles(self, k: int) -> np.ndarray:
+        if self.exact[k]:
+            return self.digests[k : k + 1]
         return B.labelled(B.shingles(self.keys[self.at[k] : self.at[k] + self.words[k]], WORDS))
 
+    def plain(self, k: int) -> str:
+        """The paragraph in lower case, with what stands between its words."""
+        return self.tokens.lowered[self.tokens.starts[self.at[k]] : self.tokens.ends[self.at[k] + self.words[k] - 1]]
+
     def minima(self, seeds: np.ndarray) -> np.ndarray:
         """For each seed the smallest hash among the shingles of each paragraph."""
         shingles = B.shingles(self.keys, WORDS)
@@ -96,10 +125,11 @@ def _sketched(it: Iterator[pa.RecordBatch], count: int) -> Iterator[pa.RecordBat
     for batch in B.slices(it):
         found = Paragraphs(batch.column(1).to_pylist())
         if len(found.at):
-            columns = [found.digests, *found.minima(seeds)]
+            keys = [pa.array(c.view(np.int64), mask=found.exact) for c in found.minima(seeds)]
+            columns = [pa.array(found.digests.view(np.int64)), pa.array(found.words.astype(np.int64)), *keys]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(found.owner)), *(pa.array(c.view(np.int64)) for c in columns)],
-                names=["id", "digest", *(f"k{k}" for k in range(count))],
+                [batch.column(0).take(pa.array(found.owner, mask=found.exact)), *columns],  # runs need no text again
+                names=["id", "digest", "words", *(f"k{k}" for k in range(count))],
             )
 
 
@@ -113,7 +143,7 @@ def _placed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _taken(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The shingles of the wanted paragraphs of each text, once for each group they are wanted in."""
+    """The wanted paragraphs of each text, once for each group they are wanted in."""
     for batch in B.slices(it, "text"):
         found = Paragraphs(batch.column(0).to_pylist())
         at = dict(zip(zip(found.owner.tolist(), found.digests.view(np.int64).tolist(), strict=True), range(len(found.at)), strict=True))
@@ -124,9 +154,9 @@ def _taken(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if k is not None:
                     groups.append(w["a"])
                     digests.append(w["digest"])
-                    values.append(found.shingles(k).tobytes())
+                    values.append(found.plain(k))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(groups, pa.int64()), pa.array(digests, pa.int64()), pa.array(values, pa.binary())], names=["a", "digest", "shingles"]
+            [pa.array(groups, pa.int64()), pa.array(digests, pa.int64()), pa.array(values, pa.string())], names=["a", "digest", "text"]
         )
 
 
@@ -184,24 +214,35 @@ def _compared(it: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.Rec
         found = links_between(key, list(held.values()), threshold) if held else []
         return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    for batch in it:
-        for a, i, j, own, digest, shingles in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+    for batch in B.slices(it):
+        names = zip(*(c.to_pylist() for c in batch.columns[:5]), strict=True)
+        for (a, i, j, own, digest), shingles in zip(names, _shingles(batch.column(5).to_pylist()), strict=True):
             if (a, i, j) != key:
                 yield out()
                 key, held = (a, i, j), {}
-            held[digest] = digest, digest, own, np.frombuffer(shingles, np.uint64)
+            held[digest] = digest, digest, own, shingles
     yield out()
 
 
+def _shingles(paragraphs: list[str]) -> list[np.ndarray]:
+    """The labelled shingles of paragraphs of ``LEAST_WORDS`` words or more."""
+    tokens = B.Tokens(paragraphs)
+    counts = np.bincount(tokens.owner, minlength=len(paragraphs))
+    sizes = counts - WORDS + 1
+    ends = np.cumsum(sizes)
+    at = np.arange(ends[-1]) + np.repeat(np.cumsum(counts) - counts - ends + sizes, sizes)
+    return np.split(B.labelled_each(B.shingles(tokens.keys, WORDS)[at], sizes), ends[:-1])
+
+
 def _links(colliding: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """Links among the paragraphs that collide with the same one ``a``."""
-    sizes = colliding.groupBy("a").agg(F.ceil(F.count(F.lit(1)) * WINDOW / _BLOCK).cast("int").alias("blocks"))
+    sizes = colliding.groupBy("a").agg(F.ceil(F.sum("words") / _BLOCK).cast("int").alias("blocks"))
     wanted = colliding.groupBy("id").agg(F.collect_list(F.struct("a", "digest")).alias("wanted"))  # of one document
-    taken = wanted.join(texts, "id").select("text", "wanted").mapInArrow(_taken, "a long, digest long, shingles binary")
+    taken = wanted.join(texts, "id").select("text", "wanted").mapInArrow(_taken, "a long, digest long, text string")
     own = F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")
     dealt = taken.join(sizes, "a").withColumn("own", own).select(
-        "a", "digest", "shingles", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    ).select("a", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "digest", "shingles")
+        "a", "digest", "text", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    ).select("a", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "digest", "text")
     ordered = dealt.repartition("a", "i", "j").sortWithinPartitions("a", "i", "j")
     return ordered.mapInArrow(lambda it: _compared(it, threshold), "a long, b long")
 
@@ -209,19 +250,20 @@ def _links(colliding: DataFrame, texts: DataFrame, threshold: float) -> DataFram
 def repeats(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """Repeated paragraphs: ``(key, first_word, words, class_id, keep_<key>, removed)``.
 
-    Places count words from 0.  The one that stays of each class is there too, not removed.
+    Places count words from 0 and can overlap: a line, its pieces and the runs in it are
+    paragraphs of their own.  The one that stays of each class is there too, not removed.
     """
     texts = df.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text")).dropna()
     count = bands(threshold, recall)
     keys = [f"k{k}" for k in range(count)]
-    shape = "id long, digest long, " + ", ".join(f"{k} long" for k in keys)
+    shape = "id long, digest long, words long, " + ", ".join(f"{k} long" for k in keys)
     distinct = (
         texts.mapInArrow(lambda it: _sketched(it, count), shape).groupBy("digest")
-        .agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"), *[F.max(k).alias(k) for k in keys])
+        .agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"), F.max("words").alias("words"), *[F.max(k).alias(k) for k in keys])
     )
-    distinct = stored(distinct)
-    colliding = _colliding(distinct.select(F.explode(F.array(*keys)).alias("band"), "digest"))
-    found = materialize(colliding.join(distinct.select("digest", "id"), "digest"))
+    distinct = stored(distinct.filter("n > 1 OR k0 IS NOT NULL"))
+    colliding = _colliding(distinct.filter("k0 IS NOT NULL").select(F.explode(F.array(*keys)).alias("band"), "digest"))
+    found = materialize(colliding.join(distinct.select("digest", "id", "words"), "digest"))
     links = _links(found, texts, threshold)
     roots = materialize(components(materialize(links)))
     equal = distinct.filter("n > 1").select("digest")
@@ -239,21 +281,25 @@ def repeats(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: f
         .filter("least < most").select("class_id")
     )
     members = materialize(placed.join(across, "class_id").transform(_long_enough))
-    keeper = materialize(members.groupBy("class_id").agg(F.min(F.struct("id", "first")).alias("keeper")))
+    place = F.struct("id", "first", (-F.col("words")).alias("less"))  # of two at one place the longer
+    keeper = materialize(members.groupBy("class_id").agg(F.min(place).alias("keeper")))
+    stays = (F.col("id") == F.col("keeper.id")) & (F.col("first") < F.col("keeper.first") - F.col("keeper.less"))
     return members.join(keeper, "class_id").select(
         F.col("id").alias(key), F.col("first").alias("first_word"), "words", "class_id",
-        F.col("keeper.id").alias(f"keep_{key}"), (F.struct("id", "first") != F.col("keeper")).alias("removed"),
+        F.col("keeper.id").alias(f"keep_{key}"), (~stays).alias("removed"),
     )
 
 
 def _long_enough(found: DataFrame) -> DataFrame:
     """The paragraphs in stretches of at least ``REPORT_WORDS`` repeated words."""
-    order = W.partitionBy("id").orderBy("first")
-    gap = F.col("first") - F.lag(F.col("first") + F.col("words")).over(order)
-    fresh = found.withColumn("fresh", F.when(gap <= LEAST_WORDS, 0).otherwise(1))
+    order = W.partitionBy("id").orderBy("first", F.desc("words"))
+    end = F.col("first") + F.col("words")
+    ended = found.withColumn("ended", F.max(end).over(order.rowsBetween(W.unboundedPreceding, -1)))
+    fresh = ended.withColumn("fresh", F.when(F.col("first") - F.col("ended") <= LEAST_WORDS, 0).otherwise(1))
     stretch = fresh.withColumn("stretch", F.sum("fresh").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    total = F.sum("words").over(W.partitionBy("id", "stretch"))
-    return stretch.withColumn("total", total).filter(F.col("total") >= REPORT_WORDS).drop("fresh", "stretch", "total")
+    added = F.greatest(end - F.greatest("first", F.coalesce("ended", "first")), F.lit(0))  # words counted once
+    total = F.sum(added).over(W.partitionBy("id", "stretch"))
+    return stretch.withColumn("total", total).filter(F.col("total") >= REPORT_WORDS).drop("ended", "fresh", "stretch", "total")
 
 
 def cleaned(df: DataFrame, key: str = "doc_id", text: str = "text", **parameters) -> DataFrame:
@@ -281,6 +327,6 @@ def _without(text: str | None, gone: list | None) -> str | None:
     spans = [m.span() for m in _WORD.finditer(text.lower())] if len(text.lower()) == len(text) else [m.span() for m in _WORD.finditer(text)]
     out, last = [], 0
     for g in sorted(gone, key=lambda g: g["first_word"]):
-        out.append(text[last : spans[g["first_word"]][0]])
-        last = spans[g["first_word"] + g["words"] - 1][1]
+        out.append(text[last : max(last, spans[g["first_word"]][0])])
+        last = max(last, spans[g["first_word"] + g["words"] - 1][1])
     return "".join([*out, text[last:]])

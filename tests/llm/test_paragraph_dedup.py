@@ -106,3 +106,41 @@ def test_a_band_over_several_ranges_is_one_group(spark):
     got = P._colliding(rows).collect()
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert {r["a"] for r in got} == {0} and sorted(r["digest"] for r in got) == [k for k in range(3000) if k % 3 < 2]
+
+
+def _reported(spark, rows):
+    return {r["doc_id"] for r in P.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r["removed"]}
+
+
+def test_long_lines_with_a_changed_word_are_compared_as_wholes(spark):
+    rows = []
+    for k in range(30):
+        line = prose(300 + k, 60 + k).split()
+        other = [*line[: len(line) // 2], "changed", *line[len(line) // 2 + 1 :]]
+        rows += [(2 * k, " ".join(line)), (2 * k + 1, prose(400 + k, 9) + "\n" + " ".join(other))]
+    shingles = [[set(zip(*(w[j:] for j in range(P.WORDS)), strict=False)) for w in (line.split() for line in t.split("\n"))] for _, t in rows]
+    near = lambda x, y: len(x & y) / len(x | y) >= P.THRESHOLD
+    expected = {i for i, _ in rows for j in range(i) if any(near(x, y) for x in shingles[i] for y in shingles[j])}
+    got = P.repeats(spark.createDataFrame(rows, "doc_id long, text string"), recall=0.999999).filter("removed").collect()
+    assert expected == {2 * k + 1 for k in range(30)} == {r["doc_id"] for r in got}
+    assert {(r["doc_id"], r["words"]) for r in got} >= {(2 * k + 1, 60 + k) for k in range(30)}
+
+
+def test_every_pasted_passage_over_fifty_words_is_reported(spark):
+    rows = []
+    for k in range(60):
+        passage = prose(500 + k, 51)
+        rows += [(n, prose(1000 + n, 20 + k % 17) + " " + passage + " " + prose(2000 + n, 40)) for n in (2 * k, 2 * k + 1)]
+    assert _reported(spark, rows) == {2 * k + 1 for k in range(60)}
+
+
+def test_overlapping_places_are_cut_once():
+    gone = [{"first_word": 1, "words": 4}, {"first_word": 1, "words": 2}, {"first_word": 4, "words": 2}]
+    assert P._without("a b c d e f g", gone) == "a  g"
+
+
+def test_sent_paragraphs_have_the_same_shingles():
+    found = P.Paragraphs([prose(1, 90, "a b"), "ΑΣ İx É_1 σσ ΑΣ " * 9 + "\n" + prose(3, 40)])
+    places = [k for k in range(len(found.at)) if not found.exact[k]]
+    for k, sent in zip(places, P._shingles([found.plain(k) for k in places]), strict=True):
+        assert (sent == found.shingles(k)).all()
