@@ -7,7 +7,8 @@ than once are joined; each is extended both ways, as far as its fingerprint stan
 the lines, to the runs of ``RUN`` lines around it.  A run that occurred before, in an
 earlier document or earlier in its own, is a repeat; repeats that touch or overlap join
 into one deleted run.  The result is exact: a line goes if and only if it is in a run of
-``RUN`` lines that occurred before.
+``RUN`` lines that occurred before.  With ``long_words`` a line of that many words or more
+is also a fingerprint and a run of its own, whatever stands around it.
 
 Documents are ordered by id, lines by position.  Hot lines are folded by partial
 aggregation before anything is joined, and the joins have a small side Spark can repeat.
@@ -59,7 +60,21 @@ def _winnowed(it: Iterator[pa.RecordBatch], run: int) -> Iterator[pa.RecordBatch
         )
 
 
-def repeats(df: DataFrame, key: str = "doc_id", text: str = "text", run: int = RUN) -> DataFrame:
+def _long_lines(it: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    hashes = B.WordHashes()
+    for batch in B.slices(it):
+        found = [
+            (key, k, line)
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+            for k, line in enumerate(text.split("\n")) if len(line.split()) >= words
+        ]
+        columns = [x[0] for x in found], [x[1] for x in found], hashes.of([x[2] for x in found]).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["id", "line", "run"])
+
+
+def repeats(
+    df: DataFrame, key: str = "doc_id", text: str = "text", run: int = RUN, long_words: int | None = None
+) -> DataFrame:
     """Rows ``(key, first_line, last_line)``: the runs of lines to delete, counted from 0."""
     rows = df.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text")).dropna()
     found = materialize(
@@ -72,19 +87,26 @@ def repeats(df: DataFrame, key: str = "doc_id", text: str = "text", run: int = R
         found.join(often, "fingerprint")
         .select("id", "first", "around", F.explode(starts).alias("k"))
         .select("id", (F.col("first") + F.col("k")).alias("line"), F.xxhash64(F.slice("around", F.col("k") + 1, run)).alias("run"))
-        .distinct()
+        .distinct().withColumn("size", F.lit(run))
     )
+    if long_words is not None:
+        alone = rows.mapInArrow(lambda it: _long_lines(it, long_words), "id long, line long, run long")
+        runs = runs.unionByName(alone.distinct().withColumn("size", F.lit(1)))
     runs = materialize(runs)
     earliest = materialize(
-        runs.groupBy("run").agg(F.min(F.struct("id", "line")).alias("e"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+        runs.groupBy("run", "size").agg(F.min(F.struct("id", "line")).alias("e"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    )
+    later = (
+        runs.join(earliest.select("run", "size", "e"), ["run", "size"]).filter(F.struct("id", "line") > F.col("e"))
+        .select("id", "line", (F.col("line") + F.col("size") - 1).alias("end")).distinct()
     )
-    later = runs.join(earliest.select("run", "e"), "run").filter(F.struct("id", "line") > F.col("e")).select("id", "line").distinct()
-    order = W.partitionBy("id").orderBy("line")
-    fresh = F.coalesce((F.col("line") - F.lag("line").over(order) > run).cast("int"), F.lit(1))
+    order = W.partitionBy("id").orderBy("line", "end")
+    before = F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1))
+    fresh = F.coalesce((F.col("line") > before + 1).cast("int"), F.lit(1))
     island = F.sum("fresh").over(order.rowsBetween(W.unboundedPreceding, 0))
     return (
         later.withColumn("fresh", fresh).withColumn("island", island)
-        .groupBy("id", "island").agg(F.min("line").alias("first_line"), (F.max("line") + run - 1).alias("last_line"))
+        .groupBy("id", "island").agg(F.min("line").alias("first_line"), F.max("end").alias("last_line"))
         .select(F.col("id").alias(key), "first_line", "last_line")
     )
 
@@ -98,12 +120,12 @@ def without_lines(text: Column, runs: Column) -> Column:
     return F.when(runs.isNull(), text).otherwise(F.array_join(lines, "\n"))
 
 
-def cleaned(df: DataFrame, key: str = "doc_id", text: str = "text", run: int = RUN) -> DataFrame:
+def cleaned(df: DataFrame, key: str = "doc_id", text: str = "text", run: int = RUN, long_words: int | None = None) -> DataFrame:
     """The rows of ``df`` with the repeated lines taken out of their text."""
     names = df.columns
     rows = df.toDF(*[f"c{k}" for k in range(len(names))])
     own, at = rows.columns[names.index(key)], rows.columns[names.index(text)]
-    gone = repeats(df, key, text, run).groupBy(F.col(key).alias("id")).agg(
+    gone = repeats(df, key, text, run, long_words).groupBy(F.col(key).alias("id")).agg(
         F.collect_list(F.struct("first_line", "last_line")).alias("runs")  # of one document
     )
     joined = rows.join(gone, F.col(own) == F.col("id"), "left")

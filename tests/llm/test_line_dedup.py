@@ -47,3 +47,27 @@ def test_awkward_rows(awkward, nothing, spark):
     assert {r["text"] for r in clean.collect() if r["doc_id"] == 14} == {"a\n\n\nb"}
     assert {r["text"] for r in clean.collect() if r["doc_id"] == 4} == {None}
     assert L.repeats(nothing).count() == L.cleaned(nothing).count() == 0
+
+
+def test_long_lines_are_runs_of_their_own(spark):
+    pick = random.Random(4)
+    lines = [" ".join([f"w{k}"] * (5 + 5 * k)) for k in range(8)]
+    rows = [(k, "\n".join(pick.choice(lines) for _ in range(pick.randint(1, 5)))) for k in range(30)]
+    expected, seen = brute(rows, 3), set()
+    for i, text in rows:
+        for k, line in enumerate(text.split("\n")):
+            if len(line.split()) >= 20:
+                if line in seen:
+                    expected.setdefault(i, set()).add(k)
+                seen.add(line)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {}
+    for r in L.repeats(docs, long_words=20).collect():
+        got.setdefault(r["doc_id"], []).append((r["first_line"], r["last_line"]))
+    assert {k: {x for a, b in v for x in range(a, b + 1)} for k, v in got.items()} == expected
+    for spans in got.values():
+        spans.sort()
+        assert all(b + 1 < c for (_, b), (c, _) in zip(spans, spans[1:], strict=False))
+    texts = {r["doc_id"]: r["text"] for r in L.cleaned(docs, long_words=20).collect()}
+    kept = [line for t in texts.values() for line in t.split("\n") if len(line.split()) >= 20]
+    assert len(kept) == len(set(kept))
