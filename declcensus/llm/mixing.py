@@ -5,6 +5,13 @@ proportional fitting scales the token weights of the cells to the target share o
 dimension in turn.  A document is taken with the probability that its cell's fitted
 weight asks for, decided by a hash of its id, so a rerun takes the same documents.
 
+With ``bounded`` no cell is asked for more tokens than it has: cells that are full stay so
+and the others are scaled to what is left, until the marginals hold.  A value that has too
+few tokens for its weight is taken whole, and the other values of its dimension share the
+rest by their weights, so the sample has the wanted size.  Without it the weights are
+fitted first and clipped last, which makes the sample smaller and misses the weights where
+a cell has too few tokens.  :func:`shares` gives what is wanted and what is reached.
+
 The cells are a table of their own and stay distributed.  They are broadcast to the
 documents if they are counted and found few; else they are joined.
 
@@ -29,6 +36,8 @@ FRACTION = 0.5
 OTHER = 0.05
 _BROADCAST_CELLS = 10_000
 _AT_ONCE = 4
+_CLOSE = 1e-4
+_MOST = 100
 
 Targets = Mapping[str, Mapping[str, float] | None]
 
@@ -45,16 +54,18 @@ def topic(text: Column, rules: Mapping[str, str], rest: str) -> Column:
     return out
 
 
+def _weight(name: str, weights: Mapping[str, float] | None) -> Column:
+    if weights is None:
+        return F.lit(1.0)
+    listed = F.create_map(*[F.lit(x) for pair in weights.items() for x in pair])
+    return F.coalesce(F.element_at(listed, F.col(name)), F.lit(OTHER))
+
+
 def rake(cells: DataFrame, targets: Targets, sweeps: int = SWEEPS) -> DataFrame:
     """``cells(*targets, tokens)`` with ``share``: the fitted share of all tokens."""
     out = cells.withColumn("share", F.col("tokens").cast("double"))
     for name, weights in targets.items():
-        values = cells.select(name).distinct()
-        weight = F.lit(1.0)
-        if weights is not None:
-            listed = F.create_map(*[F.lit(x) for pair in weights.items() for x in pair])
-            weight = F.coalesce(F.element_at(listed, F.col(name)), F.lit(OTHER))
-        weighted = values.select(name, weight.alias("_weight"))
+        weighted = cells.select(name).distinct().select(name, _weight(name, weights).alias("_weight"))
         total = weighted.agg(F.coalesce(F.sum("_weight"), F.lit(1.0))).first()[0]
         wanted = weighted.select(name, (F.col("_weight") / F.lit(total)).alias(f"_{name}"))
         out = out.join(wanted, name)
@@ -68,15 +79,86 @@ def rake(cells: DataFrame, targets: Targets, sweeps: int = SWEEPS) -> DataFrame:
     return out.select(*targets, "tokens", "share")
 
 
-def rates(cells: DataFrame, targets: Targets, fraction: float = FRACTION, sweeps: int = SWEEPS) -> DataFrame:
+def _wanted(cells: DataFrame, name: str, weights: Mapping[str, float] | None, size: float) -> DataFrame:
+    """``(name, _name)``: the tokens wanted of each value, ``size`` in all and no more than it has."""
+    has = materialize(cells.groupBy(name).agg(F.sum("tokens").alias("_has")).withColumn("_weight", _weight(name, weights)))
+    level, full = 0.0, -1
+    while True:
+        short = F.col("_has") <= F.col("_weight") * F.lit(level)
+        whole, rest, found = has.agg(
+            F.sum(F.when(short, F.col("_has")).otherwise(0)), F.sum(F.when(short, 0.0).otherwise(F.col("_weight"))), F.count_if(short)
+        ).first()
+        if not rest or found == full:
+            break
+        level, full = (size - whole) / rest, found
+    return has.select(name, F.least(F.col("_has").cast("double"), F.col("_weight") * F.lit(level)).alias(f"_{name}"))
+
+
+def _bounded(cells: DataFrame, targets: Targets, size: float, sweeps: int) -> DataFrame:
+    """``taken``: the tokens to take of each cell, no more than it has, ``size`` in all."""
+    out = rake(cells, targets, sweeps).withColumn("mass", F.col("share") * F.lit(size)).drop("share")
+    for name, weights in targets.items():
+        out = out.join(_wanted(cells, name, weights, size), name)
+    out = materialize(out)
+    taken, full = F.least("mass", "tokens"), F.col("mass") >= F.col("tokens")
+    last = None
+    for _ in range(_MOST // _AT_ONCE):
+        for _ in range(_AT_ONCE):
+            for name in targets:
+                own = W.partitionBy(name)
+                now = F.sum(taken).over(own)
+                fixed = F.sum(F.when(full, F.col("tokens")).otherwise(0)).over(own)
+                free = F.sum(F.when(full, 0.0).otherwise(F.col("mass"))).over(own)
+                wanted = F.col(f"_{name}")
+                scaled = out.withColumns({"_now": now, "_fixed": fixed, "_free": free})
+                scale = F.when(F.col("_now") > wanted, wanted / F.col("_now")).when(
+                    F.col("_free") > 0, (wanted - F.col("_fixed")) / F.col("_free")
+                ).otherwise(1.0)
+                out = scaled.withColumn("mass", F.col("mass") * scale).drop("_now", "_fixed", "_free")
+        out = materialize(out)
+        off = max(
+            out.groupBy(name).agg(F.abs(F.sum(taken) - F.first(f"_{name}")).alias("off")).agg(F.max("off")).first()[0] or 0.0
+            for name in targets
+        )
+        # Marginals that contradict each other cannot all hold: then the miss no longer shrinks.
+        if off <= _CLOSE * size or (last is not None and off > 0.99 * last):
+            break
+        last = off
+    return out.select(*targets, "tokens", taken.alias("taken"))
+
+
+def rates(
+    cells: DataFrame, targets: Targets, fraction: float = FRACTION, sweeps: int = SWEEPS, bounded: bool = False
+) -> DataFrame:
     """``probability`` per cell, for a sample of ``fraction`` of all tokens."""
     total = cells.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
-    wanted = F.col("share") * F.lit(fraction * total) / F.col("tokens")
-    return rake(cells, targets, sweeps).select(
+    if bounded:
+        fitted = _bounded(cells, targets, float(fraction * total), sweeps)
+        wanted = F.col("taken") / F.col("tokens")
+    else:
+        fitted = rake(cells, targets, sweeps)
+        wanted = F.col("share") * F.lit(fraction * total) / F.col("tokens")
+    return fitted.select(
         *targets, F.when(F.col("tokens") > 0, F.least(wanted, F.lit(1.0))).otherwise(0.0).alias("probability")
     )
 
 
+def shares(cells: DataFrame, found: DataFrame, targets: Targets) -> DataFrame:
+    """``(dimension, value, target, reached)``: shares of the expected sample at the rates ``found``."""
+    joined = materialize(cells.join(found, list(targets)).withColumn("taken", F.col("tokens") * F.col("probability")))
+    size = joined.agg(F.sum("taken")).first()[0] or 1.0
+    out = None
+    for name, weights in targets.items():
+        values = joined.groupBy(name).agg(F.sum("taken").alias("taken")).withColumn("weight", _weight(name, weights))
+        total = values.agg(F.sum("weight")).first()[0] or 1.0
+        rows = values.select(
+            F.lit(name).alias("dimension"), F.col(name).alias("value"),
+            (F.col("weight") / F.lit(total)).alias("target"), (F.col("taken") / F.lit(size)).alias("reached"),
+        )
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def uniform(key: Column) -> Column:
     """A number from 0 to 1 that depends on the id only."""
     digest = F.md5(F.coalesce(key.cast("string"), F.lit("")).cast("binary"))
@@ -85,14 +167,14 @@ def uniform(key: Column) -> Column:
 
 def sample(
     df: DataFrame, dimensions: Mapping[str, Column], targets: Targets, key: str = "doc_id", text: str = "text",
-    fraction: float = FRACTION, sweeps: int = SWEEPS,
+    fraction: float = FRACTION, sweeps: int = SWEEPS, bounded: bool = False,
 ) -> DataFrame:
     """The input row as ``row``, its dimensions, ``tokens``, ``probability`` and ``sampled``."""
     row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
     values = [F.coalesce(c.cast("string"), F.lit("")).alias(n) for n, c in dimensions.items()]
     tokens = token_count(F.col(f"`{text}`").cast("string")).alias("tokens")
     cells = materialize(df.select(*values, tokens).groupBy(*dimensions).agg(F.sum("tokens").alias("tokens")))
-    found = rates(cells, targets, fraction, sweeps)
+    found = rates(cells, targets, fraction, sweeps, bounded)
     if cells.count() <= _BROADCAST_CELLS:
         found = F.broadcast(found)
     rows = df.select(row, *values, tokens).join(found, list(dimensions))

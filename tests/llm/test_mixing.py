@@ -59,3 +59,32 @@ def test_awkward_rows(awkward, nothing):
         assert r["tokens"] == len((r["row"]["text"] or "").split())
     assert mixing.sample(nothing, dimensions, targets).count() == 0
     assert len({r["sampled"] for r in got if r["row"]["doc_id"] == 13}) == 1
+
+
+def _shares(spark, cells, targets, fraction):
+    rows = spark.createDataFrame([(*c, n) for c, n in cells.items()], "a string, b string, tokens long")
+    found = mixing.rates(rows, targets, fraction, bounded=True)
+    taken = rows.join(found, ["a", "b"]).agg(F.sum(F.col("tokens") * F.col("probability"))).first()[0]
+    return taken, {(r["dimension"], r["value"]): (r["target"], r["reached"]) for r in mixing.shares(rows, found, targets).collect()}
+
+
+def test_full_cells_make_room_for_others(spark):
+    cells = {("x", "p"): 900, ("x", "q"): 100, ("y", "p"): 100, ("y", "q"): 300, ("z", "p"): 400, ("z", "q"): 200}
+    taken, got = _shares(spark, cells, {"a": None, "b": {"p": 0.5, "q": 0.5}}, 0.5)
+    assert taken == pytest.approx(1000, rel=1e-3)
+    assert all(reached == pytest.approx(target, abs=1e-3) for target, reached in got.values())
+
+
+def test_a_scarce_value_is_taken_whole(spark):
+    cells = {("x", "p"): 500, ("x", "q"): 20, ("x", "r"): 480, ("y", "p"): 500, ("y", "q"): 20, ("y", "r"): 480}
+    taken, got = _shares(spark, cells, {"a": None, "b": {"p": 0.4, "q": 0.2, "r": 0.4}}, 0.5)
+    assert taken == pytest.approx(1000, rel=1e-3)
+    assert got["b", "q"] == (pytest.approx(0.2), pytest.approx(0.04, abs=1e-3))
+    assert got["b", "p"][1] == pytest.approx(0.48, abs=1e-3) and got["a", "x"][1] == pytest.approx(0.5, abs=1e-3)
+
+
+def test_bounded_sample_takes_awkward_rows(awkward, nothing):
+    dimensions, targets = {"source": F.col("source"), "lang": F.col("lang")}, {"source": None, "lang": {"xx": 0.5}}
+    got = mixing.sample(awkward, dimensions, targets, bounded=True).collect()
+    assert len(got) == awkward.count() and all(0 <= r["probability"] <= 1 for r in got)
+    assert mixing.sample(nothing, dimensions, targets, bounded=True).count() == 0
