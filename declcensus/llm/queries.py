@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,10 +16,14 @@ from declcensus.llm import (
     line_dedup,
     mixing,
     near_dedup,
+    ngram_join,
     paragraph_dedup,
+    resampling,
     suffix_tree,
     url_filter,
+    vector_codes,
 )
+from declcensus.operators.ordering import materialize
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -205,6 +210,125 @@ def op10_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_ngram_product(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.joined(_table(spark, sf_dir, "documents"))
+
+
+def op12_overlapped_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resampled(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_cover_tree_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = vector_codes.compress(_table(spark, sf_dir, "embeddings"), carried=("label",))
+    rows = materialize(codes.table)
+    labels = materialize(rows.groupBy(F.col("label").alias("of")).agg(F.sum("error").alias("label_error")))
+    return rows.join(labels, F.col("label").eqNullSafe(F.col("of"))).select(
+        "vec_id", vector_codes.hexadecimal(F.col("codes")).alias("code"), "error", "label_error",
+        F.lit(codes.sha256()).alias("codebooks_sha256"),
+    )
+
+
+_JOIN_ORACLE = f"""
+    WITH RECURSIVE split AS (
+        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                          '[^\\x20\\x09-\\x0D]+') AS w
+        FROM documents),
+    grams AS (
+        SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {ngram_join.WORDS} THEN [array_to_string(w, ' ')]
+            ELSE list_transform(range(1, len(w) - {ngram_join.WORDS - 2}), lambda i: array_to_string(w[i:i + {ngram_join.WORDS - 1}], ' ')) END) AS g
+        FROM split),
+    sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+    common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM grams x JOIN grams y USING (g) WHERE x.doc_id <> y.doc_id GROUP BY ALL),
+    links AS (
+        SELECT o.a, o.b FROM common o JOIN sizes x ON x.doc_id = o.a JOIN sizes y ON y.doc_id = o.b
+        WHERE 100 * o.n >= {ngram_join.PERCENT} * (x.n + y.n - o.n)),
+    reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b)
+    SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, r.component_id
+    FROM documents d LEFT JOIN sizes s USING (doc_id) LEFT JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) r ON r.a = d.doc_id
+"""
+
+
+def _resampling_oracle() -> str:
+    def runs(rows: str) -> str:
+        """One row per feature; ``key`` is the text that it is in."""
+        ahead = [f"lead(x, {k}) OVER (PARTITION BY key ORDER BY i)" for k in range(1, resampling.LONGEST)]
+        listed = ", ".join(" || ' ' || ".join(["x", *ahead[:k]]) for k in range(resampling.LONGEST))
+        tokens = f"SELECT key, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM ({rows})"
+        return f"SELECT key, f FROM (SELECT key, unnest([{listed}]) AS f FROM ({tokens})) WHERE f IS NOT NULL"
+
+    # The remainder of each byte, by the rule of the checksum.
+    table = [reduce(lambda c, _: c >> 1 ^ (0xEDB88320 if c & 1 else 0), range(8), byte) for byte in range(256)]
+    words = (
+        "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+        "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w"
+    )
+    return f"""
+        WITH docs AS (SELECT doc_id, {words} FROM documents),
+        source AS ({runs("SELECT doc_id AS key, w FROM docs")}),
+        target AS ({runs(f"SELECT item_id AS key, {words} FROM benchmark")}),
+        hexed AS (SELECT f, hex(encode(f)) AS h FROM (SELECT f FROM source UNION SELECT f FROM target)),
+        bytes AS (SELECT f, list_transform(range(0, len(h) // 2), lambda i: CAST(('0x' || substr(h, CAST(2 * i + 1 AS BIGINT), 2)) AS BIGINT)) AS b FROM hexed),
+        buckets AS (
+            SELECT f, xor(list_reduce([4294967295] || b, lambda x, y: xor(x >> 8, {table}[CAST((xor(x, y) & 255) + 1 AS BIGINT)])), 4294967295) % {resampling.BUCKETS} AS bucket
+            FROM bytes),
+        s AS (SELECT bucket, count(*) AS n FROM source JOIN buckets USING (f) GROUP BY bucket),
+        t AS (SELECT bucket, count(*) AS n FROM target JOIN buckets USING (f) GROUP BY bucket),
+        totals AS (SELECT (SELECT count(*) FROM source) AS s_all, (SELECT count(*) FROM target) AS t_all),
+        gains AS (
+            SELECT s.bucket, CAST(floor(1000 * ln(CAST((coalesce(t.n, 0) + 1) * (s_all + {resampling.BUCKETS}) AS DOUBLE)
+                   / CAST((s.n + 1) * (t_all + {resampling.BUCKETS}) AS DOUBLE))) AS BIGINT) AS gain
+            FROM s LEFT JOIN t USING (bucket), totals),
+        weights AS (
+            SELECT key AS doc_id, count(*) AS n_features, CAST(sum(gain) AS BIGINT) AS weight
+            FROM source JOIN buckets USING (f) JOIN gains USING (bucket) GROUP BY key),
+        scored AS (
+            SELECT d.doc_id, len(w) AS words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+                   coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST(('0x' || substr(sha256('{resampling.SEED}:' || d.doc_id), 1, 8)) AS BIGINT) + 0.5::DOUBLE)
+                        / 4294967296.0::DOUBLE))) AS BIGINT) AS score
+            FROM docs d LEFT JOIN weights USING (doc_id)),
+        able AS (
+            SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n
+            FROM scored WHERE words >= {resampling.LEAST_WORDS})
+        SELECT s.doc_id, n_features, weight, score, CASE WHEN place <= {resampling.PERCENT} * n // 100 THEN place END AS rank
+        FROM scored s LEFT JOIN able USING (doc_id)
+    """
+
+
+def _codes_oracle() -> str:
+    parts, entries = vector_codes.PARTS, vector_codes.ENTRIES
+    steps = []
+    for k in range(vector_codes.ROUNDS + 1):
+        steps.append(f"""
+            near{k} AS (
+                SELECT vec_id, p, min(d * {entries} + e) % {entries} AS e, min(d * {entries} + e) // {entries} AS d FROM (
+                    SELECT x.vec_id, x.p, b.e, CAST(list_sum(list_transform(range(1, len(x.v) + 1), lambda i: (x.v[i] - b.v[i]) * (x.v[i] - b.v[i]))) AS BIGINT) AS d
+                    FROM cut x JOIN book{k} b USING (p)) GROUP BY vec_id, p)""")
+        if k < vector_codes.ROUNDS:
+            steps.append(f"""
+            means{k} AS (
+                SELECT p, e, list(m ORDER BY i) AS v FROM (
+                    SELECT p, e, i, CAST(floor(CAST(sum(c) AS DOUBLE) / count(*)) AS BIGINT) AS m FROM (
+                        SELECT n.p, n.e, unnest(x.v) AS c, generate_subscripts(x.v, 1) AS i FROM near{k} n JOIN cut x USING (vec_id, p))
+                    GROUP BY p, e, i) GROUP BY p, e),
+            book{k + 1} AS (SELECT b.p, b.e, coalesce(m.v, b.v) AS v FROM book{k} b LEFT JOIN means{k} m USING (p, e))""")
+    last = vector_codes.ROUNDS
+    return f"""
+        WITH kept AS (
+            SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor({vector_codes.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        cut AS (SELECT vec_id, p, v[CAST(p * (len(v) // {parts}) + 1 AS BIGINT):CAST((p + 1) * (len(v) // {parts}) AS BIGINT)] AS v FROM kept, range({parts}) r(p)),
+        book0 AS (SELECT p, e, v FROM cut JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM kept) USING (vec_id) WHERE e < {entries}),
+        {", ".join(steps)},
+        coded AS (
+            SELECT vec_id, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM near{last} GROUP BY vec_id),
+        digest AS (
+            SELECT sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY p, e, i)) AS codebooks_sha256
+            FROM (SELECT p, e, unnest(v) AS c, generate_subscripts(v, 1) AS i FROM book{last}))
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+        FROM coded JOIN kept USING (vec_id), digest
+    """
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_bitmasks": op1_language_bitmasks,
     "op2_paragraph_bands": op2_paragraph_bands,
@@ -216,10 +340,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_content_sort": op8_content_sort,
     "op9_line_winnowing": op9_line_winnowing,
     "op10_suffix_tree": op10_suffix_tree,
+    "op11_ngram_product": op11_ngram_product,
+    "op12_overlapped_resampling": op12_overlapped_resampling,
+    "op13_cover_tree_codes": op13_cover_tree_codes,
 }
 
 ORACLES: dict[str, str] = {
     "op9_line_winnowing": _LINES_ORACLE,
+    "op11_ngram_product": _JOIN_ORACLE,
+    "op12_overlapped_resampling": _resampling_oracle(),
+    "op13_cover_tree_codes": _codes_oracle(),
     "op3_raked_mix": _mix_oracle(),
     "op5_merkle_audit": _AUDIT_ORACLE,
     "op8_content_sort": """
