@@ -1,9 +1,10 @@
 """Declaration matching over masked text, one rule set per language.
 
 ``code_only`` takes out the spans in which the language allows look-alikes of a
-declaration that are not one (macro arguments, type positions, annotation
-types).  The patterns then match each declaration once and consume its keyword
-and name.
+declaration that are not one (type positions), and says of which brackets the
+contents are not declarations (macro arguments, elements of annotation types).
+:mod:`brackets` then marks what follows each bracket's partner, to any depth.  The
+patterns match each declaration once and consume its keyword and name.
 """
 
 from __future__ import annotations
@@ -12,42 +13,37 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from declcensus import schemas as S
+from declcensus.functions import brackets as B
 from declcensus.functions import regex as R
 
+# An opening that a body follows, once it is closed; one that is closed.
+_BODY = f"[{B.BODY}{B.MEMBER}]"
+_CLOSED = f"[{B.BODY}-{B.MEMBER}]"
+
 # --- Rust ------------------------------------------------------------------
 
 # Arguments of a macro call are tokens, not items.
-_RUST_MACRO = (
-    rf"(?<=[\p{{L}}\p{{N}}_])!(?!=)\s*+(?:{R.NAME}\s*+)?+"
-    rf"(?:{R.BRACES}|{R.PARENS}|{R.BRACKETS})"
-)
+_RUST_MACRO = rf"(?<=[\p{{L}}\p{{N}}_])!(?!=)\s*+(?:{R.NAME}\s*+)?+[(\[{{]"
 _RUST_NAME = rf"(?:r#)?+{R.NAME}"
 _RUST_FN = (
     rf"{R.keyword('fn')}\s++{_RUST_NAME}"
-    rf"(?=\s*+(?:{R.ANGLES}\s*+)?+{R.PARENS}(?:[^{{}};\[\]]++|{R.BRACKETS})*+\{{)"
+    rf"(?=\s*+[(<]{_BODY})"
 )
 _RUST_TYPE = rf"{R.keyword('struct', 'enum')}\s++{_RUST_NAME}(?=\s*+(?:[{{(;<]|where\b))"
 
 # --- Go --------------------------------------------------------------------
 
 # Names and a constraint; an array length is one expression.
-_GO_PARAMETERS = (
-    rf"\[\s*+{R.NAME}(?:\s*+,\s*+{R.NAME})*+\s++(?=[\p{{L}}_~\[(*])(?!\*\s)"
-    rf"(?:[^\[\]]++|{R.BRACKETS})*+\]"
-)
-# Inside ``type ( ... )`` each spec is given a ``type`` of its own.  ``\G`` chains
-# from one spec to the next and ends at the closing parenthesis.
-_GO_GROUPED = (
-    rf"(?:{R.keyword('type')}\s*+\(|(?!\A)\G)(?:\s|;)*+({R.NAME}"
-    rf"(?:[^(){{}}\[\]\n;]++|{R.PARENS}|{R.BRACES}|{R.BRACKETS})*+)"
-)
+_GO_PARAMETERS = rf"\[{_BODY}\s*+{R.NAME}(?:\s*+,\s*+{R.NAME})*+\s++(?=[\p{{L}}_~\[(*])(?!\*\s)"
+# Inside ``type ( ... )`` each line is a type of its own.
+_GO_GROUP = rf"{R.keyword('type')}\s*+\("
 _GO_FN = (
-    rf"{R.keyword('func')}(?:\s++{R.NAME}(?=[ \t]*+(?:{R.BRACKETS}[ \t]*+)?+{R.PARENS})"
-    rf"|\s*+\([^()]*+\)\s*+(?!(?:func|interface|struct|map|chan)\b){R.NAME}(?=[ \t]*+{R.PARENS}))"
+    rf"{R.keyword('func')}(?:\s++{R.NAME}(?=[ \t]*+[(\[]{_CLOSED})"
+    rf"|\s*+\([^()]*+\)\s*+(?!(?:func|interface|struct|map|chan)\b){R.NAME}(?=[ \t]*+\({_CLOSED}))"
 )
 _GO_STRUCT = (
     rf"{R.keyword('type')}\s++{R.NAME}"
-    rf"(?=\s*+(?:{_GO_PARAMETERS}\s*+)?+struct(?!{R.WORD}))"
+    rf"(?=\s*+(?:{_GO_PARAMETERS}|struct(?!{R.WORD})))"
 )
 
 # --- Python ----------------------------------------------------------------
@@ -55,13 +51,13 @@ _GO_STRUCT = (
 _PY_LINE = r"(?m:^)[ \t]*+"
 _PY_FN = (
     rf"{_PY_LINE}(?:async[ \t]++)?+def[ \t]++{R.NAME}"
-    rf"(?=\s*+(?:{R.BRACKETS}\s*+)?+{R.PARENS}\s*+(?::|->))"
+    rf"(?=\s*+[(\[]{_BODY})"
 )
 _PY_CLASS = rf"{_PY_LINE}class[ \t]++{R.NAME}(?=\s*+[:(\[])"
 
 # --- JavaScript and TypeScript ----------------------------------------------
 
-_OPERAND = r"(?<=(?:[=(,:?\[!&|+]|=>|\b(?:return|typeof|yield|await|void|new|delete))\s{0,40}(?:async\s{1,4})?function)"
+_OPERAND = r"(?<=(?:[=(,:?\[!&|+]|=>|\b(?:return|typeof|yield|await|void|new|delete))[\s\x01-\x08]{0,40}(?:async\s{1,4})?function)"
 # ``catch`` is a method name only where it starts a line and its parenthesis follows
 # at once; elsewhere it is the clause.
 _NOT_A_METHOD = (
@@ -75,9 +71,14 @@ _NO_METHOD_AFTER = (
 _ANGLES = rf"(?:{R.ANGLES}\s*+)?+"
 
 
+# In a class body any name is a method's; a number is one wherever a body follows.
+_MEMBER = rf"{_METHOD_EDGE}(?:if|for|while|switch|with|catch|await|super)"
+_NUMBER = r"\d(?<![\p{L}\p{N}\p{M}_$.)\]]\d)[\w.]*+"
+
+
 def _script_body(typed: bool) -> str:
     """What follows the parameters of a function that has a body."""
-    result = rf"(?::(?:[^{{}};=()]++|{R.PARENS})*+)?+" if typed else ""
+    result = rf"(?::(?:[^{{}};=()]++|{R.PARENS})*+(?:{R.BRACES}\s*+(?=\{{))?+)?+" if typed else ""
     return rf"\s*+{result}\{{"
 
 
@@ -94,31 +95,38 @@ def _script_method(typed: bool, rest: str) -> str:
 
 
 def _script_patterns(typed: bool) -> tuple[str, str]:
-    header = rf"\s*+{_ANGLES}{R.PARENS}{_script_body(typed)}"
+    header = rf"\s*+[(<]{_BODY}"
     function = (
         rf"{R.keyword('function')}(?=\s*+(?:{R.DOLLAR_NAME}|){header})"
         rf"(?:{_OPERAND}\s*+(?:{R.DOLLAR_NAME}\s*+)?+[(<]|\s*+{R.DOLLAR_NAME}|\s*+[(<])"
     )
     method = _script_method(typed, header)
-    computed = rf"(?=\[)(?<![\p{{L}}\p{{N}}_$)\]])(?={R.BRACKETS}{header})\["
-    functions = R.any_of(function, "=>", method, computed)
+    computed = rf"(?=\[)(?<![\p{{L}}\p{{N}}_$)\]])\[(?={_BODY})"
+    member, number = rf"{_MEMBER}(?=\s*+\({B.MEMBER})", rf"{_NUMBER}(?=\s*+\({_BODY})"
+    functions = R.any_of(function, "=>", member, method, number, computed)
     types = (
-        rf"(?=class\s)(?<![.$=(,:?\[!&|]\s{{0,40}})(?<!=>\s{{0,40}})"
+        rf"(?=class\s)(?<![.$=(,:?\[!&|][\s\x01-\x08]{{0,40}})(?<!=>\s{{0,40}})"
         rf"(?<!\b(?:return|extends|abstract|new|typeof|yield|await|of|in)\s{{1,40}})"
         rf"{R.keyword('class')}\s++(?!extends\b|implements\b){R.DOLLAR_NAME}"
     )
     return functions, types
 
 
+_CLASS_BODY = (
+    rf"(?=class[\s{{]){R.keyword('class')}(?:(?!class\b)[^{{}};()]|\([^(){{}};]*+\))*+\{{"
+)
+
 _JS_FN, _JS_CLASS = _script_patterns(typed=False)
 _TS_FN, _TS_CLASS = _script_patterns(typed=True)
 
 # Type positions of TypeScript, where ``=>`` makes a function type.
 _TYPE = rf"(?:[^(){{}}\[\]<>,;=\n]++|=>\s*+|{R.PARENS}|{R.BRACES}|{R.BRACKETS}|{R.ANGLES})"
+# A line ends a type unless the next one goes on with it.
+_LONG_TYPE = rf"(?:{_TYPE}|\n(?=\s*+[|&?:])|(?<=[|&?:]\s{{0,8}})\n)"
 _TS_INTERFACE = (
     rf"{R.keyword('interface')}\s++{R.DOLLAR_NAME}[^{{}};]*+{R.BRACES}"
     rf"|{R.keyword('type')}\s++{R.DOLLAR_NAME}\s*+(?:{R.ANGLES}\s*+)?+=(?![=>])\s*+\|?"
-    rf"(?:{_TYPE}|\n(?=\s*+[|&?:])|(?<=[|&?:]\s{{0,8}})\n)*+"
+    rf"{_LONG_TYPE}*+"
 )
 _TS_ARGUMENTS = rf"(?<=[\p{{L}}\p{{N}}_$]){R.ANGLES}(?=\s*+[(\[;,)=>{{|&])"
 # An arrow before the name of a built-in type makes a type wherever it stands.
@@ -135,7 +143,7 @@ _TS_PARAMETER = (
     rf"(?:\s*+:{_TYPE}++)?+(?=\s*+(?:[,)]|=(?![=>])))"
 )
 _TS_VARIABLE = (
-    rf"((?:const|let|var)\s++{R.DOLLAR_NAME}!?+)\s*+:{_TYPE}++(?=\s*+=(?![=>]))"
+    rf"((?:const|let|var)\s++{R.DOLLAR_NAME}!?+)\s*+:{_LONG_TYPE}++(?=\s*+(?:;|=(?![=>]))|[ \t]*+(?:\n|\z))"
     rf"|((?<!\?\s{{0,8}})(?<![\p{{L}}\p{{N}}_$.]){R.DOLLAR_NAME}[?!]?+)\s*+:\s*+"
     rf"{R.PARENS}\s*+=>{_TYPE}++(?=\s*+(?:;|=(?![=>])))"
 )
@@ -147,11 +155,7 @@ _TS_RESULT = (
 
 # --- Java ------------------------------------------------------------------
 
-# Members of an annotation type are followed one by one: its elements go, types in it stay.
-_JAVA_ANNOTATION_TYPE = (
-    rf"(?:(@interface\s++{R.DOLLAR_NAME}\s*+\{{)|(?!\A)\G)\s*+"
-    rf"(?:(?:[^{{}};()]++|{R.PARENS}|{R.BRACES})*+;|((?:[^{{}};()]++|{R.PARENS})*+{R.BRACES}))"
-)
+_JAVA_ANNOTATION_TYPE = rf"@interface\s++{R.DOLLAR_NAME}\s*+\{{"
 # Constants come first in an enum; a mark after its brace keeps the first from looking like
 # a constructor.
 _JAVA_ENUM = rf"({R.keyword('enum')}\s++{R.DOLLAR_NAME}[^{{}};()]*+\{{)"
@@ -163,7 +167,8 @@ _JAVA_CONTROL = (
     r"(?!(?:if|for|while|switch|catch|synchronized|try|super|this|return)(?![\p{L}\p{N}_$]))"
 )
 _JAVA_AFTER = r"\s*+(?:\[\s*\]\s*+)*+(?:throws\s[^{};]*+)?+"
-_JAVA_BODY = rf"\s*+{R.PARENS}{_JAVA_AFTER}"
+_JAVA_BODY = rf"\s*+\({B.BODY}"
+_JAVA_HEADER = rf"\s*+\([{B.BODY}{B.END}]"
 _JAVA_NAME = rf"{_JAVA_CONTROL}{R.DOLLAR_NAME}"
 # What comes before the name is matched forwards, from its last character on: a
 # modifier, a bracket or a semicolon before a constructor, the end of the return
@@ -184,23 +189,22 @@ def _java_method(rest: str) -> str:
 
 
 # After the closing parenthesis of an annotation.
-_JAVA_ANNOTATED = rf"\)\s*+{_JAVA_NAME}(?={_JAVA_BODY}\{{)"
+_JAVA_ANNOTATED = rf"\)\s*+{_JAVA_NAME}(?={_JAVA_BODY})"
 _JAVA_FN = R.any_of(
-    _java_constructor(rf"{_JAVA_BODY}\{{"), _JAVA_ANNOTATED, _java_method(rf"{_JAVA_BODY}[{{;]")
+    _java_constructor(_JAVA_BODY), _JAVA_ANNOTATED, _java_method(_JAVA_HEADER)
 )
 _JAVA_TYPE = rf"{R.keyword('class', 'interface')}\s++{R.DOLLAR_NAME}"
 
-# The same method rules without the balanced parameter list, for matching brackets
-# as rows: (opening that needs a body, opening that needs a body or a semicolon,
+def _script_opening(typed: bool, before: str) -> str:
+    member, number = rf"{_MEMBER}\s*+\((?={B.MEMBER})", rf"{_NUMBER}\s*+\("
+    return R.any_of(member, _script_method(typed, rf"{before}\(") + rf"{before}\(", number)
+
+
+# The same method rules for matching brackets as rows, in text without other marks than MEMBER: (opening that needs a body, opening that needs a body or a semicolon,
 # rest of a header with a body, rest of one without).
 METHOD_BRACKETS = {
-    S.JAVASCRIPT: (_script_method(False, r"\s*+\(") + r"\s*+\(", None, rf"\)(?={_script_body(False)})", None),
-    S.TYPESCRIPT: (
-        _script_method(True, rf"\s*+{_ANGLES}\(") + rf"\s*+{_ANGLES}\(",
-        None,
-        rf"\)(?={_script_body(True)})",
-        None,
-    ),
+    S.JAVASCRIPT: (_script_opening(False, r"\s*+"), None, rf"\)(?={_script_body(False)})", None),
+    S.TYPESCRIPT: (_script_opening(True, rf"\s*+{_ANGLES}"), None, rf"\)(?={_script_body(True)})", None),
     S.JAVA: (
         R.any_of(_java_constructor(r"\s*+\("), rf"(?<=\))\s*+{_JAVA_NAME}") + r"\s*+\(",
         _java_method(r"\s*+\(") + r"\s*+\(",
@@ -254,27 +258,32 @@ def _strip_types(masked: Column) -> Column:
     return F.when(F.contains(masked, F.lit("=>")), text).otherwise(masked)
 
 
+def _marked_opening(text: Column, pattern: str, mark: str, only_if: str) -> Column:
+    marked = F.regexp_replace(text, F.lit(pattern), F.lit(f"$0{mark}"))
+    return F.when(F.contains(text, F.lit(only_if)), marked).otherwise(text)
+
+
 def code_only(masked: Column, language: Column) -> Column:
-    """Masked text without the spans in which nothing is a declaration."""
+    """Masked text without the spans in which nothing is a declaration, and with marks after
+    the openings of brackets that hold no declarations, or those of another kind."""
+    plain = B.without_marks(masked)
+    java = _marked_opening(_even(plain), _JAVA_ANNOTATION_TYPE, B.ANNOTATION, "@interface")
     return (
-        F.when(language == S.RUST, _strip(masked, _RUST_MACRO, "! "))
-        .when(
-            language == S.GO,
-            F.when(
-                F.rlike(masked, F.lit(r"\btype\s*+\(")),
-                F.regexp_replace(masked, F.lit(_GO_GROUPED), F.lit(" type $1 ")),
-            ).otherwise(masked),
-        )
-        .when(language == S.TYPESCRIPT, _strip_types(_even(masked)))
-        .when(
-            language == S.JAVA,
-            _strip(_strip(_even(masked), _JAVA_ANNOTATION_TYPE, "$1 $2 ", "@interface"), _JAVA_ENUM, "$1@ ", "enum"),
-        )
-        .when(language == S.JAVASCRIPT, _even(masked))
-        .otherwise(masked)
+        F.when(language == S.RUST, _marked_opening(plain, _RUST_MACRO, B.DROP, "!"))
+        .when(language == S.GO, _marked_opening(plain, _GO_GROUP, B.GROUP, "type"))
+        .when(language == S.PYTHON, _strip(plain, r"\\\r?+\n", " ", "\\"))
+        .when(language == S.TYPESCRIPT, _marked_opening(_strip_types(_even(plain)), _CLASS_BODY, B.CLASS, "class"))
+        .when(language == S.JAVA, _strip(java, _JAVA_ENUM, "$1@ ", "enum"))
+        .when(language == S.JAVASCRIPT, _marked_opening(_even(plain), _CLASS_BODY, B.CLASS, "class"))
+        .otherwise(plain)
     )
 
 
+def with_headers(masked: Column, language: Column) -> Column:
+    """The text that declarations are matched in."""
+    return B.marked(code_only(masked, language), language)
+
+
 def _count(code: Column, language: Column, patterns: dict[str, str]) -> Column:
     counted = F.when(F.lit(False), F.lit(0))
     for name, pattern in patterns.items():

@@ -6,8 +6,12 @@ starts first wins, as in a lexer.
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from declcensus import schemas as S
 from declcensus.functions import regex as R
@@ -18,14 +22,6 @@ _BLOCK_COMMENT = r"/\*(?s:.*?)(?:\*/|\z)"
 _CHARACTER = r"'(?:[^'\\\n]|\\[^\n][0-9A-Fa-f]*+)'"
 
 
-def _nested_comment(depth: int = R.NESTING) -> str:
-    inner = r"[^*/]++|\*(?!/)|/(?!\*)"
-    pattern = rf"/\*(?:{inner})*+(?:\*/|\z)"
-    for _ in range(depth - 1):
-        pattern = rf"/\*(?:{inner}|{pattern})*+(?:\*/|\z)"
-    return pattern
-
-
 def _triple(quote: str) -> str:
     return rf"{quote * 3}(?:[^{quote}\\]++|\\(?s:.)|{quote}(?!{quote * 2}))*+{quote * 3}"
 
@@ -43,7 +39,7 @@ def _template_parts(depth: int = 3) -> tuple[str, str]:
 
 RUST_MASK = R.any_of(
     _LINE_COMMENT,
-    _nested_comment(),
+    _BLOCK_COMMENT,
     r'(?<![\p{L}\p{N}_])[bc]?r(#*+)"(?s:.*?)(?:"\1|\z)',
     R.unrolled('"', multiline=True),
     r"'(?:[^'\\\n]|\\(?:u\{[^}\n]*+\}|x[0-9A-Fa-f]{2}|[^\n]))'",
@@ -56,9 +52,9 @@ PYTHON_MASK = R.any_of(
 
 _TEXT, _CODE = _template_parts()
 
-# A slash starts a pattern literal only where an operand is expected.
+# A slash starts a pattern literal only where an operand is expected; what says so is put back.
 _REGEX_LITERAL = (
-    r"/(?<=(?:[(,=:\[!&|?{;+~^%*\-]|\b(?:return|typeof|case|in|of))\s{0,8}/)(?![*/])"
+    r"((?:[(,=:\[!&|?{;+~^%*\-]|\b(?:return|typeof|case|in|of))\s*+)/(?![*/])"
     r"(?:[^/\\\[\n]++|\\[^\n]|\[(?:[^\]\\\n]++|\\[^\n])*+\])++/[a-z]*+"
 )
 
@@ -70,8 +66,8 @@ _NOT_IN_A_WORD = (
 _NOT_A_URL = r"(?<!\bhttps?:)"
 
 # Put back: the code of each substitution of a template literal (groups 1, 6), a
-# quoted method name (2), and the quote of a plain literal (3 to 5), twice, so that
-# an operand is left where one was.  ``\G`` after a closing brace can only follow a
+# quoted method name (2), the quote of a plain literal (3 to 5), twice, so that an
+# operand is left where one was, and what stands before a pattern literal (7).  ``\G`` after a closing brace can only follow a
 # substitution: no other alternative ends in a brace.
 SCRIPT_MASK = R.any_of(
     rf"\G(?<=\}}){_TEXT}\$\{{({_CODE})\}}",
@@ -85,7 +81,7 @@ SCRIPT_MASK = R.any_of(
     rf"`{_TEXT}\$\{{({_CODE})\}}",
     _REGEX_LITERAL,
 )
-_SCRIPT_KEEP = " $2 $6 $1 $3$3$4$4$5$5 \n"
+_SCRIPT_KEEP = "$7 $2 $6 $1 $3$3$4$4$5$5 \n"
 
 
 def _mask_script(text: Column) -> Column:
@@ -95,11 +91,49 @@ def _mask_script(text: Column) -> Column:
     return F.when(F.contains(text, F.lit("${")), twice).otherwise(once)
 
 
+# Where a comment of Rust can start, and what keeps it from starting.
+_RUST_TOKEN = re.compile(
+    r"""//[^\n]*|(?<!\w)[bc]?r(#*)".*?(?:"\1|\Z)|"(?:[^"\\]|\\.)*+"|'(?:[^'\\\n]|\\(?:u\{[^}\n]*\}|x[0-9A-Fa-f]{2}|[^\n]))'|/\*""",
+    re.S,
+)
+_COMMENT_EDGE = re.compile(r"/\*|\*/")
+_NESTED = r"/\*(?:[^*/]++|\*(?!/)|/(?!\*))*+/\*"
+
+
+def flat_comments(text: str) -> str:
+    """Text of Rust with its nested comments made flat: each is read once, to any depth."""
+    parts, at = [], 0
+    while (token := _RUST_TOKEN.search(text, at)) is not None:
+        end = token.end()
+        if token.group() != "/*":
+            parts.append(text[at:end])
+        else:
+            depth = 1
+            while depth and (edge := _COMMENT_EDGE.search(text, end)) is not None:
+                depth += 1 if edge.group() == "/*" else -1
+                end = edge.end()
+            parts.append(text[at : token.start()] + "/**/")
+            end = len(text) if depth else end
+        at = end
+    return "".join([*parts, text[at:]])
+
+
+@F.arrow_udf(T.StringType())
+def _flat_comments(text: pa.Array) -> pa.Array:
+    return pa.array([t if t is None else flat_comments(t) for t in text.to_pylist()], pa.string())
+
+
+def _mask_rust(text: Column, language: Column) -> Column:
+    # Nested comments are rare: only texts with one are sent to Python.
+    nested = F.when((language == S.RUST) & F.rlike(text, F.lit(_NESTED)), text)
+    return F.regexp_replace(F.coalesce(_flat_comments(nested), text), F.lit(RUST_MASK), F.lit(" "))
+
+
 def mask(text: Column, language: Column) -> Column:
     """``text`` with comments and literals blanked, by the rules of ``language``."""
     blank = F.lit(" ")
     return (
-        F.when(language == S.RUST, F.regexp_replace(text, F.lit(RUST_MASK), blank))
+        F.when(language == S.RUST, _mask_rust(text, language))
         .when(language == S.GO, F.regexp_replace(text, F.lit(GO_MASK), blank))
         .when(language == S.PYTHON, F.regexp_replace(text, F.lit(PYTHON_MASK), blank))
         .when(language == S.JAVA, F.regexp_replace(text, F.lit(JAVA_MASK), blank))

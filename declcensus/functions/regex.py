@@ -9,10 +9,9 @@ by look-ahead, so that declarations inside a parameter list are still seen.
 
 from __future__ import annotations
 
-# Patterns cannot count: brackets are followed to this depth inside one header, macro call or
-# type.  It bounds the size of the patterns, not the size of a file; ``operators/tokens.py``
-# follows brackets to any depth.
-NESTING = 512
+# Patterns cannot count: in types they follow brackets to this depth.  The brackets of
+# headers, macros and groups are followed to any depth by ``brackets``.
+NESTING = 24
 
 
 def balanced(opening: str, closing: str, depth: int = NESTING) -> str:
@@ -26,12 +25,13 @@ def balanced(opening: str, closing: str, depth: int = NESTING) -> str:
 
 PARENS = balanced("(", ")")
 BRACES = balanced("{", "}")
-BRACKETS = balanced("[", "]", 64)
+BRACKETS = balanced("[", "]")
 
 
 def angles(depth: int = 12) -> str:
     """Pattern for ``<...>`` type arguments; arrows inside do not close them."""
-    inner = rf"[^<>(){{}};=\-\[\]]++|->|=>|[=\-]|{balanced('(', ')', 12)}|{balanced('[', ']', 12)}"
+    groups = "|".join(balanced(*pair, 12) for pair in ("()", "[]", "{}"))
+    inner = rf"[^<>(){{}};=\-\[\]]++|->|=>|[=\-]|{groups}"
     group = rf"<(?:{inner})*+>"
     for _ in range(depth - 1):
         group = rf"<(?:{inner}|{group})*+>"

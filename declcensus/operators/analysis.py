@@ -30,7 +30,7 @@ def analyze_files(
     masked = found.select(
         "path", "language", "message", masking.mask(text, F.col("language")).alias("masked")
     )
-    code = masked.withColumn("code", counting.code_only(F.col("masked"), F.col("language")))
+    code = masked.withColumn("code", counting.with_headers(F.col("masked"), F.col("language")))
     return code.select(
         "path",
         "language",

@@ -16,9 +16,10 @@ def with_masked(files: DataFrame) -> DataFrame:
 
 
 def with_code(files: DataFrame) -> DataFrame:
-    """Add ``code``: masked text without the spans in which nothing is declared."""
+    """Add ``code``: masked text without the spans in which nothing is declared, with marks
+    that say what follows a bracket."""
     return with_masked(files).withColumn(
-        "code", counting.code_only(F.col("masked"), F.col("language"))
+        "code", counting.with_headers(F.col("masked"), F.col("language"))
     )
 
 
@@ -78,7 +79,7 @@ def _kind(language: Column, text: Column) -> Column:
 def _name(language: Column, text: Column) -> Column:
     """Declared name; NULL for arrows, nameless functions and computed names."""
     bare = F.regexp_replace(text, F.lit(r"\s*+[(<]$"), F.lit(""))
-    last = F.regexp_extract(bare, r"((?:r#)?[#\p{L}_$][\p{L}\p{N}\p{M}_$]*+)\s*$", 1)
+    last = F.regexp_extract(bare, r"((?:r#)?[#\p{L}_$][\p{L}\p{N}\p{M}_$]*+|^\d[\w.]*+)\s*$", 1)
     nameless = text.isin("=>", "[") | (
         language.isin(S.JAVASCRIPT, S.TYPESCRIPT) & (bare == "function")
     )

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from declcensus.functions import counting
+from declcensus.functions import brackets, counting
 from declcensus.operators import counts, ordering
 from declcensus.operators.language import barrier
 
@@ -34,7 +34,7 @@ def with_bracket_roles(files: DataFrame) -> DataFrame:
     closings first, as they look at the brace that an opening may take in.
     """
     open_body, open_any, close_body, close_end = zip(*counting.METHOD_BRACKETS.values())
-    reduced = files.withColumn("marked", F.translate("code", _ROLES, "")).drop("code")
+    reduced = files.withColumn("marked", F.translate("code", _ROLES + brackets.MARKS.replace(brackets.MEMBER, ""), "")).drop("code")
     for patterns, role in (
         (close_body, _CLOSE_BODY),
         (close_end, _CLOSE_END),

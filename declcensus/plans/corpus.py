@@ -126,6 +126,10 @@ _PYTHON_BLOCKS = (
         "async def run_{i}(\n    a,\n    *args,\n):\n    «# {line}»\n    def inner(z):\n        return lambda q: z\n    return inner\n\n",
         ((FN, "function_definition", "run_{i}"), (FN, "function_definition", "inner")),
     ),
+    Block(
+        "def \\\njoined_{i}(a):\n    «# {line}»\n    pass\n\n",
+        ((FN, "function_definition", "joined_{i}"),),
+    ),
     Block(
         "text_{i} = «'''\ndef no():\n    {quoted}\nclass Fake:\n'''»\n«# class No: {line}»\n\n",
         (),
@@ -133,6 +137,17 @@ _PYTHON_BLOCKS = (
 )
 
 _SCRIPT_COMMON = (
+    Block(
+        "class Words_{i} {\n    if() {}\n    for(a = ((1))) { return          «/x => y/g»; }\n}\n"
+        "const o_{i} = { 1() {}, 2.5() {} };\n«// {line}»\n",
+        (
+            (TYPE, "class_declaration", "Words_{i}"),
+            (FN, "method_definition", "if"),
+            (FN, "method_definition", "for"),
+            (FN, "method_definition", "1"),
+            (FN, "method_definition", "2.5"),
+        ),
+    ),
     Block(
         "function plain_{i}(a, b = (1 + 2)) {\n    «// {line}»\n    console.log(«\"function no() {} {quoted}\"»);\n"
         "    return new Thing(a);\n}\n",
@@ -199,10 +214,27 @@ _TYPESCRIPT_BLOCKS = (
             (FN, "function_declaration", "f_{i}"),
         ),
     ),
+    Block(
+        "function pick_{i}<T extends { a: string; f: (x: T) => void }>(x: T): T { return x; }\n"
+        "class Lazy_{i} {\n    on?: (x: number) => Foo\n    with(a: number) {}\n"
+        "    get<K extends { b: Array<K> }>(k: K): { c: K } { return go(k); }\n}\n"
+        "let later_{i}: (a: number) => Foo\n«// {line}»\n",
+        (
+            (FN, "function_declaration", "pick_{i}"),
+            (TYPE, "class_declaration", "Lazy_{i}"),
+            (FN, "method_definition", "with"),
+            (FN, "method_definition", "get"),
+        ),
+    ),
     *_SCRIPT_COMMON,
 )
 
 _JAVA_BLOCKS = (
+    Block(
+        "@interface Mark_{i} {\n    class In_{i} { void f() {} }\n    String value() default «\"x\"»;\n"
+        "    int[] n() default {1, 2};\n}\n«// {line}»\n",
+        ((TYPE, "class_declaration", "In_{i}"), (FN, "method_declaration", "f")),
+    ),
     Block(
         "public class Holder_{i}<T> extends Base {\n    private int value = compute(3);\n"
         "    public Holder_{i}(int value) { super(value); }\n"

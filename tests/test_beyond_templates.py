@@ -5,6 +5,7 @@ import time
 import pytest
 from helpers import counted, files, snippet_counts
 
+from declcensus.functions import brackets, masking
 from declcensus.operators import language
 
 TYPESCRIPT = [
@@ -19,6 +20,15 @@ TYPESCRIPT = [
     ("let handlers: { a: () => void; b: () => void };", 0, 0),
     ("function f(): { a: () => void } { return g(); }", 1, 0),
     ("const f = () => void 0;\nconst g = (x: number) => string(x);", 2, 0),
+    ("function f<T extends { a: string }>(x: T) { }", 1, 0),
+    ("class A { m<T extends { a: string }>(x: T) { } }", 1, 1),
+    ("class A { m<T extends (a: { b: 1 }) => void, U = Array<T>>(x: T): { c: T } { } }", 1, 1),
+    ("let v: (a: number) => Foo\nfunction f() {}", 1, 0),
+    ("let v: (a: number) => Foo\n  | Bar;\nfunction f() {}", 1, 0),
+    ("class A {\n  cb?: (x: number) => Foo\n  m() {}\n}", 1, 1),
+    ("class A { cb: (x: Foo) => Bar }", 0, 1),
+    ("class A { cb: (x: Foo, y: (z: Foo) => Bar) => Bar; run = (x: Foo): Bar => { }; m() { return { cb: (x: Foo) => x }; } }", 3, 1),
+    ("if (a < b) { } class A { m() { return a < b; } n<T>(c: T) { return c > (d); } }", 2, 1),
 ]
 OTHERS = [
     ("Rust", "fn f() -> [[f64; 3]; 3] { x() }\nfn g(a: [[u8; 2]; 2]) -> u8 { 0 }", 2, 0),
@@ -28,6 +38,15 @@ OTHERS = [
     ("JavaScript", "function C() { return <p>Don't {xs.map(x => x)} and won't</p>; }", 2, 0),
     ("JavaScript", "function C() { return <p>see http://x {xs.map(x => x)}</p>; }\nfunction d() {}", 3, 0),
     ("JavaScript", "switch (a) { case'x => y': return'() => 1'; } // () => 2\nvar s = 'http://x => y', t = \"https://a\";", 0, 0),
+    ("Java", "@interface M { class I { void f() {} } int v(); class J { int g() { return 1; } } int w() default 1; }", 2, 2),
+    ("Java", "class A { int f(int a)[] { } void g() throws E, F { } abstract int h() throws E; int x = k(2); }", 3, 1),
+    ("JavaScript", "x = { 1() {}, 2.5() {} };", 2, 0),
+    ("JavaScript", "class A { with() {} if() {} for() {} get x() { return 1; } *g() {} }", 5, 1),
+    ("JavaScript", "class A { m() { if (a) { } for (;;) { } while (b) { } switch (c) { } } static { if (d) { } } f = function () { }; }", 2, 1),
+    ("JavaScript", "return" + " " * 20 + "/a => b/.test(s); x = a / b; y = (c) => c / 2 / d;", 1, 0),
+    ("Python", "def \\\nf(): pass\nx = 1 + \\\n  2\n", 1, 0),
+    ("Go", "package p\n\ntype (\n\tA[T any] struct{ x T }\n\tB [4]int\n\n\tC struct {\n\t\tf func(a struct{}) struct{}\n\t}\n)\n", 0, 2),
+    ("Rust", "fn a\x01(b: i32) -> i32 { m!{ fn no() {} } }\x02 fn c() { n![[fn no() {}]]; o!((fn no() {})); }", 2, 0),
     ("JavaScript", "a(1)\n" + " " * 300 + "\nclass A {\n" + " " * 200 + "m() {}\n}", 1, 1),
 ]
 
@@ -42,7 +61,7 @@ def test_other_languages(spark):
     assert got == {str(k): (f, c) for k, (_, _, f, c) in enumerate(OTHERS)}
 
 
-@pytest.mark.parametrize("depth", [13, 40, 500])
+@pytest.mark.parametrize("depth", [13, 40, 600, 3000])
 def test_deep_brackets(spark, depth):
     inside = "(" * depth + "0" + ")" * depth
     snippets = [
@@ -112,3 +131,19 @@ def test_content_wins_and_the_operators_agree(spark):
     for r in both.collect():
         assert one[r["path"]] == (r["content_language"] or r["extension_language"])
     assert one["wrong.js"] == "Python" and one["plain.go"] == "Go" and one["none.txt"] is None and one["quoted.rs"] == "Rust"
+
+
+def test_a_mark_takes_the_same_text_in_any_company():
+    """Brackets of one text do not meet those of another, however texts are put together."""
+    texts = [("Rust", b"fn f(a: ((1)) { x("), ("Java", b"class A { void f() throws E { } } ))"), ("Go", b"type (\x08\n\tA struct{}\n)"),
+             ("TypeScript", b"class A {\x07 m<T>(x: T): { a: 1 } { } b: (c: D) => E }"), ("Python", b"def f[T](a) -> x:"), ("Rust", b""), (None, b"f(x) {")]
+    alone = [brackets.rewrite([t], [lang])[0] for lang, t in texts]
+    assert brackets.rewrite([t for _, t in texts], [lang for lang, _ in texts]) == alone
+    assert brackets.rewrite([t for _, t in texts] * 3, [lang for lang, _ in texts] * 3) == alone * 3
+
+
+@pytest.mark.parametrize("unit", ["/* ", "*/ ", '" ', "// x\n", "/* */ ", "r#\" ", "' "])
+def test_flat_comments_read_a_text_once(unit):
+    start = time.perf_counter()
+    masking.flat_comments("/* /* */ */" + unit * (1_000_000 // len(unit)))
+    assert time.perf_counter() - start < 5
