@@ -311,7 +311,7 @@ def rewrite(texts: list[bytes], languages: list[str | None]) -> list[bytes]:
 @F.arrow_udf(T.StringType())
 def _marked(code: pa.Array, language: pa.Array) -> pa.Array:
     out: list[pa.Array] = []
-    raw = code.cast(pa.binary())
+    raw = code.view(pa.binary())
     sizes = np.array([len(x.as_buffer()) if x.is_valid else 0 for x in raw], np.int64)
     for start, end in _slices(sizes):
         own = raw.slice(start, end - start).to_pylist()
@@ -319,8 +319,9 @@ def _marked(code: pa.Array, language: pa.Array) -> pa.Array:
         names = language.slice(start, end - start).to_pylist()
         for k, t in zip(there, rewrite([own[k] for k in there], [names[k] for k in there]), strict=True):
             own[k] = t
-        out.append(pa.array(own, pa.binary()).cast(pa.string()))
-    return pa.chunked_array(out, pa.string()).combine_chunks() if out else pa.array([], pa.string())
+        out.append(pa.array(own, pa.binary()))
+    # A view, as text that is not valid UTF-8 goes back as it came.
+    return (pa.concat_arrays(out) if out else pa.array([], pa.binary())).view(pa.string())
 
 
 def marked(code: Column, language: Column) -> Column:

@@ -120,7 +120,10 @@ def flat_comments(text: str) -> str:
 
 @F.arrow_udf(T.StringType())
 def _flat_comments(text: pa.Array) -> pa.Array:
-    return pa.array([t if t is None else flat_comments(t) for t in text.to_pylist()], pa.string())
+    # Bytes that are not valid UTF-8 go back as they came.
+    texts = (t if t is None else t.decode("utf-8", "surrogateescape") for t in text.view(pa.binary()).to_pylist())
+    flat = [t if t is None else flat_comments(t).encode("utf-8", "surrogateescape") for t in texts]
+    return pa.array(flat, pa.binary()).view(pa.string())
 
 
 def _mask_rust(text: Column, language: Column) -> Column:

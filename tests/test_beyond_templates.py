@@ -6,7 +6,7 @@ import pytest
 from helpers import counted, files, snippet_counts
 
 from declcensus.functions import brackets, masking
-from declcensus.operators import language
+from declcensus.operators import counts, language
 
 TYPESCRIPT = [
     ("class A { private cb: ((x: number) => void) | null = null; m() {} }", 1, 1),
@@ -147,3 +147,9 @@ def test_flat_comments_read_a_text_once(unit):
     start = time.perf_counter()
     masking.flat_comments("/* /* */ */" + unit * (1_000_000 // len(unit)))
     assert time.perf_counter() - start < 5
+
+
+def test_bytes_that_are_not_text_do_not_stop_a_task(spark):
+    rows = [("a", "Rust", b"/* /* \xff */ */ fn a() {}"), ("b", "Rust", b"fn b() { \xfe }"), ("c", "Java", b"class C { void m() { \xff } }")]
+    df = spark.createDataFrame(rows, "path string, language string, content binary")
+    assert {r["path"]: r["function_count"] for r in counts.file_counts(df).collect()} == {"a": 1, "b": 1, "c": 1}
