@@ -8,16 +8,19 @@ the overlaps.  The product is taken in blocks, and only for blocks that can hold
    one order of all n-grams, have one in common.  The order puts rare n-grams first: those
    with a hash under ``KNOWN`` are counted over all sets and ordered by count and hash, then
    come the others by hash.  So columns that very many sets share are seldom among the first.
-3. The sets of a column are multiplied with the smallest of them, block by block; sizes that
-   differ by more than t are never compared.
-4. Columns whose sets are then still in several components are cut into bands of sizes
-   (ratios beyond t are never in one block) and into blocks of about ``_BLOCK`` n-grams, and
-   blocks of a band are multiplied in pairs: overlaps are accumulated over an inverted
-   index, and pairs below the bound that their sizes give are discarded.
-
-Every pair that reaches t shares a column of step 2, so each is compared, or its sets are in
-one component already.  No pairs are made of the members of a column; a column's links are a
-forest.  Columns are sorted over ranges, so one that very many sets share is spread.
+3. The columns that have the same smallest set make a group, which its sets belong to once.  The
+   sets of a group are multiplied with the smallest, block by block; sizes that differ by more
+   than t are never compared.
+4. Groups whose sets are then still in several components are cut into bands of sizes (ratios
+   beyond t are never in one block) and into blocks of about ``_BLOCK`` n-grams.  The sets outside
+   of a group's largest component are multiplied with all of the band: overlaps are accumulated
+   over an inverted index, and pairs below the bound that their sizes give are discarded.
+
+Every pair that reaches t shares a column of step 2, hence a group, so it is compared or its sets
+are in one component already.  No pairs are made of the members of a group; the links of a block
+are a forest.  Columns are sorted over ranges, so one that very many sets share is spread.  A group
+of sets that all share an n-gram, are of about one size and are nearly all unlinked takes work that
+grows with the square of its size; where most are linked the work grows with what is not.
 
 Defined results: A-Z are lower-cased, words are split at blanks and control blanks; a text
 with fewer words than ``WORDS`` has its whole sequence as one n-gram; a null or empty text, or
@@ -210,86 +213,86 @@ def _leading(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
     return ordered.mapInArrow(lambda it: _with_leader(it, words, percent), "a long, b long")
 
 
-def _mixed(columns: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """Rows ``(gram, band, i, j, own, class, rep, set)``: members of the columns that are still in several
-    classes, dealt to pairs of blocks of sets of about the same size."""
-    classed = materialize(
-        columns.join(found.select(F.col("id").alias("rep"), "root"), "rep", "left")
-        .select("gram", "rep", "set", "size", F.coalesce("root", "rep").alias("class"))
-    )
-    several = materialize(
-        classed.groupBy("gram").agg(
-            F.min("class").alias("least"), F.max("class").alias("most"),
-            F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("set")).alias("x"), F.sum(F.hash("set").cast("long")).alias("s"),
-        ).filter("least < most").groupBy("n", "x", "s").agg(F.min("gram").alias("gram")).select("gram")  # equal columns once
-    )
+def _mixed(members: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """Rows ``(a, a_set, band, i, j, asks, class, id, set)``: of the groups that are still in several
+    classes, sets of about the same size, dealt to blocks of the product.
+
+    What is outside of a group's largest class asks (block i) all of the group (block j), so the
+    work grows with the group's size times what is outside, not with the square of the size.
+    """
+    group = ["a", "a_set", "band"]
+    classed = members.join(found.select(F.col("id").alias("rep"), "root"), "rep", "left").withColumn("class", F.coalesce("root", "rep"))
     # A little wider than the ratio, so that rounding cannot part two sets by more than one band.
     width = float(-np.log(percent / 100)) * 1.0001
-    band = F.floor(F.log(F.col("size").cast("double")) / width)
-    banded = classed.join(several, "gram").withColumn("band", F.explode(F.array(band, band + 1)))
-    groups = materialize(
-        banded.groupBy("gram", "band")
-        .agg(F.min("class").alias("least"), F.max("class").alias("most"), F.ceil(F.sum("size") / _BLOCK).cast("int").alias("blocks"))
-        .filter("least < most").select("gram", "band", "blocks")
+    home = F.floor(F.log(F.col("size").cast("double")) / width)
+    banded = materialize(
+        classed.select("a", "a_set", F.col("rep").alias("id"), "set", "size", "class", home.alias("home"))
+        .withColumn("band", F.explode(F.array(F.col("home"), F.col("home") + 1)))
     )
-    own = F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int")
-    dealt = banded.join(groups, ["gram", "band"]).withColumn("own", own).withColumn(
-        "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    sized = banded.groupBy(*group, "class").agg(F.sum("size").alias("total"), F.max("home").alias("home"))
+    groups = materialize(
+        sized.groupBy(*group).agg(
+            F.max_by("class", F.struct("total", "class")).alias("largest"), F.max("total").alias("most"), F.sum("total").alias("total"),
+            F.max("home").alias("home"),
+        ).filter("most < total AND home = band")  # a group without sets of its own band is part of the one before
+        .select(*group, "largest", F.ceil((F.col("total") - F.col("most")) / _BLOCK).cast("int").alias("asking"), F.ceil(F.col("total") / _BLOCK).cast("int").alias("blocks"))
     )
-    return dealt.select("gram", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "class", "rep", "set")
+    dealt = banded.join(groups, group)
+    own = lambda n: F.pmod(F.xxhash64("set"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    shown = [*group, "i", "j", "asks", "class", "id", "set"]
+    asking = dealt.filter("class <> largest").withColumns({"i": own("asking"), "asks": F.lit(True)}).withColumn("j", every("blocks"))
+    asked = dealt.withColumns({"j": own("blocks"), "asks": F.lit(False)}).withColumn("i", every("asking"))
+    return asking.select(*shown).unionByName(asked.select(*shown))
 
 
 def _product(it: Iterator[pa.RecordBatch], words: int, percent: int) -> Iterator[pa.RecordBatch]:
-    key, held = None, []
+    key, asking, rows = None, [], []
 
     def out() -> pa.RecordBatch:
-        found = block_links(held, percent, key[2] != key[3]) if held else []
+        found = block_links(asking, rows, percent)
         return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     for batch in B.slices(it):
-        names = zip(*(c.to_pylist() for c in batch.columns[:8]), strict=True)
-        values, sizes = ngram_sets(batch.column(8).to_pylist(), words)
+        names = zip(*(c.to_pylist() for c in batch.columns[:9]), strict=True)
+        values, sizes = ngram_sets(batch.column(9).to_pylist(), words)
         ends = np.cumsum(sizes)
-        for k, (gram, band, i, j, own, group, rep, wanted) in enumerate(names):
-            if (gram, band, i, j) != key:
+        for k, (*block, asks, group, name, wanted) in enumerate(names):
+            if block != key:
                 yield out()
-                key, held = (gram, band, i, j), []
+                key, asking, rows = block, [], []
             grams = values[ends[k] - sizes[k] : ends[k]]
             if len(grams) and set_key(_digest(grams)) == wanted:
-                held.append((rep, group, own, grams))
+                (asking if asks else rows).append((name, group, grams))
     yield out()
 
 
-def block_links(held: list[tuple[int, int, int, np.ndarray]], percent: int, across: bool) -> list[tuple[int, int]]:
-    """Links between the sets ``(name, class, block, n-grams)`` of different classes.
+def block_links(asking: list[tuple[int, int, np.ndarray]], rows: list[tuple[int, int, np.ndarray]], percent: int) -> list[tuple[int, int]]:
+    """Links between sets ``(name, class, n-grams)`` of different classes, one of each pair asking.
 
-    The overlaps of a row with all others are accumulated over an inverted index; the rows
-    of the largest class need not be taken, as the others meet them.
+    The product of an asking row with the block is accumulated over an inverted index.
     """
-    sizes = np.array([len(x[3]) for x in held])
-    _, column = np.unique(np.concatenate([x[3] for x in held]), return_inverse=True)
-    row = np.repeat(np.arange(len(held)), sizes)
+    if not asking or not rows:
+        return []
+    sizes = np.array([len(x[2]) for x in rows])
+    grams, column = np.unique(np.concatenate([x[2] for x in rows]), return_inverse=True)
     order = np.argsort(column, kind="stable")
-    rows, ends = row[order], np.cumsum(np.bincount(column))
+    holders = np.repeat(np.arange(len(rows)), sizes)[order]
+    ends = np.cumsum(np.bincount(column))
     starts = np.concatenate(([0], ends[:-1]))
-    first = np.cumsum(sizes) - sizes
-    _, group = np.unique([x[1] for x in held], return_inverse=True)
-    block = np.array([x[2] for x in held])
+    _, group = np.unique([x[1] for x in rows + asking], return_inverse=True)
     found = []
-    for x in np.flatnonzero(group != np.bincount(group).argmax()):
-        own = column[first[x] : first[x] + sizes[x]]
-        own = own[ends[own] - starts[own] > 1]
-        if len(own) < needed(int(sizes[x]), percent):
+    for x, (name, _, own) in enumerate(asking, len(rows)):
+        place = np.minimum(np.searchsorted(grams, own), len(grams) - 1)
+        at = place[grams[place] == own]
+        if len(at) < needed(len(own), percent):
             continue
-        lengths = ends[own] - starts[own]
-        at = np.repeat(starts[own] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
-        overlap = np.bincount(rows[at], minlength=len(held))
-        able = linked(overlap, sizes, int(sizes[x]), percent) & (group != group[x])
-        if across:
-            able &= block != block[x]
-        for y in np.flatnonzero(able):
+        lengths = ends[at] - starts[at]
+        held = np.repeat(starts[at] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+        overlap = np.bincount(holders[held], minlength=len(rows))
+        for y in np.flatnonzero(linked(overlap, sizes, len(own), percent) & (group[: len(rows)] != group[x])):
             if group[x] != group[y]:
-                found.append((held[x][0], held[y][0]))
+                found.append((name, rows[y][0]))
                 group[group == group[x]] = group[y]
     return found
 
@@ -307,20 +310,24 @@ def joined(df: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     columns = materialize(_columns(named, percent))
     small = F.min(F.struct("size", "rep", "set")).alias("first")
     leaders = materialize(columns.groupBy("gram").agg(small, F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"))
-    pairs = materialize(
-        columns.join(leaders, "gram").filter((F.col("set") != F.col("first.set")) & _near(F.col("size"), F.col("first.size"), percent))
-        .select(F.col("first.rep").alias("a"), F.col("first.set").alias("a_set"), F.col("rep").alias("b"), F.col("set").alias("b_set")).distinct()
+    members = materialize(
+        columns.join(leaders, "gram").select(
+            F.col("first.rep").alias("a"), F.col("first.set").alias("a_set"), F.col("first.size").alias("a_size"), "rep", "set", "size"
+        ).distinct()
     )
-    wanted = materialize(columns.select(F.col("rep").alias("id")).distinct())
+    near = (F.col("set") != F.col("a_set")) & _near(F.col("size"), F.col("a_size"), percent)
+    pairs = members.filter(near).select("a", "a_set", F.col("rep").alias("b"), F.col("set").alias("b_set"))
+    wanted = materialize(members.select(F.col("rep").alias("id")).distinct())
     held = texts.join(wanted, "id", "left_semi")
     if not named.groupBy("id").count().filter("count > 1").isEmpty():
         held = held.distinct()
     held = stored(held)
     links = materialize(_leading(pairs, held, words, percent))
-    blocks = materialize(_mixed(columns, materialize(components(links)), percent))
+    blocks = materialize(_mixed(members, materialize(components(links)), percent))
     if not blocks.isEmpty():
-        dealt = blocks.withColumnRenamed("rep", "id").join(held, "id").select("gram", "band", "i", "j", "own", "class", "id", "set", "text")
-        ordered = dealt.repartition("gram", "band", "i", "j").sortWithinPartitions("gram", "band", "i", "j")
+        block = ["a", "a_set", "band", "i", "j"]
+        dealt = blocks.join(held, "id").select(*block, "asks", "class", "id", "set", "text")
+        ordered = dealt.repartition(*block).sortWithinPartitions(*block)
         links = materialize(links.unionByName(ordered.mapInArrow(lambda it: _product(it, words, percent), "a long, b long")))
     folded = materialize(named.filter("size > 0").groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
     equal = named.select("id", "digest").join(folded, "digest").filter("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct()

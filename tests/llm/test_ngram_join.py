@@ -70,7 +70,7 @@ def test_components_match_brute_force(spark):
 
 
 def test_blocks_find_what_one_product_finds(spark, monkeypatch):
-    """With small blocks, columns in several classes are dealt to many pairs of blocks."""
+    """With small blocks, groups in several classes are dealt to many pairs of blocks."""
     rows = corpus()
     monkeypatch.setattr(J, "_BLOCK", 100)
     monkeypatch.setattr(J, "_MEMBERS", 2)
