@@ -350,3 +350,18 @@ UNION ALL SELECT file_count + 1, '  ],' || chr(10) || '  "total_by_language": {{
         select="SELECT path, language, function_count, class_struct_count FROM counted",
     ),
 }
+
+ORACLES["format_choice"] = " UNION ALL ".join(
+    f"SELECT '{format}' AS format, {detail} AS detail, position, text FROM ({ORACLES[lines]})"
+    for format, detail, lines in (
+        ("summary", "false", "summary_lines"), ("summary", "true", "detail_lines"),
+        ("detail", "false", "detail_lines"), ("json", "true", "json_report"),
+    )
+)
+# A text file has a line feed after each document.
+ORACLES["tree_scan"] = """
+    SELECT source, CAST(sum(octet_length(encode(coalesce(text, ''))) + 1) AS BIGINT) AS bytes,
+           CAST(sum(octet_length(encode(coalesce(text, ''))) + 1) AS BIGINT) AS bytes_read,
+           CAST(2 AS BIGINT) AS depth, CAST(0 AS BIGINT) AS errors
+    FROM documents GROUP BY source
+"""

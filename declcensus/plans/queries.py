@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from functools import reduce
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +24,7 @@ from declcensus.operators import (
     tokens,
 )
 from declcensus.plans import census, corpus
+from declcensus.sources import tree
 
 IGNORED = (".git", "a-b/")
 MAX_DEPTH = 2
@@ -200,6 +204,35 @@ def json_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.json_fragments(ordering.materialize(_counts(spark, sf_dir)))
 
 
+def format_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report by format and detail flag; the flag changes a summary only."""
+    found = ordering.materialize(_counts(spark, sf_dir))
+    chosen = [(report.SUMMARY, False), (report.SUMMARY, True), (report.DETAIL, False), (report.JSON, True)]
+    reports = [
+        report.report(found, format, detail, materialized=True).select(
+            F.lit(format).alias("format"), F.lit(detail).alias("detail"), "position", "text"
+        )
+        for format, detail in chosen
+    ]
+    return reduce(DataFrame.unionByName, reports)
+
+
+def tree_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as a tree of files, and the tree walked and read again.
+
+    Spark's writer leaves files with hidden names beside its own: the walk sees all of them.
+    """
+    root = f"{ordering.checkpoint_folder(spark)}/{uuid4()}"
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    documents.select("source", F.coalesce("text", F.lit("")).alias("value")).write.partitionBy("source").text(root)
+    files = tree.source_files(spark, re.sub(r"^file:(//)?", "", root), ignore=[".crc", "_SUCCESS"])
+    folder = F.regexp_extract("path", r"/source=([^/]*)/[^/]*$", 1)
+    return files.groupBy(folder.alias("source")).agg(
+        F.sum("length").alias("bytes"), F.sum(F.length("content")).cast("bigint").alias("bytes_read"),
+        F.min("depth").cast("bigint").alias("depth"), F.count("io_error").alias("errors"),
+    )
+
+
 def json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = report.from_json_lines(report.to_json_lines(_counts(spark, sf_dir)))
     return back.select("path", "language", "stats.function_count", "stats.class_struct_count")
@@ -242,4 +275,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "detail_lines": detail_lines,
     "json_report": json_report,
     "json_roundtrip": json_roundtrip,
+    "format_choice": format_choice,
+    "tree_scan": tree_scan,
 }
