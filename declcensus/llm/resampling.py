@@ -9,10 +9,10 @@ a text's features is its weight.  Gumbel noise, drawn from a hash of the id, is
 weight, and the highest scores are a sample without replacement in proportion to the
 exponential of the weights.
 
-Each text is scanned once: its buckets are written as a table beside the checkpoints and read
-twice, for the counts and for the weights.  A task sends one row per bucket at most, the gains
-are ``BUCKETS`` numbers, and ranks come from range partitioning, so nothing that grows with the
-rows is in one task or on the driver.
+Each text is scanned twice, for the counts and for the weight: nothing is kept of its features,
+of which there are several times as many as words.  A task sends one row per bucket at most, the
+gains are ``BUCKETS`` numbers, and ranks come from range partitioning, so nothing that grows with
+the rows is in one task or on the driver.
 
 Defined results: words are runs of ASCII letters and digits (A-Z lower-cased) and of all
 characters beyond ASCII; a null or empty text has no features, weight 0 and a score of noise
@@ -25,9 +25,10 @@ scanned whole.  Only the named columns are read, so others may have any name.
 from __future__ import annotations
 
 import zlib
-from array import array
 from collections.abc import Iterator
+from itertools import chain
 from math import floor, log
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from declcensus.llm import batches as B
-from declcensus.llm.tables import stored
 from declcensus.operators.ordering import materialize, with_position
 
 LONGEST = 3
@@ -44,70 +44,49 @@ BUCKETS = 10_000
 SEED = 42
 PERCENT = 5
 LEAST_WORDS = 20
-_SEPARATORS = regex.compile(rb"[\x00-\x2F\x3A-\x60\x7B-\x7F]++")
-
-
-def scanner(longest: int = LONGEST) -> regex.Pattern:
-    """Matches at the space before each word; group k ends where the run of k words does."""
-    pattern = b""
-    for _ in range(longest):
-        pattern = rb"(?: ([^ ]++)(?![^ ])" + pattern + rb")?+" if pattern else rb"(?: ([^ ]++)(?![^ ]))?+"
-    return regex.compile(pattern.removeprefix(b"(?:").removesuffix(b")?+"))
-
-
-def spaced(text: str | None) -> bytes:
-    """The words of a text, each after a single space."""
-    lowered = (text or "").encode("utf-8", "surrogatepass").lower()
-    return b" " + _SEPARATORS.sub(b" ", lowered).strip(b" ")
-
-
-def buckets_of(text: str | None, scan: regex.Pattern, buckets: int = BUCKETS) -> tuple[int, array]:
-    """The number of words, and the bucket of each feature."""
-    data, crc = spaced(text), zlib.crc32
-    found, words = array("i"), 0
-    add = found.append
-    for match in scan.finditer(data, overlapped=True):
-        last, value = match.start() + 1, 0
-        for _, end in match.regs[1:]:
-            if end < 0:
-                break
-            value = crc(data[last:end], value)  # goes on from the run that is one word shorter
-            add(value % buckets)
-            last = end
-        words += 1
-    return words, found
-
-
-def _scanned(it: Iterator[pa.RecordBatch], longest: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    scan = scanner(longest)
-    for batch in B.slices(it):
-        found = [buckets_of(t, scan, buckets) for t in batch.column(1).to_pylist()]
-        sizes = [len(f) for _, f in found]
-        flat = np.concatenate([np.frombuffer(f, np.int32) for _, f in found])
-        lists = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32), pa.array(flat))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([w for w, _ in found], pa.int64()), lists], names=["id", "words", "buckets"]
-        )
+_SPACED = bytes(c if c > 0x7F or chr(c).isdigit() or chr(c).islower() else 0x20 for c in range(256))
 
 
-def scanned(df: DataFrame, key: Column, text: Column, longest: int = LONGEST, buckets: int = BUCKETS) -> DataFrame:
-    """Rows ``(id, words, buckets)``: the bucket of every feature of each text."""
-    rows = df.select(key.cast("long").alias("id"), text.cast("string").alias("text"))
-    return rows.mapInArrow(lambda it: _scanned(it, longest, buckets), "id long, words long, buckets array<int>")
+class Scanner:
+    """Finds the buckets of the runs of one to ``longest`` words of a text."""
 
+    def __init__(self, longest: int = LONGEST, buckets: int = BUCKETS) -> None:
+        self.longest, self.buckets = longest, buckets
+        pattern = rb"([^ ]+)"
+        for _ in range(longest - 1):
+            pattern = rb"(" + pattern + rb" [^ ]+)"
+        # A match starts at the space before a word; its groups are the runs that start there.
+        self.pattern = regex.compile(rb" " + pattern + rb"(?= )")
+        self.groups = itemgetter(*range(longest, 0, -1))
 
-def _counted(it: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(buckets, np.int64)
-    for batch in it:
-        counts += np.bincount(batch.column(0).flatten().to_numpy(zero_copy_only=False), minlength=buckets)
+    def spaced(self, text: str | None) -> bytes:
+        """The words of a text between single spaces, and words that no text has behind the last."""
+        lowered = (text or "").encode("utf-8", "surrogatepass").lower()
+        return b" ".join([b"", *lowered.translate(_SPACED).split(), *[b"\xff"] * (self.longest - 1), b""])
+
+    def __call__(self, text: str | None) -> tuple[int, np.ndarray]:
+        """The number of words, and the bucket of each feature."""
+        runs = map(self.groups, self.pattern.finditer(self.spaced(text), overlapped=True))
+        codes = np.fromiter(map(zlib.crc32, runs if self.longest == 1 else chain.from_iterable(runs)), np.uint32)
+        words = len(codes) // self.longest
+        real = np.add.outer(np.arange(words), np.arange(self.longest)) < words
+        return words, (codes.reshape(words, self.longest)[real] % self.buckets).astype(np.int64)
+
+
+def _counted(it: Iterator[pa.RecordBatch], longest: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    scan, counts = Scanner(longest, buckets), np.zeros(buckets, np.int64)
+    for batch in B.slices(it):
+        for text in batch.column(0).to_pylist():
+            counts += np.bincount(scan(text)[1], minlength=buckets)
     some = np.flatnonzero(counts)
     yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], names=["bucket", "n"])
 
 
-def bucket_counts(features: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
+def bucket_counts(df: DataFrame, text: str = "text", longest: int = LONGEST, buckets: int = BUCKETS) -> np.ndarray:
     """How many features of all texts are in each bucket."""
+    texts = df.select(F.col(f"`{text}`").cast("string").alias("text"))
     rows = (
-        features.select("buckets").mapInArrow(lambda it: _counted(it, buckets), "bucket long, n long")
+        texts.mapInArrow(lambda it: _counted(it, longest, buckets), "bucket long, n long")
         .groupBy("bucket").agg(F.sum("n").alias("n")).collect()  # one row per bucket at most
     )
     counts = np.zeros(buckets, np.int64)
@@ -123,14 +102,12 @@ def gains(source: np.ndarray, target: np.ndarray) -> np.ndarray:
     return np.array([floor(1000 * log((t + 1) * above / ((s + 1) * below))) for t, s in pairs], np.int64)
 
 
-def _weighed(it: Iterator[pa.RecordBatch], gain: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for batch in it:
-        lists = batch.column(2)
-        sizes = np.diff(lists.offsets.to_numpy())
-        sums = np.concatenate(([0], np.cumsum(gain[lists.flatten().to_numpy(zero_copy_only=False)])))
-        ends = np.cumsum(sizes)
-        columns = [batch.column(0), batch.column(1), pa.array(sizes.astype(np.int64)), pa.array(sums[ends] - sums[ends - sizes])]
-        yield pa.RecordBatch.from_arrays(columns, names=["id", "words", "n_features", "weight"])
+def _weighed(it: Iterator[pa.RecordBatch], gain: np.ndarray, longest: int) -> Iterator[pa.RecordBatch]:
+    scan = Scanner(longest, len(gain))
+    for batch in B.slices(it):
+        found = [(words, len(own), int(gain[own].sum())) for words, own in map(scan, batch.column(1).to_pylist())]
+        columns = [pa.array([x[k] for x in found], pa.int64()) for k in range(3)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["id", "words", "n_features", "weight"])
 
 
 def noise(key: Column, seed: int = SEED) -> Column:
@@ -155,11 +132,11 @@ def resampled(
 
     ``percent`` of the rows with at least ``least_words`` words have a rank, from 1 on.
     """
-    features = stored(scanned(df, F.col(f"`{key}`"), F.col(f"`{text}`"), longest, buckets))
-    wanted = bucket_counts(scanned(target, F.lit(None), F.col(f"`{target_text}`"), longest, buckets), buckets)
-    gain = df.sparkSession.sparkContext.broadcast(gains(bucket_counts(features, buckets), wanted))
-    weighed = features.mapInArrow(
-        lambda it: _weighed(it, gain.value), "id long, words long, n_features long, weight long"
+    source, wanted = bucket_counts(df, text, longest, buckets), bucket_counts(target, target_text, longest, buckets)
+    gain = df.sparkSession.sparkContext.broadcast(gains(source, wanted))
+    rows = df.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
+    weighed = rows.mapInArrow(
+        lambda it: _weighed(it, gain.value, longest), "id long, words long, n_features long, weight long"
     )
     scored = materialize(
         weighed.withColumn("score", F.col("weight") + noise(F.col("id"), seed)).withColumn("row", F.monotonically_increasing_id())

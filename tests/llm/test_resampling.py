@@ -73,9 +73,9 @@ def test_awkward_rows(awkward, nothing, target):
 
 
 def test_a_scan_gives_all_runs():
-    scan = R.scanner()
+    scan = R.Scanner()
     for text in ("", " ", "a", "A b", "one, two three four", "é-ü 日本 x", "a  b\n\nc", "x" * 9 + " y"):
-        count, found = R.buckets_of(text, scan)
+        count, found = scan(text)
         own, n = features(text)
         assert count == n and sorted(found) == sorted(zlib.crc32(f.encode()) % R.BUCKETS for f in own)
 
@@ -87,3 +87,10 @@ def test_texts_like_the_target_are_drawn(spark):
     found = R.drawn(rows, aim)
     assert found.columns == rows.columns
     assert len(chosen := [r["doc_id"] for r in found.collect()]) == 15 and all(i % 10 == 0 for i in chosen)
+
+
+@pytest.mark.parametrize("longest", [1, 2, 4])
+def test_other_lengths(longest):
+    count, found = R.Scanner(longest, 1 << 30)("a b c a b")
+    runs = [" ".join("abcab"[k : k + n]) for n in range(1, longest + 1) for k in range(5 - n + 1)]
+    assert count == 5 and sorted(found) == sorted(zlib.crc32(r.encode()) % (1 << 30) for r in runs)
