@@ -62,3 +62,36 @@ def test_texts_do_not_depend_on_their_neighbours(model):
     texts = [prose(5, 3, ONE), "", None, "q", "!", prose(6, 30, OTHER)]
     together = model.judge(texts)
     assert together == tuple(sum((x for x in z), []) for z in zip(*[model.judge([t]) for t in texts], strict=True))
+
+
+def plain_grams(text, size):
+    """Lower-cased letters, one boundary for each run of others, in front and behind."""
+    lowered = (text or "").lower()
+    if not any(c.isalpha() for c in lowered):
+        return []
+    marked = "".join(c if c.isalpha() else " " for c in lowered)
+    stream = " " + " ".join(marked.split()) + " "
+    stream += " " * (size - len(stream))
+    return [stream[k : k + size] for k in range(len(stream) - size + 1)]
+
+
+def test_scores_are_those_of_plain_sets(spark, labelled):
+    """Against sets of n-grams per language: the filter's false hits are corrected to within a little."""
+    share = 0.002
+    counts = {}
+    for r in labelled.collect():
+        own = counts.setdefault(r["lang"], {})
+        for g in plain_grams(r["text"], 4):
+            own[g] = own.get(g, 0) + 1
+    sets = {x: {g for g, n in own.items() if n >= share * sum(own.values())} for x, own in counts.items()}
+    assert all(0 < len(sets[x]) < len(counts[x]) for x in sets)
+    rows = [(k, prose(500 + k, 20, ONE if k % 2 else OTHER) + (" " + prose(k, 10, "quen sar vil")) * (k % 4)) for k in range(80)]
+    rows += [(100, "ka"), (101, "K a!"), (102, "日本 ka lo"), (103, "xyz" * 300)]
+    model = language_id.train(labelled, share=share)
+    for r in language_id.identify(spark.createDataFrame(rows, "k long, text string"), model, carried=("k", "text")).collect():
+        grams = plain_grams(r["text"], 4)
+        exact = {x: sum(g in own for g in grams) / len(grams) for x, own in sets.items()}
+        best, second = sorted(exact.values(), reverse=True)[:2]
+        assert abs(r["score"] - best) < 0.06
+        if best - second > 0.06:
+            assert exact[r["lang_pred"]] == best

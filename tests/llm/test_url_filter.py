@@ -65,3 +65,28 @@ def test_one_kind_or_no_labels(urls, spark):
 
 def test_bound_on_training_rows(urls):
     assert U.judge(urls, URL_RULES, train_rows=150).count() == urls.count()
+
+
+def test_lexical_features_match_plain_ones(spark):
+    import math
+    from collections import Counter
+
+    urls = [u for u in AWKWARD if u is None or len(u) < 5000] + ["http://a-b.c-d.org/x1/yy22/z?q=1&r=&s", "https://h.net/?#f", "http://h.net/a?b#c?d&e"]
+    rows = U.with_parts(spark.createDataFrame([(k, u) for k, u in enumerate(urls)], "id long, url string"))
+    got = rows.select("id", "host", "path", *[c.alias(n) for n, c in U._lexical(F.col("url")).items()]).collect()
+    for r in got:
+        url = urls[r["id"]] or ""
+        host, path = parsed(urls[r["id"]])
+        assert (r["host"], r["path"]) == (host, path)
+        counts, some = Counter(url), max(1, len(url))
+        query = re.search(r"\?([^#]*)", url)
+        query = query[1] if query else ""
+        expected = {
+            "length": len(url), "host_length": len(host), "path_length": len(path), "depth": len(re.findall("/[^/]", path)),
+            "labels": len(re.findall(r"[^.]+", host)), "digits": len(re.findall("[0-9]", url)) / some,
+            "letters": len(re.findall("[A-Za-z]", url)) / some, "hyphens": host.count("-"),
+            "entropy": -sum(n / some * math.log2(n / some) for n in counts.values()),
+            "parameters": query.count("&") + 1 if query else 0, "fragment": float("#" in url),
+            "longest_segment": max((len(x) for x in path.split("/")), default=0),
+        }
+        assert {n: r[n] for n in expected} == pytest.approx(expected), url
