@@ -12,7 +12,8 @@ Defined results: texts and items are compared lower-cased, with one space for ea
 of characters other than letters, digits and underscores; items without any such
 character match nothing, null and empty texts match nothing; equal items each match, and items
 with a null id too;
-repeated rows of documents are each reported.
+repeated rows of documents are each reported; without items or documents there are no rows;
+texts of any length are read whole, and other columns may have any name.
 """
 
 from __future__ import annotations

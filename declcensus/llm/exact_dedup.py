@@ -13,7 +13,8 @@ the splitters can fall inside them; a table of one row per such text then joins
 
 Defined results: a null text counts as empty; a null id is smaller than any other; of
 rows with equal text and equal id one stays; no rows in, no rows out; other columns of
-the input are carried by :func:`keep_one` and ignored by :func:`classes`.
+the input are carried by :func:`keep_one` and ignored by :func:`classes`; texts of any length
+are compared whole.
 """
 
 from __future__ import annotations

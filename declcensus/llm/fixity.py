@@ -11,7 +11,8 @@ level below; nothing is gathered in one place but the root.
 Defined results: a record that one replica lacks differs (``missing`` or ``extra``, seen
 from the first replica); two empty archives are equal; records with a null id or null
 content are kept in order like others, null content as empty; repeated records have
-places of their own.
+places of their own; an empty table has no findings; records of any length are hashed whole;
+only the key and the content are read, so other columns may have any name.
 """
 
 from __future__ import annotations

@@ -12,7 +12,9 @@ Letters are lower-cased; each run of other characters is one boundary.
 Defined results: a text that is null or has no letter is ``und`` with score 0; one with
 letters but no known n-gram gets the language with the most training rows, score 0; ties
 go to the language with more training rows, then to the first by name; without training
-rows everything is ``und``.  Rows with a null language or text are not trained on.
+rows everything is ``und``.  Rows with a null language or text are not trained on; repeated
+rows count as often and have a row each; an empty table gives no rows; texts of any length
+are read whole; columns are carried by position, so their names cannot clash.
 """
 
 from __future__ import annotations

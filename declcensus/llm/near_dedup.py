@@ -20,7 +20,8 @@ between classes is lost, and a bucket of one class costs one alignment per membe
 Defined results: words are runs of letters, digits and underscores, lower-cased; a text
 with fewer words than a shingle is one shingle; texts without words are equal only if
 identical, null as empty; rows with the same id are one document; rows with a null id
-are classes of their own (``class_id`` null).
+are classes of their own (``class_id`` null); an empty table gives no rows; texts of any
+length are read whole; only the named columns are read, so others may have any name.
 """
 
 from __future__ import annotations

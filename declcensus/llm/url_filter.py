@@ -7,7 +7,9 @@ them are used, chosen by a hash of the URL; all other statistics cover all rows.
 Defined results: host and path of a null URL, or of one without ``://``, are empty; a URL
 that no rule fits is judged by the trees; if the labelled URLs are of one kind only, that
 is the verdict, and ``allow`` if there are none; of rules that fit, the one with the most
-characters in host and path wins.
+characters in host and path wins; repeated rows have a row each and count as often; an empty
+table gives no rows; URLs of any length are read whole; only the id and the URL are read, so
+other columns may have any name.
 """
 
 from __future__ import annotations
