@@ -13,8 +13,11 @@ is also a fingerprint and a run of its own, whatever stands around it.
 Documents are ordered by id, lines by position.  Hot lines are folded by partial
 aggregation before anything is joined, and the joins have a small side Spark can repeat.
 
-Defined results: lines end at a line feed and are compared exactly; a null text has no
-lines; texts shorter than a run have no repeats; rows with the same id are one document
+Defined results: lines end at a line feed; runs are the same if the 64-bit hashes of all their
+lines are, a long line on its own by 128 bits; words of a line are split at blanks and control
+blanks; a null text has no lines; an empty table gives no rows; texts of any length are read
+whole, and only the named columns are, so others may have any name; texts shorter than a run
+have no repeats; rows with the same id are one document
 at the same place, so they are no repeat of each other; rows with a null id are left whole.
 """
 
@@ -24,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -32,6 +36,7 @@ from declcensus.llm import batches as B
 from declcensus.operators.ordering import materialize
 
 RUN = 3
+LONG_WORDS = 20
 
 
 def fingerprints(lines: np.ndarray, run: int) -> np.ndarray:
@@ -61,15 +66,17 @@ def _winnowed(it: Iterator[pa.RecordBatch], run: int) -> Iterator[pa.RecordBatch
 
 
 def _long_lines(it: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
-    hashes = B.WordHashes()
     for batch in B.slices(it):
         found = [
             (key, k, line)
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-            for k, line in enumerate(text.split("\n")) if len(line.split()) >= words
+            for k, line in enumerate(x.encode("utf-8", "surrogatepass") for x in text.split("\n")) if len(line.split()) >= words
         ]
-        columns = [x[0] for x in found], [x[1] for x in found], hashes.of([x[2] for x in found]).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["id", "line", "run"])
+        digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x[2]) for x in found), np.int64).reshape(-1, 2)
+        columns = [pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)]
+        yield pa.RecordBatch.from_arrays(
+            [*columns, pa.array(list(digests), pa.list_(pa.int64()))], names=["id", "line", "run"]
+        )
 
 
 def repeats(
@@ -86,11 +93,11 @@ def repeats(
     runs = (
         found.join(often, "fingerprint")
         .select("id", "first", "around", F.explode(starts).alias("k"))
-        .select("id", (F.col("first") + F.col("k")).alias("line"), F.xxhash64(F.slice("around", F.col("k") + 1, run)).alias("run"))
+        .select("id", (F.col("first") + F.col("k")).alias("line"), F.slice("around", F.col("k") + 1, run).alias("run"))
         .distinct().withColumn("size", F.lit(run))
     )
     if long_words is not None:
-        alone = rows.mapInArrow(lambda it: _long_lines(it, long_words), "id long, line long, run long")
+        alone = rows.mapInArrow(lambda it: _long_lines(it, long_words), "id long, line long, run array<long>")
         runs = runs.unionByName(alone.distinct().withColumn("size", F.lit(1)))
     runs = materialize(runs)
     earliest = materialize(

@@ -10,7 +10,8 @@ and the others are scaled to what is left, until the marginals hold.  A value th
 few tokens for its weight is taken whole, and the other values of its dimension share the
 rest by their weights, so the sample has the wanted size.  Without it the weights are
 fitted first and clipped last, which makes the sample smaller and misses the weights where
-a cell has too few tokens.  :func:`shares` gives what is wanted and what is reached.
+a cell has too few tokens.  :func:`feasible` gives the largest sample for which none has too
+few, :func:`shares` what is wanted and what is reached.
 
 The cells are a table of their own and stay distributed.  They are broadcast to the
 documents if they are counted and found few; else they are joined.
@@ -18,7 +19,9 @@ documents if they are counted and found few; else they are joined.
 Defined results: a null value of a dimension is the value ``''``; a value without a
 listed weight gets ``OTHER``; a cell without tokens is taken with probability 0; a
 probability cannot exceed 1, so a cell that has too few tokens is taken whole; a null
-id counts as empty text; rows with the same id are taken or left together.
+id counts as empty text; rows with the same id are taken or left together; an empty table
+gives no rows.  Texts of any length are counted whole.  The columns of the input come back in
+one struct, so their names cannot clash with the others.
 """
 
 from __future__ import annotations
@@ -79,6 +82,15 @@ def rake(cells: DataFrame, targets: Targets, sweeps: int = SWEEPS) -> DataFrame:
     return out.select(*targets, "tokens", "share")
 
 
+def feasible(raked: DataFrame, most: float = FRACTION) -> float:
+    """The largest share of all tokens, up to ``most``, at which no cell of the fit is asked for
+    more than it has, so that all weights hold."""
+    total = F.sum("tokens")
+    least = F.min(F.when(F.col("share") > 0, F.col("tokens") / F.col("share")))
+    found = raked.agg((least / F.when(total > 0, total)).alias("share")).first()[0]
+    return most if found is None else min(most, float(found))
+
+
 def _wanted(cells: DataFrame, name: str, weights: Mapping[str, float] | None, size: float) -> DataFrame:
     """``(name, _name)``: the tokens wanted of each value, ``size`` in all and no more than it has."""
     has = materialize(cells.groupBy(name).agg(F.sum("tokens").alias("_has")).withColumn("_weight", _weight(name, weights)))
@@ -128,11 +140,17 @@ def _bounded(cells: DataFrame, targets: Targets, size: float, sweeps: int) -> Da
 
 
 def rates(
-    cells: DataFrame, targets: Targets, fraction: float = FRACTION, sweeps: int = SWEEPS, bounded: bool = False
+    cells: DataFrame, targets: Targets, fraction: float | None = FRACTION, sweeps: int = SWEEPS, bounded: bool = False
 ) -> DataFrame:
-    """``probability`` per cell, for a sample of ``fraction`` of all tokens."""
+    """``probability`` per cell, for a sample of ``fraction`` of all tokens.
+
+    Without a ``fraction`` the sample is as large as the weights allow: see :func:`feasible`.
+    """
     total = cells.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
-    if bounded:
+    if fraction is None:
+        fitted = rake(cells, targets, sweeps)
+        wanted = F.col("share") * F.lit(feasible(fitted) * total) / F.col("tokens")
+    elif bounded:
         fitted = _bounded(cells, targets, float(fraction * total), sweeps)
         wanted = F.col("taken") / F.col("tokens")
     else:
@@ -167,9 +185,12 @@ def uniform(key: Column) -> Column:
 
 def sample(
     df: DataFrame, dimensions: Mapping[str, Column], targets: Targets, key: str = "doc_id", text: str = "text",
-    fraction: float = FRACTION, sweeps: int = SWEEPS, bounded: bool = False,
+    fraction: float | None = FRACTION, sweeps: int = SWEEPS, bounded: bool = False,
 ) -> DataFrame:
-    """The input row as ``row``, its dimensions, ``tokens``, ``probability`` and ``sampled``."""
+    """The input row as ``row``, its dimensions, ``tokens``, ``probability`` and ``sampled``.
+
+    Without a ``fraction`` the sample is as large as the weights allow: see :func:`feasible`.
+    """
     row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
     values = [F.coalesce(c.cast("string"), F.lit("")).alias(n) for n, c in dimensions.items()]
     tokens = token_count(F.col(f"`{text}`").cast("string")).alias("tokens")

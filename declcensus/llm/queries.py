@@ -56,18 +56,18 @@ TARGETS: dict[str, dict[str, float] | None] = {
 }
 
 
-def mixed(documents: DataFrame, bounded: bool = True) -> DataFrame:
+def mixed(documents: DataFrame, fraction: float | None = mixing.FRACTION, bounded: bool = True) -> DataFrame:
     dimensions = {
         "source": F.col("source"),
         "lang": F.col("lang"),
         "topic": mixing.topic(F.col("text"), TOPICS, "prose"),
     }
-    return mixing.sample(documents, dimensions, TARGETS, bounded=bounded)
+    return mixing.sample(documents, dimensions, TARGETS, fraction=fraction, bounded=bounded)
 
 
 def op3_raked_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # The SQL check of this query clips the fitted weights.
-    return mixed(_table(spark, sf_dir, "documents"), bounded=False).select(
+    # As large as all weights allow.
+    return mixed(_table(spark, sf_dir, "documents"), fraction=None, bounded=False).select(
         "row.doc_id", "source", "lang", "topic", "tokens", F.round("probability", 6).alias("probability"), "sampled"
     )
 
@@ -101,9 +101,10 @@ def _mix_oracle() -> str:
         cells AS (SELECT {keys}, sum(tokens) AS tokens FROM docs GROUP BY ALL),
         start AS (SELECT *, CAST(tokens AS DOUBLE) AS share FROM cells),
         {", ".join(steps)},
+        size AS (SELECT least({mixing.FRACTION} * sum(tokens), min(CASE WHEN share > 0 THEN tokens / share END)) AS size FROM {last}),
         rates AS (
             SELECT {keys}, CASE WHEN tokens > 0
-                THEN least(share * ({mixing.FRACTION} * (SELECT sum(tokens) FROM cells)) / tokens, 1.0) ELSE 0.0 END AS p
+                THEN least(share * (SELECT size FROM size) / tokens, 1.0) ELSE 0.0 END AS p
             FROM {last})
         SELECT doc_id, source, lang, topic, CAST(tokens AS BIGINT) AS tokens, round(p, 6) AS probability,
                CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13)) AS BIGINT) / 4503599627370496.0 < p AS sampled
@@ -177,7 +178,7 @@ def op8_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.repeats(_table(spark, sf_dir, "documents"))
+    return line_dedup.repeats(_table(spark, sf_dir, "documents"), long_words=line_dedup.LONG_WORDS)
 
 
 _LINES_ORACLE = f"""
@@ -188,14 +189,19 @@ _LINES_ORACLE = f"""
     runs AS (
         SELECT doc_id, pos, list(line) OVER w AS held, count(*) OVER w AS n FROM lines
         WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND {line_dedup.RUN - 1} FOLLOWING)),
+    long AS (SELECT * FROM lines WHERE len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) >= {line_dedup.LONG_WORDS}),
     later AS (
-        SELECT doc_id, pos FROM runs WHERE n = {line_dedup.RUN}
-        QUALIFY row_number() OVER (PARTITION BY held ORDER BY doc_id, pos) > 1),
+        SELECT doc_id, pos, pos + {line_dedup.RUN - 1} AS stop FROM runs WHERE n = {line_dedup.RUN}
+        QUALIFY row_number() OVER (PARTITION BY held ORDER BY doc_id, pos) > 1
+        UNION
+        SELECT doc_id, pos, pos AS stop FROM long QUALIFY row_number() OVER (PARTITION BY line ORDER BY doc_id, pos) > 1),
     marked AS (
-        SELECT doc_id, pos, CASE WHEN pos - lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) <= {line_dedup.RUN} THEN 0 ELSE 1 END AS fresh
+        SELECT doc_id, pos, stop, CASE WHEN pos <= max(stop) OVER (
+            PARTITION BY doc_id ORDER BY pos, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 0 ELSE 1 END AS fresh
         FROM later),
-    islands AS (SELECT doc_id, pos, sum(fresh) OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM marked)
-    SELECT doc_id, min(pos) AS first_line, max(pos) + {line_dedup.RUN - 1} AS last_line
+    islands AS (
+        SELECT doc_id, pos, stop, sum(fresh) OVER (PARTITION BY doc_id ORDER BY pos, stop ROWS UNBOUNDED PRECEDING) AS island FROM marked)
+    SELECT doc_id, min(pos) AS first_line, max(stop) AS last_line
     FROM islands GROUP BY doc_id, island
 """
 

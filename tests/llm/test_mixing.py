@@ -88,3 +88,19 @@ def test_bounded_sample_takes_awkward_rows(awkward, nothing):
     got = mixing.sample(awkward, dimensions, targets, bounded=True).collect()
     assert len(got) == awkward.count() and all(0 <= r["probability"] <= 1 for r in got)
     assert mixing.sample(nothing, dimensions, targets, bounded=True).count() == 0
+
+
+def test_the_largest_feasible_sample_meets_all_weights(spark):
+    """A scarce cell bounds the sample; at that size all weights hold."""
+    cells = {(a, b): n for a, row in zip("xyz", ((900, 40, 60), (500, 70, 30), (700, 20, 80))) for b, n in zip("pqr", row)}
+    rows = spark.createDataFrame([(*c, n) for c, n in cells.items()], "a string, b string, tokens long")
+    targets = {"a": None, "b": {"p": 0.6, "q": 0.25, "r": 0.15}}
+    share = raked(cells, [dict.fromkeys("xyz", 1 / 3), targets["b"]], 60)
+    fitted = mixing.rake(rows, targets, 60)
+    size = mixing.feasible(fitted)
+    assert size == pytest.approx(min(cells[c] / share[c] for c in cells) / 2400) and size < 0.25
+    assert mixing.feasible(fitted, 0.01) == 0.01 and mixing.feasible(fitted.limit(0)) == mixing.FRACTION
+    found = mixing.rates(rows, targets, None, sweeps=60)
+    for r in mixing.shares(rows, found, targets).collect():
+        assert r["reached"] == pytest.approx(r["target"], abs=1e-6)
+    assert max(r["probability"] for r in found.collect()) == pytest.approx(1)
