@@ -10,9 +10,9 @@ of ``SPAN`` words or more holds one of them, whatever stands around it.
 
 Equal paragraphs are folded by a digest.  Distinct ones get a MinHash per band over their
 five-word shingles; :func:`bands` finds the number of bands for a wanted recall at the
-threshold.  Paragraphs that collide in a band are compared in full (Jaccard similarity of
-labelled shingles, in order), block against block with an inverted index, so no link is
-lost and no task gets an unbounded group.  Connected components of the links are the
+threshold.  Paragraphs that collide in a band and are of about one size are compared in full
+(Jaccard similarity of labelled shingles, in order), block against block with an inverted
+index, so no link is lost and no task gets an unbounded group.  Connected components of the links are the
 classes; the first occurrence of a class, by id and position, stays and the others go.
 A line and its pieces are classed on their own, so places can overlap; what overlaps the
 occurrence that stays is part of it and stays too.
@@ -23,7 +23,8 @@ repeat is reported where repeated paragraphs follow each other, with at most
 
 Defined results: words are runs of letters, digits and underscores, lower-cased; null and
 empty texts have no paragraphs; rows with the same id are one document; rows with a null
-id are left whole.
+id are left whole; an empty table gives no rows; texts of any length are read whole; only the
+named columns are read, and :func:`cleaned` carries others by position, so names cannot clash.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ from pyspark.sql import functions as F
 from declcensus.llm import batches as B
 from declcensus.llm.components import components
 from declcensus.llm.near_dedup import links_between
-from declcensus.llm.tables import stored
+from declcensus.llm.tables import release, stored
 from declcensus.operators.ordering import materialize
 
 WORDS = 5
@@ -120,25 +121,25 @@ class Paragraphs:
         return np.stack([B.mix(np.minimum.reduceat(B.mix(shingles ^ s), spans)[::2] ^ s) for s in seeds])
 
 
-def _sketched(it: Iterator[pa.RecordBatch], count: int) -> Iterator[pa.RecordBatch]:
+def _banded(it: Iterator[pa.RecordBatch], count: int) -> Iterator[pa.RecordBatch]:
+    """``(band, digest, words)`` of the paragraphs that are compared, each once per slice."""
     seeds = B.mix(np.arange(1, count + 1, dtype=np.uint64))
-    for batch in B.slices(it):
-        found = Paragraphs(batch.column(1).to_pylist())
+    for batch in B.slices(it, "text"):
+        found = Paragraphs(batch.column(0).to_pylist())
         if len(found.at):
-            keys = [pa.array(c.view(np.int64), mask=found.exact) for c in found.minima(seeds)]
-            columns = [pa.array(found.digests.view(np.int64)), pa.array(found.words.astype(np.int64)), *keys]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(found.owner, mask=found.exact)), *columns],  # runs need no text again
-                names=["id", "digest", "words", *(f"k{k}" for k in range(count))],
-            )
+            distinct, at = np.unique(found.digests, return_index=True)
+            at = at[~found.exact[at]]
+            bands = np.concatenate([m[at] for m in found.minima(seeds)]).view(np.int64)
+            digests, words = (np.tile(c[at], count) for c in (found.digests.view(np.int64), found.words.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([pa.array(bands), pa.array(digests), pa.array(words)], names=["band", "digest", "words"])
 
 
 def _placed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in B.slices(it):
         found = Paragraphs(batch.column(1).to_pylist())
-        columns = [found.digests.view(np.int64), found.first.astype(np.int64), found.words.astype(np.int64)]
+        columns = [found.digests.view(np.int64), found.first.astype(np.int32), found.words.astype(np.int32), found.exact]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0).take(pa.array(found.owner)), *map(pa.array, columns)], names=["id", "digest", "first", "words"]
+            [batch.column(0).take(pa.array(found.owner)), *map(pa.array, columns)], names=["id", "digest", "first", "words", "exact"]
         )
 
 
@@ -147,64 +148,82 @@ def _taken(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in B.slices(it, "text"):
         found = Paragraphs(batch.column(0).to_pylist())
         at = dict(zip(zip(found.owner.tolist(), found.digests.view(np.int64).tolist(), strict=True), range(len(found.at)), strict=True))
-        groups, digests, values = [], [], []
+        groups, bands, digests, values = [], [], [], []
         for n, wanted in enumerate(batch.column(1).to_pylist()):
             for w in wanted:
                 k = at.get((n, w["digest"]))
                 if k is not None:
                     groups.append(w["a"])
+                    bands.append(w["size"])
                     digests.append(w["digest"])
                     values.append(found.plain(k))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(groups, pa.int64()), pa.array(digests, pa.int64()), pa.array(values, pa.string())], names=["a", "digest", "text"]
+            [pa.array(groups, pa.int64()), pa.array(bands, pa.int64()), pa.array(digests, pa.int64()), pa.array(values, pa.string())],
+            names=["a", "size", "digest", "text"],
         )
 
 
 def _neighbours(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``(a, digest, band, edge)`` of rows sorted by band that share it with a neighbour.
+    """``(a, digest, words, band, edge)`` of rows sorted by band that share it with another digest.
 
     ``a`` is the first digest of the band in this partition.  The first and the last band
     of a partition may go on in another; their rows are marked.
     """
-    names = ["a", "digest", "band", "edge"]
-    band = digest = np.zeros(0, np.int64)
+    names = ["a", "digest", "words", "band", "edge"]
+    held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)]
     edge_band: int | None = None
 
-    def out(band: np.ndarray, digest: np.ndarray, last: bool) -> pa.RecordBatch:
-        fresh = np.concatenate(([True], band[1:] != band[:-1])) if len(band) else np.zeros(0, bool)
-        starts = np.flatnonzero(fresh)
+    def out(rows: list[np.ndarray], last: bool) -> pa.RecordBatch:
+        band, digest = rows[:2]
+        once = np.concatenate(([True], (band[1:] != band[:-1]) | (digest[1:] != digest[:-1]))) if len(band) else np.zeros(0, bool)
+        band, digest, words = (c[once] for c in rows)
+        starts = np.flatnonzero(np.concatenate(([True], band[1:] != band[:-1]))) if len(band) else np.zeros(0, np.int64)
         sizes = np.diff(starts, append=len(band))
         edge = band == edge_band
         if last and len(band):
             edge |= band == band[-1]
         keep = (np.repeat(sizes, sizes) > 1) | edge
         leader = np.repeat(digest[starts], sizes)
-        return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (leader, digest, band, edge)], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (leader, digest, words, band, edge)], names=names)
 
     for batch in it:
-        band = np.concatenate((band, batch.column(0).to_numpy()))
-        digest = np.concatenate((digest, batch.column(1).to_numpy()))
+        held = [np.concatenate((h, c.to_numpy())) for h, c in zip(held, batch.columns, strict=True)]
+        band = held[0]
         if len(band) == 0:
             continue
         edge_band = int(band[0]) if edge_band is None else edge_band
         whole = int(np.flatnonzero(band != band[-1])[-1]) + 1 if band[0] != band[-1] else 0
         if whole:
-            yield out(band[:whole], digest[:whole], False)
-            band, digest = band[whole:], digest[whole:]
-    yield out(band, digest, True)
+            yield out([h[:whole] for h in held], False)
+            held = [h[whole:] for h in held]
+    yield out(held, True)
 
 
 def _colliding(banded: DataFrame) -> DataFrame:
-    """``(a, digest)`` of the paragraphs that share a band; ``a`` names the group.
+    """``(a, digest, words)`` of the paragraphs that share a band; ``a`` names the group.
 
     Bands are sorted over ranges, so a band that very many share is spread over several;
     its pieces get one name from a table with two bands a range at most.
     """
     ordered = banded.repartitionByRange("band", "digest").sortWithinPartitions("band", "digest")
-    found = materialize(ordered.mapInArrow(_neighbours, "a long, digest long, band long, edge boolean"))
+    found = materialize(ordered.mapInArrow(_neighbours, "a long, digest long, words int, band long, edge boolean"))
     edges = found.filter("edge").groupBy("band").agg(F.min("digest").alias("one"), F.max("digest").alias("other")).filter("one < other")
-    named = found.filter("edge").join(edges, "band").select(F.col("one").alias("a"), "digest")
-    return found.filter("NOT edge").select("a", "digest").unionByName(named).distinct()
+    named = found.filter("edge").join(edges, "band").select(F.col("one").alias("a"), "digest", "words")
+    return found.filter("NOT edge").select("a", "digest", "words").unionByName(named).distinct()
+
+
+def _of_one_size(colliding: DataFrame, threshold: float) -> DataFrame:
+    """``(a, size, digest, words)``: the groups cut into bands of sizes, and what is alone in one left out.
+
+    Two paragraphs whose numbers of shingles differ by more than the threshold cannot be near.
+    Each is in its own band of sizes and the next, so two that can be near share one.
+    """
+    # A little wider than the ratio, so that rounding cannot part two paragraphs by more than one band.
+    home = F.floor(F.log((F.col("words") - WORDS + 1).cast("double")) / (-log(threshold) * 1.0001))
+    sized = colliding.withColumn("home", home).withColumn("size", F.explode(F.array(F.col("home"), F.col("home") + 1)))
+    # A band without paragraphs of its own has the same as the one before.
+    groups = sized.groupBy("a", "size").agg(F.count(F.lit(1)).alias("n"), F.max("home").alias("home")).filter("n > 1 AND home = size")
+    return sized.drop("home").join(materialize(groups.select("a", "size")), ["a", "size"])
 
 
 def _compared(it: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
@@ -215,11 +234,11 @@ def _compared(it: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.Rec
         return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     for batch in B.slices(it):
-        names = zip(*(c.to_pylist() for c in batch.columns[:5]), strict=True)
-        for (a, i, j, own, digest), shingles in zip(names, _shingles(batch.column(5).to_pylist()), strict=True):
-            if (a, i, j) != key:
+        names = zip(*(c.to_pylist() for c in batch.columns[:6]), strict=True)
+        for (a, size, i, j, own, digest), shingles in zip(names, _shingles(batch.column(6).to_pylist()), strict=True):
+            if ((a, size), i, j) != key:
                 yield out()
-                key, held = (a, i, j), {}
+                key, held = ((a, size), i, j), {}
             held[digest] = digest, digest, own, shingles
     yield out()
 
@@ -235,15 +254,15 @@ def _shingles(paragraphs: list[str]) -> list[np.ndarray]:
 
 
 def _links(colliding: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Links among the paragraphs that collide with the same one ``a``."""
-    sizes = colliding.groupBy("a").agg(F.ceil(F.sum("words") / _BLOCK).cast("int").alias("blocks"))
-    wanted = colliding.groupBy("id").agg(F.collect_list(F.struct("a", "digest")).alias("wanted"))  # of one document
-    taken = wanted.join(texts, "id").select("text", "wanted").mapInArrow(_taken, "a long, digest long, text string")
+    """Links among the paragraphs ``(a, size, digest, words, id)`` of the same group and band of sizes."""
+    sizes = materialize(colliding.groupBy("a", "size").agg(F.ceil(F.sum("words") / _BLOCK).cast("int").alias("blocks")))
+    wanted = colliding.groupBy("id").agg(F.collect_list(F.struct("a", "size", "digest")).alias("wanted"))  # of one document
+    taken = wanted.join(texts, "id").select("text", "wanted").mapInArrow(_taken, "a long, size long, digest long, text string")
     own = F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")
-    dealt = taken.join(sizes, "a").withColumn("own", own).select(
-        "a", "digest", "text", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    ).select("a", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "digest", "text")
-    ordered = dealt.repartition("a", "i", "j").sortWithinPartitions("a", "i", "j")
+    dealt = taken.join(sizes, ["a", "size"]).withColumn("own", own).select(
+        "a", "size", "digest", "text", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    ).select("a", "size", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "digest", "text")
+    ordered = dealt.repartition("a", "size", "i", "j").sortWithinPartitions("a", "size", "i", "j")
     return ordered.mapInArrow(lambda it: _compared(it, threshold), "a long, b long")
 
 
@@ -254,28 +273,26 @@ def repeats(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: f
     paragraphs of their own.  The one that stays of each class is there too, not removed.
     """
     texts = df.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text")).dropna()
-    count = bands(threshold, recall)
-    keys = [f"k{k}" for k in range(count)]
-    shape = "id long, digest long, words long, " + ", ".join(f"{k} long" for k in keys)
-    distinct = (
-        texts.mapInArrow(lambda it: _sketched(it, count), shape).groupBy("digest")
-        .agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"), F.max("words").alias("words"), *[F.max(k).alias(k) for k in keys])
-    )
-    distinct = stored(distinct.filter("n > 1 OR k0 IS NOT NULL"))
-    colliding = _colliding(distinct.filter("k0 IS NOT NULL").select(F.explode(F.array(*keys)).alias("band"), "digest"))
-    found = materialize(colliding.join(distinct.select("digest", "id", "words"), "digest"))
-    links = _links(found, texts, threshold)
-    roots = materialize(components(materialize(links)))
-    equal = distinct.filter("n > 1").select("digest")
+    spark, count = df.sparkSession, bands(threshold, recall)
+    everywhere = stored(texts.mapInArrow(_placed, "id long, digest long, first int, words int, exact boolean"))
+    # Bands before anything wide: what is alone in its bands, or of a size of its own, is not looked at again.
     # Tables of their own, so that the joins have an exchange on either side and a hot key can be split.
+    banded = texts.select("text").mapInArrow(lambda it: _banded(it, count), "band long, digest long, words int")
+    near = materialize(_of_one_size(materialize(_colliding(banded)), threshold))
+    release(spark)
+    first = everywhere.filter("NOT exact").join(near.select("digest").distinct(), "digest", "left_semi").groupBy("digest").agg(F.min("id").alias("id"))
+    links = materialize(_links(near.join(materialize(first), "digest"), texts, threshold))
+    release(spark)
+    roots = materialize(components(links))
+    equal = everywhere.groupBy("digest").count().filter("count > 1").select("digest")
     classes = materialize(
-        roots.select(F.col("id").alias("digest"), "root").join(equal, "digest", "full")
+        roots.select(F.col("id").alias("digest"), "root").join(materialize(equal), "digest", "full")
         .select("digest", F.coalesce("root", "digest").alias("class_id"))
     )
-    placed = materialize(
-        texts.mapInArrow(_placed, "id long, digest long, first long, words long").join(classes, "digest")
-        .select("id", "first", "words", "class_id")
-    )
+    release(spark)
+    words, at = F.col("words").cast("long").alias("words"), F.col("first").cast("long").alias("first")
+    placed = materialize(everywhere.join(classes, "digest").select("id", at, words, "class_id"))
+    release(spark)
     across = materialize(
         placed.groupBy("class_id").agg(F.min("id").alias("least"), F.max("id").alias("most"))
         .filter("least < most").select("class_id")

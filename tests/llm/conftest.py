@@ -31,3 +31,13 @@ def awkward(spark):
 @pytest.fixture(scope="session")
 def nothing(spark):
     return spark.createDataFrame([], COLUMNS)
+
+
+@pytest.fixture(scope="session", autouse=True)
+def in_no_need_of_room():
+    """Small tables need no room between phases."""
+    from declcensus.llm import tables
+
+    turns, tables._TURNS = tables._TURNS, 0
+    yield
+    tables._TURNS = turns

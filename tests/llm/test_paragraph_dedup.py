@@ -101,13 +101,28 @@ def test_texts_do_not_depend_on_their_neighbours():
 def test_a_band_over_several_ranges_is_one_group(spark):
     from pyspark.sql import functions as F
 
-    rows = spark.range(3000).select((F.when(F.col("id") % 3 < 2, 7).otherwise(F.col("id"))).alias("band"), F.col("id").alias("digest"))
+    rows = spark.range(3000).select((F.when(F.col("id") % 3 < 2, 7).otherwise(F.col("id"))).alias("band"), F.col("id").alias("digest"), F.lit(9).alias("words"))
+    rows = rows.unionByName(rows.filter("digest % 2 = 0"))  # found in two slices
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     got = P._colliding(rows).collect()
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert {r["a"] for r in got} == {0} and sorted(r["digest"] for r in got) == [k for k in range(3000) if k % 3 < 2]
 
 
+def test_bands_of_sizes_part_no_two_that_can_be_near(spark):
+    words = list(range(6, 400))
+    rows = spark.createDataFrame([(1, k, k) for k in words] + [(2, 5000 + k, k * k) for k in range(4, 30, 3)], "a long, digest long, words int")
+    groups = {}
+    for r in P._of_one_size(rows, P.THRESHOLD).collect():
+        groups.setdefault((r["a"], r["size"]), set()).add(r["words"])
+    sizes = {(1, k): k - P.WORDS + 1 for k in words} | {(2, k * k): k * k - P.WORDS + 1 for k in range(4, 30, 3)}
+    for (a, one), x in sizes.items():
+        for (b, other), y in sizes.items():
+            if a == b and one < other and x >= P.THRESHOLD * y:
+                assert any({one, other} <= g for (c, _), g in groups.items() if c == a)
+    assert all(len(g) > 1 and min(g) - P.WORDS + 1 >= 0.6 * (max(g) - P.WORDS + 1) for g in groups.values())
+
+
 def _reported(spark, rows):
     return {r["doc_id"] for r in P.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r["removed"]}
 
@@ -144,3 +159,4 @@ def test_sent_paragraphs_have_the_same_shingles():
     places = [k for k in range(len(found.at)) if not found.exact[k]]
     for k, sent in zip(places, P._shingles([found.plain(k) for k in places]), strict=True):
         assert (sent == found.shingles(k)).all()
+
