@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from declcensus.llm import batches as B
 from declcensus.llm.components import components
-from declcensus.llm.near_dedup import links_between
+from declcensus.llm.near_dedup import aligned, links_between
 from declcensus.llm.tables import release, stored
 from declcensus.operators.ordering import materialize
 
@@ -55,6 +55,7 @@ PASSAGE = 20
 SPAN = 51
 _WORD = re.compile(r"\w+")
 _BLOCK = 1 << 20
+_FEW = 4
 
 
 def bands(threshold: float = THRESHOLD, recall: float = RECALL) -> int:
@@ -226,11 +227,24 @@ def _of_one_size(colliding: DataFrame, threshold: float) -> DataFrame:
     return sized.drop("home").join(materialize(groups.select("a", "size")), ["a", "size"])
 
 
+def _pairs(key: tuple, held: list, threshold: float) -> list[tuple[int, int]]:
+    """What ``links_between`` finds, for a few paragraphs, which need no index."""
+    found, group = [], list(range(len(held)))
+    for y in range(len(held)):
+        for x in range(y):
+            apart = key[1] == key[2] or held[x][2] != held[y][2]
+            if group[x] != group[y] and apart and aligned(held[x][3], held[y][3], threshold):
+                found.append((held[x][0], held[y][0]))
+                group = [group[y] if g == group[x] else g for g in group]
+    return found
+
+
 def _compared(it: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
     key, held = None, {}
 
     def out() -> pa.RecordBatch:
-        found = links_between(key, list(held.values()), threshold) if held else []
+        few = len(held) <= _FEW
+        found = (_pairs if few else links_between)(key, list(held.values()), threshold) if held else []
         return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     for batch in B.slices(it):

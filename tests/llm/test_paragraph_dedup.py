@@ -160,3 +160,21 @@ def test_sent_paragraphs_have_the_same_shingles():
     for k, sent in zip(places, P._shingles([found.plain(k) for k in places]), strict=True):
         assert (sent == found.shingles(k)).all()
 
+
+def test_few_paragraphs_are_linked_as_many_are():
+    rng = np.random.default_rng(5)
+    for n in range(200):
+        base = P.B.labelled(rng.integers(0, 1 << 60, 40).astype(np.uint64))
+        held = []
+        for k in range(rng.integers(1, P._FEW + 1)):
+            own = base.copy() if rng.random() < 0.8 else rng.integers(0, 1 << 60, 40).astype(np.uint64)
+            own[rng.integers(0, 40, rng.integers(0, 8))] = rng.integers(0, 1 << 60)
+            held.append((k, k, int(rng.integers(0, 2)), np.unique(own)))
+        for key in ((1, 0, 0), (1, 0, 1)):
+            groups = []
+            for find in (P._pairs, P.links_between):
+                root = list(range(len(held)))
+                for a, b in find(key, held, P.THRESHOLD):
+                    root = [root[b] if r == root[a] else r for r in root]
+                groups.append([[root[x] == root[y] for x in range(len(held))] for y in range(len(held))])
+            assert groups[0] == groups[1]
