@@ -1,32 +1,40 @@
 """Language-model scores from a probabilistic suffix tree over words.
 
-States are contexts of the last words.  All words of the training texts are counted.
-Longer sequences are counted level by level; one is extended only if both parts that it
-is made of hold at least ``SHARE`` of all tokens (and occur ``LEAST`` times), so a level
-has at most ``1 / SHARE`` sequences, however large the corpus, and the tree can be sent
-to every task.  A context stays if its next words diverge from those of its longest
-proper suffix by more than a Bayesian penalty for its parameters:
+States are contexts of the last words.  All words of the training texts are counted; longer
+sequences are counted level by level, those that occur ``LEAST`` times or more, whatever the
+size of the corpus, so the tree grows with it.  A context stays if its next words diverge from
+those of its longest proper suffix by more than a Bayesian penalty for its parameters:
 
     sum of n(sa) * ln(P(a|s) / P(a|suffix)) > ln(n(s)) / 2 * (number of next words)
 
 Distributions are smoothed by absolute discounting: what a context discounts, and all
 next words it does not list, goes to its suffix's distribution.  The root is the
-smoothed word distribution, which covers all words of the corpus; those too rare to be
-in the tree are joined to the texts instead of being sent out.
+smoothed word distribution, which covers all words of the corpus.
 
 A token is a word (lower-cased A-Z, split at blanks and control blanks) or the end of a
 text, which is also the context of the first word.
 
+The tree is a table.  The log probability of a text is a sum over its sequences, of each the
+step from its suffix's probability to its own and the share that it leaves to its suffix
+when it is the context, so texts are scored by a join of (text, sequence, times) with the
+table of these values.  Sequences that hold ``SHARE`` of all tokens, of which there are
+1 / ``SHARE`` a level at most, are looked up in the tasks instead, so the join has no hot key
+and fewer rows; a Bloom filter of a fixed size spares it most sequences that are not in
+the tree.  Neither changes a result.  Words are dealt with likewise.
+
 Defined results: a null text counts as empty and has the end as its only token; without
 training rows all tokens are unknown; each row of the input has a row of its own in the
-output, whatever its other columns are.
+output, whatever its other columns are, and repeated rows count as often as they occur;
+an empty table gives no rows.  Texts of any length are scored whole, and clashing names of
+carried columns do no harm.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,15 +42,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from declcensus.llm import batches as B
+from declcensus.llm.tables import release, stored
 from declcensus.operators.ordering import materialize
 
 ORDER = 3
-SHARE = 1e-6
-WORD_SHARE = 2.5e-7
+SHARE = 5e-6
+WORD_SHARE = 1e-6
 LEAST = 5
 DISCOUNT = 0.5
 END = b""
-_HELD = 400_000
+_HELD = 200_000
+FILTER_BITS = 27
 
 
 _BLANK = np.zeros(256, bool)
@@ -140,12 +150,50 @@ def _levels(keys: np.ndarray, counts: np.ndarray, top: int) -> Iterator[np.ndarr
         yield level
 
 
+class Filter:
+    """A Bloom filter of ``2**bits`` bits: what is not in it is surely not in the table."""
+
+    def __init__(self, bits: int) -> None:
+        self.bits, self.words = bits, np.zeros(1 << (bits - 6), np.uint64)
+
+    def places(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        shift = np.uint64(64 - self.bits)
+        return keys >> shift, B.mix(keys ^ np.uint64(_STEP)) >> shift
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        found = np.ones(len(keys), bool)
+        for at in self.places(keys):
+            found &= (self.words[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+        return found
+
+
+def _filter_words(it: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    own = Filter(bits)
+    for batch in it:
+        at = np.unique(np.concatenate(own.places(batch.column(0).to_numpy().view(np.uint64))))
+        word = at >> np.uint64(6)
+        starts = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1]))) if len(at) else at.astype(np.int64)
+        found = np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), starts) if len(at) else at
+        yield pa.RecordBatch.from_arrays([pa.array(word[starts].view(np.int64)), pa.array(found.view(np.int64))], names=["word", "bits"])
+
+
+def filter_of(keys: DataFrame, bits: int) -> Filter:
+    """The filter of a table of keys; what comes to the driver is as large as the filter at most."""
+    rows = keys.mapInArrow(lambda it: _filter_words(it, bits), "word long, bits long")
+    found = rows.groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    whole = Filter(bits)
+    whole.words[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    return whole
+
+
 def _words(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: Counter = Counter()
 
     def out() -> pa.RecordBatch:
+        words = list(held)
         return pa.RecordBatch.from_arrays(
-            [pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "n"]
+            [pa.array(words, pa.binary()), pa.array(word_keys(words).view(np.int64)), pa.array(list(held.values()), pa.int64())],
+            names=["word", "key", "n"],
         )
 
     for batch in B.slices(it):
@@ -158,134 +206,163 @@ def _words(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out()
 
 
-def _sequences(it: Iterator[pa.RecordBatch], known: list[Table]) -> Iterator[pa.RecordBatch]:
-    """Counts of the sequences one longer than those of the last table, by their two parts."""
-    length = len(known)
-    held = [np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)]
+def _both(keys: np.ndarray, counts: np.ndarray, known: Filter, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two parts, of ``length`` words, of the sequences one longer, where both may be known."""
+    level = list(_levels(keys, counts, length))[-1]
+    member = known.has(level) & (level != 0)
+    start = np.zeros(len(keys), bool)
+    start[np.cumsum(counts) - counts] = True
+    at = np.flatnonzero(member[1:] & member[:-1] & ~start[1:]) + 1
+    return level[at - 1], level[at]
+
+
+def _sequences(it: Iterator[pa.RecordBatch], known: Filter, length: int) -> Iterator[pa.RecordBatch]:
+    """Counts of the sequences whose parts of ``length`` words may both be known."""
+    held = [np.zeros(0, np.uint64), np.zeros(0, np.int32)]
 
     def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array(held[1].view(np.int64)), pa.array(held[2].view(np.int64)), pa.array(held[3])],
-            names=["before", "after", "n"],
-        )
+        return pa.RecordBatch.from_arrays([pa.array(held[0].view(np.int64)), pa.array(held[1].astype(np.int32))], names=["key", "n"])
 
     for batch in B.slices(it):
         _, keys, counts, _ = _stream(batch.column(0).to_pylist())
-        level = list(_levels(keys, counts, length))[-1]
-        member = known[-1].has(level)
-        start = np.zeros(len(keys), bool)
-        start[np.cumsum(counts) - counts] = True
-        at = np.flatnonzero(member[1:] & member[:-1] & ~start[1:]) + 1
-        parts = level[at - 1], level[at]
-        key, first, n = np.unique(joined(*parts), return_index=True, return_counts=True)
-        held = [np.concatenate(x) for x in zip(held, (key, parts[0][first], parts[1][first], n), strict=True)]
+        key, n = np.unique(joined(*_both(keys, counts, known, length)), return_counts=True)
+        held = [np.concatenate(x) for x in zip(held, (key, n.astype(np.int32)), strict=True)]
         if len(held[0]) > 4 * _HELD:
-            held = _folded(held)
+            held = list(B.summed(*held))
             if len(held[0]) > 2 * _HELD:
                 yield out()
                 held = [x[:0] for x in held]
-    held = _folded(held)
+    held = list(B.summed(*held))
     yield out()
 
 
-def _folded(held: list[np.ndarray]) -> list[np.ndarray]:
-    if len(held[0]) == 0:
-        return held
-    order = np.argsort(held[0])
-    held = [x[order] for x in held]
-    starts = np.flatnonzero(np.concatenate(([True], held[0][1:] != held[0][:-1])))
-    return [*(x[starts] for x in held[:3]), np.add.reduceat(held[3], starts)]
+def _parts(it: Iterator[pa.RecordBatch], known: Filter, found: Filter, length: int) -> Iterator[pa.RecordBatch]:
+    """The sequences that may be found, each with its two parts, about once per task."""
+    held = [np.zeros(0, np.uint64)] * 3
+
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in held], names=["key", "before", "after"])
+
+    for batch in B.slices(it):
+        _, keys, counts, _ = _stream(batch.column(0).to_pylist())
+        before, after = _both(keys, counts, known, length)
+        key = joined(before, after)
+        some = found.has(key)
+        held = [np.concatenate(x) for x in zip(held, (key[some], before[some], after[some]), strict=True)]
+        if len(held[0]) > 4 * _HELD:
+            at = np.unique(held[0], return_index=True)[1]
+            held = [x[at] for x in held]
+            if len(at) > 2 * _HELD:
+                yield out()
+                held = [x[:0] for x in held]
+    at = np.unique(held[0], return_index=True)[1]
+    held = [x[at] for x in held]
+    yield out()
 
 
 @dataclass
 class SuffixTree:
-    """``words``: log10 of the root probability; a level: listed next words, and what its contexts leave."""
+    """``words``: log10 of the root probability of frequent words; ``often``: the values of
+    frequent sequences; ``values``: the table ``(key, value)`` of the others, and its filter."""
 
     total: int
     distinct: int
     words: Table
-    listed: list[Table]
-    left: list[Table]
-
-    def unseen(self) -> float:
-        return float(np.log10(0.5 / self.room())) if self.room() else 0.0
+    often: Table
+    others: Filter
+    values: DataFrame
 
     def room(self) -> float:
         return self.total + 0.5 * (self.distinct + 1)
 
 
-def _level(entries: tuple[np.ndarray, np.ndarray, np.ndarray], contexts: Table, suffix: Table) -> tuple[Table, Table, Table]:
-    """Listed and left tables of the contexts that stay, and P of all entries at their longest state.
+def _level(found: DataFrame, contexts: DataFrame, probability: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Values ``(key, n, value)`` of a level's sequences and contexts, and the probability ``(key, p)``
+    of its sequences at their longest state.
 
-    ``contexts`` has the counts of the contexts, ``suffix`` the P of the entries one shorter.
+    ``contexts(key, n)`` has the counts of the contexts, ``probability`` that of the suffixes.
     """
-    before, after, n = entries
-    key = joined(before, after)
-    n = n.astype(float)
-    _, place = contexts.find(before)
-    in_context = contexts.values[0][place].astype(float)
-    _, place = suffix.find(after)
-    expected = suffix.values[0][place]
-    names, group = np.unique(before, return_inverse=True)
-    add = lambda values: np.bincount(group, weights=values, minlength=len(names))
-    count = np.zeros(len(names))
-    count[group] = in_context
-    size = add(np.ones(len(n)))
-    rest, rest_expected = np.maximum(count - add(n), 0), np.maximum(1 - add(expected), 1e-12)
-    gain = add(n * np.log(n / in_context / expected))
-    gain += np.where(rest > 0, rest * np.log(np.maximum(rest, 1e-300) / count / rest_expected), 0)
-    stays = gain > 0.5 * np.log(np.maximum(count, 2)) * size
-    kept = stays[group]
-    own = (n - DISCOUNT) / in_context
-    left = (rest + DISCOUNT * size) / count / rest_expected
-    return (
-        Table(key[kept], np.log10(own[kept])),
-        Table(names[stays], np.log10(left[stays])),
-        Table(key, np.where(kept, own, expected)),
+    entries = materialize(
+        found.join(contexts.select(F.col("key").alias("before"), F.col("n").alias("of")), "before")
+        .join(probability.select(F.col("key").alias("after"), F.col("p").alias("expected")), "after")
+    )
+    n, of, expected = F.col("n"), F.col("of"), F.col("expected")
+    sums = entries.groupBy("before").agg(
+        F.max("of").alias("count"), F.sum("n").alias("seen"), F.count(F.lit(1)).alias("size"), F.sum("expected").alias("likely"),
+        F.sum(n * F.log(n / of / expected)).alias("gain"),
+    )
+    rest, unlikely = F.greatest(F.col("count") - F.col("seen"), F.lit(0)), F.greatest(1 - F.col("likely"), F.lit(1e-12))
+    gain = F.col("gain") + F.when(rest > 0, rest * F.log(rest / F.col("count") / unlikely)).otherwise(0.0)
+    states = materialize(
+        sums.filter(gain > 0.5 * F.log(F.greatest("count", F.lit(2)).cast("double")) * F.col("size"))
+        .select("before", "count", F.log10((rest + DISCOUNT * F.col("size")) / F.col("count") / unlikely).alias("left"))
     )
+    own = (n - DISCOUNT) / of
+    stated = materialize(entries.join(states, "before", "left").select("key", "n", "expected", own.alias("own"), "left"))
+    step = F.log10("own") - F.log10("expected") - F.col("left")
+    values = stated.filter("left IS NOT NULL").select("key", "n", step.alias("value")).unionByName(
+        states.select(F.col("before").alias("key"), F.col("count").alias("n"), F.col("left").alias("value"))
+    )
+    return values, stated.select("key", F.when(F.col("left").isNotNull(), F.col("own")).otherwise(F.col("expected")).alias("p"))
+
+
+def _looked_up(rows: DataFrame) -> Table:
+    """A table of bounded size for the tasks."""
+    found = rows.toArrow()
+    return Table(found.column(0).to_numpy().view(np.uint64), found.column(1).to_numpy())
 
 
-def fit(df: DataFrame, text: str = "text", order: int = ORDER, share: float = SHARE, word_share: float = WORD_SHARE) -> tuple[SuffixTree, DataFrame]:
-    """The tree, and the table ``(word, n)`` of all words of the rows of ``df``."""
+def fit(
+    df: DataFrame, text: str = "text", order: int = ORDER, share: float = SHARE, word_share: float = WORD_SHARE, least: int = LEAST,
+    filter_bits: int = FILTER_BITS,
+) -> tuple[SuffixTree, DataFrame]:
+    """The tree, and the table ``(word, key, n)`` of all words of the rows of ``df``."""
     rows = df.select(F.col(f"`{text}`").cast("string").alias("text"))
     spark = df.sparkSession
-    words = materialize(rows.mapInArrow(_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    words = materialize(rows.mapInArrow(_words, "word binary, key long, n long").groupBy("word", "key").agg(F.sum("n").alias("n")))
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     room = total + 0.5 * (distinct + 1)
-    # At most 1 / word_share rows; each level below at most 1 / share.
-    often = words.filter((F.col("n") >= total * word_share)).toArrow()
-    keys = word_keys(often.column("word").to_pylist())
-    counts = often.column("n").to_numpy().astype(np.int64)
-    base = Table(keys, np.log10((counts + 0.5) / room))
-    least = max(LEAST, total * share)
-    ample = counts >= least
-    known = [Table(keys[ample], counts[ample])]
-    probability = Table(keys[ample], (counts[ample] + 0.5) / room)
-    listed, left = [], []
-    for _ in range(order):
-        shared = spark.sparkContext.broadcast(known[-1:])
-        length = len(known)
-
-        def counted(it, shared=shared, length=length):
-            return _sequences(it, [None] * (length - 1) + shared.value)
-
-        found = (
-            rows.mapInArrow(counted, "before long, after long, n long")
-            .groupBy("before", "after").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).toArrow()
+    log = F.log10((F.col("n") + 0.5) / F.lit(room))
+    base = _looked_up(words.filter(F.col("n") >= max(1.0, total * word_share)).select("key", log))  # 1 / word_share rows at most
+    known = words.filter(F.col("n") >= least).select("key", "n")
+    probability = known.select("key", ((F.col("n") + 0.5) / F.lit(room)).alias("p"))
+    parts = []
+    of_known = spark.sparkContext.broadcast(filter_of(known.select("key"), filter_bits))
+    for length in range(1, order + 1):
+
+        def counted(it, known=of_known, length=length):
+            return _sequences(it, known.value, length)
+
+        # The counts of all sequences are the widest table of all: they go without the parts, which
+        # only those that stay are joined with.
+        often = materialize(
+            rows.mapInArrow(counted, "key long, n int").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
         )
-        before, after = (found.column(c).to_numpy().view(np.uint64) for c in ("before", "after"))
-        n = found.column("n").to_numpy().astype(np.int64)
-        if len(n) == 0:
+        release(spark)
+        if often.isEmpty():
             break
-        stay, rest, probability = _level((before, after, n), known[-1], probability)
-        listed.append(stay)
-        left.append(rest)
-        known.append(Table(joined(before, after), n))
-    return SuffixTree(total, distinct, base, listed, left), words
-
-
-def _scored(it: Iterator[pa.RecordBatch], tree: SuffixTree) -> Iterator[pa.RecordBatch]:
-    """Per text: what the tree says, and the words it does not have, with their counts."""
+        of_found = spark.sparkContext.broadcast(filter_of(often.select("key"), filter_bits))
+
+        def parted(it, known=of_known, found=of_found, length=length):
+            return _parts(it, known.value, found.value, length)
+
+        both = rows.mapInArrow(parted, "key long, before long, after long").groupBy("key").agg(F.any_value("before").alias("before"), F.any_value("after").alias("after"))
+        found = materialize(both.join(often, "key").select("key", "before", "after", "n"))
+        release(spark)
+        values, probability = _level(found, known, probability)
+        parts.append(values)
+        known, of_known = often, of_found
+    empty = spark.createDataFrame([], "key long, n long, value double")
+    values = reduce(DataFrame.unionByName, parts, empty).groupBy("key").agg(F.max("n").alias("n"), F.sum("value").alias("value"))
+    values = materialize(values)
+    often = F.col("n") >= max(1.0, total * share)
+    others = values.filter(~often).select("key", "value")
+    tree = SuffixTree(total, distinct, base, _looked_up(values.filter(often).select("key", "value")), filter_of(others.select("key"), filter_bits), others)
+    return tree, words
+
+
+def _scored(it: Iterator[pa.RecordBatch], tree: SuffixTree, order: int) -> Iterator[pa.RecordBatch]:
+    """Per text: what is looked up here, and the words and sequences to join, with their counts."""
     for batch in B.slices(it):
         words, keys, counts, where = _stream(batch.column(1).to_pylist())
         distinct, inverse = np.unique(keys, return_inverse=True)
@@ -293,55 +370,80 @@ def _scored(it: Iterator[pa.RecordBatch], tree: SuffixTree) -> Iterator[pa.Recor
         at, place = tree.words.find(distinct)
         values[at], in_tree[at] = tree.words.values[0][place], True
         base, listed = values[inverse], in_tree[inverse]
-        score = base.copy()
-        levels = list(_levels(keys, counts, len(tree.listed) + 1))
-        for k, (entries, left) in enumerate(zip(tree.listed, tree.left, strict=True)):
-            context = np.concatenate((levels[k][:1], levels[k][:-1]))
-            at, place = left.find(context)
-            score[at] += left.values[0][place]
-            at, place = entries.find(levels[k + 1])
-            score[at] = entries.values[0][place]
         starts = np.cumsum(counts) - counts
-        base[starts] = score[starts] = 0
+        lasts = starts + counts - 1
+        owner = np.repeat(np.arange(len(counts)), counts)
+        steps, wanted = np.zeros(len(keys)), []
+        for k, level in enumerate(_levels(keys, counts, order + 1)):
+            able = level != 0
+            if k == 0:
+                able[lasts] = False  # nothing follows the end
+            at, place = tree.often.find(level)
+            hit = able[at]
+            steps[at[hit]] += tree.often.values[0][place[hit]]
+            able[at] = False
+            able &= tree.others.has(level)
+            wanted.append((owner[able], level[able]))
+        base[starts] = 0
         listed_count = listed.astype(np.int64)
         listed_count[starts] = 0
         rare: list[Counter] = [Counter() for _ in counts]
         for k in np.flatnonzero(~listed[where]).tolist():
             rare[words.owner[k]][words.word(k)] += 1
-        for k in np.flatnonzero(~listed[starts + counts - 1]).tolist():
+        for k in np.flatnonzero(~listed[lasts]).tolist():
             rare[k][END] += 1
-        rare_words, rare_counts = [list(r) for r in rare], [list(r.values()) for r in rare]
+        own = np.add.reduceat(base, starts)
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(counts - 1), pa.array(np.add.reduceat(listed_count, starts)),
-             pa.array(np.add.reduceat(base, starts)), pa.array(np.add.reduceat(score, starts)),
-             pa.array(rare_words, pa.list_(pa.binary())), pa.array(rare_counts, pa.list_(pa.int64()))],
-            names=["row", "n_tokens", "n_known", "base_score", "score", "words", "counts"],
+             pa.array(own), pa.array(own + np.add.reduceat(steps, starts)),
+             pa.array([list(r) for r in rare], pa.list_(pa.binary())), pa.array([list(r.values()) for r in rare], pa.list_(pa.int64())),
+             *_listed(*map(np.concatenate, zip(*wanted, strict=True)), len(counts))],
+            names=["row", "n_tokens", "n_known", "base_score", "score", "words", "counts", "keys", "times"],
         )
 
 
-def score(df: DataFrame, tree: SuffixTree, words: DataFrame, text: str = "text", carried: tuple[str, ...] = ()) -> DataFrame:
+def _listed(owner: np.ndarray, keys: np.ndarray, rows: int) -> tuple[pa.ListArray, pa.ListArray]:
+    """For each row its distinct keys, and how often it has them."""
+    order = np.lexsort((keys, owner))
+    owner, keys = owner[order], keys[order]
+    fresh = np.concatenate(([True], (owner[1:] != owner[:-1]) | (keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, bool)
+    at = np.flatnonzero(fresh)
+    offsets = np.concatenate(([0], np.cumsum(np.bincount(owner[at], minlength=rows)))).astype(np.int32)
+    times = np.diff(at, append=len(keys)).astype(np.int32)
+    return pa.ListArray.from_arrays(offsets, pa.array(keys[at].view(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(times))
+
+
+def score(df: DataFrame, tree: SuffixTree, words: DataFrame, text: str = "text", carried: tuple[str, ...] = (), order: int = ORDER) -> DataFrame:
     """Columns ``carried``, then ``n_tokens``, ``n_known``, ``base_score``, ``score``; a row per row."""
-    shared = df.sparkSession.sparkContext.broadcast(tree)
+    spark = df.sparkSession
+    shared = spark.sparkContext.broadcast(replace(tree, values=None))
     numbered = df.select(
         F.struct(F.monotonically_increasing_id().alias("_row"), *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(carried)]).alias("row"),
         F.col(f"`{text}`").cast("string").alias("text"),
     )
     shape = (
         f"row {numbered.schema['row'].dataType.simpleString()}, n_tokens long, n_known long, base_score double, "
-        "score double, words array<binary>, counts array<long>"
+        "score double, words array<binary>, counts array<long>, keys array<long>, times array<int>"
     )
-    own = materialize(numbered.mapInArrow(lambda it: _scored(it, shared.value), shape))
-    rare = own.select("row._row", F.explode(F.arrays_zip("words", "counts")).alias("w")).select("_row", F.col("w.words").alias("word"), F.col("w.counts").alias("times"))
+    own = stored(numbered.mapInArrow(lambda it: _scored(it, shared.value, order), shape))
+    release(spark)
+    row = F.col("row._row").alias("_row")
+    rare = own.select(row, F.explode(F.arrays_zip("words", "counts")).alias("w")).select("_row", F.col("w.words").alias("word"), F.col("w.counts").alias("times"))
     count = F.coalesce("n", F.lit(0))
     log = F.col("times") * F.log10((count + 0.5) / F.lit(max(tree.room(), 1.0)))
-    added = rare.join(words, "word", "left").groupBy("_row").agg(
-        F.sum(F.when(count > 0, F.col("times")).otherwise(0)).alias("known"), F.sum(log).alias("log")
+    of_words = rare.join(words.drop("key"), "word", "left").groupBy("_row").agg(
+        F.sum(F.when(count > 0, F.col("times")).otherwise(0)).alias("known"), F.sum(log).alias("log"), F.lit(0.0).alias("step")
+    )
+    sequences = own.select(row, F.explode(F.arrays_zip("keys", "times")).alias("w")).select("_row", F.col("w.keys").alias("key"), F.col("w.times").alias("times"))
+    of_sequences = sequences.join(tree.values, "key").groupBy("_row").agg(
+        F.lit(0).cast("long").alias("known"), F.lit(0.0).alias("log"), F.sum(F.col("times") * F.col("value")).alias("step")
     )
-    known, log = F.coalesce("known", F.lit(0)), F.coalesce("log", F.lit(0.0))
-    return own.drop("words", "counts").withColumn("_row", F.col("row._row")).join(added, "_row", "left").select(
+    added = materialize(of_words.unionByName(of_sequences)).groupBy("_row").agg(*[F.sum(c).alias(c) for c in ("known", "log", "step")])
+    known, log, step = F.coalesce("known", F.lit(0)), F.coalesce("log", F.lit(0.0)), F.coalesce("step", F.lit(0.0))
+    return own.drop("words", "counts", "keys", "times").withColumn("_row", F.col("row._row")).join(added, "_row", "left").select(
         *[F.col(f"row.c{k}").alias(c) for k, c in enumerate(carried)],
         "n_tokens",
         (F.col("n_known") + known).alias("n_known"),
         (F.col("base_score") + log).alias("base_score"),
-        (F.col("score") + log).alias("score"),
+        (F.col("score") + log + step).alias("score"),
     )

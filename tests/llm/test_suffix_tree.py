@@ -59,47 +59,103 @@ def chained(spark):
     return spark.createDataFrame(rows, "doc_id long, text string")
 
 
+class Plain:
+    """The same model with dictionaries: states, divergence test, discounting, longest state."""
+
+    def __init__(self, texts, order=3, least=5):
+        rows = [["\0", *split(t)] for t in texts]
+        levels = [Counter(w for r in rows for w in r[1:])]
+        for k in range(2, order + 2):
+            levels.append(Counter(tuple(r[i : i + k]) for r in rows for i in range(len(r) - k + 1)))
+        self.words, self.total = levels[0], sum(levels[0].values())
+        self.room = self.total + 0.5 * (len(levels[0]) + 1)
+        counts = {(w,): n for w, n in levels[0].items() if n >= least}
+        p = {s: (n + 0.5) / self.room for s, n in counts.items()}
+        self.listed, self.left = [], []
+        for level in levels[1:]:
+            found = {s: n for s, n in level.items() if n >= least}
+            listed, left, after = {}, {}, {}
+            groups = {}
+            for s in found:
+                groups.setdefault(s[:-1], []).append(s)
+            for context, own in groups.items():
+                of = counts[context]
+                rest, unlikely = max(of - sum(found[s] for s in own), 0), max(1 - sum(p[s[1:]] for s in own), 1e-12)
+                gain = sum(found[s] * math.log(found[s] / of / p[s[1:]]) for s in own)
+                gain += rest * math.log(rest / of / unlikely) if rest else 0
+                stays = gain > 0.5 * math.log(max(of, 2)) * len(own)
+                if stays:
+                    left[context] = math.log10((rest + S.DISCOUNT * len(own)) / of / unlikely)
+                for s in own:
+                    after[s] = (found[s] - S.DISCOUNT) / of if stays else p[s[1:]]
+                    if stays:
+                        listed[s] = math.log10(after[s])
+            self.listed.append(listed)
+            self.left.append(left)
+            counts, p = found, after
+
+    def step(self, before, word):
+        """log10 of the probability of a word after others, the first of which is the start."""
+        value = math.log10((self.words[word] + 0.5) / self.room)
+        for k, (listed, left) in enumerate(zip(self.listed, self.left), 1):
+            if len(before) >= k:
+                value += left.get(tuple(before[-k:]), 0)
+                value = listed.get((*before[-k:], word), value)
+        return value
+
+    def score(self, text):
+        row = ["\0", *split(text)]
+        return sum(self.step(row[:i], row[i]) for i in range(1, len(row)))
+
+
+def scores(tree, words, df):
+    return {r["doc_id"]: r["score"] for r in S.score(df, tree, words, carried=("doc_id",)).collect()}
+
+
+def close(got, model, rows):
+    assert got.keys() == {i for i, _ in rows}
+    for i, text in rows:
+        assert got[i] == pytest.approx(model.score(text), abs=1e-8), (i, text)
+
+
+# Shares of 1 let no sequence be looked up in the tasks, of 0 all: the results are the same.
+@pytest.mark.parametrize("share", [S.SHARE, 0.003, 1.0])
+def test_scores_match_a_plain_tree(spark, chained, share):
+    rows = [(r["doc_id"], r["text"]) for r in chained.collect()]
+    train = [t for i, t in rows if i % 2 == 0]
+    rows += [(1000, ""), (1001, None), (1002, "w0 nothing w1"), (1003, "w3"), (1004, "W0 w1  w8\nw9")]
+    model = Plain(train)
+    assert all(model.left) and len(model.left[1]) > len(model.left[0])
+    tree, words = S.fit(chained.filter("doc_id % 2 = 0"), share=share, word_share=share)
+    close(scores(tree, words, spark.createDataFrame(rows, "doc_id long, text string")), model, rows)
+
+
+def test_a_small_filter_changes_nothing(spark, chained):
+    """A filter that lets everything through only makes more rows to join."""
+    rows = [(r["doc_id"], r["text"]) for r in chained.limit(60).collect()]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    tree, words = S.fit(df, share=1.0, filter_bits=6)
+    close(scores(tree, words, df), Plain([t for _, t in rows]), rows)
+
+
+def test_the_tree_grows_with_the_corpus(spark, chained):
+    sizes = [S.fit(chained.filter(f"doc_id < {n}"), share=1.0)[0].values.count() for n in (50, 100, 200, 400)]
+    assert sizes == sorted(sizes) and sizes[-1] > 1.5 * sizes[0]
+
+
 def test_contexts_help_on_held_out_texts(chained):
     tree, words = S.fit(chained.filter("doc_id % 2 = 0"))
     got = S.score(chained.filter("doc_id % 2 = 1"), tree, words)
     row = got.agg(F.sum("score").alias("score"), F.sum("base_score").alias("base")).first()
     assert row["score"] > 0.6 * row["base"]  # both are negative
-    assert len(tree.left[1].keys) > len(tree.left[0].keys) > 0
 
 
-def test_distributions_sum_to_one(spark, chained):
-    tree, words = S.fit(chained)
+def test_distributions_sum_to_one(chained):
+    """Of the plain tree, which scores as the other does."""
+    model = Plain([r["text"] for r in chained.collect()])
     for context in ("", "w0 w1", "w3 w4 w5", "w0"):
-        own = context.split()
-        nexts = [f"w{k}" for k in range(12)] + ["unknownword"]
-        texts = [(" ".join([*own, w])) for w in nexts] + [context]
-        got = S.score(spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k long, text string"), tree, words, carried=("k",)).collect()
-        score = {r["k"]: r["score"] for r in got}
-        # The end of a text is one more symbol; what stands before it is the same in all.
-        prefix = _without_end(tree, own)
-        total = sum(10 ** (_without_end(tree, [*own, w]) - prefix) for w in nexts)
-        total += 10 ** (score[len(nexts)] - prefix)
-        assert total == pytest.approx(1, abs=0.02)
-
-
-def _without_end(tree, words):
-    import pyarrow as pa
-
-    batch = pa.RecordBatch.from_arrays([pa.array([0]), pa.array([" ".join(words)])], names=["row", "text"])
-    words_, keys, counts, where = S._stream([" ".join(words)])
-    score = 0.0
-    levels = list(S._levels(keys, counts, len(tree.listed) + 1))
-    for p in range(1, len(keys) - 1):
-        at, place = tree.words.find(keys[p : p + 1])
-        s = float(tree.words.values[0][place[0]]) if len(at) else tree.unseen()
-        for k, (entries, left) in enumerate(zip(tree.listed, tree.left, strict=True)):
-            at, place = left.find(levels[k][p - 1 : p])
-            s += float(left.values[0][place[0]]) if len(at) else 0.0
-            at, place = entries.find(levels[k + 1][p : p + 1])
-            s = float(entries.values[0][place[0]]) if len(at) else s
-        score += s
-    assert batch.num_rows == 1
-    return score
+        before = ["\0", *split(context)[:-1]]
+        assert sum(10 ** model.step(before, w) for w in [*model.words, "unknownword"]) == pytest.approx(1, abs=0.02)
 
 
 def test_random_prose_is_not_made_worse(spark):
