@@ -46,7 +46,7 @@ from declcensus.llm.tables import release, stored
 from declcensus.operators.ordering import materialize
 
 ORDER = 3
-SHARE = 5e-6
+SHARE = 1e-6
 WORD_SHARE = 1e-6
 LEAST = 5
 DISCOUNT = 0.5
