@@ -9,6 +9,8 @@ patterns match each declaration once and consume its keyword and name.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -124,28 +126,28 @@ _TYPE = rf"(?:[^(){{}}\[\]<>,;=\n]++|=>\s*+|{R.PARENS}|{R.BRACES}|{R.BRACKETS}|{
 # A line ends a type unless the next one goes on with it.
 _LONG_TYPE = rf"(?:{_TYPE}|\n(?=\s*+[|&?:])|(?<=[|&?:]\s{{0,8}})\n)"
 _TS_INTERFACE = (
-    rf"{R.keyword('interface')}\s++{R.DOLLAR_NAME}[^{{}};]*+{R.BRACES}"
+    rf"(?=[it])(?:{R.keyword('interface')}\s++{R.DOLLAR_NAME}[^{{}};]*+{R.BRACES}"
     rf"|{R.keyword('type')}\s++{R.DOLLAR_NAME}\s*+(?:{R.ANGLES}\s*+)?+=(?![=>])\s*+\|?"
-    rf"{_LONG_TYPE}*+"
+    rf"{_LONG_TYPE}*+)"
 )
-_TS_ARGUMENTS = rf"(?<=[\p{{L}}\p{{N}}_$]){R.ANGLES}(?=\s*+[(\[;,)=>{{|&])"
+_TS_ARGUMENTS = rf"(?=<)(?<=[\p{{L}}\p{{N}}_$]){R.ANGLES}(?=\s*+[(\[;,)=>{{|&])"
 # An arrow before the name of a built-in type makes a type wherever it stands.
 _TS_BUILT_IN = (
     r"=>\s*+(?:void|string|number|boolean|any|unknown|never|bigint|symbol|object)(?![\p{L}\p{N}_$])"
     r"(?![ \t]*+[\p{L}\p{N}_$(.+\-*/])"
 )
-_TS_CAST = rf"\b(?:as|satisfies)\s++{R.PARENS}\s*+=>"
+_TS_CAST = rf"(?=(?:as|satisfies)\s)\b(?:as|satisfies)\s++{R.PARENS}\s*+=>"
 _TS_MODIFIER = r"(?:(?:public|private|protected|readonly|override)\s++)*+"
 # Parameters are followed one by one from the opening parenthesis, so that the
 # same text inside an object literal is left alone.
 _TS_PARAMETER = (
-    rf"((?:\(|(?!\A)\G,)\s*+{_TS_MODIFIER}(?:\.\.\.)?+(?:{R.DOLLAR_NAME}|{R.BRACES}|{R.BRACKETS})\??+)"
+    rf"(?=[(,])((?:\(|(?!\A)\G,)\s*+{_TS_MODIFIER}(?:\.\.\.)?+(?:{R.DOLLAR_NAME}|{R.BRACES}|{R.BRACKETS})\??+)"
     rf"(?:\s*+:{_TYPE}++)?+(?=\s*+(?:[,)]|=(?![=>])))"
 )
 _TS_VARIABLE = (
-    rf"((?:const|let|var)\s++{R.DOLLAR_NAME}!?+)\s*+:{_LONG_TYPE}++(?=\s*+(?:;|=(?![=>]))|[ \t]*+(?:\n|\z))"
-    rf"|((?<!\?\s{{0,8}})(?<![\p{{L}}\p{{N}}_$.]){R.DOLLAR_NAME}[?!]?+)\s*+:\s*+"
-    rf"{R.PARENS}\s*+=>{_TYPE}++(?=\s*+(?:;|=(?![=>])))"
+    rf"(?=[\p{{L}}_$])(?:((?:const|let|var)\s++{R.DOLLAR_NAME}!?+)\s*+:{_LONG_TYPE}++(?=\s*+(?:;|=(?![=>]))|[ \t]*+(?:\n|\z))"
+    rf"|((?<![\p{{L}}\p{{N}}_$.])(?={R.DOLLAR_NAME}[?!]?+\s*+:\s*+\()(?<!\?\s{{0,8}}){R.DOLLAR_NAME}[?!]?+)\s*+:\s*+"
+    rf"{R.PARENS}\s*+=>{_TYPE}++(?=\s*+(?:;|=(?![=>]))))"
 )
 _TS_RESULT = (
     rf"(\))\s*+:\s*+{R.PARENS}(?:\s*+=>\s*+"
@@ -173,7 +175,7 @@ _JAVA_NAME = rf"{_JAVA_CONTROL}{R.DOLLAR_NAME}"
 # What comes before the name is matched forwards, from its last character on: a
 # modifier, a bracket or a semicolon before a constructor, the end of the return
 # type before a method.
-_JAVA_MODIFIED = rf"{_JAVA_MODIFIERS}(?<![\p{{L}}\p{{N}}_$]{_JAVA_MODIFIERS})\s++"
+_JAVA_MODIFIED = rf"(?=p){_JAVA_MODIFIERS}(?<![\p{{L}}\p{{N}}_$]{_JAVA_MODIFIERS})\s++"
 
 
 def _java_constructor(rest: str) -> str:
@@ -184,8 +186,9 @@ def _java_constructor(rest: str) -> str:
 
 
 def _java_method(rest: str) -> str:
-    word = rf"[\p{{L}}\p{{N}}_$](?<!(?<![\p{{L}}\p{{N}}_$]){_JAVA_NOT_A_TYPE})"
-    return rf"(?:{word}|\]|(?<=[\p{{L}}\p{{N}}_$\]?>])>)\s++{_JAVA_NAME}(?={rest})"
+    # Most letters have no blank after them, so what stands before is seldom looked at.
+    word = rf"[\p{{L}}\p{{N}}_$](?=\s)(?<!(?<![\p{{L}}\p{{N}}_$]){_JAVA_NOT_A_TYPE})"
+    return rf"(?:{word}|\]|>(?<=[\p{{L}}\p{{N}}_$\]?>]>))\s++{_JAVA_NAME}(?={rest})"
 
 
 # After the closing parenthesis of an annotation.
@@ -231,16 +234,26 @@ TYPE_PATTERNS = {
 }
 
 
-def _strip(text: Column, pattern: str, keep: str = " ", only_if: str | None = None) -> Column:
-    stripped = F.regexp_replace(text, F.lit(pattern), F.lit(keep))
-    if only_if is None:
-        return stripped
-    return F.when(F.contains(text, F.lit(only_if)), stripped).otherwise(text)
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` names it.
+
+    A column that is named twice inside a branch is computed twice, and one built from such
+    columns twice as often again.
+    """
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _if_contains(text: Column, word: str, use: Callable[[Column], Column]) -> Column:
+    return _once(text, lambda t: F.when(F.contains(t, F.lit(word)), use(t)).otherwise(t))
+
+
+def _strip(text: Column, pattern: str, keep: str = " ") -> Column:
+    return F.regexp_replace(text, F.lit(pattern), F.lit(keep))
 
 
 def _even(masked: Column) -> Column:
     """Runs of blanks as one blank or one line feed, so that look-behinds reach over them."""
-    return F.regexp_replace(masked, F.lit(r"[ \t\r\f]*+(\n)\s*+|[ \t\r\f]{2,}+"), F.lit("$1 "))
+    return F.regexp_replace(masked, F.lit(r"(?=[ \t\r\f\n])(?:[ \t\r\f]*+(\n)\s*+|[ \t\r\f]{2,}+)"), F.lit("$1 "))
 
 
 def _strip_types(masked: Column) -> Column:
@@ -254,26 +267,29 @@ def _strip_types(masked: Column) -> Column:
         (_TS_VARIABLE, "$1$2"),
         (_TS_RESULT, "$1"),
     ):
-        text = F.regexp_replace(text, F.lit(pattern), F.lit(keep))
-    return F.when(F.contains(masked, F.lit("=>")), text).otherwise(masked)
+        text = _strip(text, pattern, keep)
+    return text
 
 
 def _marked_opening(text: Column, pattern: str, mark: str, only_if: str) -> Column:
-    marked = F.regexp_replace(text, F.lit(pattern), F.lit(f"$0{mark}"))
-    return F.when(F.contains(text, F.lit(only_if)), marked).otherwise(text)
+    return _if_contains(text, only_if, lambda t: _strip(t, pattern, f"$0{mark}"))
 
 
 def code_only(masked: Column, language: Column) -> Column:
     """Masked text without the spans in which nothing is a declaration, and with marks after
     the openings of brackets that hold no declarations, or those of another kind."""
-    plain = B.without_marks(masked)
+    return _once(_once(masked, B.without_marks), lambda plain: _code_only(plain, language))
+
+
+def _code_only(plain: Column, language: Column) -> Column:
     java = _marked_opening(_even(plain), _JAVA_ANNOTATION_TYPE, B.ANNOTATION, "@interface")
+    typescript = _if_contains(_even(plain), "=>", _strip_types)
     return (
         F.when(language == S.RUST, _marked_opening(plain, _RUST_MACRO, B.DROP, "!"))
         .when(language == S.GO, _marked_opening(plain, _GO_GROUP, B.GROUP, "type"))
-        .when(language == S.PYTHON, _strip(plain, r"\\\r?+\n", " ", "\\"))
-        .when(language == S.TYPESCRIPT, _marked_opening(_strip_types(_even(plain)), _CLASS_BODY, B.CLASS, "class"))
-        .when(language == S.JAVA, _strip(java, _JAVA_ENUM, "$1@ ", "enum"))
+        .when(language == S.PYTHON, _if_contains(plain, "\\", lambda t: _strip(t, r"\\\r?+\n")))
+        .when(language == S.TYPESCRIPT, _marked_opening(typescript, _CLASS_BODY, B.CLASS, "class"))
+        .when(language == S.JAVA, _if_contains(java, "enum", lambda t: _strip(t, _JAVA_ENUM, "$1@ ")))
         .when(language == S.JAVASCRIPT, _marked_opening(_even(plain), _CLASS_BODY, B.CLASS, "class"))
         .otherwise(plain)
     )
