@@ -69,17 +69,22 @@ _NOT_A_URL = r"(?<!\bhttps?:)"
 # quoted method name (2), the quote of a plain literal (3 to 5), twice, so that an
 # operand is left where one was, and what stands before a pattern literal (7).  ``\G`` after a closing brace can only follow a
 # substitution: no other alternative ends in a brace.
+# What the alternatives without ``\G`` start with: most places are passed by after one look.
+_SCRIPT_START = r"(?=[/\"'`(,=:\[!&|?{;+~^%*\-]|(?=[rtcio])\b)"
 SCRIPT_MASK = R.any_of(
     rf"\G(?<=\}}){_TEXT}\$\{{({_CODE})\}}",
     rf"\G(?<=\}}){_TEXT}`",
-    rf"{_NOT_A_URL}//[^\n]*+(?:\n|\z)",
-    _BLOCK_COMMENT,
-    rf"[\"']({R.DOLLAR_NAME})[^\"'\n]*+[\"'](?=\s*+\([^()]*+\)\s*+\{{)",
-    R.unrolled('"', close='(")'),
-    _NOT_IN_A_WORD + R.unrolled("'", close="(')"),
-    rf"`{_TEXT}(`)",
-    rf"`{_TEXT}\$\{{({_CODE})\}}",
-    _REGEX_LITERAL,
+    _SCRIPT_START
+    + R.any_of(
+        rf"{_NOT_A_URL}//[^\n]*+(?:\n|\z)",
+        _BLOCK_COMMENT,
+        rf"[\"']({R.DOLLAR_NAME})[^\"'\n]*+[\"'](?=\s*+\([^()]*+\)\s*+\{{)",
+        R.unrolled('"', close='(")'),
+        _NOT_IN_A_WORD + R.unrolled("'", close="(')"),
+        rf"`{_TEXT}(`)",
+        rf"`{_TEXT}\$\{{({_CODE})\}}",
+        _REGEX_LITERAL,
+    ),
 )
 _SCRIPT_KEEP = "$7 $2 $6 $1 $3$3$4$4$5$5 \n"
 
