@@ -9,6 +9,7 @@ pattern contains one, so that saves time and changes no result, at any size.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -22,21 +23,40 @@ MIN_SIGNS = 2
 
 @dataclass(frozen=True)
 class Sign:
-    """A pattern, its weight and the number of signs it stands for; each match has one of ``marks``."""
+    """A pattern, its weight and the number of signs it stands for; each match has one of ``marks``.
+
+    With ``leads`` a match starts with one of ``marks``, as a word, and ``pattern`` is what follows.
+    """
 
     marks: tuple[str, ...]
     pattern: str
     weight: int
     signs: int
+    leads: bool = False
+
+    def ways(self) -> list[tuple[tuple[str, ...], str]]:
+        """Marks and pattern of each way to find the sign.
+
+        A pattern that starts with one plain word is searched for by skips; one that starts with
+        a choice of words is tried at every place.
+        """
+        if not self.leads:
+            return [(self.marks, self.pattern)]
+        return [((m,), rf"{re.escape(m)}(?<=\b{re.escape(m)}){self.pattern}") for m in self.marks]
 
 
 def _sign(*marks: str, pattern: str, weight: int, signs: int = 1) -> Sign:
     return Sign(marks, pattern, weight, signs)
 
 
+def _leading(*marks: str, pattern: str, weight: int) -> Sign:
+    return Sign(marks, pattern, weight, 1, leads=True)
+
+
 def _line_start(word: str) -> str:
     """``word`` at the start of a line; the literal leads, so the matcher can skip."""
-    return rf"(?m:{word}(?<=^{word}))"
+    # Not in a group: only a pattern that starts with a plain word is searched for by skips.
+    return rf"(?m){word}(?<=^{word})"
 
 
 def _up_to(excluded: str, again: str) -> str:
@@ -62,8 +82,8 @@ PYTHON_SIGNS = [
     ),
     _sign(
         "import",
-        pattern=rf"{_line_start('from')}[ \t]++[\w.]++[ \t]++import[ \t]"
-        rf"|(?m){_line_start('import')}[ \t]++[\w.]++[ \t]*+(?:as[ \t]++\w++[ \t]*+)?+$",
+        pattern=rf"(?=[fi])(?:{_line_start('from')}[ \t]++[\w.]++[ \t]++import[ \t]"
+        rf"|{_line_start('import')}[ \t]++[\w.]++[ \t]*+(?:as[ \t]++\w++[ \t]*+)?+$)",
         weight=2,
     ),
     _sign("self", pattern=r"def[ \t]++\w++\(self\b", weight=1),
@@ -81,10 +101,10 @@ RUST_SIGNS = [
     _sign("fn", pattern=rf"fn(?<=\bfn)\s++\w++\s*+(?:{R.ANGLES})?+\s*+{R.PARENS}[^{{}}();]*+\{{", weight=2),
     _sign("use", pattern=r"(?m)^[ \t]*+(?:pub\s++)?+use\s++\w++(?:::|;)", weight=2),
     _sign("impl", pattern=r"(?m)^[ \t]*+(?:unsafe\s++)?+impl\b" + _up_to(r";{}()=", r"[ \t]*+(?:unsafe\s++)?+impl\b") + r"\{", weight=2),
-    _sign("let mut", pattern=r"\blet mut\s++\w", weight=2),
-    _sign(
-        "println", "eprintln", "format", "vec", "assert", "assert_eq", "panic", "write", "writeln", "matches",
-        pattern=r"\b(?:e?println|format|vec|assert|assert_eq|panic|writeln|write|matches)!\s?[(\[{]",
+    _sign("let mut", pattern=r"let mut(?<=\blet mut)\s++\w", weight=2),
+    _leading(
+        "println!", "eprintln!", "format!", "vec!", "assert!", "assert_eq!", "panic!", "write!", "writeln!", "matches!",
+        pattern=r"\s?[(\[{]",
         weight=2,
     ),
     _sign("mod", pattern=r"(?m)^[ \t]*+(?:pub\s++)?+mod\s++\w++\s*+[;{]", weight=2),
@@ -101,7 +121,7 @@ RUST_SIGNS = [
         weight=1,
     ),
     _sign("&", pattern=r"&mut\s|&self\b|&'\w|&str\b", weight=1),
-    _sign("let", pattern=r"\blet\s++\w++(?:\s*+:\s*+[\w<>&]++)?+\s*+=[^=]", weight=1),
+    _sign("let", pattern=r"let(?<=\blet)\s++\w++(?:\s*+:\s*+[\w<>&]++)?+\s*+=[^=]", weight=1),
 ]
 
 GO_SIGNS = [
@@ -118,9 +138,9 @@ GO_SIGNS = [
         weight=2,
     ),
     _sign(":=", pattern=r":=(?<=\w\s{0,4}:=)\s", weight=1),
-    _sign(
-        "fmt", "strings", "errors", "http", "context", "sync",
-        pattern=r"\b(?:fmt|strings|errors|http|context|sync)\.[A-Z]\w",
+    _leading(
+        "fmt.", "strings.", "errors.", "http.", "context.", "sync.",
+        pattern=r"[A-Z]\w",
         weight=1,
     ),
 ]
@@ -132,23 +152,23 @@ JAVA_SIGNS = [
         pattern=rf"{_line_start('import')}\s++(?:static\s++)?+\w++(?:\.\w++)++(?:\.\*)?+;",
         weight=2,
     ),
-    _sign(
+    _leading(
         "public", "protected", "private",
-        pattern=r"\b(?:public|protected|private)\s++(?:(?:static|final|abstract|synchronized)\s++)*+"
+        pattern=r"\s++(?:(?:static|final|abstract|synchronized)\s++)*+"
         r"(?!async\b|get\b|set\b|readonly\b|class\b|function\b|override\b)"
         r"[\w.]++(?:" + R.ANGLES + r")?+(?:\[\])*+\s++\w++\s*+\(",
         weight=2,
     ),
-    _sign(
+    _leading(
         "public", "protected", "private",
-        pattern=r"\b(?:public|private|protected)\s++(?:(?:static|final|abstract)\s++)*+class\s++\w",
+        pattern=r"\s++(?:(?:static|final|abstract)\s++)*+class\s++\w",
         weight=2,
     ),
     _sign("System", pattern=r"System(?<=\bSystem)\.(?:out|err)\.print", weight=2),
     _sign("Override", pattern=r"(?m)^\s*+@Override\b", weight=2),
-    _sign(
+    _leading(
         "void", "int", "boolean", "long", "double", "String",
-        pattern=r"\b(?:void|int|boolean|long|double|String)\s++\w++\s*+\([^(){};]*+\)\s*+[{;]",
+        pattern=r"\s++\w++\s*+\([^(){};]*+\)\s*+[{;]",
         weight=2,
     ),
     _sign(
@@ -166,9 +186,9 @@ SCRIPT_SIGNS = [
         pattern=r"(?m)^[ \t]*+(?:export\s++(?:default\s++)?+)?+(?:async\s++)?+function\b\s*+\*?+\s*+\w*+\s*+(?:<[^>(]*+>)?+\(",
         weight=2,
     ),
-    _sign(
+    _leading(
         "const", "let", "var",
-        pattern=r"\b(?:const|let|var)\s++(?:\w++|\{[^{}]*+\}|\[[^\[\]]*+\])\s*+(?::[^=;{}\n]*+)?+=(?!=)",
+        pattern=r"\s++(?:\w++|\{[^{}]*+\}|\[[^\[\]]*+\])\s*+(?::[^=;{}\n]*+)?+=(?!=)",
         weight=2,
     ),
     _sign("=>", pattern=r"=>(?<=\)\s{0,4}=>)|=\s*+(?:async\s++)?+\w++\s*+=>|\(\w++\s*+=>", weight=1),
@@ -183,8 +203,8 @@ SCRIPT_SIGNS = [
         pattern=rf"{_line_start('import')}\s++(?:[\w{{*](?:(?!\sfrom\s)[^;\"'\n]|\n(?!from\s|import\b))*+\sfrom\s++)?+[\"'][^\"'\n]++[\"']",
         weight=2,
     ),
-    _sign("require", pattern=r"\brequire\([\"']", weight=2),
-    _sign("exports", pattern=r"\bmodule\.exports\b", weight=2),
+    _sign("require", pattern=r"require(?<=\brequire)\([\"']", weight=2),
+    _sign("exports", pattern=r"module(?<=\bmodule)\.exports\b", weight=2),
     _sign("===", pattern=r"===(?<=[^=!]===)[^=]", weight=1),
     _sign(
         "class",
@@ -220,9 +240,9 @@ TYPED_SIGNS = [
         pattern=rf"(?m)^\s++(?:(?:private|public|protected|readonly|static)\s++)*+\w++[?!]?+:\s*+(?:{'|'.join(_TYPES)})(?:\[\])*+;",
         weight=2,
     ),
-    _sign(
+    _leading(
         "const", "let", "var",
-        pattern=r"\b(?:const|let|var)\s++\w++\s*+:\s*+\w[\w.<>\[\], |]*+=[^=]",
+        pattern=r"\s++\w++\s*+:\s*+\w[\w.<>\[\], |]*+=[^=]",
         weight=2,
     ),
     _sign(
@@ -230,9 +250,9 @@ TYPED_SIGNS = [
         pattern=r"(?m)^\s*+(?:export\s++)?+type\s++\w++(?:<[^>=]*+>)?+\s*+=\s*+[{(|\"'\[]",
         weight=2,
     ),
-    _sign(
+    _leading(
         "private", "public", "protected", "readonly",
-        pattern=r"\b(?:private|public|protected|readonly)\s++(?:(?:static|readonly|async)\s++)*+\w++\??\s*+:\s*+\w",
+        pattern=r"\s++(?:(?:static|readonly|async)\s++)*+\w++\??\s*+:\s*+\w",
         weight=1,
     ),
     _sign(
@@ -271,9 +291,12 @@ FOREIGN_SIGNS = [
 
 def _found(text: str, sign: Sign) -> str:
     # A raw literal keeps the backslashes; a quote in it is written as its code.
-    pattern = sign.pattern.replace("'", r"\x27")
-    marks = " OR ".join(f"contains({text}, '{m}')" for m in sign.marks)
-    return f"(({marks}) AND rlike({text}, r'{pattern}'))"
+    found = []
+    for words, pattern in sign.ways():
+        quoted = pattern.replace("'", r"\x27")
+        marks = " OR ".join(f"contains({text}, '{m}')" for m in words)
+        found.append(f"(({marks}) AND rlike({text}, r'{quoted}'))")
+    return f"({' OR '.join(found)})"
 
 
 _SETS = {
