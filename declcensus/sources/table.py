@@ -29,16 +29,19 @@ def source_files(
 
 
 def spread(table: DataFrame) -> DataFrame:
-    """Use all cores on a table of few splits.
+    """Use all cores on a table that was read from files.
 
-    Counting costs far more than scanning, so a small table that comes in fewer
-    splits than there are cores is spread first.  A table of many splits, as every
-    large one is, is passed on as it is, without a shuffle.
+    Counting costs far more than scanning, and the number of splits says little: Parquet is
+    read by row groups, and a split without the start of one has no rows.  So the rows of each
+    split are counted, which reads no column.  A table of which no split has more than half
+    of a core's share is passed on as it is, without a shuffle; any other is dealt out first.
     """
     cores = table.sparkSession.sparkContext.defaultParallelism
-    if table.rdd.getNumPartitions() >= cores:
+    per_split = table.groupBy(F.spark_partition_id().alias("split")).count()
+    rows, fullest = per_split.agg(F.sum("count"), F.max("count")).first()
+    if not rows or 2 * cores * fullest <= rows:
         return table
-    return table.repartition(cores)
+    return table.repartition(max(2 * cores, table.rdd.getNumPartitions()))
 
 
 def single_file(files: DataFrame, path: str) -> DataFrame:
