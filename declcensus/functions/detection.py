@@ -4,7 +4,9 @@ A label needs weight and variety, so that prose, a stray snippet or a very short
 file gives none and the extension decides.
 
 A sign is tried only where the text contains one of its marks.  Every match of its
-pattern contains one, so that saves time and changes no result, at any size.
+pattern contains one, so that saves time and changes no result, at any size.  The marks
+of a batch of texts are looked for at once, and they bound the score of each label: one that
+cannot be the best is not scored.
 """
 
 from __future__ import annotations
@@ -12,8 +14,11 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from declcensus.functions import regex as R
 
@@ -284,21 +289,6 @@ FOREIGN_SIGNS = [
 ]
 
 
-# The expressions below are long sums of small terms; written as SQL text they are
-# parsed in one go, where building them call by call takes seconds.  ``text`` is a SQL
-# expression.
-
-
-def _found(text: str, sign: Sign) -> str:
-    # A raw literal keeps the backslashes; a quote in it is written as its code.
-    found = []
-    for words, pattern in sign.ways():
-        quoted = pattern.replace("'", r"\x27")
-        marks = " OR ".join(f"contains({text}, '{m}')" for m in words)
-        found.append(f"(({marks}) AND rlike({text}, r'{quoted}'))")
-    return f"({' OR '.join(found)})"
-
-
 _SETS = {
     "go": GO_SIGNS,
     "java": JAVA_SIGNS,
@@ -309,11 +299,52 @@ _SETS = {
 }
 LABELS = tuple(_SETS)
 
+_PLACES = {m: k for k, m in enumerate(sorted({m for own in (*_SETS.values(), FOREIGN_SIGNS) for s in own for m in s.marks}))}
+_MARKS = [m.encode().replace(rb"\u0000", b"\x00") for m in _PLACES]
+
+
+def _bounds(found: np.ndarray) -> np.ndarray:
+    """For each text what the score of each label is at most: that of all signs of which it has a mark."""
+    tops = {
+        x: sum(found[:, [_PLACES[m] for m in s.marks]].any(axis=1) * (s.weight * 100 + s.signs) for s in signs)
+        for x, signs in _SETS.items()
+    }
+    tops["typescript"] = np.where(tops["typescript"] >= MIN_WEIGHT * 100, tops["typescript"] + tops["javascript"], 0)
+    return np.stack([tops[x] for x in LABELS], axis=1)
 
-def score(text: str, label: str) -> Column:
+
+@F.arrow_udf(T.StructType().add("marks", T.ArrayType(T.BooleanType())).add("tops", T.ArrayType(T.IntegerType())))
+def clues(content: pa.Array) -> pa.Array:
+    """Which marks a text has, told from its bytes, and a bound for the score of each label."""
+    texts = [x.as_py() or b"" for x in content]
+    found = np.array([[m in t for m in _MARKS] for t in texts], bool).reshape(len(texts), len(_MARKS))
+    tops = _bounds(found).astype(np.int32)
+    columns = [
+        pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
+        for x in (found, tops)
+    ]
+    return pa.StructArray.from_arrays(columns, names=["marks", "tops"])
+
+
+# The expressions below are long sums of small terms; written as SQL text they are
+# parsed in one go, where building them call by call takes seconds.  ``text`` is a SQL
+# expression, and so is ``marks``, the marks that the text has.
+
+
+def _found(text: str, sign: Sign, marks: str | None = None) -> str:
+    # A raw literal keeps the backslashes; a quote in it is written as its code.
+    found = []
+    for words, pattern in sign.ways():
+        quoted = pattern.replace("'", r"\x27")
+        there = " OR ".join(f"get({marks}, {_PLACES[m]})" if marks else f"contains({text}, '{m}')" for m in words)
+        found.append(f"(({there}) AND rlike({text}, r'{quoted}'))")
+    return f"({' OR '.join(found)})"
+
+
+def _score(text: str, marks: str, label: str) -> str:
     """Weight and number of the signs of one label found, as one number: weight * 100 + signs."""
-    return F.expr(
-        " + ".join(f"CASE WHEN {_found(text, s)} THEN {s.weight * 100 + s.signs} ELSE 0 END" for s in _SETS[label])
+    return " + ".join(
+        f"CASE WHEN {_found(text, s, marks)} THEN {s.weight * 100 + s.signs} ELSE 0 END" for s in _SETS[label]
     )
 
 
@@ -321,19 +352,34 @@ def enough(value: Column) -> Column:
     return (value >= MIN_WEIGHT * 100) & (value % 100 >= MIN_SIGNS)
 
 
-def _foreign(text: str) -> Column:
-    return F.expr(" OR ".join(_found(text, sign) for sign in FOREIGN_SIGNS))
+def _foreign(text: str, marks: str) -> Column:
+    return F.expr(" OR ".join(_found(text, sign, marks) for sign in FOREIGN_SIGNS))
 
 
-def _typed(script: Column, typed: Column) -> Column:
-    """TypeScript takes the script signs too, once its own have weight enough."""
-    return F.when(typed >= MIN_WEIGHT * 100, typed + script).otherwise(F.lit(0))
+def _best(text: str, marks: str, tops: str) -> Column:
+    """The best ``(score, label)``.  Labels are tried from the highest bound on, and one is scored
+    only if its bound reaches the best score so far and has weight enough: else it could
+    neither be the best nor be taken for a label.
+    """
+    totals = {x: f"({_score(text, marks, x)})" for x in LABELS}
+    # TypeScript takes the script signs too, once its own have weight enough.
+    totals["typescript"] = (
+        f"get(transform(array({totals['typescript']}), t -> "
+        f"CASE WHEN t >= {MIN_WEIGHT * 100} THEN t + {totals['javascript']} ELSE 0 END), 0)"
+    )
+    scores = " ".join(f"WHEN '{x}' THEN {totals[x]}" for x in LABELS)
+    ranked = ", ".join(f"struct(get({tops}, {k}) AS top, '{x}' AS label)" for k, x in enumerate(LABELS))
+    return F.expr(
+        f"aggregate(reverse(array_sort(array({ranked}))), struct(0 AS score, '' AS label), (best, x) -> "
+        f"CASE WHEN x.top >= greatest({MIN_WEIGHT * 100}, best.score) "
+        f"THEN greatest(best, struct(CASE x.label {scores} END AS score, x.label AS label)) ELSE best END)"
+    )
 
 
-def best_label(text: str, scores: dict[str, Column]) -> Column:
-    """Label with the best score, NULL where the evidence is thin or foreign."""
-    totals = scores | {"typescript": _typed(scores["javascript"], scores["typescript"])}
-    best = F.greatest(
-        *(F.struct(totals[x].alias("score"), F.lit(x).alias("label")) for x in LABELS)
-    )
-    return F.when(enough(best["score"]) & ~_foreign(text), best["label"])
+def with_label(df: DataFrame, content: str, name: str) -> DataFrame:
+    """Add the label with the best score, NULL where the evidence is thin or foreign."""
+    text = f"CAST({content} AS STRING)"
+    found = df.withColumn("_clues", clues(F.col(content).cast("binary")))
+    scored = found.withColumn("_best", _best(text, "_clues.marks", "_clues.tops"))
+    label = F.when(enough(F.col("_best.score")) & ~_foreign(text, "_clues.marks"), F.col("_best.label"))
+    return scored.withColumn(name, label).drop("_clues", "_best")

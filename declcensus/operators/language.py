@@ -26,17 +26,10 @@ def with_extension_language(files: DataFrame) -> DataFrame:
     return files.withColumn("extension_language", paths.language_of_extension(extension))
 
 
-_TEXT = "CAST(content AS STRING)"
-
-
-_SCORES = tuple(f"_score_{x}" for x in detection.LABELS)
-
-
 def with_content_language(files: DataFrame) -> DataFrame:
     """Add ``content_language``; NULL where the content gives no supported label."""
-    scored = files.select("*", *(detection.score(_TEXT, x).alias(f"_score_{x}") for x in detection.LABELS))
-    best = detection.best_label(_TEXT, {x: F.col(f"_score_{x}") for x in detection.LABELS})
-    return scored.withColumn("content_language", paths.language_of_label(best)).drop(*_SCORES)
+    labelled = detection.with_label(files, "content", "_label")
+    return labelled.withColumn("content_language", paths.language_of_label(F.col("_label"))).drop("_label")
 
 
 def with_language(files: DataFrame) -> DataFrame:
