@@ -54,6 +54,11 @@ def _word_characters() -> np.ndarray:
     return np.fromiter((chr(c).isalnum() or c == 95 for c in range(0x110000)), bool, 0x110000)
 
 
+@cache
+def _character_hashes() -> np.ndarray:
+    return mix(np.arange(1, 0x110001, dtype=np.uint64))
+
+
 _STEP, _STRIDE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _powers: dict[int, np.ndarray] = {}
 
@@ -70,8 +75,9 @@ def powers(base: int, count: int) -> np.ndarray:
 
 def spans_hashed(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
     """A hash of ``values[start:end]`` for each span: a polynomial taken from running sums."""
-    sums = np.cumsum(values * powers(base, len(values)), dtype=np.uint64)
-    sums = np.concatenate((np.zeros(1, np.uint64), sums))
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.multiply(values, powers(base, len(values)), out=sums[1:])
+    np.cumsum(sums, out=sums)
     back = powers(pow(base, -1, 1 << 64), len(values) + 1)
     return mix((sums[ends] - sums[starts]) * back[starts] ^ (ends - starts).astype(np.uint64))
 
@@ -91,11 +97,13 @@ class Tokens:
         before = np.concatenate(([False], inside[:-1]))
         starts, ends = np.flatnonzero(inside & ~before), np.flatnonzero(before & ~inside)
         self.starts, self.ends = starts, ends
-        values = mix(codes.astype(np.uint64) + np.uint64(1))
-        self.keys = spans_hashed(values, starts, ends, _STEP)
-        self.owner = np.searchsorted(np.cumsum([len(t) for t in lowered]), starts, "right")
-        line = np.cumsum(codes == 10)[starts]
-        self.fresh = np.diff(line, prepend=-1) > 0
+        self.keys = spans_hashed(_character_hashes()[codes], starts, ends, _STEP)
+        bounds = np.searchsorted(starts, np.cumsum([len(t) for t in lowered]))
+        self.owner = np.repeat(np.arange(len(lowered)), np.diff(bounds, prepend=0))
+        lines = np.searchsorted(starts, np.flatnonzero(codes == 10))
+        self.fresh = np.zeros(len(starts), bool)
+        self.fresh[lines[lines < len(starts)]] = True
+        self.fresh[:1] = True
 
 
 def digests(keys: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -114,6 +122,25 @@ def mix(values: np.ndarray) -> np.ndarray:
     return x
 
 
+def winnowed(values: np.ndarray, window: int, within: np.ndarray) -> np.ndarray:
+    """The place of the first smallest value of each window that is ``within``, each place once.
+
+    Smallest values are taken by doubling; places are looked for only where the smallest
+    value changes or is the one that the window has just left.
+    """
+    least, width = values, 1
+    while 2 * width <= window:
+        least, width = np.minimum(least[:-width], least[width:]), 2 * width
+    rest = window - width
+    if rest:
+        least = np.minimum(least[:-rest], least[rest:])
+    fresh = within.copy()
+    fresh[1:] &= ~within[:-1] | (least[1:] != least[:-1]) | (values[: len(least) - 1] == least[:-1])
+    starts = np.flatnonzero(fresh)
+    windows = np.lib.stride_tricks.sliding_window_view(values, window)
+    return np.unique(starts + windows[starts].argmin(axis=1))
+
+
 def shingles(words: np.ndarray, size: int) -> np.ndarray:
     """Hashes of all runs of ``size`` words; a shorter text is one run, an empty one has none."""
     if len(words) == 0:

@@ -56,6 +56,7 @@ SPAN = 51
 _WORD = re.compile(r"\w+")
 _BLOCK = 1 << 20
 _FEW = 4
+_SAMPLED, _MANY, _PIECES = 1 / 32, 4096, 256
 
 
 def bands(threshold: float = THRESHOLD, recall: float = RECALL) -> int:
@@ -78,9 +79,7 @@ class Paragraphs:
         count = len(self.keys)
         if count > WINDOW:
             pairs = B.mix(self.keys[:-1] * np.uint64(0x9E3779B97F4A7C15) + self.keys[1:])
-            windows = np.lib.stride_tricks.sliding_window_view(pairs, WINDOW)
-            within = owner[: len(windows)] == owner[WINDOW:]
-            cut[(np.arange(len(windows)) + windows.argmin(axis=1) + 1)[within]] = True
+            cut[B.winnowed(pairs, WINDOW, owner[:-WINDOW] == owner[WINDOW:]) + 1] = True
         pieces = np.flatnonzero(cut)
         whole = np.diff(np.searchsorted(pieces, lines), append=len(pieces)) > 1  # an uncut line is a piece
         runs = self._runs(owner)
@@ -101,9 +100,8 @@ class Paragraphs:
         if len(self.keys) < SPAN:
             return np.zeros(0, np.int64)
         at = np.arange(len(self.keys) - PASSAGE + 1)
-        windows = np.lib.stride_tricks.sliding_window_view(B.digests(self.keys, at, at + PASSAGE), SPAN - PASSAGE + 1)
-        within = owner[: len(windows)] == owner[SPAN - 1 :]
-        return np.unique((at[: len(windows)] + windows.argmin(axis=1))[within])
+        runs = B.digests(self.keys, at, at + PASSAGE)
+        return B.winnowed(runs, SPAN - PASSAGE + 1, owner[: len(owner) - SPAN + 1] == owner[SPAN - 1 :])
 
     def shingles(self, k: int) -> np.ndarray:
         if self.exact[k]:
@@ -114,10 +112,14 @@ class Paragraphs:
         """The paragraph in lower case, with what stands between its words."""
         return self.tokens.lowered[self.tokens.starts[self.at[k]] : self.tokens.ends[self.at[k] + self.words[k] - 1]]
 
-    def minima(self, seeds: np.ndarray) -> np.ndarray:
-        """For each seed the smallest hash among the shingles of each paragraph."""
+    def minima(self, seeds: np.ndarray, chosen: np.ndarray | None = None) -> np.ndarray:
+        """For each seed the smallest hash among the shingles of each paragraph, or of the chosen ones."""
+        chosen = np.arange(len(self.at)) if chosen is None else chosen
+        if len(chosen) == 0:
+            return np.zeros((len(seeds), 0), np.uint64)
         shingles = B.shingles(self.keys, WORDS)
-        spans = np.stack((self.at, self.at + self.words - WORDS + 1), axis=1).ravel()
+        at = self.at[chosen]
+        spans = np.stack((at, at + self.words[chosen] - WORDS + 1), axis=1).ravel()
         shingles = np.concatenate((shingles, shingles[-1:]))  # so that every end is a place
         return np.stack([B.mix(np.minimum.reduceat(B.mix(shingles ^ s), spans)[::2] ^ s) for s in seeds])
 
@@ -128,9 +130,9 @@ def _banded(it: Iterator[pa.RecordBatch], count: int) -> Iterator[pa.RecordBatch
     for batch in B.slices(it, "text"):
         found = Paragraphs(batch.column(0).to_pylist())
         if len(found.at):
-            distinct, at = np.unique(found.digests, return_index=True)
+            at = np.sort(np.unique(found.digests, return_index=True)[1])
             at = at[~found.exact[at]]
-            bands = np.concatenate([m[at] for m in found.minima(seeds)]).view(np.int64)
+            bands = found.minima(seeds, at).ravel().view(np.int64)
             digests, words = (np.tile(c[at], count) for c in (found.digests.view(np.int64), found.words.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([pa.array(bands), pa.array(digests), pa.array(words)], names=["band", "digest", "words"])
 
@@ -148,7 +150,9 @@ def _taken(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The wanted paragraphs of each text, once for each group they are wanted in."""
     for batch in B.slices(it, "text"):
         found = Paragraphs(batch.column(0).to_pylist())
-        at = dict(zip(zip(found.owner.tolist(), found.digests.view(np.int64).tolist(), strict=True), range(len(found.at)), strict=True))
+        own = found.digests.view(np.int64)
+        some = np.flatnonzero(np.isin(own, batch.column(1).flatten().field("digest").to_numpy()))
+        at = dict(zip(zip(found.owner[some].tolist(), own[some].tolist(), strict=True), some.tolist(), strict=True))
         groups, bands, digests, values = [], [], [], []
         for n, wanted in enumerate(batch.column(1).to_pylist()):
             for w in wanted:
@@ -164,25 +168,22 @@ def _taken(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _neighbours(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _neighbours(it: Iterator[pa.RecordBatch], hot: np.ndarray) -> Iterator[pa.RecordBatch]:
     """``(a, digest, words, band, edge)`` of rows sorted by band that share it with another digest.
 
-    ``a`` is the first digest of the band in this partition.  The first and the last band
-    of a partition may go on in another; their rows are marked.
+    ``a`` is the first digest of the band in this partition.  The ``hot`` bands may go on in
+    another; their rows are marked.
     """
     names = ["a", "digest", "words", "band", "edge"]
     held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)]
-    edge_band: int | None = None
 
-    def out(rows: list[np.ndarray], last: bool) -> pa.RecordBatch:
+    def out(rows: list[np.ndarray]) -> pa.RecordBatch:
         band, digest = rows[:2]
         once = np.concatenate(([True], (band[1:] != band[:-1]) | (digest[1:] != digest[:-1]))) if len(band) else np.zeros(0, bool)
         band, digest, words = (c[once] for c in rows)
         starts = np.flatnonzero(np.concatenate(([True], band[1:] != band[:-1]))) if len(band) else np.zeros(0, np.int64)
         sizes = np.diff(starts, append=len(band))
-        edge = band == edge_band
-        if last and len(band):
-            edge |= band == band[-1]
+        edge = np.repeat(np.isin(band[starts], hot), sizes)
         keep = (np.repeat(sizes, sizes) > 1) | edge
         leader = np.repeat(digest[starts], sizes)
         return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (leader, digest, words, band, edge)], names=names)
@@ -192,22 +193,31 @@ def _neighbours(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         band = held[0]
         if len(band) == 0:
             continue
-        edge_band = int(band[0]) if edge_band is None else edge_band
         whole = int(np.flatnonzero(band != band[-1])[-1]) + 1 if band[0] != band[-1] else 0
         if whole:
-            yield out([h[:whole] for h in held], False)
+            yield out([h[:whole] for h in held])
             held = [h[whole:] for h in held]
-    yield out(held, True)
+    yield out(held)
 
 
-def _colliding(banded: DataFrame) -> DataFrame:
+def _hot(banded: DataFrame) -> list[int]:
+    """The bands with more than a fixed share of the rows of a sample, so of a bounded number."""
+    counts = materialize(banded.groupBy("band").count())
+    least = counts.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0] / _MANY
+    return [r.band for r in counts.filter(F.col("count") > max(least, 4)).select("band").collect()]
+
+
+def _colliding(banded: DataFrame, sampled: DataFrame | None = None) -> DataFrame:
     """``(a, digest, words)`` of the paragraphs that share a band; ``a`` names the group.
 
-    Bands are sorted over ranges, so a band that very many share is spread over several;
-    its pieces get one name from a table with two bands a range at most.
+    A band that very many of the ``sampled`` rows (all, if not given) share is cut into pieces by its digests, which
+    get one name from a table of these bands.  The sample decides where rows go, never what is found.
     """
-    ordered = banded.repartitionByRange("band", "digest").sortWithinPartitions("band", "digest")
-    found = materialize(ordered.mapInArrow(_neighbours, "a long, digest long, words int, band long, edge boolean"))
+    hot = _hot(banded if sampled is None else sampled)
+    piece = F.when(F.col("band").isin(hot), F.pmod("digest", F.lit(_PIECES))).otherwise(F.lit(0)) if hot else F.lit(0)
+    ordered = banded.repartition("band", piece).sortWithinPartitions("band", "digest")
+    marked = np.array(hot, np.int64)
+    found = materialize(ordered.mapInArrow(lambda it: _neighbours(it, marked), "a long, digest long, words int, band long, edge boolean"))
     edges = found.filter("edge").groupBy("band").agg(F.min("digest").alias("one"), F.max("digest").alias("other")).filter("one < other")
     named = found.filter("edge").join(edges, "band").select(F.col("one").alias("a"), "digest", "words")
     return found.filter("NOT edge").select("a", "digest", "words").unionByName(named).distinct()
@@ -229,32 +239,78 @@ def _of_one_size(colliding: DataFrame, threshold: float) -> DataFrame:
 
 def _pairs(key: tuple, held: list, threshold: float) -> list[tuple[int, int]]:
     """What ``links_between`` finds, for a few paragraphs, which need no index."""
-    found, group = [], list(range(len(held)))
-    for y in range(len(held)):
-        for x in range(y):
-            apart = key[1] == key[2] or held[x][2] != held[y][2]
-            if group[x] != group[y] and apart and aligned(held[x][3], held[y][3], threshold):
-                found.append((held[x][0], held[y][0]))
-                group = [group[y] if g == group[x] else g for g in group]
+    return _all_pairs([(key, held)], threshold)
+
+
+def _all_pairs(blocks: list[tuple[tuple, list]], threshold: float) -> list[tuple[int, int]]:
+    """The links of many groups of a few paragraphs, compared all at once."""
+    sides = [
+        (held[x], held[y], n, x, y) for n, (key, held) in enumerate(blocks) for y in range(len(held)) for x in range(y)
+        if key[1] == key[2] or held[x][2] != held[y][2]
+    ]
+    able = _all_aligned([s[0][3] for s in sides], [s[1][3] for s in sides], threshold)
+    found, groups = [], {}
+    for k in np.flatnonzero(able):
+        one, other, n, x, y = sides[k]
+        group = groups.setdefault(n, list(range(_FEW)))
+        if group[x] != group[y]:
+            found.append((one[0], other[0]))
+            groups[n] = [group[y] if g == group[x] else g for g in group]
     return found
 
 
+def _all_aligned(ones: list[np.ndarray], others: list[np.ndarray], threshold: float) -> np.ndarray:
+    """For each pair of sequences whether ``aligned`` finds it similar enough."""
+    sizes = np.array([[len(v) for v in side] for side in (ones, others)]).reshape(2, -1)
+    both = sizes.sum(axis=0)
+    needed = threshold * both / (1 + threshold)
+    able = sizes.min(axis=0, initial=np.iinfo(np.int64).max) >= needed
+    chosen = np.flatnonzero(able)
+    if len(chosen) == 0:
+        return able
+    own = np.repeat(np.tile(np.arange(len(chosen)), 2), sizes[:, chosen].ravel())
+    values = np.concatenate([side[k] for side in (ones, others) for k in chosen])
+    lengths = sizes[:, chosen].ravel()
+    place = np.arange(len(values)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    order = np.lexsort((values, own))  # stable: of two equal values the first sequence's comes first
+    shared = np.flatnonzero((values[order[1:]] == values[order[:-1]]) & (own[order[1:]] == own[order[:-1]]))
+    i, j, pair = place[order[shared]], place[order[shared + 1]], own[order[shared]]
+    near = np.abs(i - j) <= (both - 2 * needed)[chosen][pair]
+    i, j, pair = i[near], j[near], pair[near]
+    counts = np.bincount(pair, minlength=len(chosen))
+    enough = counts >= needed[chosen]
+    order = np.lexsort((i, pair))
+    j, pair = j[order], pair[order]
+    turns = (j[1:] <= j[:-1]) & (pair[1:] == pair[:-1])
+    for k in np.unique(pair[1:][turns]).tolist():  # not all in order
+        if enough[k]:
+            enough[k] = bool(aligned(ones[chosen[k]], others[chosen[k]], threshold))
+    able[chosen] = enough
+    return able
+
+
 def _compared(it: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    key, held = None, {}
+    key, held, few = None, {}, []
 
-    def out() -> pa.RecordBatch:
-        few = len(held) <= _FEW
-        found = (_pairs if few else links_between)(key, list(held.values()), threshold) if held else []
+    def out(found: list[tuple[int, int]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     for batch in B.slices(it):
         names = zip(*(c.to_pylist() for c in batch.columns[:6]), strict=True)
         for (a, size, i, j, own, digest), shingles in zip(names, _shingles(batch.column(6).to_pylist()), strict=True):
             if ((a, size), i, j) != key:
-                yield out()
+                if len(held) > _FEW:
+                    yield out(links_between(key, list(held.values()), threshold))
+                elif len(held) > 1:
+                    few.append((key, list(held.values())))
                 key, held = ((a, size), i, j), {}
             held[digest] = digest, digest, own, shingles
-    yield out()
+        yield out(_all_pairs(few, threshold))
+        few = []
+    if len(held) > _FEW:
+        yield out(links_between(key, list(held.values()), threshold))
+    elif len(held) > 1:
+        yield out(_pairs(key, list(held.values()), threshold))
 
 
 def _shingles(paragraphs: list[str]) -> list[np.ndarray]:
@@ -292,7 +348,8 @@ def repeats(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: f
     # Bands before anything wide: what is alone in its bands, or of a size of its own, is not looked at again.
     # Tables of their own, so that the joins have an exchange on either side and a hot key can be split.
     banded = texts.select("text").mapInArrow(lambda it: _banded(it, count), "band long, digest long, words int")
-    near = materialize(_of_one_size(materialize(_colliding(banded)), threshold))
+    some = texts.select("text").sample(_SAMPLED, seed=1).mapInArrow(lambda it: _banded(it, count), "band long, digest long, words int")
+    near = materialize(_of_one_size(materialize(_colliding(banded, some)), threshold))
     release(spark)
     first = everywhere.filter("NOT exact").join(near.select("digest").distinct(), "digest", "left_semi").groupBy("digest").agg(F.min("id").alias("id"))
     links = materialize(_links(near.join(materialize(first), "digest"), texts, threshold))

@@ -178,3 +178,49 @@ def test_few_paragraphs_are_linked_as_many_are():
                     root = [root[b] if r == root[a] else r for r in root]
                 groups.append([[root[x] == root[y] for x in range(len(held))] for y in range(len(held))])
             assert groups[0] == groups[1]
+
+
+def test_bands_are_made_once_and_a_hot_one_is_spread(spark):
+    from pyspark.sql import functions as F
+
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(it):
+        for batch in it:
+            made.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(3000).select((F.when(F.col("id") % 3 < 2, 7).otherwise(F.col("id"))).alias("band"), F.col("id").alias("digest"), F.lit(9).alias("words"))
+    expected = {(0, k) for k in range(3000) if k % 3 < 2}
+    for sampled in (rows.sample(0.2, seed=1), rows.limit(0)):  # the second knows of no hot band
+        made.value = 0
+        got = P._colliding(rows.mapInArrow(counted, rows.schema), sampled).collect()
+        assert {(r["a"], r["digest"]) for r in got} == expected and made.value == 3000
+    assert P._hot(rows.sample(0.2, seed=1)) == [7] and P._hot(rows.limit(0)) == []
+
+
+def test_winnowed_places_are_those_of_all_windows():
+    rng = np.random.default_rng(2)
+    for n, window, most in ((40, 24, 1 << 60), (300, 24, 3), (500, 32, 9), (500, 32, 1 << 60), (60, 5, 1), (7, 7, 2)):
+        values = rng.integers(0, most, n).astype(np.uint64)
+        windows = np.lib.stride_tricks.sliding_window_view(values, window)
+        within = rng.random(len(windows)) < 0.8
+        expected = np.unique((np.arange(len(windows)) + windows.argmin(axis=1))[within])
+        assert P.B.winnowed(values, window, within).tolist() == expected.tolist()
+
+
+def test_groups_of_few_paragraphs_are_compared_together_as_apart():
+    rng = np.random.default_rng(6)
+    blocks = []
+    for n in range(150):
+        base = P.B.labelled(rng.integers(0, 1 << 60, 30).astype(np.uint64))
+        held = []
+        for k in range(rng.integers(1, P._FEW + 1)):
+            own = np.roll(base, rng.integers(0, 30) if rng.random() < 0.2 else 0)
+            own[rng.integers(0, 30, rng.integers(0, 6))] += np.uint64(k + 1)
+            held.append((10 * n + k, k, int(rng.integers(0, 2)), own[: rng.integers(20, 31)]))
+        blocks.append(((n, 0, int(rng.integers(0, 2))), held))
+    able = [(x, y) for _, held in blocks for y in held for x in held if x[0] < y[0]]
+    got = P._all_aligned([x[3] for x, _ in able], [y[3] for _, y in able], P.THRESHOLD)
+    assert got.tolist() == [bool(P.aligned(x[3], y[3], P.THRESHOLD)) for x, y in able] and 0 < got.sum() < len(got)
+    assert P._all_pairs(blocks, P.THRESHOLD) == [link for key, held in blocks for link in P._pairs(key, held, P.THRESHOLD)]
