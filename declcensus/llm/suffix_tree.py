@@ -52,6 +52,7 @@ LEAST = 5
 DISCOUNT = 0.5
 END = b""
 _HELD = 200_000
+_ROUNDS = 4  # a power of two
 FILTER_BITS = 27
 
 
@@ -108,10 +109,11 @@ class Table:
         self.seen[self.keys >> self.bits] = True
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions in ``keys`` that the table has, and their places in the table."""
+        """Positions in ``keys`` that the table has, by key, and their places in the table."""
         at = np.flatnonzero(self.seen[keys >> self.bits])
         if len(self.keys) == 0:
             return at[:0], at[:0]
+        at = at[np.argsort(keys[at])]  # searched in order, neighbours are found in the same memory
         place = np.minimum(np.searchsorted(self.keys, keys[at]), len(self.keys) - 1)
         hit = self.keys[place] == keys[at]
         return at[hit], place[hit]
@@ -393,15 +395,21 @@ def _scored(it: Iterator[pa.RecordBatch], tree: SuffixTree, order: int) -> Itera
         for k in np.flatnonzero(~listed[lasts]).tolist():
             rare[k][END] += 1
         own = np.add.reduceat(base, starts)
+        owned, wanted = map(np.concatenate, zip(*wanted, strict=True))
+        rounds = [wanted & np.uint64(_ROUNDS - 1) == r for r in range(_ROUNDS)]
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(counts - 1), pa.array(np.add.reduceat(listed_count, starts)),
              pa.array(own), pa.array(own + np.add.reduceat(steps, starts)),
              pa.array([list(r) for r in rare], pa.list_(pa.binary())), pa.array([list(r.values()) for r in rare], pa.list_(pa.int64())),
-             *_listed(*map(np.concatenate, zip(*wanted, strict=True)), len(counts))],
-            names=["row", "n_tokens", "n_known", "base_score", "score", "words", "counts", "keys", "times"],
+             *[column for some in rounds for column in _listed(owned[some], wanted[some], len(counts))]],
+            names=["row", "n_tokens", "n_known", "base_score", "score", "words", "counts", *_listed_names()],
         )
 
 
+def _listed_names() -> list[str]:
+    return [f"{name}{r}" for r in range(_ROUNDS) for name in ("keys", "times")]
+
+
 def _listed(owner: np.ndarray, keys: np.ndarray, rows: int) -> tuple[pa.ListArray, pa.ListArray]:
     """For each row its distinct keys, and how often it has them."""
     order = np.lexsort((keys, owner))
@@ -423,7 +431,8 @@ def score(df: DataFrame, tree: SuffixTree, words: DataFrame, text: str = "text",
     )
     shape = (
         f"row {numbered.schema['row'].dataType.simpleString()}, n_tokens long, n_known long, base_score double, "
-        "score double, words array<binary>, counts array<long>, keys array<long>, times array<int>"
+        "score double, words array<binary>, counts array<long>, "
+        + ", ".join(f"{name} array<{'long' if name.startswith('keys') else 'int'}>" for name in _listed_names())
     )
     own = stored(numbered.mapInArrow(lambda it: _scored(it, shared.value, order), shape))
     release(spark)
@@ -434,13 +443,23 @@ def score(df: DataFrame, tree: SuffixTree, words: DataFrame, text: str = "text",
     of_words = rare.join(words.drop("key"), "word", "left").groupBy("_row").agg(
         F.sum(F.when(count > 0, F.col("times")).otherwise(0)).alias("known"), F.sum(log).alias("log"), F.lit(0.0).alias("step")
     )
-    sequences = own.select(row, F.explode(F.arrays_zip("keys", "times")).alias("w")).select("_row", F.col("w.keys").alias("key"), F.col("w.times").alias("times"))
-    of_sequences = sequences.join(tree.values, "key").groupBy("_row").agg(
-        F.lit(0).cast("long").alias("known"), F.lit(0.0).alias("log"), F.sum(F.col("times") * F.col("value")).alias("step")
-    )
-    added = materialize(of_words.unionByName(of_sequences)).groupBy("_row").agg(*[F.sum(c).alias(c) for c in ("known", "log", "step")])
+    # The sequences of all texts are the widest join: it goes by parts of the keys, each a table of
+    # one row per text, so that only one part's rows lie on the disks at once.
+    added = [materialize(of_words)]
+    release(spark)
+    for r in range(_ROUNDS):
+        sequences = own.select(row, F.explode(F.arrays_zip(f"keys{r}", f"times{r}")).alias("w")).select(
+            "_row", F.col(f"w.keys{r}").alias("key"), F.col(f"w.times{r}").alias("times")
+        )
+        values = tree.values.filter(F.col("key").bitwiseAND(F.lit(_ROUNDS - 1)) == r)
+        of_sequences = sequences.join(values, "key").groupBy("_row").agg(
+            F.lit(0).cast("long").alias("known"), F.lit(0.0).alias("log"), F.sum(F.col("times") * F.col("value")).alias("step")
+        )
+        added.append(materialize(of_sequences))
+        release(spark)
+    added = reduce(DataFrame.unionByName, added).groupBy("_row").agg(*[F.sum(c).alias(c) for c in ("known", "log", "step")])
     known, log, step = F.coalesce("known", F.lit(0)), F.coalesce("log", F.lit(0.0)), F.coalesce("step", F.lit(0.0))
-    return own.drop("words", "counts", "keys", "times").withColumn("_row", F.col("row._row")).join(added, "_row", "left").select(
+    return own.drop("words", "counts", *_listed_names()).withColumn("_row", F.col("row._row")).join(added, "_row", "left").select(
         *[F.col(f"row.c{k}").alias(c) for k, c in enumerate(carried)],
         "n_tokens",
         (F.col("n_known") + known).alias("n_known"),

@@ -163,3 +163,34 @@ def test_random_prose_is_not_made_worse(spark):
     tree, words = S.fit(rows.filter("doc_id % 3 > 0"))
     row = S.score(rows.filter("doc_id % 3 = 0"), tree, words).agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
     assert row["s"] > 1.02 * row["b"]
+
+
+def test_sequences_to_join_are_dealt_to_rounds_by_key():
+    texts = ["a b a b a c", "", None, "a b", "x " * 50]
+    _, keys, counts, _ = S._stream(texts)
+    levels = list(S._levels(keys, counts, 4))
+    others = S.Filter(6)
+    others.words[:] = np.uint64(2**64 - 1)
+    none = S.Table(np.zeros(0, np.uint64), np.zeros(0))
+    tree = S.SuffixTree(10, 5, none, none, others, None)
+    batch = S.pa.RecordBatch.from_arrays([S.pa.array(range(len(texts))), S.pa.array(texts)], names=["row", "text"])
+    rows = [r for found in S._scored(iter([batch]), tree, 3) for r in found.to_pylist()]
+    ends = np.cumsum(counts)
+    for row, start, end in zip(rows, ends - counts, ends, strict=True):
+        expected = Counter(int(k) for n, level in enumerate(levels) for k in level[start : end - (n == 0)].view(np.int64) if k)
+        got = {}
+        for r in range(S._ROUNDS):
+            assert all(k & (S._ROUNDS - 1) == r for k in row[f"keys{r}"])
+            got |= dict(zip(row[f"keys{r}"], row[f"times{r}"], strict=True))
+        assert got == expected
+    assert all(any(row[f"keys{r}"] for row in rows) for r in range(S._ROUNDS))
+
+
+def test_values_are_found_in_any_order():
+    rng = np.random.default_rng(4)
+    known = np.unique(rng.integers(0, 1 << 63, 500).astype(np.uint64))
+    table = S.Table(known[::-1], np.arange(len(known))[::-1])
+    keys = rng.permutation(np.concatenate((known, known[:50], rng.integers(0, 1 << 63, 300).astype(np.uint64))))
+    at, place = table.find(keys)
+    assert sorted(at.tolist()) == np.flatnonzero(np.isin(keys, known)).tolist() and (known[place] == keys[at]).all()
+    assert (table.values[0][place] == place).all()
