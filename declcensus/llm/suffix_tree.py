@@ -22,6 +22,11 @@ table of these values.  Sequences that hold ``SHARE`` of all tokens, of which th
 and fewer rows; a Bloom filter of a fixed size spares it most sequences that are not in
 the tree.  Neither changes a result.  Words are dealt with likewise.
 
+Words and sequences are known by 64-bit hashes.  Their tables are dealt to parts by the first
+bits of these keys, and what a task has for a part goes there as one row of arrays: counting
+and joining take a group of rows per part, not a row per sequence.  The number of parts grows
+with the corpus, so a part does not.
+
 Defined results: a null text counts as empty and has the end as its only token; without
 training rows all tokens are unknown; each row of the input has a row of its own in the
 output, whatever its other columns are, and repeated rows count as often as they occur;
@@ -31,13 +36,14 @@ carried columns do no harm.
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,8 +57,10 @@ WORD_SHARE = 1e-6
 LEAST = 5
 DISCOUNT = 0.5
 END = b""
-_HELD = 200_000
+_HELD = 1 << 21
 _ROUNDS = 4  # a power of two
+_PART = 19  # bits of the number of tokens to a part
+_BATCH_BYTES = 4 << 20
 FILTER_BITS = 27
 
 
@@ -129,6 +137,57 @@ def joined(before: np.ndarray, after: np.ndarray) -> np.ndarray:
     return B.mix(before * np.uint64(0x9E3779B97F4A7C15) + after)
 
 
+def after_of(key: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """The other part of a joined key: what :func:`joined` does can be undone."""
+    x = key ^ key >> np.uint64(31) ^ key >> np.uint64(62)
+    x = x * _UNMIX[0]
+    x = x ^ x >> np.uint64(27) ^ x >> np.uint64(54)
+    x = x * _UNMIX[1]
+    x = x ^ x >> np.uint64(30) ^ x >> np.uint64(60)
+    return x - before * np.uint64(0x9E3779B97F4A7C15)
+
+
+_UNMIX = [np.uint64(pow(step, -1, 1 << 64)) for step in (0x94D049BB133111EB, 0xBF58476D1CE4E5B9)]
+
+
+def packed(values: np.ndarray) -> bytes:
+    """An array as bytes, the first byte of each value before the second ones: shuffles compress that better."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
+
+
+def unpacked(data: pa.ChunkedArray | pa.Array, kind: type) -> np.ndarray:
+    """The values of all rows of a column of :func:`packed` arrays."""
+    size = np.dtype(kind).itemsize
+    some = [np.ascontiguousarray(np.frombuffer(x.as_buffer(), np.uint8).reshape(size, -1).T).view(kind)[:, 0] for x in data]
+    return np.concatenate(some) if some else np.zeros(0, kind)
+
+
+def _bits(parts: int) -> int:
+    return max(4, min(24, (max(parts, 1) - 1).bit_length()))
+
+
+def _dealt(bits: int, keys: np.ndarray, others: dict[str, np.ndarray], **same: object) -> Iterator[pa.RecordBatch]:
+    """A row per part of the keys, which are in order: ``part``, ``same``, ``key`` and ``others``."""
+    bounds = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
+    bounds = np.append(bounds, len(keys))
+    rows: list[dict] = []
+    size = 0
+    for part in np.flatnonzero(np.diff(bounds)).tolist():
+        own = slice(bounds[part], bounds[part + 1])
+        rows.append({"part": part, **same, "key": packed(keys[own])} | {name: packed(x[own]) for name, x in others.items()})
+        size += 16 * (own.stop - own.start)
+        if size > _BATCH_BYTES:
+            yield pa.RecordBatch.from_pylist(rows, _schema(others, same))
+            rows, size = [], 0
+    if rows:
+        yield pa.RecordBatch.from_pylist(rows, _schema(others, same))
+
+
+def _schema(others: dict, same: dict) -> pa.Schema:
+    kinds = {bool: pa.bool_(), int: pa.int64()}
+    return pa.schema([("part", pa.int32()), *[(k, kinds[type(v)]) for k, v in same.items()], ("key", pa.binary()), *[(k, pa.binary()) for k in others]])
+
+
 def _stream(texts: list[str | None]) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
     """The words; keys of END, words, END of each text; how many each has; where each word is."""
     words = Words([lowered(t) for t in texts])
@@ -188,84 +247,115 @@ def filter_of(keys: DataFrame, bits: int) -> Filter:
     return whole
 
 
-def _words(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: Counter = Counter()
-
-    def out() -> pa.RecordBatch:
-        words = list(held)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(words, pa.binary()), pa.array(word_keys(words).view(np.int64)), pa.array(list(held.values()), pa.int64())],
-            names=["word", "key", "n"],
-        )
-
-    for batch in B.slices(it):
-        for text in batch.column(0).to_pylist():
-            held.update(lowered(text).split())
-        held[END] += batch.num_rows
-        if len(held) > _HELD:
-            yield out()
-            held.clear()
-    yield out()
-
+_DEALT = "part int, parts boolean, key binary, other binary"
 
-def _both(keys: np.ndarray, counts: np.ndarray, known: Filter, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """The two parts, of ``length`` words, of the sequences one longer, where both may be known."""
-    level = list(_levels(keys, counts, length))[-1]
-    member = known.has(level) & (level != 0)
-    start = np.zeros(len(keys), bool)
-    start[np.cumsum(counts) - counts] = True
-    at = np.flatnonzero(member[1:] & member[:-1] & ~start[1:]) + 1
-    return level[at - 1], level[at]
 
+def _counted(it: Iterator[pa.RecordBatch], known: Filter | None, length: int, order: int, bits: int) -> Iterator[pa.RecordBatch]:
+    """Counts of the sequences of ``length`` + 1 words whose two parts may be known; with them, as ``parts``,
+    the known sequences of ``length`` words with what they are without the last, about once per task."""
+    held: dict[bool, list[tuple[np.ndarray, ...]]] = {True: [], False: []}
 
-def _sequences(it: Iterator[pa.RecordBatch], known: Filter, length: int) -> Iterator[pa.RecordBatch]:
-    """Counts of the sequences whose parts of ``length`` words may both be known."""
-    held = [np.zeros(0, np.uint64), np.zeros(0, np.int32)]
-
-    def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(held[0].view(np.int64)), pa.array(held[1].astype(np.int32))], names=["key", "n"])
+    def out(parts: bool) -> Iterator[pa.RecordBatch]:
+        some, held[parts] = [np.concatenate(x) for x in zip(*held[parts], strict=True)], []
+        if parts:
+            at = np.argsort(some[0])
+            keys, before = some[0][at], some[1][at]
+            fresh = _fresh(keys)
+            yield from _dealt(bits, keys[fresh], {"other": before[fresh]}, parts=True)
+        else:
+            keys = np.sort(some[0])
+            at = np.flatnonzero(_fresh(keys))
+            yield from _dealt(bits, keys[at], {"other": np.diff(at, append=len(keys)).astype(np.int32)}, parts=False)
 
     for batch in B.slices(it):
         _, keys, counts, _ = _stream(batch.column(0).to_pylist())
-        key, n = np.unique(joined(*_both(keys, counts, known, length)), return_counts=True)
-        held = [np.concatenate(x) for x in zip(held, (key, n.astype(np.int32)), strict=True)]
-        if len(held[0]) > 4 * _HELD:
-            held = list(B.summed(*held))
-            if len(held[0]) > 2 * _HELD:
-                yield out()
-                held = [x[:0] for x in held]
-    held = list(B.summed(*held))
-    yield out()
-
-
-def _parts(it: Iterator[pa.RecordBatch], known: Filter, found: Filter, length: int) -> Iterator[pa.RecordBatch]:
-    """The sequences that may be found, each with its two parts, about once per task."""
-    held = [np.zeros(0, np.uint64)] * 3
+        start = np.zeros(len(keys), bool)
+        start[np.cumsum(counts) - counts] = True
+        if length == 0:
+            held[False].append((keys[~start],))
+        else:
+            before, level = ([keys] + list(_levels(keys, counts, length)))[-2:]
+            member = known.has(level) & (level != 0)
+            if length > 1:
+                at = np.flatnonzero(member)
+                held[True].append((level[at], before[at - 1]))
+            if length <= order:
+                at = np.flatnonzero(member[1:] & member[:-1] & ~start[1:]) + 1
+                held[False].append((joined(level[at - 1], level[at]),))
+        for parts, some in held.items():
+            if sum(len(x[0]) for x in some) > _HELD:
+                yield from out(parts)
+    for parts, some in held.items():
+        if some:
+            yield from out(parts)
+
+
+def _fresh(keys: np.ndarray) -> np.ndarray:
+    """Where a key differs from the one before."""
+    return np.concatenate((np.ones(min(len(keys), 1), bool), keys[1:] != keys[:-1]))
+
+
+_GATHERED = "part int, parts boolean, key binary, n binary, before binary, size long, total long"
+
+
+def _gathered(dealt: pa.Table, found: pa.Table | None, least: int) -> pa.Table:
+    """What all tasks have for one part: the sequences that occur ``least`` times, and the known ones with their parts."""
+    rows = []
+
+    def add(parts: bool, keys: np.ndarray, n: np.ndarray, before: np.ndarray | None) -> None:
+        if len(keys):
+            rows.append({
+                "part": dealt.column("part")[0].as_py(), "parts": parts, "key": packed(keys), "n": packed(n),
+                "before": None if before is None else packed(before), "size": len(keys), "total": int(n.sum()),
+            })
+
+    some = dealt.filter(dealt.column("parts"))
+    if found is not None and len(some):
+        table = Table(unpacked(found.column("key"), np.uint64), unpacked(found.column("n"), np.int64))
+        keys, before = unpacked(some.column("key"), np.uint64), unpacked(some.column("other"), np.uint64)
+        at, place = table.find(keys)
+        fresh = _fresh(place)  # found in order
+        add(True, keys[at][fresh], table.values[0][place][fresh], before[at][fresh])
+    some = dealt.filter(pc.invert(dealt.column("parts")))
+    keys, n = B.summed(unpacked(some.column("key"), np.uint64), unpacked(some.column("other"), np.int32).astype(np.int64))
+    often = n >= least
+    add(False, keys[often], n[often], None)
+    return pa.Table.from_pylist(rows, _GATHERED_SCHEMA)
+
+
+_GATHERED_SCHEMA = pa.schema([
+    ("part", pa.int32()), ("parts", pa.bool_()), ("key", pa.binary()), ("n", pa.binary()), ("before", pa.binary()), ("size", pa.int64()), ("total", pa.int64()),
+])
+
+
+def _parted(dealt: pa.Table, found: pa.Table, least: int) -> pa.Table:
+    return _gathered(dealt, found, least) if len(dealt) else _GATHERED_SCHEMA.empty_table()
+
+
+def _listed_rows(it: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """A row per sequence that occurs ``least`` times."""
+    for batch in it:
+        for k in range(batch.num_rows):
+            row = batch.slice(k, 1)
+            keys, n = unpacked(row.column(0), np.uint64), unpacked(row.column(1), np.int64)
+            some = n >= least
+            columns = {"key": keys, "n": n}
+            if batch.num_columns > 2:
+                before = unpacked(row.column(2), np.uint64)
+                columns |= {"before": before, "after": after_of(keys, before)}
+            yield pa.RecordBatch.from_pydict({name: pa.array(x[some].view(np.int64)) for name, x in columns.items()})
 
-    def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in held], names=["key", "before", "after"])
 
-    for batch in B.slices(it):
-        _, keys, counts, _ = _stream(batch.column(0).to_pylist())
-        before, after = _both(keys, counts, known, length)
-        key = joined(before, after)
-        some = found.has(key)
-        held = [np.concatenate(x) for x in zip(held, (key[some], before[some], after[some]), strict=True)]
-        if len(held[0]) > 4 * _HELD:
-            at = np.unique(held[0], return_index=True)[1]
-            held = [x[at] for x in held]
-            if len(at) > 2 * _HELD:
-                yield out()
-                held = [x[:0] for x in held]
-    at = np.unique(held[0], return_index=True)[1]
-    held = [x[at] for x in held]
-    yield out()
+def _rows(gathered: DataFrame, least: int = 1) -> DataFrame:
+    """``(key, n)`` of gathered sequences."""
+    return gathered.select("key", "n").mapInArrow(lambda it: _listed_rows(it, least), "key long, n long")
 
 
 @dataclass
 class SuffixTree:
     """``words``: log10 of the root probability of frequent words; ``often``: the values of
-    frequent sequences; ``values``: the table ``(key, value)`` of the others, and its filter."""
+    frequent sequences; ``values``: the table ``(key, value)`` of the others, and its filter.
+    ``word_bits`` and ``bits``: of a word's or a sequence's key, the first that name its part."""
 
     total: int
     distinct: int
@@ -273,6 +363,8 @@ class SuffixTree:
     often: Table
     others: Filter
     values: DataFrame
+    word_bits: int = 4
+    bits: int = 4
 
     def room(self) -> float:
         return self.total + 0.5 * (self.distinct + 1)
@@ -318,60 +410,64 @@ def fit(
     df: DataFrame, text: str = "text", order: int = ORDER, share: float = SHARE, word_share: float = WORD_SHARE, least: int = LEAST,
     filter_bits: int = FILTER_BITS,
 ) -> tuple[SuffixTree, DataFrame]:
-    """The tree, and the table ``(word, key, n)`` of all words of the rows of ``df``."""
+    """The tree, and the counts of all words of the rows of ``df``, for :func:`score`."""
     rows = df.select(F.col(f"`{text}`").cast("string").alias("text"))
     spark = df.sparkSession
-    words = materialize(rows.mapInArrow(_words, "word binary, key long, n long").groupBy("word", "key").agg(F.sum("n").alias("n")))
-    total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    word_bits = _bits(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = rows.mapInArrow(lambda it: _counted(it, None, 0, order, word_bits), _DEALT)
+    words = materialize(dealt.groupBy("part").applyInArrow(lambda some: _gathered(some, None, 1), _GATHERED))
+    total, distinct = words.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    bits = max(word_bits, _bits(total >> _PART))
     room = total + 0.5 * (distinct + 1)
     log = F.log10((F.col("n") + 0.5) / F.lit(room))
-    base = _looked_up(words.filter(F.col("n") >= max(1.0, total * word_share)).select("key", log))  # 1 / word_share rows at most
-    known = words.filter(F.col("n") >= least).select("key", "n")
+    base = _looked_up(_rows(words, max(1, math.ceil(total * word_share))).select("key", log))  # 1 / word_share rows at most
+    known = _rows(words, least)
     probability = known.select("key", ((F.col("n") + 0.5) / F.lit(room)).alias("p"))
-    parts = []
-    of_known = spark.sparkContext.broadcast(filter_of(known.select("key"), filter_bits))
-    for length in range(1, order + 1):
+    parts, often = [], None
+    # A pass over the texts counts the sequences of a length, and finds the parts of those that the pass before
+    # has counted: the counts of all sequences are the widest table of all and go without the parts.
+    for length in range(1, order + 2):
+        of_known = spark.sparkContext.broadcast(filter_of(known.select("key"), filter_bits))
 
         def counted(it, known=of_known, length=length):
-            return _sequences(it, known.value, length)
-
-        # The counts of all sequences are the widest table of all: they go without the parts, which
-        # only those that stay are joined with.
-        often = materialize(
-            rows.mapInArrow(counted, "key long, n int").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-        )
+            return _counted(it, known.value, length, order, bits)
+
+        dealt = rows.mapInArrow(counted, _DEALT)
+        if often is None:
+            gathered = dealt.groupBy("part").applyInArrow(lambda some: _gathered(some, None, least), _GATHERED)
+        else:
+            gathered = dealt.groupBy("part").cogroup(often.groupBy("part")).applyInArrow(lambda some, found: _parted(some, found, least), _GATHERED)
+        gathered = materialize(gathered)
         release(spark)
+        if often is not None:
+            found = gathered.filter("parts").select("key", "n", "before").mapInArrow(
+                lambda it: _listed_rows(it, least), "key long, n long, before long, after long"
+            )
+            values, probability = _level(found, contexts, probability)
+            parts.append(values)
+        contexts, often = known, gathered.filter("NOT parts").select("part", "key", "n")
         if often.isEmpty():
             break
-        of_found = spark.sparkContext.broadcast(filter_of(often.select("key"), filter_bits))
-
-        def parted(it, known=of_known, found=of_found, length=length):
-            return _parts(it, known.value, found.value, length)
-
-        both = rows.mapInArrow(parted, "key long, before long, after long").groupBy("key").agg(F.any_value("before").alias("before"), F.any_value("after").alias("after"))
-        found = materialize(both.join(often, "key").select("key", "before", "after", "n"))
-        release(spark)
-        values, probability = _level(found, known, probability)
-        parts.append(values)
-        known, of_known = often, of_found
+        known = _rows(often, least)
     empty = spark.createDataFrame([], "key long, n long, value double")
     values = reduce(DataFrame.unionByName, parts, empty).groupBy("key").agg(F.max("n").alias("n"), F.sum("value").alias("value"))
     values = materialize(values)
     often = F.col("n") >= max(1.0, total * share)
     others = values.filter(~often).select("key", "value")
-    tree = SuffixTree(total, distinct, base, _looked_up(values.filter(often).select("key", "value")), filter_of(others.select("key"), filter_bits), others)
+    tree = SuffixTree(
+        total, distinct, base, _looked_up(values.filter(often).select("key", "value")), filter_of(others.select("key"), filter_bits), others,
+        word_bits, bits,
+    )
     return tree, words
 
 
 def _scored(it: Iterator[pa.RecordBatch], tree: SuffixTree, order: int) -> Iterator[pa.RecordBatch]:
     """Per text: what is looked up here, and the words and sequences to join, with their counts."""
     for batch in B.slices(it):
-        words, keys, counts, where = _stream(batch.column(1).to_pylist())
-        distinct, inverse = np.unique(keys, return_inverse=True)
-        values, in_tree = np.zeros(len(distinct)), np.zeros(len(distinct), bool)
-        at, place = tree.words.find(distinct)
-        values[at], in_tree[at] = tree.words.values[0][place], True
-        base, listed = values[inverse], in_tree[inverse]
+        _, keys, counts, _ = _stream(batch.column(1).to_pylist())
+        base, listed = np.zeros(len(keys)), np.zeros(len(keys), bool)
+        at, place = tree.words.find(keys)
+        base[at], listed[at] = tree.words.values[0][place], True
         starts = np.cumsum(counts) - counts
         lasts = starts + counts - 1
         owner = np.repeat(np.arange(len(counts)), counts)
@@ -389,19 +485,15 @@ def _scored(it: Iterator[pa.RecordBatch], tree: SuffixTree, order: int) -> Itera
         base[starts] = 0
         listed_count = listed.astype(np.int64)
         listed_count[starts] = 0
-        rare: list[Counter] = [Counter() for _ in counts]
-        for k in np.flatnonzero(~listed[where]).tolist():
-            rare[words.owner[k]][words.word(k)] += 1
-        for k in np.flatnonzero(~listed[lasts]).tolist():
-            rare[k][END] += 1
+        listed[starts] = True  # nothing is to be looked up for the start
+        rare = _listed(owner[~listed], keys[~listed], len(counts))
         own = np.add.reduceat(base, starts)
         owned, wanted = map(np.concatenate, zip(*wanted, strict=True))
         rounds = [wanted & np.uint64(_ROUNDS - 1) == r for r in range(_ROUNDS)]
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(counts - 1), pa.array(np.add.reduceat(listed_count, starts)),
              pa.array(own), pa.array(own + np.add.reduceat(steps, starts)),
-             pa.array([list(r) for r in rare], pa.list_(pa.binary())), pa.array([list(r.values()) for r in rare], pa.list_(pa.int64())),
-             *[column for some in rounds for column in _listed(owned[some], wanted[some], len(counts))]],
+             *rare, *[column for some in rounds for column in _listed(owned[some], wanted[some], len(counts))]],
             names=["row", "n_tokens", "n_known", "base_score", "score", "words", "counts", *_listed_names()],
         )
 
@@ -412,7 +504,10 @@ def _listed_names() -> list[str]:
 
 def _listed(owner: np.ndarray, keys: np.ndarray, rows: int) -> tuple[pa.ListArray, pa.ListArray]:
     """For each row its distinct keys, and how often it has them."""
-    order = np.lexsort((keys, owner))
+    order = np.argsort(keys)
+    if rows < 1 << 16:
+        owner = owner.astype(np.uint16)  # sorted by its digits
+    order = order[np.argsort(owner[order], kind="stable")]
     owner, keys = owner[order], keys[order]
     fresh = np.concatenate(([True], (owner[1:] != owner[:-1]) | (keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, bool)
     at = np.flatnonzero(fresh)
@@ -421,6 +516,73 @@ def _listed(owner: np.ndarray, keys: np.ndarray, rows: int) -> tuple[pa.ListArra
     return pa.ListArray.from_arrays(offsets, pa.array(keys[at].view(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(times))
 
 
+def _dealt_pairs(it: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    """The keys of texts, dealt to parts; a batch of texts is a chunk, named by its first."""
+    for batch in it:
+        if batch.num_rows == 0:
+            continue
+        rows, lists = batch.column(0).to_numpy(), batch.column(1)
+        keys, times = lists.flatten().to_numpy().view(np.uint64), batch.column(2).flatten().to_numpy()
+        owner = np.repeat(rows, pc.list_value_length(lists).to_numpy())
+        order = np.argsort(keys)
+        yield from _dealt(bits, keys[order], {"row": owner[order], "times": times[order]}, chunk=int(rows[0]))
+
+
+def _dealt_values(it: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def out() -> Iterator[pa.RecordBatch]:
+        keys, values = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.argsort(keys)
+        yield from _dealt(bits, keys[order], {"value": values[order]})
+
+    for batch in it:
+        held.append((batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()))
+        if sum(len(keys) for keys, _ in held) > _HELD:
+            yield from out()
+            held.clear()
+    if held:
+        yield from out()
+
+
+_SUMS = "chunk long, row binary, known binary, value binary"
+_SUMS_SCHEMA = pa.schema([("chunk", pa.int64()), ("row", pa.binary()), ("known", pa.binary()), ("value", pa.binary())])
+
+
+def _joined(pairs: pa.Table, values: pa.Table, kind: type, of: Callable[[np.ndarray], np.ndarray] | None) -> pa.Table:
+    """For each text of a part's pairs: how many of its tokens the part's table has, and the sum of the values, or of
+    ``of`` the values, where keys that are not in the table count as 0."""
+    table = Table(unpacked(values.column("key"), np.uint64), unpacked(values.column("value"), kind))
+    out = []
+    for k in range(len(pairs)):
+        pair = pairs.slice(k, 1)
+        keys, row, times = (unpacked(pair.column(name), t) for name, t in (("key", np.uint64), ("row", np.int64), ("times", np.int32)))
+        at, place = table.find(keys)
+        value, known = np.zeros(len(keys)), np.zeros(len(keys), bool)
+        value[at], known[at] = table.values[0][place], True
+        rows, owner = np.unique(row, return_inverse=True)
+        out.append({
+            "chunk": pair.column("chunk")[0].as_py(), "row": packed(rows),
+            "known": packed(np.bincount(owner, times * known, len(rows)).astype(np.int64)),
+            "value": packed(np.bincount(owner, times * (of(value) if of else value), len(rows))),
+        })
+    return pa.Table.from_pylist(out, _SUMS_SCHEMA)
+
+
+def _added(sums: pa.Table) -> pa.Table:
+    """The sums of a chunk's texts over all parts."""
+    rows, owner = np.unique(unpacked(sums.column("row"), np.int64), return_inverse=True)
+    known, value = (np.bincount(owner, unpacked(sums.column(name), t), len(rows)) for name, t in (("known", np.int64), ("value", np.float64)))
+    return pa.table({"_row": rows, "known": known.astype(np.int64), "value": value})
+
+
+def _summed(pairs: DataFrame, values: DataFrame, bits: int, joined: Callable[[pa.Table, pa.Table], pa.Table]) -> DataFrame:
+    """``(_row, known, value)`` of the texts that have keys."""
+    dealt = pairs.mapInArrow(lambda it: _dealt_pairs(it, bits), "part int, chunk long, key binary, row binary, times binary")
+    sums = dealt.groupBy("part").cogroup(values.groupBy("part")).applyInArrow(joined, _SUMS)
+    return sums.groupBy("chunk").applyInArrow(_added, "_row long, known long, value double")
+
+
 def score(df: DataFrame, tree: SuffixTree, words: DataFrame, text: str = "text", carried: tuple[str, ...] = (), order: int = ORDER) -> DataFrame:
     """Columns ``carried``, then ``n_tokens``, ``n_known``, ``base_score``, ``score``; a row per row."""
     spark = df.sparkSession
@@ -431,31 +593,32 @@ def score(df: DataFrame, tree: SuffixTree, words: DataFrame, text: str = "text",
     )
     shape = (
         f"row {numbered.schema['row'].dataType.simpleString()}, n_tokens long, n_known long, base_score double, "
-        "score double, words array<binary>, counts array<long>, "
+        "score double, words array<long>, counts array<int>, "
         + ", ".join(f"{name} array<{'long' if name.startswith('keys') else 'int'}>" for name in _listed_names())
     )
     own = stored(numbered.mapInArrow(lambda it: _scored(it, shared.value, order), shape))
     release(spark)
-    row = F.col("row._row").alias("_row")
-    rare = own.select(row, F.explode(F.arrays_zip("words", "counts")).alias("w")).select("_row", F.col("w.words").alias("word"), F.col("w.counts").alias("times"))
-    count = F.coalesce("n", F.lit(0))
-    log = F.col("times") * F.log10((count + 0.5) / F.lit(max(tree.room(), 1.0)))
-    of_words = rare.join(words.drop("key"), "word", "left").groupBy("_row").agg(
-        F.sum(F.when(count > 0, F.col("times")).otherwise(0)).alias("known"), F.sum(log).alias("log"), F.lit(0.0).alias("step")
+    room, bits = max(tree.room(), 1.0), tree.bits
+
+    def logs(n: np.ndarray) -> np.ndarray:
+        return np.log10((n + 0.5) / room)
+
+    of_words = _summed(
+        own.select("row._row", "words", "counts"), words.select("part", "key", F.col("n").alias("value")), tree.word_bits,
+        lambda some, found: _joined(some, found, np.int64, logs),
     )
     # The sequences of all texts are the widest join: it goes by parts of the keys, each a table of
     # one row per text, so that only one part's rows lie on the disks at once.
-    added = [materialize(of_words)]
+    added = [materialize(of_words.select("_row", "known", F.col("value").alias("log"), F.lit(0.0).alias("step")))]
     release(spark)
     for r in range(_ROUNDS):
-        sequences = own.select(row, F.explode(F.arrays_zip(f"keys{r}", f"times{r}")).alias("w")).select(
-            "_row", F.col(f"w.keys{r}").alias("key"), F.col(f"w.times{r}").alias("times")
+        values = tree.values.filter(F.col("key").bitwiseAND(F.lit(_ROUNDS - 1)) == r).mapInArrow(
+            lambda it: _dealt_values(it, bits), "part int, key binary, value binary"
         )
-        values = tree.values.filter(F.col("key").bitwiseAND(F.lit(_ROUNDS - 1)) == r)
-        of_sequences = sequences.join(values, "key").groupBy("_row").agg(
-            F.lit(0).cast("long").alias("known"), F.lit(0.0).alias("log"), F.sum(F.col("times") * F.col("value")).alias("step")
+        of_sequences = _summed(
+            own.select("row._row", f"keys{r}", f"times{r}"), values, bits, lambda some, found: _joined(some, found, np.float64, None)
         )
-        added.append(materialize(of_sequences))
+        added.append(materialize(of_sequences.select("_row", F.lit(0).cast("long").alias("known"), F.lit(0.0).alias("log"), F.col("value").alias("step"))))
         release(spark)
     added = reduce(DataFrame.unionByName, added).groupBy("_row").agg(*[F.sum(c).alias(c) for c in ("known", "log", "step")])
     known, log, step = F.coalesce("known", F.lit(0)), F.coalesce("log", F.lit(0.0)), F.coalesce("step", F.lit(0.0))
