@@ -194,3 +194,46 @@ def test_values_are_found_in_any_order():
     at, place = table.find(keys)
     assert sorted(at.tolist()) == np.flatnonzero(np.isin(keys, known)).tolist() and (known[place] == keys[at]).all()
     assert (table.values[0][place] == place).all()
+
+
+def test_a_pass_over_the_texts_counts_a_length_and_finds_the_parts_of_the_one_before(spark, chained):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(it):
+        for batch in it:
+            read.add(batch.num_rows)
+            yield batch
+
+    tree, _ = S.fit(chained.select("text").mapInArrow(seen, "text string"))
+    assert len(tree.often.keys) and 0 < read.value <= (S.ORDER + 2) * chained.count()
+
+
+def test_counts_are_dealt_as_a_row_per_part():
+    texts = ["a b a b a c", "", None, "A b", "x y z " * 500, *(f"u{k} v{k}" for k in range(3000))]
+    batch = S.pa.RecordBatch.from_arrays([S.pa.array(texts)], names=["text"])
+    known = S.Filter(6)
+    known.words[:] = np.uint64(2**64 - 1)
+    _, keys, counts, _ = S._stream(texts)
+    levels = list(S._levels(keys, counts, 4))
+    for length in range(5):
+        rows = [r for found in S._counted(iter([batch]), known, length, 3, 4) for r in found.to_pylist()]
+        assert len(rows) <= 2 * 16
+        own = S.pa.Table.from_pylist(rows)
+        got = {}
+        for parts, kind in ((True, np.uint64), (False, np.int32)):
+            some = own.filter(S.pc.equal(own.column("parts"), parts))
+            found = S.unpacked(some.column("key"), np.uint64)
+            got[parts] = dict(zip(found.tolist(), S.unpacked(some.column("other"), kind).tolist(), strict=True))
+            assert (found >> np.uint64(60) == np.repeat(some.column("part").to_numpy(), [len(k) // 8 for k in some.column("key").to_pylist()])).all()
+        if length < 4:
+            level = levels[length].copy()
+            if length == 0:
+                level[np.cumsum(counts) - counts] = 0  # the start is no token
+            assert got[False] == Counter(level[level != 0].tolist())
+        else:
+            assert got[False] == {}
+        level = levels[length - 1]
+        at = np.flatnonzero(level) if length > 1 else []
+        assert got[True] == {int(level[k]): int(levels[length - 2][k - 1]) for k in at}
+        for k in at:
+            assert S.after_of(level[k : k + 1], levels[length - 2][k - 1 : k]) == levels[length - 2][k]
